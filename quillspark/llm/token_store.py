@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections import OrderedDict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,52 +34,91 @@ END_ID = 0
 WINDOW = 16
 #: A chunk ends where the rolling hash has so many zero bits, within these lengths in ids.
 MASK_BITS, LEAST, MOST = 9, 256, 2048
-#: Pieces of text whose ids a worker remembers, and chunks it remembers having sent.
-REMEMBERED, SENT = 200_000, 100_000
+#: Pieces of text whose ids a worker remembers, twice, and chunks it remembers having sent.
+REMEMBERED, SENT = 450_000, 100_000
 _U = np.uint64
 
-#: A space before a letter and after anything but a space always starts a new pre-token of the
-#: byte-level pattern, so texts may be encoded in pieces cut there.
-_CUT = re.compile(r"(?<=[^ ])(?= [^\W\d_])")
+# Latin letters up to U+024F, an apostrophe among them included: with the space before it such a
+# word is cut off by the byte-level pattern on both sides, whatever stands around it, but for other
+# letters and for an apostrophe that begins a pre-token.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+# White space but the space: its last one before a word is a pre-token of its own.
+_WHITE = "\\t-\\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPLIT = re.compile(f"( ?[{_LETTERS}]+(?:'[{_LETTERS}]+)*|[{_WHITE}](?=[{_LETTERS}]))")
+_ODD = re.compile(f"[^\\W\\d_{_LETTERS}]|[^\\x00-\\x7f\\w\\s](?=[{_LETTERS}])|(?<![{_LETTERS}])'(?=[{_LETTERS}])")
 
 
-class Encoder:
-    """Encodes whole texts piece by piece; a piece seen before costs a look-up."""
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest, in order, for
+    characters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) if b in own else chr(256 + b - sum(x < b for x in own)) for b in range(256)}
+
+
+class Encoder(dict):
+    """Encodes whole texts word by word; a word seen before costs a look-up.
+
+    Maps pieces to their ids as bytes; one that is a single pre-token goes straight to the
+    tokenizer's model.  The newest pieces and the generation before them are kept.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        self.before: dict[str, bytes] = {}
         self.remembered = remembered
 
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():  # one pre-token
+                if piece.isascii():
+                    piece_letters = "\u0120" + piece[1:] if piece[0] == " " else piece
+                else:
+                    piece_letters = piece.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(piece_letters)]
+            else:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            found = array(self.code, ids).tobytes()
+        self[piece] = found
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-        parts = [_CUT.split(t) if t else [] for t in texts]
-        known = self.known
-        new = list({p for one in parts for p in one if p not in known})
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-            new = list({p for one in parts for p in one})
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in one]), "<u4") for one in parts]
-
-
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; they depend on the ids near them only."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+        """Ids of each text, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them; a text
+        with characters that the cutting isn't sure of is encoded as it stands."""
+        out = []
+        for t in texts:
+            if (not t.isascii() or "'" in t) and _ODD.search(t):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind))
+            else:
+                out.append(np.frombuffer(b"".join(map(self.__getitem__, _SPLIT.split(t))), self.kind))
+        if len(self) > self.remembered:
+            self.before = dict(self)
+            self.clear()
+            self[""] = b""
+        return out
+
+
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Whether a chunk may end behind each id: a hash of the 16 ids up to it says so.  Streams may
+    stand one behind the other, as no chunk ends within its first ids."""
     h = tv.mix(ids.astype(_U) + _U(1))
-    roll = np.zeros(n, _U)
+    roll = np.zeros(len(ids), _U)
     with np.errstate(over="ignore"):
-        for j in range(WINDOW):
-            roll[j:] += h[: n - j] * tv.powers(WINDOW)[j]
-    marks = np.flatnonzero((tv.mix(roll) >> _U(64 - MASK_BITS)) == 0) + 1
+        for j in range(min(WINDOW, len(ids))):
+            roll[j:] += h[: len(ids) - j] * tv.powers(WINDOW)[j]
+    return (tv.mix(roll) >> _U(64 - MASK_BITS)) == 0
+
+
+def boundaries(n: int, marks: np.ndarray) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids, from the sorted places behind its marks."""
     out, at = [], 0
     while n - at > LEAST:
         k = np.searchsorted(marks, at + LEAST)
@@ -113,25 +154,29 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if data[:1] == b"\2" else "<u4").astype("<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One for each worker process: tasks that follow each other share what it remembers."""
+    return Encoder(path)
 
 
 def _encode(tokenizer: str):
     """Chunk rows; a chunk's data goes along only the first time that a task meets its hash."""
 
     def run(batches):
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = Encoder(tokenizer)
-        encoder, press, sent = _ENCODERS[tokenizer], zstandard.ZstdCompressor(level=1), OrderedDict()
+        encoder, press, sent = _encoder(tokenizer), zstandard.ZstdCompressor(level=1), OrderedDict()
         for batch in batches:
             _, offsets = tv.buffers(batch.column(2))
             for lo, hi in tv.cuts(offsets):
                 texts = batch.column(2).slice(lo, hi - lo).to_pylist()
                 uids, docs = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
-                rows = []
-                for uid, doc, ids in zip(uids, docs, encoder.encode([t or "" for t in texts])):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    ends = boundaries(ids)
+                rows, at = [], 0
+                streams = [np.append(x, np.array([END_ID], x.dtype)) for x in encoder.encode([t or "" for t in texts])]
+                marks = np.flatnonzero(marks_of(np.concatenate(streams))) + 1
+                for uid, doc, ids in zip(uids, docs, streams):
+                    own = np.searchsorted(marks, [at, at + len(ids)], "right")
+                    ends = boundaries(len(ids), marks[own[0] : own[1]] - at)
+                    at += len(ids)
                     for seq, (a, b) in enumerate(zip([0, *ends], ends)):
                         part = ids[a:b]
                         h = chunk_hash(part)
