@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
@@ -35,7 +35,7 @@ WINDOW = 16
 #: A chunk ends where the rolling hash has so many zero bits, within these lengths in ids.
 MASK_BITS, LEAST, MOST = 9, 256, 2048
 #: Pieces of text whose ids a worker remembers, twice, and chunks it remembers having sent.
-REMEMBERED, SENT = 450_000, 100_000
+REMEMBERED, SENT = 800_000, 100_000
 _U = np.uint64
 
 # Latin letters up to U+024F, an apostrophe among them included: with the space before it such a
@@ -109,14 +109,20 @@ class Encoder(dict):
 def marks_of(ids: np.ndarray) -> np.ndarray:
     """Whether a chunk may end behind each id: a hash of the 16 ids up to it says so.  Streams may
     stand one behind the other, as no chunk ends within its first ids."""
-    h = tv.mix(ids.astype(_U) + _U(1))
-    roll = np.zeros(len(ids), _U)
-    with np.errstate(over="ignore"):
-        for j in range(min(WINDOW, len(ids))):
-            roll[j:] += h[: len(ids) - j] * tv.powers(WINDOW)[j]
+    roll = _id_hashes()[ids] if ids.dtype == np.dtype("<u2") else tv.mix(ids.astype(_U) + _U(1))
+    span = 1
+    while span < WINDOW:  # each step doubles the ids that a hash covers
+        wide = roll.copy()
+        wide[span:] += roll[:-span] * tv.powers(WINDOW + 1)[span]
+        roll, span = wide, 2 * span
     return (tv.mix(roll) >> _U(64 - MASK_BITS)) == 0
 
 
+@lru_cache(maxsize=1)
+def _id_hashes() -> np.ndarray:
+    return tv.mix(np.arange(1, (1 << 16) + 1, dtype=_U))
+
+
 def boundaries(n: int, marks: np.ndarray) -> list[int]:
     """Ends of the chunks of a stream of ``n`` ids, from the sorted places behind its marks."""
     out, at = [], 0
@@ -196,19 +202,6 @@ def _encode(tokenizer: str):
     return run
 
 
-def _once(batches):
-    """Rows sorted by hash, data first: only the first row of a hash keeps its data."""
-    last = None
-    for batch in batches:
-        hashes, data = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-        for i, h in enumerate(hashes):
-            if data[i] is not None:
-                if h == last:
-                    data[i] = None
-                last = h
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(data, pa.binary())], batch.schema.names)
-
-
 _CHUNK = "uid bigint, doc_id bigint, seq int, n bigint, after bigint, hash binary, data binary"
 
 
@@ -236,7 +229,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id",
     chunks = rows.mapInArrow(_encode(tokenizer), _CHUNK)
     # A row without data may go anywhere, so a chunk that a third of all documents share is spread.
     place = F.when(F.col("data").isNull(), F.xxhash64("uid", "seq")).otherwise(F.xxhash64("hash"))
-    dealt = chunks.repartition(n, place).sortWithinPartitions("hash", "uid", "seq").mapInArrow(_once, _CHUNK)
+    first = F.row_number().over(Window.partitionBy("place", "hash").orderBy("uid", "seq")) == 1
+    dealt = chunks.withColumn("place", place).repartition(n, "place").withColumn("data", F.when(first, F.col("data"))).drop("place")
     dealt.write.parquet(f"{path}/chunks")
     staged = spark.read.schema(_CHUNK).parquet(f"{path}/chunks")
     recipes = staged.drop("data").groupBy("uid", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "hash", "n", "after"))).alias("chunks"))
