@@ -23,6 +23,11 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def rx(text: Column, pattern: str, put: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(put))
 
@@ -58,6 +63,11 @@ def strip_accents(text: Column | str) -> Column:
     return rx(F.translate(col(text), *_folds()), r"\p{Mn}", "")
 
 
+def plain(text: str) -> str:
+    """:func:`strip_accents` of a constant."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
 def strip_diacritics(text: Column | str) -> Column:
     """:func:`strip_accents`, and the barred d as d."""
     return F.translate(strip_accents(text), "đĐ", "dD")

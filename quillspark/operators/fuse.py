@@ -127,13 +127,12 @@ def variants(queries: DataFrame, query: str = "query", entities: dict[str, tuple
     low, plain_low = F.lower(base), F.lower(plain)
     parts = [F.array(base), F.when(plain_low != low, F.array(plain)).otherwise(F.array())]
     for name, aliases in entities.items():
-        hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in aliases]) | F.contains(plain_low, T.strip_accents(F.lit(name)))
-        names = [F.lit(name), T.strip_accents(F.lit(name))] + [c for a in aliases for c in (F.lit(a), T.strip_accents(F.lit(a)))]
+        hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in aliases]) | F.contains(plain_low, F.lit(T.plain(name)))
+        names = [F.lit(x) for a in (name, *aliases) for x in (a, T.plain(a))]
         asked = [F.lit(q.format(name=name, first=name.split()[0])) for q in questions]
         parts.append(F.when(hit, F.array(*names, *asked)).otherwise(F.array()))
     every = F.filter(F.concat(*[p.cast("array<string>") for p in parts]), lambda x: x != "")
-    lower = F.transform(every, F.lower)
-    firsts = F.filter(every, lambda x, i: F.array_position(lower, F.element_at(lower, i + 1)) == i + 1)
+    firsts = T.let(every, lambda e: T.let(F.transform(e, F.lower), lambda low_e: F.filter(e, lambda x, i: F.array_position(low_e, F.element_at(low_e, i + 1)) == i + 1)))
     return queries.select(*queries.columns, F.posexplode(firsts).alias("variant", "text"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import RANKING, top_k
-from quillspark.functions.text import tokens
+from quillspark.functions.text import let, tokens
 
 
 def _top(hits: DataFrame, score: str, k: int) -> DataFrame:
@@ -24,11 +24,10 @@ def by_score(hits: DataFrame, k: int) -> DataFrame:
 def lexical(hits: DataFrame, k: int, query: str = "query", text: str = "text") -> DataFrame:
     """0.6 times the share of the text's tokens that the query has, with repeats and over at least
     three tokens, plus 0.4 times the score."""
-    asked, said = F.array_distinct(tokens(query)), tokens(text)
-    overlap = F.size(F.filter(said, lambda t: F.array_contains(F.col("_q"), t)))
-    out = hits.withColumn("_q", asked).withColumn("_share", overlap / F.greatest(F.lit(RANKING.least_tokens), F.size(said)))
+    share = let(F.array_distinct(tokens(query)), lambda q: let(tokens(text), lambda said: F.size(F.filter(said, lambda t: F.array_contains(q, t))) / F.greatest(F.lit(RANKING.least_tokens), F.size(said))))
+    out = hits.withColumn("_share", share)
     out = out.withColumn("re_score", F.round(RANKING.lexical_weight * F.col("_share") + RANKING.score_weight * F.coalesce(F.col("score"), F.lit(0.0)), 12))
-    return _top(out.drop("_q", "_share"), "re_score", k)
+    return _top(out.drop("_share"), "re_score", k)
 
 
 def modelled(make: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[..., DataFrame]:

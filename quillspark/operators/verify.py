@@ -64,31 +64,51 @@ def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_token_set(x, y) for x, y in zip(a, b)])
 
 
-def _grams(text: Column, q: int) -> Column:
-    n = F.length(text) - (q - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+def _edits(length: Column, share: float) -> Column:
+    """The most edits between a line of that length and any form at least ``share`` like it."""
+    return F.floor(length * ((1 - share) / share) + 1e-9).cast("int")
+
+
+def _cut(length: Column, k: Column, parts: Column) -> Column:
+    return F.floor(k * length / parts).cast("int")
+
+
+def _segments(known: DataFrame, share: float) -> DataFrame:
+    """(length, k, piece, canon): each line in one piece more than edits are allowed."""
+    n = F.length("canon")
+    rows = known.select("canon", n.alias("length"), F.posexplode(F.sequence(F.lit(0), _edits(n, share))).alias("p", "k"))
+    parts = _edits(F.col("length"), share) + 1
+    start = _cut(F.col("length"), F.col("k"), parts)
+    return rows.select("length", "k", F.substring("canon", start + 1, _cut(F.col("length"), F.col("k") + 1, parts) - start).alias("piece"), "canon")
+
+
+def _probes(forms: DataFrame, share: float) -> DataFrame:
+    """(length, k, piece, _c): where a piece of a fitting line of each length may stand in a form."""
+    n = F.length("_c")
+    rows = forms.withColumn("length", F.explode(F.sequence(F.ceil(n * share - 1e-9).cast("int"), F.floor(n / share + 1e-9).cast("int"))))
+    edits = _edits(F.col("length"), share)
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), edits))).withColumn("shift", F.explode(F.sequence(-edits, edits)))
+    start = _cut(F.col("length"), F.col("k"), edits + 1)
+    size = _cut(F.col("length"), F.col("k") + 1, edits + 1) - start
+    rows = rows.withColumns({"at": start + F.col("shift"), "size": size}).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
+    return rows.select("length", "k", F.substring("_c", F.col("at") + 1, F.col("size")).alias("piece"), "_c")
 
 
 def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, threshold: float = THRESHOLD) -> DataFrame:
     """asked (…, quote) with score, n, text and exact of the best known line (canon, n, text).
 
-    Equal canonical forms are found by an equi-join.  What is left is joined on character runs:
-    forms of at least ``threshold`` per cent edit likeness differ by few edits, and each edit
-    spoils at most q of the runs of q characters, so such forms always share one (q is 5 from 20
-    characters on, else 2).  Only pairs of fitting lengths are scored; for other scorers too.
-    Quotes without a line of ``threshold`` or more have a null line and score 0."""
+    Equal canonical forms are found by an equi-join.  For what is left a known line is cut into
+    one piece more than the edits that ``threshold`` per cent likeness allows, so one piece stands
+    unchanged, and hardly moved, in any form that is like it: forms and lines are equi-joined on
+    length, piece number and piece, and only such pairs are scored.  Other scorers see the same
+    pairs.  Quotes without a line of ``threshold`` or more have a null line and score 0."""
     rows = asked.withColumn("_c", T.canon("quote"))
     exact = rows.join(known.withColumnRenamed("canon", "_k"), F.col("_c") == F.col("_k"), "left").drop("_k")
     done = exact.where("n is not null").withColumns({"score": F.lit(100.0), "exact": F.lit(True)})
     open_ = exact.where("n is null").drop("n", "text")
     share = threshold / 100
     forms = open_.select("_c").where("_c <> ''").distinct()
-    size = F.when(F.length("_c") >= 20, 5).otherwise(2)
-    left = forms.select("_c", size.alias("q"), F.explode(F.when(size == 5, _grams(F.col("_c"), 5)).otherwise(_grams(F.col("_c"), 2))).alias("g"))
-    fives = known.where(F.length("canon") >= 20 * share).select("canon", F.lit(5).alias("q"), F.explode(_grams(F.col("canon"), 5)).alias("g"))
-    twos = known.where(F.length("canon") * share < 20).select("canon", F.lit(2).alias("q"), F.explode(_grams(F.col("canon"), 2)).alias("g"))
-    fits = F.least(F.length("_c"), F.length("canon")) >= F.greatest(F.length("_c"), F.length("canon")) * share
-    pairs = left.join(fives.unionByName(twos), ["q", "g"]).where(fits).select("_c", "canon").distinct()
+    pairs = _probes(forms, share).join(_segments(known, share), ["length", "k", "piece"]).select("_c", "canon").distinct()
     scored = pairs.withColumn("score", score(F.col("_c"), F.col("canon"))).where(F.col("score") >= threshold).join(known, "canon")
     best = scored.groupBy("_c").agg(F.max(F.struct("score", (-F.col("n")).alias("m"), "text")).alias("b")).select("_c", "b.score", (-F.col("b.m")).alias("n"), "b.text")
     rest = open_.join(best, "_c", "left").withColumn("exact", F.lit(False)).withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -15,6 +15,7 @@ from quillspark.functions import html
 from quillspark.functions import text as T
 from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, rerank, route, search, tags, validate, verify
 from quillspark.plans import retrieval
+from quillspark.session import prepared
 from quillspark.sources import readers, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -76,9 +76,8 @@ def parse_chunks(raw: DataFrame, *, min_words: int = CHUNKING.min_chunk_words) -
     empty or under ``min_words`` are dropped; the id falls back to the stem; tags are distinct."""
     head = T.strip_ends(F.expr(f"substring(substring_index(text, '\\n', 1), {len(META) + 1})"))
     body = T.strip_ends(F.expr("case when instr(text, '\\n') > 0 then substring(text, instr(text, '\\n') + 1) else '' end"))
-    rows = raw.where(F.startswith("text", F.lit(META))).withColumn("meta", F.from_json(head, META_DDL, {"mode": "PERMISSIVE"})).withColumn("text", body)
-    parsed = F.col("meta").isNotNull() & head.rlike(r"^\{.*\}$")
-    rows = rows.withColumn("parsed", parsed).withColumn("meta", F.col("meta").withField("tags", F.array_distinct("meta.tags")))
+    rows = raw.where(F.startswith("text", F.lit(META))).withColumns({"meta": F.from_json(head, META_DDL, {"mode": "PERMISSIVE"}), "_json": head.rlike(r"^\{.*\}$"), "text": body})
+    rows = rows.withColumn("parsed", F.col("meta").isNotNull() & F.col("_json")).withColumn("meta", F.col("meta").withField("tags", F.array_distinct("meta.tags")))
     return rows.where((F.col("text") != "") & (T.word_count("text") >= min_words)).select(F.coalesce(F.when(F.col("meta.id") != "", F.col("meta.id")), F.col("stem")).alias("id"), "text", "meta", "parsed")
 
 
