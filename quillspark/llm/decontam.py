@@ -146,7 +146,8 @@ def contaminated(state: str = "contamination", share: int = 20):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text: str = "text", **options) -> DataFrame:
     """Remove contaminated documents, or only the hit spans (``remove="spans"``) from all texts.
 
-    Columns are those of ``docs``; rows without words always stay.
+    Columns are those of ``docs``, but a column named ``contamination`` holds the marks; rows
+    without words always stay.
     """
     marked = mark(docs, benchmark, text=text, **options)
     if remove == "documents":
