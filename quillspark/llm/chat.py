@@ -45,11 +45,10 @@ def fold(events: DataFrame) -> DataFrame:
     reset = F.when(F.col("kind").isin(*RESETS), F.col("seq"))
     again = F.when(F.col("kind") == "regenerate", F.col("seq"))
     per = Window.partitionBy("conv_id", "message")
-    live = events.withColumns({"_reset": F.max(reset).over(per), "_first": F.min("seq").over(per), "_again": F.max(again).over(per)})
-    entry = F.struct("seq", (~F.coalesce(F.col("kind").isin(*RESETS), F.lit(False))).alias("delta"), "kind", F.coalesce("text", F.lit("")).alias("text"), "role")
-    grouped = live.where("_reset is null or seq >= _reset").groupBy("conv_id", "message", "_first", "_again").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    roles = F.filter(F.transform("e", lambda x: x.role), lambda r: r.isNotNull())
-    whole = grouped.select("conv_id", "message", "_first", "_again", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.array_join(F.transform("e", lambda x: x.text), "").alias("text"))
+    live = events.withColumns({"_reset": F.max(reset).over(per), "_first": F.min("seq").over(per), "_again": F.max(again).over(per), "_role": F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(per)})
+    entry = F.struct("seq", (~F.coalesce(F.col("kind").isin(*RESETS), F.lit(False))).alias("delta"), "kind", F.coalesce("text", F.lit("")).alias("text"))
+    grouped = live.where("_reset is null or seq >= _reset").groupBy("conv_id", "message", "_first", "_again", "_role").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    whole = grouped.select("conv_id", "message", "_first", "_again", F.coalesce("_role", F.lit("")).alias("role"), F.array_join(F.transform("e", lambda x: x.text), "").alias("text"))
     order = Window.partitionBy("conv_id").orderBy("_first", "message")
     cover = F.max("_again").over(order.rowsBetween(Window.unboundedPreceding, -1))
     kept = whole.withColumn("_cover", cover).where("_cover is null or _first > _cover")
