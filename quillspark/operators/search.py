@@ -90,13 +90,14 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
     """(query_id, doc_id, score) for every document with a term of the query.
 
     Only terms of queries are exploded and aggregated; the query side is broadcast when it is
-    small, else joined by shuffle.  A query's repeated terms count once."""
+    small, else joined by shuffle.  A query's repeated terms count once; rows without a text, as
+    those that have only a vector, are no documents here."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(query))).alias("term"))
     wanted = asked.select("term").distinct()
     sized = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
     small = sized <= BROADCAST_BYTES
     hint = F.broadcast if small else lambda d: d
-    t = docs.select(F.col(doc_id).alias("doc_id"), terms(text).alias("t"))
+    t = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), terms(text).alias("t"))
     stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
     tf = t.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(hint(wanted), "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
