@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import dropped, written
+from quillspark.llm.common import dropped, shuffle_partitions, written
 
 #: Sources by code point, null last, weigh these in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -23,6 +23,9 @@ FLIPS, NEAR = 8, 0.0005
 #: Units of one source and size that one task ranks.
 CELL = 1 << 16
 
+#: Sources up to which their table, some hundred bytes a row, is broadcast.
+BROADCAST_SOURCES = 50_000
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,6 +61,16 @@ def _rate(most: int) -> Column:
     return F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * _tilt(), F.lit(50.0)))))
 
 
+def _few(per_source: DataFrame) -> DataFrame:
+    """A table of sources in fewer partitions than what it was gathered from."""
+    return per_source.coalesce(max(1, shuffle_partitions(per_source.sparkSession) // 64))
+
+
+def _hint(goals: DataFrame):
+    """Broadcasts tables of sources if there are few."""
+    return F.broadcast if goals.count() <= BROADCAST_SOURCES else (lambda d: d)
+
+
 def solve(cells: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     """goals (source, source_size, target, mean) with the dual solution ``lam`` and ``full`` (all
     documents taken ``most`` times).
@@ -65,13 +78,14 @@ def solve(cells: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     cells: (source, size, m, n).  A Newton step that leaves the bracket of the root is replaced
     by its middle, so the iteration converges for any sizes."""
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    hint = _hint(goals)
     state = written(goals.withColumns({"full": full, "lam": F.lit(0.0), "lo": F.lit(-60.0), "hi": 2.0 + F.log(F.lit(2.0 * most)) * (1 + F.col("mean"))}), "dual")
     for _ in range(ITERATIONS):
-        met = cells.join(state, cells.source.eqNullSafe(state.source)).drop(cells.source)
+        met = cells.join(hint(state), cells.source.eqNullSafe(state.source)).drop(cells.source)
         take = F.col("n") * F.col("m") * F.col("size") * _rate(most)
         slope = F.when(F.col("lam") * _tilt() < F.log(F.lit(float(most))), take * _tilt()).otherwise(0.0)
-        sums = met.groupBy("source").agg(F.sum(take).alias("took"), F.sum(slope).alias("slope"))
-        step = state.join(sums.withColumnRenamed("source", "s"), state.source.eqNullSafe(F.col("s")), "left").drop("s")
+        sums = _few(met.groupBy("source").agg(F.sum(take).alias("took"), F.sum(slope).alias("slope")))
+        step = _few(state).join(hint(sums.withColumnRenamed("source", "s")), state.source.eqNullSafe(F.col("s")), "left").drop("s")
         gap = F.coalesce("took", F.lit(0.0)) - F.col("target")
         step = step.withColumn("gap", F.when(F.col("full"), 0.0).otherwise(gap))
         step = step.withColumns({"lo": F.when(F.col("gap") < 0, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("hi"))})
@@ -104,6 +118,7 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", t
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("rows"))
     goals = targets(totals.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s").join(totals.select("source", "rows"), F.col("s").eqNullSafe(F.col("source"))).drop("s")
     goals = goals.withColumn("mean", F.greatest(F.col("source_size") / F.col("rows"), F.lit(1.0))).select("source", "source_size", "target", "mean")
+    goals = written(_few(goals), "goals")
     cells = written(units.groupBy("source", "size", "m").agg(F.count("*").alias("n")), "cells")
     state = solve(cells, goals, most).withColumnRenamed("source", "s")
     rated = cells.join(state, cells.source.eqNullSafe(F.col("s"))).drop("s")
@@ -126,21 +141,21 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", t
     rank = F.row_number().over(Window.partitionBy("source", "size", "m", "sub").orderBy("order", "doc_id"))
     out = met.withColumn("copies", F.least(F.floor("rate") + F.when(rank <= F.col("more"), 1).otherwise(0), F.lit(most)).cast("int"))
     out = written(out.select("doc_id", "source", "size", "m", "source_size", "target", "rate", "copies", "order"), "copies")
-    return _corrected(out, most).drop("order")
+    return _corrected(out, most, _hint(goals)).drop("order")
 
 
-def _corrected(out: DataFrame, most: int) -> DataFrame:
+def _corrected(out: DataFrame, most: int, hint) -> DataFrame:
     """Change one unit of each source by one copy, the one that brings its words nearest to the
     target, until all are near or the rounds are over."""
     for _ in range(FLIPS):
         took = out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("took"), F.first("target").alias("goal"))
-        gaps = took.withColumn("gap", F.col("goal") - F.col("took")).where(F.abs("gap") > NEAR * F.col("goal")).select(F.col("source").alias("s"), "gap")
-        met = out.join(gaps, out.source.eqNullSafe(F.col("s")))
+        gaps = _few(took).withColumn("gap", F.col("goal") - F.col("took")).where(F.abs("gap") > NEAR * F.col("goal")).select(F.col("source").alias("s"), "gap")
+        met = out.join(hint(gaps), out.source.eqNullSafe(F.col("s")))
         able = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
         left = F.abs(F.abs("gap") - F.col("size") * F.col("m"))
         best = met.where(able & (left < F.abs("gap"))).groupBy("source").agg(F.min(F.struct(left.alias("left"), "order", "doc_id", "size", "m", F.signum("gap").cast("int").alias("by"))).alias("b"))
-        best = best.select(F.col("source").alias("s"), F.col("b.doc_id").alias("d"), F.col("b.size").alias("z"), F.col("b.m").alias("k"), "b.by")
-        changed = written(out.join(best, out.source.eqNullSafe(F.col("s")) & out.doc_id.eqNullSafe(F.col("d")) & (out["size"] == F.col("z")) & (out.m == F.col("k")), "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).withColumn("moved", F.col("by").isNotNull()).drop("s", "d", "z", "k", "by"), "copies")
+        best = _few(best).select(F.col("source").alias("s"), F.col("b.doc_id").alias("d"), F.col("b.size").alias("z"), F.col("b.m").alias("k"), "b.by")
+        changed = written(out.join(hint(best), out.source.eqNullSafe(F.col("s")) & out.doc_id.eqNullSafe(F.col("d")) & (out["size"] == F.col("z")) & (out.m == F.col("k")), "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).withColumn("moved", F.col("by").isNotNull()).drop("s", "d", "z", "k", "by"), "copies")
         dropped(out)
         some = changed.where("moved").limit(1).count()
         out = changed.drop("moved")
