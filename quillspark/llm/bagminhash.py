@@ -8,9 +8,9 @@ once no register can change, so a signature costs about (elements + m log m) poi
 
 Exact copies form classes first; one representative of each goes on.  Signatures are cut into
 bands; buckets of more than a few members are also divided by further bands.  A bucket's members
-are compared with its most central one; where verified links leave a bucket in several components,
-the others are compared with more members of the largest.  So candidate pairs stay in proportion
-to rows.  All are verified by exact multiset overlap.
+are compared with its most central one.  Where verified links leave a bucket in several components,
+all its members of different components are compared, in salted blocks: by signatures first, then
+by exact multiset overlap.  A block gives no more links than members, so rows stay in proportion.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ SIMILARITY = 0.8
 #: Buckets of more members are divided by further bands.
 SMALL_BUCKET = 4
 FURTHER_BANDS = 4
-#: Members of a bucket's largest component that the others are compared with, and rounds of that.
-SECOND_REPS, SECOND_ROUNDS = 4, 2
+#: Members of a block, and distinct shingles of its members, about.
+BLOCK, BLOCK_SHINGLES = 1024, 3_000_000
+#: Registers that one step of comparing signatures holds.
+STEP = 1 << 25
 #: Four standard deviations below the threshold: pairs estimated lower aren't verified.
 ESTIMATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 
@@ -124,9 +126,10 @@ def _band(k) -> F.Column:
     return F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS))
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cid, bucket, degree): members of all buckets of several, and of the parts of large ones by
-    further bands; ``degree`` adds up the sizes of a member's buckets."""
+    further bands; ``degree`` adds up the sizes of a member's buckets.  And (cid, band, bucket, n):
+    members of the buckets alone, ``n`` in each."""
     signed = classes.where("sig is not null")
     bands = F.array(*[F.struct(F.lit(k).alias("band"), _band(k).alias("bucket")) for k in range(BANDS)])
     members = signed.select("cid", F.explode(bands).alias("x")).select("cid", "x.band", "x.bucket")
@@ -137,30 +140,144 @@ def buckets(classes: DataFrame) -> DataFrame:
     divided = _shared(large.join(hashes, "cid").select("cid", F.explode(parts).alias("bucket")))
     every = hit.select("cid", "bucket", "n").unionByName(divided.select("cid", "bucket", "n"))
     degrees = hit.groupBy("cid").agg(F.sum("n").alias("degree"))
-    out = written(every.join(degrees, "cid").select("cid", "bucket", "degree"), "members")
-    dropped(hit)
-    return out
+    return written(every.join(degrees, "cid").select("cid", "bucket", "degree"), "members"), hit
 
 
 def _meet(members: DataFrame, reps: DataFrame) -> DataFrame:
     return members.join(reps, "bucket").where("cid <> rep").select("cid", "rep")
 
 
+def _central(members: DataFrame) -> DataFrame:
+    return members.groupBy("bucket").agg(F.max(F.struct("degree", "cid")).alias("m")).select("bucket", F.col("m.cid").alias("rep"))
+
+
 def first_pairs(members: DataFrame) -> DataFrame:
     """Every member with its bucket's most central member, that with the largest degree.  Rows grow
     with members, never with their pairs."""
-    central = members.groupBy("bucket").agg(F.max(F.struct("degree", "cid")).alias("m")).select("bucket", F.col("m.cid").alias("rep"))
-    return _meet(members, central).distinct()
+    return _meet(members, _central(members)).distinct()
+
+
+def divided(members: DataFrame, hit: DataFrame, joined: DataFrame) -> DataFrame:
+    """(bucket, band, cid, component) of buckets that links haven't joined yet, without the central
+    members, which have met all others."""
+    rows = hit.where("n > 2").select("cid", "band", "bucket").join(_central(members), "bucket").where("cid <> rep").drop("rep")
+    named = rows.join(joined.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    apart = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+    return named.join(apart, "bucket").select("bucket", "band", "cid", "component")
 
 
-def second_pairs(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """In buckets that links haven't joined yet, members outside the bucket's largest component
-    with several of its members, by hashes."""
-    named = members.join(joined.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64(F.lit(j), "cid").alias("h"), "cid")).alias(f"r{j}") for j in range(SECOND_REPS)])
-    top = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component", *[F.col(f"r{j}.cid").alias(f"c{j}") for j in range(SECOND_REPS)])).alias("t")).where("parts > 1")
-    met = named.join(top, "bucket").where("component <> t.component")
-    return met.select("cid", F.explode(F.array(*[f"t.c{j}" for j in range(SECOND_REPS)])).alias("rep")).distinct()
+def _blocked(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (bucket, …) dealt by pairs of blocks (x, y) of their bucket, those of a pair together;
+    sizes (bucket, blocks)."""
+    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other")
+    keys = ["bucket", "x", "y"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "component", "cid")
+
+
+def _groups(batches):
+    """Tables of the neighbouring rows with equal (bucket, x, y)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.names.index(c)).to_numpy() for c in ("bucket", "x", "y")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and tuple(keys[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def _near(sig: np.ndarray, component: np.ndarray, band: int):
+    """(i, js) of members of different components that are estimated near and share no earlier band.
+    Members are sorted by component."""
+    ends = np.searchsorted(component, component, "right")
+    i = 0
+    while i < len(sig) and ends[i] < len(sig):
+        to = min(ends[i], i + max(1, STEP // (REGISTERS * (len(sig) - ends[i]))))
+        first = ends[i]
+        same = sig[i:to, None, :] == sig[None, first:, :]
+        a, b = np.nonzero(same.sum(axis=2, dtype=np.int32) >= ESTIMATE * REGISTERS)
+        agree = same[a, b, : BANDS * ROWS].reshape(len(a), BANDS, ROWS).all(axis=2)
+        good = agree[:, band] & ~agree[:, :band].any(axis=1)
+        a, b = a[good], b[good]
+        for k in np.unique(a).tolist():
+            yield i + k, first + b[a == k]
+        i = to
+
+
+def _signed(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _candidates(batches):
+    """(bucket, cid) of members with a near one in their block that they haven't met."""
+    for t in _groups(batches):
+        if t.num_rows < 2:
+            continue
+        used = np.zeros(t.num_rows, bool)
+        for i, js in _near(_signed(t), _column(t, "component"), t.column("band")[0].as_py()):
+            used[i] = used[js] = True
+        if used.any():
+            keep = pa.array(used)
+            for batch in t.select(["bucket", "cid"]).filter(keep).combine_chunks().to_batches():
+                yield batch
+
+
+def _joins(t: pa.Table):
+    """(cid, rep) of links in a block that join what neither earlier links nor others here join."""
+    component, cid = _column(t, "component"), _column(t, "cid")
+    hashes = [np.frombuffer(x, _U) for x in t.column("hashes").to_pylist()]
+    count = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()]).astype(np.int64)
+    size = np.array([len(h) for h in hashes])
+    start = np.cumsum(size) - size
+    known, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.add.reduceat(count, start)
+    dense = np.zeros(len(known), np.int64)
+    root = np.unique(component, return_inverse=True)[1]
+    for i, js in _near(_signed(t), component, t.column("band")[0].as_py()):
+        js = js[(root[js] != root[i]) & (np.minimum(total[js], total[i]) >= SIMILARITY * np.maximum(total[js], total[i]) - 1e-6)]
+        if not len(js):
+            continue
+        own = slice(start[i], start[i] + size[i])
+        dense[place[own]] = count[own]
+        ends = np.cumsum(size[js])
+        at = np.arange(ends[-1]) + np.repeat(start[js] - (ends - size[js]), size[js])
+        both = np.add.reduceat(np.minimum(dense[place[at]], count[at]), ends - size[js])
+        dense[place[own]] = 0
+        for j in js[both / (total[js] + total[i] - both) >= SIMILARITY].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                yield int(cid[i]), int(cid[j])
+
+
+def _rest(batches):
+    for t in _groups(batches):
+        found = list(_joins(t)) if t.num_rows > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["cid", "rep"])
+
+
+def rest_links(apart: DataFrame, classes: DataFrame, bags: DataFrame) -> DataFrame:
+    """(cid, rep): links that join the components of all buckets as far as any pair in them does."""
+    sig = classes.select("cid", "sig")
+    blocks = F.ceil(F.count("*") / BLOCK).cast("bigint")
+    dealt = _blocked(apart.join(sig, "cid"), apart.groupBy("bucket").agg(blocks.alias("blocks")))
+    near = written(dealt.mapInArrow(_candidates, "bucket bigint, cid bigint").distinct(), "near")
+    sizes = near.join(bags.select("cid", "size"), "cid").groupBy("bucket").agg(F.greatest(blocks, F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("bigint")).alias("blocks"))
+    full = apart.join(near, ["bucket", "cid"]).join(sig, "cid").join(bags.select("cid", "hashes", "counts"), "cid")
+    return written(_blocked(full, sizes).mapInArrow(_rest, "cid bigint, rep bigint"), "rest")
 
 
 def _estimate(batches):
@@ -182,7 +299,8 @@ def _bags(batches):
                     ids.append(cid[w.first + i].as_py())
                     hashes.append(bag.hash[bag.ptr[i] : bag.ptr[i + 1]].tobytes())
                     counts.append(bag.count[bag.ptr[i] : bag.ptr[i + 1]].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["cid", "hashes", "counts"])
+            size = [len(c) // 4 for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array(size, pa.int64())], ["cid", "hashes", "counts", "size"])
 
 
 def overlap(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> float:
@@ -207,24 +325,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, bags: DataFrame) -> DataFram
         pairs.join(sig.withColumnRenamed("sig", "sig_a"), "cid").join(sig.select(F.col("cid").alias("rep"), F.col("sig").alias("sig_b")), "rep")
         .select("cid", "rep", "sig_a", "sig_b").mapInArrow(_estimate, "cid bigint, rep bigint")
     )
-    joined = near.join(bags, "cid").withColumnsRenamed({"hashes": "ha", "counts": "ca"}).join(bags.withColumnRenamed("cid", "rep"), "rep")
+    joined = near.join(bags.drop("size"), "cid").withColumnsRenamed({"hashes": "ha", "counts": "ca"}).join(bags.drop("size").withColumnRenamed("cid", "rep"), "rep")
     return written(joined.select("cid", "rep", "ha", "ca", "hashes", "counts").mapInArrow(_verify, "cid bigint, rep bigint"), "links")
 
 
 def joined_classes(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, component) of the classes of copies that verified links join."""
-    members = buckets(classes)
+    members, hit = buckets(classes)
     wanted = members.select("cid").distinct().join(classes.select("cid", "class_key", "doc"), "cid").withColumnRenamed("doc", "want")
-    bags = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("words")).join(wanted, F.col("doc").eqNullSafe(F.col("want"))).select("cid", "class_key", "words").mapInArrow(_bags, "cid bigint, hashes binary, counts binary")
+    bags = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("words")).join(wanted, F.col("doc").eqNullSafe(F.col("want"))).select("cid", "class_key", "words").mapInArrow(_bags, "cid bigint, hashes binary, counts binary, size bigint")
     bags = written(bags.dropDuplicates(["cid"]), "shingles")
     links = _verified(first_pairs(members), classes, bags)
-    for _ in range(SECOND_ROUNDS):
-        found = components(links, "cid", "rep")
-        more = _verified(second_pairs(members, found), classes, bags)
-        if not more.limit(1).count():
-            return found
-        links = found.select(F.col("node").alias("cid"), F.col("component").alias("rep")).union(more)
-    return components(links, "cid", "rep")
+    found = written(components(links, "cid", "rep"), "joined")
+    more = rest_links(written(divided(members, hit, found), "divided"), classes, bags)
+    if not more.limit(1).count():
+        return found
+    return components(found.select(F.col("node").alias("cid"), F.col("component").alias("rep")).union(more), "cid", "rep")
 
 
 def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

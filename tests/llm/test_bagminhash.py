@@ -90,6 +90,41 @@ def test_members_at_the_edge_of_a_family(make):
     assert sum(got[i] != want[i] for i in want) <= 3
 
 
+def brute_sets(rows):
+    """brute() for many texts without repeated shingles: shared shingles by a matrix product"""
+    sets = [set(bag(t)) for _, t in rows]
+    often = Counter(x for s in sets for x in s)
+    at = {x: k for k, x in enumerate(x for x in often if often[x] > 1)}
+    held = np.zeros((len(rows), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [at[x] for x in s if x in at]] = 1
+    both, size = held @ held.T, np.array([len(s) for s in sets])
+    root = np.array([i for i, _ in rows])
+    for a, b in zip(*np.nonzero(np.triu(both / (size[:, None] + size[None, :] - both) >= 0.8, 1))):
+        x, y = sorted((root[a], root[b]))
+        root[root == y] = x
+    return {i: int(r) for (i, _), r in zip(rows, root)}
+
+
+def test_pairs_in_a_large_family_of_template_texts(make):
+    """Texts of one template just under the threshold to each other, with pairs planted among them."""
+    base = words(5, 400)
+    rows = [(i, edited(base, 7, i)) for i in range(1900)]
+    rows += [(5000 + i, edited(rows[19 * i][1], 2, 9000 + i)) for i in range(100)]
+    got, want = {r.doc_id: r.class_id for r in bmh.near_duplicates(make(rows)).collect()}, brute_sets(rows)
+    assert 500 < len(set(want.values())) < 1950
+    assert got == want
+
+
+def test_blocks_of_a_family(make, monkeypatch):
+    """The same links come out where a bucket takes several blocks."""
+    base = words(6, 300)
+    rows = [(i, edited(base, 5, i)) for i in range(120)]
+    rows += [(500 + i, edited(rows[3 * i][1], 1, 900 + i)) for i in range(30)]
+    monkeypatch.setattr(bmh, "BLOCK", 16)
+    assert {r.doc_id: r.class_id for r in bmh.near_duplicates(make(rows)).collect()} == brute_sets(rows)
+
+
 def test_one_of_each_class_stays(make):
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g!"), (9, "other words stand in here now"), (3, "A b c d e f g!"), (None, "a b c d e f g"), (3, "again quite different words with that id")]
     got = sorted((r.doc_id, r.text) for r in bmh.deduplicate(make(rows)).collect())
