@@ -1,15 +1,16 @@
-"""License scans by conditional compression.
+"""License scans by wording, with conditional compression as a measure.
 
-Candidate blocks are runs of lines with a license word.  Each is compressed alone and with every
-template as a zstandard raw dictionary; templates are ranked by how much they shrink it, and the
-best are confirmed by exact wording differences.
+Candidate blocks are runs of lines with a license word, looked at with what stands around them.
+Wherever a stretch as long as a template holds nearly all of its words, inside a line or across
+lines, it is confirmed by exact wording differences; its gain is how much the template as a
+zstandard raw dictionary shrinks it.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
 
-#: Templates ranked best that are compared word by word, the least size reduction that counts,
-#: and the largest share of a template's words that may be missing.
-BEST, LEAST_GAIN, MOST_MISSING = 5, 0.25, 0.1
+#: The largest share of a template's words that may be missing, and that may be added.
+MOST_MISSING = 0.1
 REMEMBERED = 20_000
 #: A block longer than this is compared by its parts around license words.
 BLOCK_BYTES = 16 << 10
+#: Bytes looked at before and behind a block, for notices that go on in other lines.
+AROUND = 1024
 
 # Notices and opening terms of public licenses.
 TEMPLATES = [
@@ -52,7 +54,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 ]
-_ANCHOR = re.compile(rb"licen[cs]e|copyright|spdx|redistribut|permission (?:is|to)|public domain|all rights reserved|cc by|cc0|creative commons")
+_ANCHOR = re.compile(rb"licen[cs]e|copyright|spdx|redistribut|permission[\s*#/;]+(?:is|to)|public[\s*#/;]+domain|all[\s*#/;]+rights[\s*#/;]+reserved|cc[\s*#/;]+by|cc0|creative[\s*#/;]+commons")
 _WORD = re.compile(r"\w+(?:\.\w+)*")
 
 
@@ -70,47 +72,93 @@ class Scanner:
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **params) for _, t, _ in self.templates]
         self.known: OrderedDict[str, list[dict]] = OrderedDict()
 
-    def gains(self, block: str) -> list[tuple[float, int]]:
-        """(size reduction, template) in descending order."""
-        raw = block.lower().encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, block: str, gain: float, k: int) -> dict | None:
-        """Wording differences of the block's stretch that matches the template, or None if too
-        much is missing or a number or distinguishing word differs."""
-        name, _, want = self.templates[k]
-        have = _words(block)
+    def gain(self, stretch: str, k: int) -> float:
+        """Size reduction of a stretch by a template."""
+        raw = stretch.lower().encode()
+        return 1 - len(self.given[k].compress(raw)) / len(self.plain.compress(raw))
+
+    def confirm(self, have: list[str], k: int) -> tuple[int, int, int, int] | None:
+        """(missing, extra, first, end) of the words that match the template, or None if too much is
+        missing or a number differs."""
+        want = self.templates[k][2]
         found = [m for m in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
         if not found:
             return None
         missing = len(want) - sum(m.size for m in found)
-        extra = found[-1].b + found[-1].size - found[0].b - sum(m.size for m in found)
+        first, end = found[0].b, found[-1].b + found[-1].size
+        extra = end - first - sum(m.size for m in found)
         held = {i for m in found for i in range(m.a, m.a + m.size)}
         lost_numbers = any(any(ch.isdigit() for ch in want[i]) for i in range(len(want)) if i not in held)
         if missing > MOST_MISSING * len(want) or extra > MOST_MISSING * len(want) or lost_numbers:
             return None
-        return {"license": name, "gain": round(gain, 6), "missing": missing, "extra": extra}
-
-    def scan_block(self, block: str) -> list[dict]:
-        """Confirmed licenses of a block, each once with its fewest differences."""
-        if block in self.known:
-            self.known.move_to_end(block)
-            return self.known[block]
-        best: dict[str, dict] = {}
-        ranked = [x for x in self.gains(block) if x[0] >= LEAST_GAIN]
-        for gain, k in ranked[:BEST]:
-            got = self.confirm(block, gain, k)
-            if got and (got["license"] not in best or got["missing"] + got["extra"] < best[got["license"]]["missing"] + best[got["license"]]["extra"]):
-                best[got["license"]] = got
-        out = [best[x] for x in sorted(best)]
-        exact = [x for x in out if not x["missing"] + x["extra"]]
-        out = exact or out
-        self.known[block] = out
+        return missing, extra, first, end
+
+    def finds(self, text: str) -> list[dict]:
+        """All confirmed stretches (license, gain, missing, extra, from, to) of a text, in order; one
+        that another of fewer differences overlaps is left out."""
+        if text in self.known:
+            self.known.move_to_end(text)
+            return self.known[text]
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        have = [text[a:b].lower() for a, b in spans]
+        at: dict[str, list[int]] = {}
+        for i, x in enumerate(have):
+            at.setdefault(x, []).append(i)
+        got = []
+        for k, (name, _, want) in enumerate(self.templates):
+            spare = int(MOST_MISSING * len(want))
+            need = Counter(want)
+            if sum(min(n, len(at.get(x, ()))) for x, n in need.items()) < len(want) - spare:
+                continue
+            for i in sorted({i for x in set(want[: spare + 1]) for i in at.get(x, ())}):
+                window = have[i : i + len(want) + spare]
+                if sum((Counter(window) & need).values()) < len(want) - spare:
+                    continue
+                found = self.confirm(window, k)
+                if found:
+                    missing, extra, first, end = found
+                    a, b = spans[i + first][0], spans[i + end - 1][1]
+                    got.append({"license": name, "gain": round(self.gain(text[a:b], k), 6), "missing": missing, "extra": extra, "from": a, "to": b})
+        differs = lambda x: x["missing"] + x["extra"]
+        out = [x for x in got if not any(differs(y) < differs(x) and y["from"] < x["to"] and x["from"] < y["to"] for y in got)]
+        out.sort(key=lambda x: (x["from"], x["to"], x["license"]))
+        self.known[text] = out
         if len(self.known) > REMEMBERED:
             self.known.popitem(last=False)
         return out
 
+    def scan_block(self, block: str) -> list[dict]:
+        """Confirmed licenses of a block, each once with its fewest differences."""
+        return _each_once(self.finds(block))
+
+
+def _each_once(finds: list[dict]) -> list[dict]:
+    best: dict[str, dict] = {}
+    for x in sorted(finds, key=lambda x: (x["missing"] + x["extra"], -x["gain"])):
+        best.setdefault(x["license"], x)
+    return [best[x] for x in sorted(best)]
+
+
+def _edge(raw: bytes, at: int) -> int:
+    """The first start of a character at or behind ``at``."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _licenses(scanner: Scanner, raw: bytes, low: bytes, start: int, end: int) -> list[dict]:
+    """The block's licenses: stretches whose first license word it holds.  Spans are the block's,
+    widened to the stretch."""
+    left, right = _edge(raw, max(0, start - AROUND)), _edge(raw, min(len(raw), end + AROUND))
+    around = raw[left:right].decode("utf-8", "ignore")
+    mine = []
+    for x in scanner.finds(around):
+        a, b = (left + len(around[: x[c]].encode()) for c in ("from", "to"))
+        word = _ANCHOR.search(low, a, b)
+        if start <= (word.start() if word else a) < end:
+            mine.append({**{c: x[c] for c in ("license", "gain", "missing", "extra")}, "start": min(start, a), "end": max(end, b)})
+    return _each_once(mine)
+
 
 def _blocks(text: bytes, low: bytes):
     """(start, end) of runs of neighbouring lines that have a license word."""
@@ -137,7 +185,7 @@ _SPARK = "array<struct<license:string,start:bigint,end:bigint,gain:double,missin
 
 def scan(docs: DataFrame, *, text: str = "text", name: str = "licenses") -> DataFrame:
     """``docs`` with ``n_blocks`` (candidate blocks) and an array column ``licenses`` (license, byte
-    span of the block, size reduction, missing and extra words).
+    span of the block and of the notice, size reduction, missing and extra words).
 
     Columns of these names are replaced.  Null and empty texts have no blocks.  Blocks stand in
     text order; equal blocks in one text are each listed.
@@ -156,8 +204,7 @@ def scan(docs: DataFrame, *, text: str = "text", name: str = "licenses") -> Data
                 got, n = [], 0
                 for start, end in _blocks(raw, low):
                     n += 1
-                    block = raw[start:end].decode("utf-8", "ignore")
-                    got += [{**x, "start": start, "end": end} for x in scanner.scan_block(block)]
+                    got += _licenses(scanner, raw, low, start, end)
                 found.append(got)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(np.array(counts, np.int64)), pa.array(found, pa.list_(_FOUND))], [*names, "n_blocks", name])

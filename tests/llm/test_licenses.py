@@ -29,5 +29,25 @@ def test_scan_gives_spans(make):
     assert got[2].licenses == [] and got[3].n_blocks == 0
 
 
+FILLER = "the river runs past old mills and quiet gardens towards the sea "
+
+
+@pytest.mark.parametrize("text,names", [
+    ("This file is part of the example project, which is\nreleased under the MIT License.", {"MIT"}),
+    (FILLER * 3 + "Released under the MIT License. " + FILLER * 3, {"MIT"}),
+    (FILLER * 400 + "Licensed under CC BY 4.0. " + FILLER * 400, {"CC-BY-4.0"}),
+    ("Copyright 2024 Example Corp. All rights reserved.", {"Proprietary"}),
+    ("Copyright (c) 2020 the project's contributors.\nReleased under the MIT License.", {"MIT"}),
+    (" * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files (the \"Software\"), to deal in the\n * Software without restriction", {"MIT"}),
+    ("# All rights\n# reserved.", {"Proprietary"}),
+    ("\n".join(t for _, t in licenses.TEMPLATES), {n for n, _ in licenses.TEMPLATES}),
+    ("Licensed under the MIT License.\nThis Source Code Form is subject to the terms of Mozilla Public License, v. 2.0.", {"MIT", "MPL-2.0"}),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0"}),
+])
+def test_notices_inside_and_across_lines(make, text, names):
+    got = licenses.scan(make([(1, text)])).collect()[0].licenses
+    assert {x.license for x in got} == names and len(got) == len(names)
+
+
 def test_odd_rows(odd, none):
     assert licenses.digest(odd).count() == odd.count() and licenses.digest(none).collect() == []
