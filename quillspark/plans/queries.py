@@ -509,10 +509,14 @@ def quote_coverage(spark, sf_dir):
 
 @query()
 def quote_correct(spark, sf_dir):
-    """Benchmark items quoted with a letter changed, corrected from the documents' sentences."""
+    """Benchmark items quoted with a letter changed, corrected from the documents' sentences: every
+    sentence that can stand as a quotation, in curly marks where it holds a straight one."""
     known = verify.choices(_sentences(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("quote", "text"), "doc_id")
-    s = _sentences(table(spark, sf_dir, "benchmark"), "item_id").where(F.length("quote").between(20, 180) & ~F.contains("quote", F.lit('"'))).where("place <= 2")
-    said = s.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "quote"))), lambda x: F.concat(F.lit('"'), F.translate(x.quote, "x", "y"), F.lit('"'))), " ").alias("text"))
+    s = _sentences(table(spark, sf_dir, "benchmark"), "item_id")
+    straight, curly = F.contains("quote", F.lit('"')), F.contains("quote", F.lit("”"))
+    s = s.where(F.length("quote").between(4, 200) & ~F.contains("quote", F.lit("\n")) & ~(straight & curly))
+    s = s.withColumns({"a": F.when(straight, "“").otherwise('"'), "z": F.when(straight, "”").otherwise('"')})
+    said = s.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "quote", "a", "z"))), lambda x: F.concat(x.a, F.translate(x.quote, "x", "y"), x.z)), " ").alias("text"))
     return verify.verify_and_correct(said, known, "item_id")[0]
 
 
