@@ -507,6 +507,13 @@ def quote_coverage(spark, sf_dir):
     return verify.verified(verify.best_matches(_sentences(table(spark, sf_dir, "benchmark"), "item_id"), known, threshold=100.0), "item_id", 100.0)
 
 
+@query(f"""SELECT item_id, checked, accepted, non_exact, round(accepted / greatest(1, checked), 3) AS coverage FROM (SELECT item_id, count(*) AS checked, count(*) FILTER (score >= 88) AS accepted, count(*) FILTER (score >= 88 AND NOT exact) AS non_exact FROM ({oracle_sql()['quote_verify_lev']}) GROUP BY item_id)""")
+def quote_coverage_lev(spark, sf_dir):
+    """Coverage at the operator's threshold, with fuzzy matches."""
+    known = verify.choices(_sentences(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("quote", "text"), "doc_id")
+    return verify.verified(verify.best_matches(_sentences(table(spark, sf_dir, "benchmark"), "item_id"), known), "item_id")
+
+
 @query()
 def quote_correct(spark, sf_dir):
     """Benchmark items quoted with a letter changed, corrected from the documents' sentences: every

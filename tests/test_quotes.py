@@ -59,6 +59,17 @@ def small(spark, tmp_path_factory):
     return path, said, items
 
 
+def test_coverage_counts_fuzzy_matches(spark, small):
+    path, said, items = small
+    known = {s[:-1]: i for i, s in enumerate(said)}
+    want = {}
+    for i, x in enumerate(items):
+        hits = [best(s[:-1], known, lev)[0] for s in x]
+        want[i] = (len(x), sum(h >= 88 for h in hits), sum(88 <= h < 100 for h in hits))
+    got = {r.item_id: (r.checked, r.accepted, r.non_exact) for r in Q.queries()["quote_coverage_lev"](spark, path).collect()}
+    assert got == want and sum(w[2] for w in want.values())
+
+
 def test_all_quotable_sentences_are_corrected(spark, small):
     path, said, items = small
     known = {s[:-1]: i for i, s in enumerate(said)}
