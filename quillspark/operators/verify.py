@@ -94,21 +94,76 @@ def _probes(forms: DataFrame, share: float) -> DataFrame:
     return rows.select("length", "k", F.substring("_c", F.col("at") + 1, F.col("size")).alias("piece"), "_c")
 
 
+def _piece_pairs(forms: DataFrame, known: DataFrame, share: float) -> DataFrame:
+    """Pairs of Levenshtein likeness ``share`` or more, and others.  A known line is cut into one
+    piece more than the edits allowed, so one piece stands unchanged, and hardly moved, in any form
+    that is like it: forms and lines are equi-joined on length, piece number and piece."""
+    return _probes(forms, share).join(_segments(known, share), ["length", "k", "piece"]).select("_c", "canon").distinct()
+
+
+def _within(a: Column, b: Column, share: float) -> Column:
+    """Whether the edits are few enough for matching characters of ``share`` of both lengths: what
+    doesn't match is inserted or deleted, and the Levenshtein distance is no more than that."""
+    most = F.floor((1 - share) * (F.length(a) + F.length(b)) + 1e-6).cast("int")
+    return F.call_function("levenshtein", a, b, most) >= 0
+
+
+_COUNTED = "aeiounthrslcdmgbpky"
+
+
+def _counts(text: str, side: str) -> dict[str, Column]:
+    n = F.length(text)
+    return {f"_{side}_{x}": n - F.length(F.translate(text, x, "")) for x in _COUNTED}
+
+
+def _by_length(forms: DataFrame, known: DataFrame, form: str, line: str, share: float) -> DataFrame:
+    """forms and known lines whose lengths and letter counts allow matching characters of ``share``
+    of both: what doesn't match is inserted or deleted, and that changes one letter's count."""
+    n, least = F.length(form), share / (2 - share)
+    rows = forms.withColumns(_counts(form, "f")).withColumn("_length", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))))
+    lines = known.withColumns(_counts(line, "l")).withColumn("_length", F.length(line))
+    apart = sum((F.abs(F.col(f"_f_{x}") - F.col(f"_l_{x}")) for x in _COUNTED), F.lit(0))
+    met = rows.join(lines, "_length").where(apart <= (1 - share) * (F.length(form) + F.length(line)) + 1e-6)
+    return met.select(*forms.columns, *known.columns)
+
+
+def _sequence_pairs(forms: DataFrame, known: DataFrame, share: float) -> DataFrame:
+    """Pairs of sequence-matcher ratio ``share`` or more, and others."""
+    return _by_length(forms, known.select("canon"), "_c", "canon", share).where(_within(F.col("_c"), F.col("canon"), share)).select("_c", "canon")
+
+
+def _token_pairs(forms: DataFrame, known: DataFrame, share: float) -> DataFrame:
+    """Pairs of token-set likeness ``share`` or more, and others: those whose shared words are
+    nearly all of one side, found by words, and those whose sorted words are alike as a whole."""
+    a = forms.withColumn("_a", F.array_distinct(F.split("_c", " "))).withColumn("_u", F.array_join("_a", " "))
+    b = known.select("canon").withColumn("_b", F.array_distinct(F.split("canon", " "))).withColumn("_v", F.array_join("_b", " "))
+    met = a.select("_c", F.length("_u").alias("_m"), F.explode("_a").alias("word")).join(b.select("canon", F.length("_v").alias("_n"), F.explode("_b").alias("word")), "word")
+    shared = met.groupBy("_c", "canon").agg((F.sum(F.length("word")) + F.count("*") - 1).alias("both"), F.least(F.min("_m"), F.min("_n")).alias("shorter"))
+    part = shared.where(2 * F.col("both") >= (share - 1e-9) * (F.col("both") + F.col("shorter"))).select("_c", "canon")
+    both = F.array_sort(F.array_intersect("_a", "_b"))
+    side = lambda own, other: F.array_join(F.concat(both, F.array_sort(F.array_except(own, other))), " ")
+    whole = _by_length(a, b, "_u", "_v", share).select("_c", "canon", side("_a", "_b").alias("one"), side("_b", "_a").alias("two"))
+    return part.union(whole.where(_within(F.col("one"), F.col("two"), share)).select("_c", "canon")).distinct()
+
+
+def _pairs(score):
+    return {sequence_score: _sequence_pairs, token_set_score: _token_pairs}.get(score, _piece_pairs)
+
+
 def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, threshold: float = THRESHOLD) -> DataFrame:
     """asked (…, quote) with score, n, text and exact of the best known line (canon, n, text).
 
-    Equal canonical forms are found by an equi-join.  For what is left a known line is cut into
-    one piece more than the edits that ``threshold`` per cent likeness allows, so one piece stands
-    unchanged, and hardly moved, in any form that is like it: forms and lines are equi-joined on
-    length, piece number and piece, and only such pairs are scored.  Other scorers see the same
-    pairs.  Quotes without a line of ``threshold`` or more have a null line and score 0."""
+    Equal canonical forms are found by an equi-join.  For what is left, each scorer has candidate
+    pairs of its own that hold all of ``threshold`` or more; only such pairs are scored.  A scorer
+    that isn't of this module sees the Levenshtein pairs.  Quotes without a line of ``threshold``
+    or more have a null line and score 0."""
     rows = asked.withColumn("_c", T.canon("quote"))
     exact = rows.join(known.withColumnRenamed("canon", "_k"), F.col("_c") == F.col("_k"), "left").drop("_k")
     done = exact.where("n is not null").withColumns({"score": F.lit(100.0), "exact": F.lit(True)})
     open_ = exact.where("n is null").drop("n", "text")
     share = threshold / 100
     forms = open_.select("_c").where("_c <> ''").distinct()
-    pairs = _probes(forms, share).join(_segments(known, share), ["length", "k", "piece"]).select("_c", "canon").distinct()
+    pairs = _pairs(score)(forms, known, share)
     scored = pairs.withColumn("score", score(F.col("_c"), F.col("canon"))).where(F.col("score") >= threshold).join(known, "canon")
     best = scored.groupBy("_c").agg(F.max(F.struct("score", (-F.col("n")).alias("m"), "text")).alias("b")).select("_c", "b.score", (-F.col("b.m")).alias("n"), "b.text")
     rest = open_.join(best, "_c", "left").withColumn("exact", F.lit(False)).withColumn("score", F.coalesce("score", F.lit(0.0)))

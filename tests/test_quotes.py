@@ -46,6 +46,21 @@ def best(quote, known, score):
     return (found[0], -found[1]) if found[0] >= 88 else (0.0, None)
 
 
+LINES = {sentence(RNG.randint(1, 9)): n for n in range(150)}
+ASKED = [altered(RNG.choice(list(LINES))) for _ in range(150)] + ["x", "unknown words"]
+
+
+@pytest.mark.parametrize("column,plain", [
+    (verify.levenshtein_score, lev), (verify.sequence_score, lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() * 100), (verify.token_set_score, verify._token_set),
+])
+def test_scorers_find_what_brute_force_finds(spark, column, plain):
+    known = verify.choices(spark.createDataFrame([(n, t) for t, n in LINES.items()], "n bigint, text string"))
+    asked = spark.createDataFrame(list(enumerate(ASKED)), "i bigint, quote string")
+    got = {r.i: (round(r.score, 6), r.n) for r in verify.best_matches(asked, known, column).collect()}
+    want = {i: best(q, LINES, plain) for i, q in enumerate(ASKED)}
+    assert got == {i: (round(s, 6), n) for i, (s, n) in want.items()}
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     """Items of five to nine sentences, short and long ones among them, some as documents have them
