@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.session import prepared
+
 _written: list[str] = []
 
 
@@ -31,7 +33,10 @@ def scratch_base(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_base(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; what is written there goes at the end of the session."""
+    path = f"{scratch_base(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +45,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out
@@ -54,6 +58,37 @@ def dropped(df: DataFrame) -> None:
         _written.remove(path)
 
 
+class Scratch:
+    """Deletes at its end the tables written meanwhile, but those that were kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._quill_path)
+        return df
+
+    def __enter__(self) -> Scratch:
+        self.before = set(_written)
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        for path in [] if failed else [p for p in _written if p not in self.before | self.kept]:
+            delete(self.spark, path)
+            _written.remove(path)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened where they are among ``columns`` (letter case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -80,4 +115,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")

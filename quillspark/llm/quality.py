@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_ROWS, mod: i
     """Fit on at most ``limit`` labelled documents outside the held-out fifth; only their sparse
     features come to the driver, some kilobytes each."""
     sample = labelled_sample(docs, labels, "quality", limit, mod, held_out)
-    rows = sorted(sample.mapInArrow(_collect, "doc_id bigint, label int, features binary, values binary").limit(2 * limit).collect(), key=lambda r: (r.doc_id, bytes(r.features)))
+    rows = sorted(sample.mapInArrow(_collect, "doc_id bigint, label int, features binary, values binary").collect(), key=lambda r: (r.doc_id, bytes(r.features)))
     if not rows:
         return fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
     index = [np.frombuffer(r.features, np.uint16).astype(np.int64) for r in rows]

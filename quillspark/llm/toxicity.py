@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: fixed lexicons and patterns, and word and word-prefix patterns mined
-from labelled training documents, each with a low and a high count.  A generative label model
-estimates every voter's rates for toxic and clean texts by expectation maximisation, and from the
-voters' conditional correlations how much each repeats what others say.  Its posteriors train a
-linear classifier, which scores all texts.
+Many voters look at a text: fixed lexicons, and word and word-prefix patterns mined from labelled
+training documents, each with a low and a high count.  A voter says toxic or clean, or abstains.
+A generative label model over texts with and without labels estimates by expectation maximisation
+how often each voter speaks on toxic and on clean texts, and from the voters' conditional
+correlations how much each repeats what others say.  A text's posterior comes from its voters
+alone.  Posteriors train a linear classifier, which scores all texts.  Labels serve to mine
+patterns, to calibrate the voters' rates and to calibrate the classifier's scores.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
-from quillspark.llm.common import crc_mod
-from quillspark.llm.training import labelled_sample
+from quillspark.llm.common import Scratch, crc_mod, fresh, written
+from quillspark.llm.training import mixed_sample
 
-#: At most so many labelled documents are mined and fitted on, and so many patterns kept.
-TRAIN_ROWS = 6000
+#: At most so many labelled and other documents are fitted on, and so many patterns kept.
+TRAIN_ROWS, OTHER_ROWS = 6000, 4000
 PATTERNS = 384
+#: What a document without a label weighs in the voters' rates.
+OTHER_WEIGHT = 0.25
+#: Log-likelihood that a mined pattern gains at least: among 100,000 candidates chance rarely does.
+LEAST_GAIN = 12
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 #: Counts from which a pattern's voters say toxic.
@@ -80,7 +86,7 @@ def mine(sample: DataFrame, limit: int = PATTERNS) -> list[int]:
         base = F.lit(n1 / (n1 + n0))
         return F.when(rate > 2 * base, x * F.log(rate / base) + z * F.log((1 - rate) / (1 - base))).otherwise(0.0)
 
-    best = counts.where("toxic >= 3").withColumn("gain", F.greatest(gain("toxic", "clean"), gain("toxic_high", "clean_high"))).where("gain > 4")
+    best = counts.where("toxic >= 3").withColumn("gain", F.greatest(gain("toxic", "clean"), gain("toxic_high", "clean_high"))).where(F.col("gain") > LEAST_GAIN)
     return [r["hash"] for r in best.orderBy(F.desc("gain"), "hash").limit(limit).select("hash").collect()]
 
 
@@ -123,40 +129,70 @@ def voters(patterns: list[int]) -> Voters:
 
 
 def votes(counts: np.ndarray) -> np.ndarray:
-    """Low and high voters of each column say toxic (1) or abstain (0); the last voter says clean
-    (1) where all others abstain."""
+    """Low and high voters of each column say toxic (1) or abstain (nan); the last voter says clean
+    (0) where all others abstain, else it abstains."""
     say = np.concatenate([counts >= LOW, counts >= HIGH], axis=1)
-    return np.concatenate([say, ~say.any(axis=1, keepdims=True)], axis=1).astype(float)
+    out = np.full((len(say), say.shape[1] + 1), np.nan, np.float32)
+    out[:, :-1][say] = 1
+    out[~say.any(axis=1), -1] = 0
+    return out
 
 
-def label_model(say: np.ndarray, gold: np.ndarray, *, rounds: int = 8, trust: float = 0.97) -> np.ndarray:
-    """Posterior toxicity of each row.
+def label_model(say: np.ndarray, known: np.ndarray, *, rounds: int = 6, other: float = OTHER_WEIGHT) -> np.ndarray:
+    """Posterior toxicity of each row from its votes (1 toxic, 0 clean, nan abstains) alone.
 
-    Every voter has a rate for toxic and one for clean rows; a row's log odds sum over voters,
-    each divided by one plus its summed squared correlation with the others given the class, so
-    that a hundred prefixes of one word speak once.  ``gold`` (0, 1 or nan) starts the model and
-    counts as one more voter of accuracy ``trust``.
+    Each voter has rates of saying toxic and of saying clean for either class.  A row's log odds
+    sum the log ratios of what its voters say; abstaining adds nothing.  A voter's part is divided
+    by one plus its summed squared correlation with the others given the class, so that a hundred
+    prefixes of one word speak once.  ``known`` (0, 1 or nan) calibrates the rates: rows with a
+    known class count for it, others for their posteriors with weight ``other``; without known
+    rows the model starts from a share of a tenth.
     """
-    known = ~np.isnan(gold)
-    share = np.clip(np.nanmean(gold) if known.any() else 0.1, 0.01, 0.99)
-    post = np.where(known, np.nan_to_num(gold) * (2 * trust - 1) + 1 - trust, share)
-    spoken = np.log(trust / (1 - trust)) * np.where(known, 2 * np.nan_to_num(gold) - 1, 0)
-    for _ in range(rounds):
-        rates = [((wt @ say) + 0.5) / (wt.sum() + 1) for wt in (post, 1 - post)]
-        weight = np.zeros(say.shape[1])
-        for rate, wt in zip(rates, (post, 1 - post)):
-            centred = (say - rate) * np.sqrt(wt)[:, None]
-            cov = centred.T @ centred / wt.sum()
-            sd = np.sqrt(np.diag(cov)) + 1e-9
-            weight += 0.5 * ((cov / np.outer(sd, sd)) ** 2).sum(axis=1)
-        weight = 1 / np.maximum(weight, 1)
-        p1, p0 = (np.clip(r, 1e-4, 1 - 1e-4) for r in rates)
-        z = np.log(share / (1 - share)) + say @ (weight * np.log(p1 / p0)) + (1 - say) @ (weight * np.log((1 - p1) / (1 - p0))) + spoken
+    given = ~np.isnan(known)
+    klass = np.where(given, np.nan_to_num(known), 0).astype(np.float32)
+    row_weight = np.where(given, 1.0, other).astype(np.float32)
+    share = float(np.clip(klass[given].mean(), 0.01, 0.99)) if given.any() else 0.1
+    said = np.nan_to_num(2 * say - 1).astype(np.float32)  # toxic 1, clean -1
+    toxic = np.maximum(said, 0)
+    post = np.full(len(say), share, np.float32)
+    if not given.any():  # the more voters say toxic, the likelier at first
+        post = np.clip(toxic.sum(axis=1) / np.maximum(np.abs(said).sum(axis=1), 1), 0.02, 0.98)
+    for k in range(rounds):
+        p = np.where(given, klass, post)
+        weight = row_weight * given if k == 0 and given.any() else row_weight  # the first rates are those of known rows
+        z = np.full(len(say), np.log(share / (1 - share)))
+        repeats, rates = np.zeros(say.shape[1]), []
+        for part in (p, 1 - p):
+            wt = (part * weight).astype(np.float32)
+            total = float(wt.sum()) + 1e-9
+            sums = wt @ said, wt @ toxic
+            cov = (said * wt[:, None]).T @ said / total - np.outer(sums[0], sums[0]) / total**2
+            sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+            repeats += 0.5 * ((cov / np.outer(sd, sd)) ** 2).sum(axis=1)
+            rates.append([np.clip((n + 0.5) / (total + 1), 1e-4, 1 - 1e-4) for n in (sums[1], sums[1] - sums[0])])
+        own = 1 / np.maximum(repeats, 1)
+        for_toxic, for_clean = (own * np.log(a / b) for a, b in zip(*rates))
+        z += toxic @ (for_toxic + for_clean) - said @ for_clean
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        share = np.clip(post.mean(), 0.01, 0.99)
     return post
 
 
+def calibrated(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and shift by which log odds ``z`` fit labels: logistic, on smoothed targets, drawn
+    towards slope 1 and shift 0, by damped Newton steps."""
+    n1, n0 = y.sum(), (1 - y).sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    a, b = 1.0, 0.0
+    for _ in range(steps if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        w = p * (1 - p)
+        slope = np.array([((p - target) * z).sum() + 5 * (a - 1), (p - target).sum() + 0.1 * b])
+        step = np.linalg.solve(np.array([[(w * z * z).sum() + 5, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]]), slope)
+        step *= min(1.0, 2 / max(np.abs(step).max(), 1e-9))
+        a, b = a - step[0], b - step[1]
+    return float(a), float(b)
+
+
 def _inputs(counts: np.ndarray) -> np.ndarray:
     """Of each column whether it is there, whether often, and its capped count."""
     return np.concatenate([counts >= LOW, counts >= HIGH, np.minimum(counts, 2 * HIGH) / (2 * HIGH)], axis=1).astype(np.float32)
@@ -188,31 +224,41 @@ def fit_linear(x: np.ndarray, target: np.ndarray, *, rounds: int = 400, rate: fl
     return float(theta[0]), theta[1:].astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_ROWS, mod: int = 4, held_out: int = 2) -> Classifier:
-    """Mine voters, fit the label model and the classifier on at most ``limit`` labelled documents.
+def fit(who: Voters, counts: np.ndarray, known: np.ndarray) -> Classifier:
+    """The classifier trained on the label model's posteriors and calibrated on known classes."""
+    post = label_model(votes(counts), known)
+    x, given = _inputs(counts), ~np.isnan(known)
+    bias, weights = fit_linear(x, post)
+    slope, shift = calibrated(bias + x[given] @ weights.astype(float), known[given])
+    return Classifier(who, slope * bias + shift, (slope * weights).astype(np.float32))
 
-    Labels of ids whose crc32 modulo ``mod`` is ``held_out`` are never read.  Without labels only
-    the fixed lexicons vote.
-    """
-    sample = labelled_sample(docs, labels, "toxic", limit, mod, held_out)
-    who = voters(mine(sample))
-    spread = docs.sparkSession.sparkContext.broadcast(who)
 
-    def collect(batches):
-        for batch in batches:
-            for w in tv.pieces(batch.column(1)):
-                counts = np.minimum(spread.value.counts(w), 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.rows), batch.column(2).slice(w.first, w.rows), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "label", "counts"])
+def train(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_ROWS, others: int = OTHER_ROWS, mod: int = 4, held_out: int = 2) -> Classifier:
+    """Mine voters on at most ``limit`` labelled documents; fit the label model and the classifier on
+    these and on at most ``others`` documents without a label.
 
-    rows = sorted(sample.mapInArrow(collect, "doc_id bigint, label int, counts binary").limit(2 * limit).collect(), key=lambda r: (r.doc_id, bytes(r.counts)))
+    Labels of ids whose crc32 modulo ``mod`` is ``held_out`` are never read.  Without labels only
+    the fixed lexicons vote.  Of documents that repeat an id one enters, chosen by hash.
+    """
+    with Scratch(docs.sparkSession):
+        sample = written(mixed_sample(docs, labels, "toxic", limit, others, mod, held_out), "sample")
+        who = voters(mine(sample.where("label is not null")))
+        spread = docs.sparkSession.sparkContext.broadcast(who)
+
+        def collect(batches):
+            for batch in batches:
+                for w in tv.pieces(batch.column(1)):
+                    counts = np.minimum(spread.value.counts(w), 255).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.rows), batch.column(2).slice(w.first, w.rows), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "label", "counts"])
+
+        rows = sorted(sample.mapInArrow(collect, "doc_id bigint, label int, counts binary").collect(), key=lambda r: r.doc_id)
     width = who.mined + len(LEXICONS)
-    counts = np.array([np.frombuffer(r.counts, np.uint8) for r in rows], np.int32).reshape(-1, width)
-    if not len(rows):
+    known = np.array([np.nan if r.label is None else r.label for r in rows], float)
+    if np.isnan(known).all():
         weights = np.zeros(3 * width, np.float32)
         weights[:width] = 3.0
         return Classifier(who, -3.0, weights)
-    post = label_model(votes(counts), np.array([r.label for r in rows], float))
-    return Classifier(who, *fit_linear(_inputs(counts), post))
+    return fit(who, np.array([np.frombuffer(r.counts, np.uint8) for r in rows], np.int32).reshape(-1, width), known)
 
 
 def score(docs: DataFrame, classifier: Classifier, *, text: str = "text", name: str = "toxicity_score") -> DataFrame:
@@ -231,8 +277,10 @@ def score(docs: DataFrame, classifier: Classifier, *, text: str = "text", name:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents scoring below ``threshold``; columns are those of ``docs``."""
-    return score(docs, train(docs, labels), name="_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
+    """Documents scoring below ``threshold``; columns are those of ``docs``, whatever their names.
+    Null texts score as empty ones; rows that repeat an id are scored each by its own text."""
+    (name,) = fresh(docs.columns, "toxicity")
+    return score(docs, train(docs, labels), name=name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -6,6 +7,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from quillspark.llm import quality, toxicity
+from quillspark.llm.training import mixed_sample
 
 from .conftest import words
 
@@ -45,8 +47,9 @@ def test_toxicity_on_held_out(corpus):
     got = toxicity.assess(docs, labels).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert accuracy(got, labels, "toxic") > 0.97
-    kept = toxicity.reject_toxic(docs.withColumn("_toxicity", F.lit("x")).drop("_toxicity"), labels)
-    assert 460 <= kept.count() <= 490 and kept.columns == docs.columns
+    kept = toxicity.reject_toxic(docs.withColumns({"_toxicity": F.lit("x"), "toxicity": F.lit("y"), "label": F.lit("z")}), labels)
+    assert 460 <= kept.count() <= 490 and kept.columns == [*docs.columns, "_toxicity", "toxicity", "label"]
+    assert {(r._toxicity, r.toxicity, r.label) for r in kept.collect()} == {("x", "y", "z")}
 
 
 def test_held_out_labels_change_nothing(corpus):
@@ -73,6 +76,59 @@ def test_label_model_recovers_accuracies_without_labels():
     assert ((toxicity.label_model(say, gold) > 0.5) == y).mean() > 0.9
 
 
+def plain_posteriors(say, known, rounds, other):
+    """the label model by loops over rows and voters"""
+    n, v = say.shape
+    share = sum(k for k in known if k == k) / sum(k == k for k in known)
+    post = [share] * n
+    for turn in range(rounds):
+        log_odds, repeats = [math.log(share / (1 - share))] * n, [0.0] * v
+        rates = []
+        for c in (1, 0):
+            wt = []
+            for i in range(n):
+                p = known[i] if known[i] == known[i] else post[i]
+                p = p if c else 1 - p
+                wt.append(p * (1 if known[i] == known[i] else 0 if turn == 0 else other))
+            total = sum(wt)
+            signed = [[0 if x != x else 2 * x - 1 for x in row] for row in say]
+            mean = [sum(wt[i] * signed[i][j] for i in range(n)) / total for j in range(v)]
+            cov = [[sum(wt[i] * signed[i][j] * signed[i][k] for i in range(n)) / total - mean[j] * mean[k] for k in range(v)] for j in range(v)]
+            for j in range(v):
+                repeats[j] += 0.5 * sum(cov[j][k] ** 2 / (cov[j][j] * cov[k][k]) for k in range(v))
+            rates.append([[min(max((sum(w for w, row in zip(wt, say) if row[j] == s) + 0.5) / (total + 1), 1e-4), 1 - 1e-4) for j in range(v)] for s in (1, 0)])
+        for i in range(n):
+            for j in range(v):
+                for s, of_toxic, of_clean in zip((1, 0), *rates):
+                    if say[i][j] == s:
+                        log_odds[i] += math.log(of_toxic[j] / of_clean[j]) / max(repeats[j], 1)
+        post = [1 / (1 + math.exp(-z)) for z in log_odds]
+    return post
+
+
+def test_posteriors_against_loops():
+    rng = np.random.default_rng(5)
+    y = rng.random(60) < 0.4
+    say = np.where(rng.random((60, 5)) < 0.3, np.nan, (rng.random((60, 5)) < np.where(y, 0.8, 0.2)[:, None]).astype(float))
+    known = np.where(np.arange(60) < 25, y, np.nan)
+    assert np.allclose(toxicity.label_model(say, known, rounds=4, other=0.25), plain_posteriors(say, known, 4, 0.25), atol=2e-4)
+
+
+def test_votes_are_toxic_clean_or_none():
+    got = toxicity.votes(np.array([[0, 0], [1, 0], [0, 5]]))
+    assert np.array_equal(got, np.array([[np.nan] * 4 + [0], [1, *[np.nan] * 4], [np.nan, 1, np.nan, 1, np.nan]]), equal_nan=True)
+
+
+def test_samples_take_one_text_of_an_id_and_other_documents(make, spark):
+    docs = make([(i, f"text {i}") for i in range(300)] + [(7, f"again {k}") for k in range(500)] + [(None, "a null id")])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    held = [i for i in range(120) if zlib.crc32(str(i).encode()) % 4 == 2]
+    got = mixed_sample(docs, labels, "toxic", 50, 60, 4, 2).collect()
+    assert len(got) == len({r.doc_id for r in got}) and sum(r.label is not None for r in got) == 50 and 40 <= sum(r.label is None for r in got) <= 60
+    assert not [r for r in got if r.label is not None and r.doc_id in held]
+    assert sorted(got) == sorted(mixed_sample(docs.repartition(3), labels, "toxic", 50, 60, 4, 2).collect())
+
+
 @pytest.mark.parametrize("module,column", [(quality, "quality"), (toxicity, "toxic")])
 def test_odd_rows(odd, none, spark, module, column):
     no_labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
