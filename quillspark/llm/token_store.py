@@ -3,13 +3,17 @@
 Texts are encoded with a public tokenizer file and an end id.  A rolling hash over 16 ids cuts
 each id stream into chunks where the content says so, so copies and shared passages give equal
 chunks.  The store holds each distinct chunk once under its hash; a document's recipe lists its
-chunk hashes, and Merkle roots over recipes and documents verify what is read back.
+chunk hashes, and Merkle roots over chunks, documents and parts verify what is read back.
 
 Layout under the store's path:
   chunks/    Parquet (hash, data, uid, doc_id, seq, n, after): one row for each use of a chunk; data, a
              zstd frame of little-endian unsigned 16- or 32-bit ids, is in one of a hash's rows only
   recipes/   Parquet in ascending id order (part, doc_id, start_in_part, n_tokens, root, chunks)
-  manifest/  Parquet (part, start, n_docs, n_tokens, root): first id number and Merkle root of each part
+  manifest/  Parquet (part, start, n_docs, n_tokens, root, store_root): first id number, counts and Merkle
+             root of each part, and in every row the root over all parts
+
+The join of chunk uses with stored chunks is by hash; where a chunk is in a large share of all
+documents it relies on adaptive execution to split the use side, whose rows are some 60 bytes.
 """
 
 from __future__ import annotations
@@ -58,7 +62,8 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Encodes whole texts word by word; a word seen before costs a look-up.
 
-    Maps pieces to their ids as bytes; one that is a single pre-token goes straight to the
+    As in a plain call of the tokenizer, the string of an added token in a text, such as
+    ``<|endoftext|>``, is that token's id; a text that holds one is encoded as it stands.  Maps pieces to their ids as bytes; one that is a single pre-token goes straight to the
     tokenizer's model.  The newest pieces and the generation before them are kept.
     """
 
@@ -67,7 +72,7 @@ class Encoder(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
@@ -95,7 +100,7 @@ class Encoder(dict):
         with characters that the cutting isn't sure of is encoded as it stands."""
         out = []
         for t in texts:
-            if (not t.isascii() or "'" in t) and _ODD.search(t):
+            if (not t.isascii() or "'" in t) and _ODD.search(t) or any(x in t for x in self.added):
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind))
             else:
                 out.append(np.frombuffer(b"".join(map(self.__getitem__, _SPLIT.split(t))), self.kind))
@@ -236,16 +241,39 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id",
     recipes = staged.drop("data").groupBy("uid", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "hash", "n", "after"))).alias("chunks"))
     recipes = recipes.repartitionByRange(n, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
     recipes = recipes.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks")
-    chunk_type = "array<struct<seq:int,hash:binary,n:bigint,after:bigint>>"
-    recipes.mapInArrow(_number, f"part int, doc_id bigint, start_in_part bigint, n_tokens bigint, root binary, chunks {chunk_type}").write.parquet(f"{path}/recipes")
-    named = spark.read.parquet(f"{path}/recipes").select("part", "n_tokens", "root", "start_in_part")
+    recipes.mapInArrow(_number, _RECIPE).write.parquet(f"{path}/recipes")
+    starts, at, parts = [], 0, _parts(spark, path)
+    top = merkle([p[3] for p in parts])
+    for part, n_docs, n_tokens, root in parts:
+        starts.append((part, at, n_docs, n_tokens, root, top))
+        at += n_tokens
+    spark.createDataFrame(starts, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+_MANIFEST = "part int, start bigint, n_docs bigint, n_tokens bigint, root binary, store_root binary"
+_RECIPE = "part int, doc_id bigint, start_in_part bigint, n_tokens bigint, root binary, chunks array<struct<seq:int,hash:binary,n:bigint,after:bigint>>"
+
+
+def _parts(spark: SparkSession, path: str) -> list[tuple[int, int, int, bytes]]:
+    """(part, documents, tokens, root) of the recipes as they lie there, one row for each part."""
+    named = spark.read.schema(_RECIPE).parquet(f"{path}/recipes").select("part", "n_tokens", "root", "start_in_part")
     parts = named.groupBy("part").applyInArrow(_whole, "part int, n_docs bigint, n_tokens bigint, root binary")
-    totals = sorted(parts.collect(), key=lambda r: r.part)  # one row for each part
-    starts, at = [], 0
-    for r in totals:
-        starts.append((r.part, at, r.n_docs, r.n_tokens, bytes(r.root)))
+    return sorted((r.part, r.n_docs, r.n_tokens, bytes(r.root)) for r in parts.collect())
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Fails unless the manifest agrees with itself and every part of the recipes, its documents,
+    tokens and root, is as the manifest says: a lost or altered file of either is named."""
+    rows = sorted(spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").collect(), key=lambda r: r.part)  # one row for each part
+    top, at = merkle([bytes(r.root) for r in rows]), 0
+    for r in rows:
+        if bytes(r.store_root) != top or r.start != at:
+            raise ValueError(f"the manifest of {path} is unsound")
         at += r.n_tokens
-    spark.createDataFrame(starts, "part int, start bigint, n_docs bigint, n_tokens bigint, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    there = {p[0]: p[1:] for p in _parts(spark, path)}
+    wrong = sorted({r.part for r in rows if there.get(r.part) != (r.n_docs, r.n_tokens, bytes(r.root))} | there.keys() - {r.part for r in rows})
+    if wrong:
+        raise ValueError(f"parts {wrong} of the recipes of {path} are missing or unsound")
 
 
 def _whole(table: pa.Table) -> pa.Table:
@@ -311,16 +339,18 @@ def _roots(batches):
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with their starts over the whole store, and whether their roots hold."""
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "start_in_part", "n_tokens", "root", "chunks")
+    verify_manifest(spark, path)
+    recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
     checked = recipes.mapInArrow(_roots, recipes.withColumn("whole", F.lit(True)).select("part", "doc_id", "start_in_part", "n_tokens", "whole", "chunks").schema)
-    manifest = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"))
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"))
     return checked.join(F.broadcast(manifest), "part").withColumn("start", F.col("part_start") + F.col("start_in_part")).drop("part", "part_start", "start_in_part")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, verified) of each document, from the files.
 
-    Chunk bytes are read where they lie and checked against their hash; the CRCs of a document's
+    Recipes and manifest that disagree fail the read; a document with an unsound or missing chunk
+    isn't verified.  Chunk bytes are read where they lie and checked against their hash; the CRCs of a document's
     chunks, moved to their places, sum to that of its stream, so only small rows are shuffled.
     """
     recipes = _recipes(spark, path)
@@ -355,7 +385,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write a store in the shared folder and digest what is read back."""
+    """Write a store in the shared folder and digest what is read back.
+
+    One row for each row of ``docs``: a null text is empty and has the end id alone, null ids sort
+    first, rows that repeat an id come in input order; other columns are left out; an empty table
+    gives no rows."""
     path = scratch_path(docs.sparkSession, "store")
     write(docs, path, tokenizer)
     return read_digests(docs.sparkSession, path)

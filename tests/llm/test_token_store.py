@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 import zlib
 
@@ -18,7 +20,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def whole():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -63,6 +64,67 @@ def test_damage_is_seen(make, spark):
     assert good == {1: True, 2: True} and {r.doc_id: r.verified for r in ts.read_digests(spark, path).collect()} == {1: False, 2: True}
 
 
+def test_special_tokens_as_in_a_plain_call(make):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>y's", "<|endoftext", "hello <|endoftext|> world"]
+    plain = Tokenizer.from_file(PATH)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in ts.Encoder(PATH).encode(texts)] == want and want[0] == [64, 50256, 65]
+    got = {r.doc_id: r.ids_crc32 for r in ts.round_trip(make(list(enumerate(texts))), PATH).collect()}
+    assert got == {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in enumerate(want)}
+
+
+def _files(path, part):
+    return sorted(glob.glob(f"{path.removeprefix('file://')}/{part}/part-*.parquet"))
+
+
+@pytest.fixture
+def store(make, spark):
+    path = scratch_path(spark, "lost")
+    ts.write(make([(i, words(i, 200 + i)) for i in range(40)]), path, PATH)
+    assert all(r.verified for r in ts.read_digests(spark, path).collect())
+    return path
+
+
+def test_a_lost_recipe_file_fails_the_read(spark, store):
+    os.remove(max(_files(store, "recipes"), key=os.path.getsize))
+    with pytest.raises(ValueError, match="missing or unsound"):
+        ts.read_digests(spark, store)
+
+
+def test_a_lost_chunk_file_is_seen(spark, store):
+    os.remove(max(_files(store, "chunks"), key=os.path.getsize))
+    got = ts.read_digests(spark, store).collect()
+    assert len(got) == 40 and not all(r.verified for r in got)
+    with pytest.raises(Exception, match="missing or unsound"):
+        ts.read_ids(spark, store).collect()
+
+
+def test_an_altered_manifest_fails_the_read(spark, store):
+    rows = spark.read.parquet(f"{store}/manifest").toPandas()
+    spark.createDataFrame(rows.iloc[1:], ts._MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest")
+    with pytest.raises(ValueError, match="unsound"):
+        ts.read_digests(spark, store)
+
+
+def test_an_altered_recipe_is_seen(spark, store):
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{store}/recipes").withColumn("root", F.when(F.col("doc_id") == 3, F.lit(bytes(16))).otherwise(F.col("root")))
+    other = scratch_path(spark, "altered")
+    rows.write.parquet(f"{other}/recipes")
+    spark.read.parquet(f"{store}/manifest").write.parquet(f"{other}/manifest")
+    spark.read.parquet(f"{store}/chunks").write.parquet(f"{other}/chunks")
+    with pytest.raises(ValueError, match="missing or unsound"):
+        ts.read_digests(spark, other)
+
+
+def test_clashing_columns(make):
+    from pyspark.sql import functions as F
+
+    docs = make([(1, "some words"), (2, "more")]).withColumns({"uid": F.lit("x"), "hash": F.lit("y"), "part": F.lit(9), "start": F.lit(8)})
+    assert sorted((r.doc_id, r.start, r.verified) for r in ts.round_trip(docs, PATH).collect()) == [(1, 0, True), (2, 3, True)]
+
+
 def test_crc_of_parts_adds_up():
     rng = np.random.default_rng(0)
     data = rng.bytes(5000)
