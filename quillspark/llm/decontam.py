@@ -3,6 +3,9 @@
 A broadcast hash set holds the benchmark's word windows.  Every document's token windows are
 looked up in one scan without a shuffle, each hit is verified word by word, and the document gets
 its hit spans.  Contaminated documents or only the hit spans can then be removed.
+
+The set is packed into a few arrays of some 25 bytes a word and is broadcast only within a bound;
+a larger benchmark is taken in blocks, one set at a time, with the marks written in between.
 """
 
 from __future__ import annotations
@@ -15,65 +18,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
+from quillspark.llm.common import dropped, written
 
 WINDOW = 13
-#: Benchmark text that one broadcast set may hold; a larger benchmark is scanned in blocks.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text of one block, some of which is in one item at least.
+BLOCK_BYTES = 8 << 20
 
 
 class WindowSet:
     """The windows of some benchmark items.
 
     An item of fewer than ``size`` words, but not none, is one window; an item without words (a
-    null or empty text too) has none.
+    null or empty text too) has none.  Held are the items' words, each followed by a space, where
+    words start, and for every length of window its hashes in order with the words they begin at.
     """
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
         self.size = size
-        self.windows: dict[int, list[tuple[bytes, str]]] = {}
-        by_length: dict[int, set[int]] = {}
-        if items:
-            for w in tv.pieces(pa.array([t or "" for _, t in items], pa.string())):
-                for i in range(w.rows):
-                    name, (a, b) = items[w.first + i][0], w.ptr[i : i + 2]
-                    k = min(size, int(b - a))
-                    if not k:
-                        continue
-                    part = tv.Words(0, w.data, w.offsets, w.start[a:b], w.length[a:b], w.hash[a:b], np.array([0, b - a]))
-                    hashes = tv.windows(part, k)[: b - a - k + 1]
-                    words = [part.bytes_of(j) for j in range(b - a)]
-                    for j, h in enumerate(hashes.tolist()):
-                        entry = (b" ".join(words[j : j + k]), name)
-                        found = self.windows.setdefault(h, [])
-                        if entry not in found:
-                            found.append(entry)
-                        by_length.setdefault(k, set()).add(h)
-        self.sets = {k: tv.HashSet(np.fromiter(v, np.uint64, len(v))) for k, v in by_length.items()}
-
-    def scan(self, w: tv.Words) -> list[tuple[int, int, int, str]]:
+        self.names = [name for name, _ in items]
+        raw, starts, firsts, n_words = [], [], [0], 0
+        found: dict[int, tuple[list, list]] = {}
+        n_bytes = 0
+        for w in tv.pieces(pa.array([t or "" for _, t in items], pa.large_string())) if items else ():
+            begin = np.cumsum(w.length + 1) - (w.length + 1)
+            packed = np.full(int((w.length + 1).sum()), 32, np.uint8)
+            inner = np.arange(int(w.length.sum())) - np.repeat(np.cumsum(w.length) - w.length, w.length)
+            packed[np.repeat(begin, w.length) + inner] = w.data[np.repeat(w.start, w.length) + inner]
+            n = np.diff(w.ptr)
+            rest = tv.left(w)
+            for k in np.unique(np.minimum(n, size)).tolist():
+                if k:
+                    at = np.flatnonzero((np.repeat(np.minimum(n, size), n) == k) & (rest >= k))
+                    hashes, places = found.setdefault(k, ([], []))
+                    hashes.append(tv.windows(w, k)[at])
+                    places.append((at + n_words).astype(np.uint32))
+            raw.append(packed)
+            starts.append((begin + n_bytes).astype(np.uint32))
+            firsts += (w.ptr[1:] + n_words).tolist()
+            n_words, n_bytes = n_words + len(w.hash), n_bytes + len(packed)
+        self.raw = np.concatenate(raw).tobytes() if raw else b""
+        self.starts = np.append(np.concatenate(starts) if starts else np.zeros(0, np.uint32), np.uint32(n_bytes))
+        self.firsts = np.array(firsts, np.uint32)
+        self.tables = {k: self._table(k, np.concatenate(h), np.concatenate(p)) for k, (h, p) in found.items()}
+
+    def _table(self, k: int, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes in order and places; of equal windows in one item the first is kept."""
+        order = np.lexsort((places, self._items(places), hashes))
+        hashes, places = hashes[order], places[order]
+        item = self._items(places)
+        keep = np.ones(len(hashes), bool)
+        last = 0
+        for i in np.flatnonzero((hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1])).tolist():
+            if i and not keep[i]:  # a run of equal ones goes back to its first
+                first = last
+            else:
+                first = i
+            if self.window(int(places[i + 1]), k) == self.window(int(places[first]), k):
+                keep[i + 1], last = False, first
+        return hashes[keep], places[keep]
+
+    def _items(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.firsts, places, "right") - 1
+
+    def window(self, place: int, k: int) -> bytes:
+        return self.raw[self.starts[place] : self.starts[place + k] - 1]
+
+    def nbytes(self) -> int:
+        """Bytes held, names aside."""
+        return len(self.raw) + self.starts.nbytes + self.firsts.nbytes + sum(h.nbytes + p.nbytes for h, p in self.tables.values())
+
+    def scan(self, w: tv.Words, filters: dict[int, tv.Bits]) -> list[tuple[int, int, int, str]]:
         """(row, first word, words, item) of each verified occurrence."""
         out = []
-        remaining = tv.left(w) if self.sets else None
-        rows = w.row_of() if self.sets else None
-        for k, members in self.sets.items():
+        remaining = tv.left(w) if self.tables else None
+        rows = w.row_of() if self.tables else None
+        for k, (members, places) in self.tables.items():
             hashes = tv.windows(w, k)
-            at, _ = members.find(hashes)
-            for i in at[remaining[at] >= k].tolist():
+            at = filters[k].maybe(hashes)
+            at = at[remaining[at] >= k]
+            low, high = (np.searchsorted(members, hashes[at], side) for side in ("left", "right"))
+            for i, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
                 text = b" ".join(w.bytes_of(j) for j in range(i, i + k))
-                out += [(int(rows[i]), i, k, item) for words, item in self.windows[int(hashes[i])] if words == text]
+                same = [p for p in places[a:b].tolist() if self.window(p, k) == text]
+                out += [(int(rows[i]), i, k, self.names[x]) for x in self._items(np.array(same, np.uint32)).tolist()] if same else []
         return out
 
+    def filters(self) -> dict[int, tv.Bits]:
+        """Bit tables of a fixed size that let few other hashes by; made anew in each worker."""
+        return {k: tv.Bits(h) for k, (h, _) in self.tables.items()}
+
 
 def _item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded size; one block is on the driver at a time."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("words")).where(F.col("words").isNotNull() & F.col("item").isNotNull())
+    """Distinct items in blocks of about ``block_bytes`` or less; one block is on the driver at a time."""
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("words")).where(F.col("words").isNotNull() & F.col("item").isNotNull()).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("words") + 32), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    if blocks > 1:
+        rows = written(rows, "items")
     for b in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
         found = [(r.item, r.words) for r in part.collect()]
         if found:
             yield found
+    if blocks > 1:
+        dropped(rows)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -84,13 +132,26 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     maximal run of hit words, in bytes of the UTF-8 text).  A null or empty text has no words;
     items with a null id or text are left out; repeated items count once; an empty benchmark hits
     nothing.  A column named ``contamination`` in ``docs`` is replaced, all others are kept.
+
+    A benchmark beyond ``block_bytes`` of text costs a scan of the documents for each block, with
+    the marked documents written in between; only one block's windows are held at a time.
     """
     names = [c for c in docs.columns if c != "contamination"]
     out = docs.select(*names).withColumn("contamination", F.lit(None).cast(_STATE))
-    blocks = list(_item_blocks(benchmark, item_id, item_text, block_bytes)) or [[]]
+    blocks = _item_blocks(benchmark, item_id, item_text, block_bytes)
+    spread, before = None, None
     for k, items in enumerate(blocks):
+        if spread is not None:  # what the last block marked is written before the next one is held
+            after = written(out, "marks")
+            spread.destroy()
+            if before is not None:
+                dropped(before)
+            out = before = after
         spread = docs.sparkSession.sparkContext.broadcast(WindowSet(items, window))
         out = out.mapInArrow(_scanner(spread, text, k == 0), out.schema)
+    if spread is None:
+        spread = docs.sparkSession.sparkContext.broadcast(WindowSet([], window))
+        out = out.mapInArrow(_scanner(spread, text, True), out.schema)
     return out
 
 
@@ -102,13 +163,14 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa
 def _scanner(spread, text: str, first: bool):
     def run(batches):
         windows = spread.value
+        filters = windows.filters()
         for batch in batches:
             names = batch.schema.names
             before = [None] * batch.num_rows if first else batch.column(names.index("contamination")).to_pylist()
             states = []
             for w in tv.pieces(batch.column(names.index(text))):
                 hits: dict[int, list] = {}
-                for row, i, k, item in windows.scan(w):
+                for row, i, k, item in windows.scan(w, filters):
                     hits.setdefault(row, []).append((i, i + k, item))
                 n = np.diff(w.ptr)
                 for row in range(w.rows):

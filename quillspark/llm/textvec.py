@@ -188,20 +188,31 @@ def word_hash(word: str) -> int:
     return int(split(raw, np.array([0, len(raw)])).hash[0])
 
 
+class Bits:
+    """A bit table that holds hashes by their low bits: it lets by all members and few others."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 20):
+        self.mask = U64((1 << bits) - 1)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(np.asarray(hashes, U64) & self.mask).astype(np.int64)] = True
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions in ``hashes`` that may be members."""
+        return np.flatnonzero(self.table[(hashes & self.mask).astype(np.int64)])
+
+
 class HashSet:
     """Membership of 64-bit hashes: a bit table first, then a binary search of what it lets by."""
 
     def __init__(self, hashes: np.ndarray, bits: int = 20):
         self.sorted = np.unique(np.asarray(hashes, U64))
-        self.mask = U64((1 << bits) - 1)
-        self.table = np.zeros(1 << bits, bool)
-        self.table[(self.sorted & self.mask).astype(np.int64)] = True
+        self.bits = Bits(self.sorted, bits)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``hashes`` that are members, and their places in ``sorted``."""
         if not len(self.sorted) or not len(hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.table[(hashes & self.mask).astype(np.int64)])
+        at = self.bits.maybe(hashes)
         place = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
         good = self.sorted[place] == hashes[at]
         return at[good], place[good]

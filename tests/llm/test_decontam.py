@@ -49,6 +49,19 @@ def test_marks_against_brute_force(make, cases, block):
     assert got == want
 
 
+def test_sets_are_packed():
+    """Bytes held are within ten times the text, pickled too; equal windows of an item stand once."""
+    import pickle
+
+    items = [(str(i), words(i, 400)) for i in range(200)]
+    size = sum(len(t) for _, t in items)
+    held = decontam.WindowSet(items)
+    assert held.nbytes() < 10 * size and len(pickle.dumps(held)) < 10 * size
+    again = decontam.WindowSet([("a", "one two three " * 200), ("b", "one two three " * 9)])
+    (hashes, places), = again.tables.values()
+    assert len(hashes) == 6 and sorted(again._items(places).tolist()) == [0, 0, 0, 1, 1, 1]
+
+
 def test_spans_are_removed(make, cases):
     _, _, bench = cases
     docs = make([(1, "før Été, Über ÑANDÚ. efter"), (2, None), (3, "rene ord")])
