@@ -1,16 +1,18 @@
-"""License scans by wording, with conditional compression as a measure.
+"""License scans by conditional compression, confirmed by wording.
 
-Candidate blocks are runs of lines with a license word, looked at with what stands around them.
-Wherever a stretch as long as a template holds nearly all of its words, inside a line or across
-lines, it is confirmed by exact wording differences; its gain is how much the template as a
-zstandard raw dictionary shrinks it.
+License words that stand near each other make a candidate block.  Its words, with those around it,
+are cut into overlapping stretches of each template's scale; every stretch with a license word is
+compressed with and without the template as a zstandard raw dictionary.  Stretches and templates are
+ranked by how much of the template's own size reduction they show; all above a share of it are
+confirmed, best first, by exact wording differences, so ranking decides the order and not the number.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections import Counter, OrderedDict
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,10 @@ from quillspark.llm import textvec as tv
 
 #: The largest share of a template's words that may be missing, and that may be added.
 MOST_MISSING = 0.1
-REMEMBERED = 20_000
-#: A block longer than this is compared by its parts around license words.
-BLOCK_BYTES = 16 << 10
-#: Bytes looked at before and behind a block, for notices that go on in other lines.
-AROUND = 1024
+#: The least share of a template's own size reduction that a stretch must show to be compared.
+LEAST_GAIN = 0.35
+#: License words no further apart in bytes are of one block.
+GAP = 512
 
 # Notices and opening terms of public licenses.
 TEMPLATES = [
@@ -35,15 +36,19 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -62,25 +67,34 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def with_identifiers(templates: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Templates and, for each license with a version or an owner, its SPDX line."""
+    return templates + [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in templates) if name not in ("BSD", "Proprietary")]
+
+
 class Scanner:
-    """Holds a compressor for each template; blocks seen before cost a look-up."""
+    """Holds a compressor for each template."""
 
-    def __init__(self, templates=TEMPLATES):
-        self.templates = [(name, text, _words(text)) for name, text in templates]
+    def __init__(self, templates=None):
+        self.templates = [(name, _words(text)) for name, text in (templates or with_identifiers(TEMPLATES))]
+        self.needs = [Counter(want) for _, want in self.templates]
         params = {"level": 3, "write_content_size": False, "write_checksum": False}
         self.plain = zstandard.ZstdCompressor(**params)
-        self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **params) for _, t, _ in self.templates]
-        self.known: OrderedDict[str, list[dict]] = OrderedDict()
-
-    def gain(self, stretch: str, k: int) -> float:
-        """Size reduction of a stretch by a template."""
-        raw = stretch.lower().encode()
+        joined = [" ".join(want).encode() for _, want in self.templates]
+        self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **params) for t in joined]
+        self.most = [len(self.plain.compress(t)) - len(g.compress(t)) for t, g in zip(joined, self.given)]
+        #: Bytes looked at before and behind a block: twice the longest template.
+        self.reach = 2 * max(map(len, joined))
+
+    def gain(self, words: list[str], k: int) -> float:
+        """Size reduction of words by a template."""
+        raw = " ".join(words).encode()
         return 1 - len(self.given[k].compress(raw)) / len(self.plain.compress(raw))
 
     def confirm(self, have: list[str], k: int) -> tuple[int, int, int, int] | None:
         """(missing, extra, first, end) of the words that match the template, or None if too much is
         missing or a number differs."""
-        want = self.templates[k][2]
+        want = self.templates[k][1]
         found = [m for m in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
         if not found:
             return None
@@ -93,39 +107,69 @@ class Scanner:
             return None
         return missing, extra, first, end
 
+    def ranked(self, have: list[str], anchors: list[int]) -> list[tuple[float, int, int, int]]:
+        """(share of the template's own reduction, template, first word, end) of the stretches with a
+        license word that are to be compared, best first.
+
+        A stretch holds twice a template's words and those that may be added, and the next one
+        begins a template's length later, so each notice lies whole in one of them."""
+        out = []
+        sizes: dict[tuple[int, int], int] = {}
+        for k, (_, want) in enumerate(self.templates):
+            n = len(want)
+            size = 2 * n + int(MOST_MISSING * n)
+            for s in sorted({s for a in anchors for s in range(max(0, -(-(a - size + 1) // n) * n), a + 1, n)}):
+                raw = " ".join(have[s : s + size]).encode()
+                if (s, size) not in sizes:
+                    sizes[s, size] = len(self.plain.compress(raw))
+                share = (sizes[s, size] - len(self.given[k].compress(raw))) / self.most[k]
+                if share >= LEAST_GAIN:
+                    out.append((share, k, s, min(s + size, len(have))))
+        return sorted(out, reverse=True)
+
+    def compared(self, have: list[str], k: int, first: int, end: int) -> list[tuple[int, int, int, int, int]]:
+        """(template, missing, extra, first word, end) at all places in a stretch that are confirmed."""
+        want, need, out = self.templates[k][1], self.needs[k], []
+        spare = int(MOST_MISSING * len(want))
+        begins = set(want[: spare + 1])
+        for i in (i for i in range(first, end) if have[i] in begins):
+            window = have[i : i + len(want) + spare]
+            if sum((Counter(window) & need).values()) < len(want) - spare:
+                continue
+            found = self.confirm(window, k)
+            if found:
+                out.append((k, found[0], found[1], i + found[2], i + found[3]))
+        return out
+
     def finds(self, text: str) -> list[dict]:
-        """All confirmed stretches (license, gain, missing, extra, from, to) of a text, in order; one
-        that another of fewer differences overlaps is left out."""
-        if text in self.known:
-            self.known.move_to_end(text)
-            return self.known[text]
+        """All confirmed stretches (license, gain, missing, extra, from, to) of a text, in order.
+
+        Of stretches that share words the one with the most words of its template counts, each
+        difference taking off two."""
         spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         have = [text[a:b].lower() for a, b in spans]
-        at: dict[str, list[int]] = {}
-        for i, x in enumerate(have):
-            at.setdefault(x, []).append(i)
-        got = []
-        for k, (name, _, want) in enumerate(self.templates):
-            spare = int(MOST_MISSING * len(want))
-            need = Counter(want)
-            if sum(min(n, len(at.get(x, ()))) for x, n in need.items()) < len(want) - spare:
+        # Letters beyond ASCII become one byte, so places are those of the text.
+        low = text.encode("ascii", "replace").lower()
+        ends = [b for _, b in spans]
+        anchors = sorted({bisect_right(ends, m.start()) for m in _ANCHOR.finditer(low)} - {len(spans)})
+        found = {x for _, k, s, e in self.ranked(have, anchors) for x in self.compared(have, k, s, e)}
+        return self._apart(found, spans, have)
+
+    def _apart(self, found: set, spans: list, have: list[str]) -> list[dict]:
+        def worth(x):
+            k, missing, extra, _, _ = x
+            return len(self.templates[k][1]) - missing - 2 * (missing + extra)
+
+        out, begins, stops = [], [], []
+        for x in sorted(found, key=lambda x: (-worth(x), x[3], self.templates[x[0]][0], x)):
+            k, missing, extra, first, end = x
+            at = bisect_left(begins, first)  # accepted stretches are apart, so both lists are in order
+            if (at and stops[at - 1] > first) or (at < len(begins) and begins[at] < end):
                 continue
-            for i in sorted({i for x in set(want[: spare + 1]) for i in at.get(x, ())}):
-                window = have[i : i + len(want) + spare]
-                if sum((Counter(window) & need).values()) < len(want) - spare:
-                    continue
-                found = self.confirm(window, k)
-                if found:
-                    missing, extra, first, end = found
-                    a, b = spans[i + first][0], spans[i + end - 1][1]
-                    got.append({"license": name, "gain": round(self.gain(text[a:b], k), 6), "missing": missing, "extra": extra, "from": a, "to": b})
-        differs = lambda x: x["missing"] + x["extra"]
-        out = [x for x in got if not any(differs(y) < differs(x) and y["from"] < x["to"] and x["from"] < y["to"] for y in got)]
-        out.sort(key=lambda x: (x["from"], x["to"], x["license"]))
-        self.known[text] = out
-        if len(self.known) > REMEMBERED:
-            self.known.popitem(last=False)
-        return out
+            begins.insert(at, first)
+            stops.insert(at, end)
+            out.append({"license": self.templates[k][0], "gain": round(self.gain(have[first:end], k), 6), "missing": missing, "extra": extra, "from": spans[first][0], "to": spans[end - 1][1]})
+        return sorted(out, key=lambda x: (x["from"], x["to"], x["license"]))
 
     def scan_block(self, block: str) -> list[dict]:
         """Confirmed licenses of a block, each once with its fewest differences."""
@@ -135,8 +179,11 @@ class Scanner:
 def _each_once(finds: list[dict]) -> list[dict]:
     best: dict[str, dict] = {}
     for x in sorted(finds, key=lambda x: (x["missing"] + x["extra"], -x["gain"])):
-        best.setdefault(x["license"], x)
-    return [best[x] for x in sorted(best)]
+        if x["license"] in best:
+            best[x["license"]]["places"] += 1
+        else:
+            best[x["license"]] = {**x, "places": 1}
+    return sorted(best.values(), key=lambda x: (x.get("start", x.get("from")), x["license"]))
 
 
 def _edge(raw: bytes, at: int) -> int:
@@ -146,49 +193,51 @@ def _edge(raw: bytes, at: int) -> int:
     return at
 
 
-def _licenses(scanner: Scanner, raw: bytes, low: bytes, start: int, end: int) -> list[dict]:
-    """The block's licenses: stretches whose first license word it holds.  Spans are the block's,
-    widened to the stretch."""
-    left, right = _edge(raw, max(0, start - AROUND)), _edge(raw, min(len(raw), end + AROUND))
+def _licenses(scanner: Scanner, raw: bytes, start: int, end: int) -> list[dict]:
+    """The block's licenses: stretches whose first license word it holds.  Spans go to the white
+    space around the stretch."""
+    left, right = _edge(raw, max(0, start - scanner.reach)), _edge(raw, min(len(raw), end + scanner.reach))
     around = raw[left:right].decode("utf-8", "ignore")
     mine = []
     for x in scanner.finds(around):
-        a, b = (left + len(around[: x[c]].encode()) for c in ("from", "to"))
-        word = _ANCHOR.search(low, a, b)
-        if start <= (word.start() if word else a) < end:
-            mine.append({**{c: x[c] for c in ("license", "gain", "missing", "extra")}, "start": min(start, a), "end": max(end, b)})
+        a, b = x["from"], x["to"]
+        while a and not around[a - 1].isspace():
+            a -= 1
+        while b < len(around) and not around[b].isspace():
+            b += 1
+        own = {**{c: x[c] for c in ("license", "gain", "missing", "extra")}, "start": left + len(around[:a].encode()), "end": left + len(around[:b].encode())}
+        word = _ANCHOR.search(raw[own["start"] : own["end"]].lower())
+        if start <= own["start"] + (word.start() if word else 0) < end:
+            mine.append(own)
     return _each_once(mine)
 
 
-def _blocks(text: bytes, low: bytes):
-    """(start, end) of runs of neighbouring lines that have a license word."""
+def _blocks(low: bytes):
+    """(start, end) of runs of license words with at most ``GAP`` bytes between neighbours."""
     last = None
     for m in _ANCHOR.finditer(low):
-        start = low.rfind(b"\n", 0, m.start()) + 1
-        end = low.find(b"\n", m.end())
-        end = len(low) if end < 0 else end
-        if end - start > BLOCK_BYTES:  # a very long line: what stands around the word
-            start, end = max(start, m.start() - 1024), min(end, m.end() + 1024)
-        if last and start <= last[1] + 1:
-            last = (last[0], max(last[1], end))
+        if last and m.start() - last[1] <= GAP:
+            last = (last[0], m.end())
             continue
         if last:
             yield last
-        last = (start, end)
+        last = (m.start(), m.end())
     if last:
         yield last
 
 
-_FOUND = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gain", pa.float64()), ("missing", pa.int64()), ("extra", pa.int64())])
-_SPARK = "array<struct<license:string,start:bigint,end:bigint,gain:double,missing:bigint,extra:bigint>>"
+_FOUND = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gain", pa.float64()), ("missing", pa.int64()), ("extra", pa.int64()), ("places", pa.int64())])
+_SPARK = "array<struct<license:string,start:bigint,end:bigint,gain:double,missing:bigint,extra:bigint,places:bigint>>"
 
 
 def scan(docs: DataFrame, *, text: str = "text", name: str = "licenses") -> DataFrame:
-    """``docs`` with ``n_blocks`` (candidate blocks) and an array column ``licenses`` (license, byte
-    span of the block and of the notice, size reduction, missing and extra words).
+    """``docs`` with ``n_blocks`` (candidate blocks) and an array column ``licenses``: each license
+    of a block once, with the byte span of the place of the fewest differences, size reduction,
+    missing and extra words there, and the number of its places in the block.
 
-    Columns of these names are replaced.  Null and empty texts have no blocks.  Blocks stand in
-    text order; equal blocks in one text are each listed.
+    Columns of these names are replaced, all others kept.  Null and empty texts have no blocks;
+    texts are read whole, however long.  Blocks stand in text order; equal blocks in one text are
+    each listed; repeated rows are scanned each.
     """
     names = [c for c in docs.columns if c not in (name, "n_blocks")]
     out = docs.select(*names).withColumn("n_blocks", F.lit(0).cast("bigint")).withColumn(name, F.lit(None).cast(_SPARK))
@@ -202,9 +251,9 @@ def scan(docs: DataFrame, *, text: str = "text", name: str = "licenses") -> Data
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 low = raw.lower()
                 got, n = [], 0
-                for start, end in _blocks(raw, low):
+                for start, end in _blocks(low):
                     n += 1
-                    got += _licenses(scanner, raw, low, start, end)
+                    got += _licenses(scanner, raw, start, end)
                 found.append(got)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(np.array(counts, np.int64)), pa.array(found, pa.list_(_FOUND))], [*names, "n_blocks", name])

@@ -1,8 +1,14 @@
+import random
+import re
+import textwrap
+
 import pyspark.sql.functions as F
 import pytest
 
 from quillspark.llm import licenses
 
+from .conftest import words
+
 
 @pytest.mark.parametrize("name,notice", licenses.TEMPLATES)
 def test_every_template_is_found_exactly(name, notice):
@@ -49,5 +55,78 @@ def test_notices_inside_and_across_lines(make, text, names):
     assert {x.license for x in got} == names and len(got) == len(names)
 
 
+MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and "AS IS" in t)
+GPL = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0-or-later")
+BSD = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and "Neither" in t)
+
+
+def wrapped(text, mark="", width=64):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def altered(text, seed, n):
+    """n words left out or put in, but for numbers and license words"""
+    rng, w = random.Random(seed), text.split()
+    for _ in range(n):
+        i = rng.randrange(3, len(w) - 3)
+        if rng.random() < 0.5 and w[i].isalpha() and "icens" not in w[i].lower():
+            del w[i]
+        else:
+            w.insert(i, "indeed")
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("text,names", [
+    ("MIT License\n\nCopyright (c) 2021 Jane Roe\n\n" + wrapped(MIT), ["MIT"]),
+    ("/*\n * Copyright 2019\n *\n" + wrapped(MIT, " * ") + "\n */\nint x;", ["MIT"]),
+    (FILLER * 20 + "\n" + wrapped(GPL, "# ", 40) + "\n" + FILLER * 20, ["GPL-3.0-or-later"]),
+    ("// SPDX-License-Identifier: MIT\nint main() {}", ["MIT"]),
+    ("# SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0-or-later"]),
+    (wrapped(BSD, "; "), ["BSD-3-Clause"]),
+    (altered(MIT, 1, 9), ["MIT"]),
+    (wrapped(altered(BSD, 2, 6), "# "), ["BSD-3-Clause"]),
+    (wrapped(MIT) + "\n\n" + wrapped(BSD) + "\n\n" + wrapped(GPL), ["BSD-3-Clause", "GPL-3.0-or-later", "MIT"]),
+    (FILLER * 300 + MIT + " " + FILLER * 300 + GPL + FILLER * 300 + "Released under CC0 1.0 Universal.", ["CC0-1.0", "GPL-3.0-or-later", "MIT"]),
+])
+def test_whole_notices(make, text, names):
+    got = licenses.scan(make([(1, text)])).collect()[0].licenses
+    assert sorted(x.license for x in got) == names
+
+
+def everywhere(scanner, text):
+    """all templates compared at all places, without compression"""
+    spans = [(m.start(), m.end()) for m in licenses._WORD.finditer(text)]
+    have = [text[a:b].lower() for a, b in spans]
+    return scanner._apart({x for k in range(len(scanner.templates)) for x in scanner.compared(have, k, 0, len(have))}, spans, have)
+
+
+def test_compression_loses_none_of_what_comparison_finds_everywhere():
+    s, rng, n = licenses.Scanner(), random.Random(8), 0
+    for seed in range(150):
+        _, text = rng.choice(licenses.with_identifiers(licenses.TEMPLATES))
+        parts = [altered(text, seed, rng.randint(0, len(text.split()) // 12)) if len(text.split()) > 9 else text for _ in range(rng.randint(1, 3))]
+        mark = rng.choice(["", " * ", "# ", "// "])
+        whole = words(seed, rng.randint(0, 60)) + "\n" + "\n".join(wrapped(p, mark, rng.choice([30, 60, 200])) + " " + words(seed + 500, rng.randint(0, 9)) for p in parts) + "\n" + FILLER * rng.randint(0, 4)
+        want = everywhere(s, whole)
+        assert s.finds(whole) == want, whole
+        n += len(want)
+    assert n > 200
+
+
+def test_blocks_against_brute_force(make):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["license", "Copyright", "word", "é" * rng.randint(1, 300), "x" * rng.randint(1, 700)]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    got = {r.doc_id: r.n_blocks for r in licenses.digest(make(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        at = [(m.start(), m.end()) for m in re.finditer(b"license|copyright", t.lower().encode())]
+        assert got[i] == sum(k == 0 or a - at[k - 1][1] > licenses.GAP for k, (a, _) in enumerate(at))
+
+
+def test_clashing_columns(make):
+    docs = make([(1, "Released under the MIT License.")]).withColumns({"license": F.lit("mine"), "start": F.lit(3), "n_blocks": F.lit("old")})
+    r = licenses.scan(docs).collect()[0]
+    assert (r.license, r.start, r.n_blocks, r.licenses[0].license) == ("mine", 3, 1, "MIT")
+
+
 def test_odd_rows(odd, none):
     assert licenses.digest(odd).count() == odd.count() and licenses.digest(none).collect() == []
