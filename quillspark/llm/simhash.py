@@ -1,7 +1,8 @@
 """Document fingerprints: SimHash, and a search of all fingerprints within a Hamming radius.
 
-Terms are five-word shingles (a text of fewer words is one term) weighted 1 + ln(count).  Each
-term's 128-bit hash votes on every bit with its weight as sign; the sign of the sum is the bit.
+Terms are five-word shingles (a text of fewer words is one term) weighted 1 + ln(count), rounded to
+a whole number of 128ths.  Each term's 128-bit hash votes on every bit with its weight as sign; the
+sign of the sum is the bit.  Sums are exact, so equal texts agree on any machine.
 The search keeps permuted block tables: fingerprints are cut into blocks, and for every choice of
 all but ``radius`` blocks one table is keyed by the chosen ones.  Two fingerprints that differ in
 at most ``radius`` bits leave that many blocks equal, so they meet in a table: nothing is missed.
@@ -18,12 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
-from quillspark.llm.common import shuffle_partitions
+from quillspark.llm.common import shuffle_partitions, written
 
 BITS = 128
 SHINGLE = 5
-RADIUS = 6
-BLOCKS = 8
+#: Bits that fingerprints may differ in, and blocks that they are cut into: four tables of 32 bits.
+RADIUS = 3
+BLOCKS = 4
+#: Terms whose votes are held at once: sums of so many weights under 4,096 are exact in 24 bits.
+TERMS = 4096
+#: Rows of a bucket that one task compares with the bucket's queries, and rows that are broadcast.
+BUCKET, BROADCAST_ROWS = 50_000, 200_000
 _U = np.uint64
 
 
@@ -32,13 +38,15 @@ def fingerprints(col: pa.Array) -> np.ndarray:
     out = np.zeros((len(col), BITS // 8), np.uint8)
     for w in tv.pieces(col):
         bag = tv.shingles(w, SHINGLE)
-        weight = (1 + np.log(bag.count)).astype(np.float32)
+        weight = np.round(128 * (1 + np.log(bag.count))).astype(np.float32)
         with np.errstate(over="ignore"):
             wide = np.stack([bag.hash, tv.mix(bag.hash ^ _U(0x94D049BB133111EB))], axis=1).view(np.uint8)
         for i in np.flatnonzero(np.diff(bag.ptr)).tolist():
-            part = slice(bag.ptr[i], bag.ptr[i + 1])
-            votes = weight[part] @ np.unpackbits(wide[part], axis=1).astype(np.float32)
-            out[w.first + i] = np.packbits(2 * votes > weight[part].sum())
+            votes = np.zeros(BITS)
+            for at in range(bag.ptr[i], bag.ptr[i + 1], TERMS):
+                part = slice(at, min(at + TERMS, bag.ptr[i + 1]))
+                votes += weight[part] @ np.unpackbits(wide[part], axis=1).astype(np.float32)
+            out[w.first + i] = np.packbits(2 * votes > weight[bag.ptr[i] : bag.ptr[i + 1]].sum(dtype=np.float64))
     return out
 
 
@@ -95,6 +103,79 @@ def search(queries: DataFrame, index: DataFrame, *, radius: int = RADIUS, blocks
     return met.withColumn("distance", _distance("fingerprint", "near")).where(F.col("distance") <= radius).where(first == F.col("table")).select("fingerprint", "near", F.col("distance").cast("int").alias("distance"))
 
 
+def _near_counts(radius: int, blocks: int):
+    """Counts of neighbours within a bucket: rows (key, part, table, fingerprint, asked) in order of
+    key and part give (fingerprint, n_near) for each query."""
+    width = BITS // 8 // blocks
+    tables = list(combinations(range(blocks), blocks - radius))
+
+    def counts(group: pa.Table):
+        all_of = np.frombuffer(b"".join(group.column("fingerprint").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        table = group.column("table").to_numpy()
+        asked = np.flatnonzero(group.column("asked").to_numpy(zero_copy_only=False))
+        own = np.flatnonzero(group.column("own").to_numpy(zero_copy_only=False))
+        halves, cut = all_of.copy().view(np.uint64), all_of.reshape(-1, blocks, width)
+        for i in asked.tolist():
+            distance = np.bitwise_count(halves[own] ^ halves[i]).sum(axis=1)
+            near = own[(distance <= radius) & (distance > 0) & (table[own] == table[i])]
+            if len(near):
+                same = (cut[near] == cut[i]).all(axis=2)
+                # A pair counts in the first table whose blocks it shares, where keys can't collide.
+                first = np.argmax(np.stack([same[:, list(t)].all(axis=1) for t in tables], axis=1), axis=1)
+                shares = same[:, list(tables[table[i]])].all(axis=1)
+                n = int((shares & (first == table[i])).sum())
+                if n:
+                    yield all_of[i].tobytes(), n
+
+    def run(batches):
+        held, last = [], None
+
+        def done():
+            found = list(counts(pa.Table.from_batches(held))) if held else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["fingerprint", "n_near"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+            ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(ends, ends[1:]):
+                if held and tuple(keys[a]) != last:
+                    yield from done()
+                    held.clear()
+                last = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        yield from done()
+
+    return run
+
+
+def near_counts(rows: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, fingerprint: str = "fingerprint", asked: str = "asked") -> DataFrame:
+    """(fingerprint, n_near) of each distinct fingerprint of a row with ``asked``: how many other
+    distinct fingerprints of the whole table differ from it in at most ``radius`` bits; those with
+    none are left out.
+
+    Block tables bring candidates together; only buckets of several with a query go on.  A large
+    bucket is dealt into parts that all its queries visit, so pairs are never rows and no task
+    holds a whole bucket.  Null fingerprints count nowhere; copies count once.
+    """
+    if not radius < blocks or (BITS // 8) % blocks:
+        raise ValueError("blocks must exceed radius and divide 16")
+    hexed = rows.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("f")).agg(F.max(F.coalesce(F.col(asked), F.lit(False))).alias("asked"))
+    one = written(hexed, "distinct")
+    keys = F.array(*[F.xxhash64(F.lit(k), t) for k, t in enumerate(_tables("f", radius, blocks))])
+    keyed = one.select(F.unhex("f").alias("fingerprint"), "asked", F.posexplode(keys).alias("table", "key"))
+    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("asked").alias("any")).where("n > 1 and any").select("key", F.ceil(F.col("n") / BUCKET).alias("parts")), "near")
+    few = F.broadcast if buckets.count() <= BROADCAST_ROWS else (lambda d: d)
+    met = keyed.join(few(buckets), "key").withColumn("home", F.pmod(F.xxhash64("fingerprint"), F.col("parts")))
+    # A query goes to every part, other rows to one; ``own`` rows of a part are those compared with.
+    met = met.withColumn("part", F.explode(F.when(F.col("asked"), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array("home"))))
+    dealt = met.select("key", "part", "table", "fingerprint", "asked", (F.col("part") == F.col("home")).alias("own")).repartition("key", "part").sortWithinPartitions("key", "part")
+    found = dealt.mapInArrow(_near_counts(radius, blocks), "fingerprint binary, n_near bigint")
+    return found.groupBy(F.lower(F.hex("fingerprint")).alias(fingerprint)).agg(F.sum("n_near").alias("n_near"))
+
+
 def edited(text: str, following: str) -> str:
     """The last quarter of the code points replaced by the first as many (or all) of the next text."""
     k = len(text) // 4
@@ -169,8 +250,18 @@ def with_next(docs: DataFrame, fn, schema: str, *, partitions: int | None = None
 ROWS_AT_ONCE = 512
 
 
+#: Every row whose id this divides is a query of the search.
+EVERY = 20
+
+
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likenesses."""
+    """Fingerprints of every text and of its edited text, their likenesses, and for ids divisible by
+    ``EVERY`` in ``n_near`` how many other distinct fingerprints of the table stand within the
+    radius; null for others.
+
+    A null text is empty; a text without words has a fingerprint of zeros.  Null ids sort first and
+    ask nothing; rows that repeat an id follow each other in order of their texts; a single row
+    follows itself; other columns are left out; an empty table gives no rows."""
 
     def fn(ids, texts, nexts):
         changed = [edited(a, b) for a, b in zip(texts, nexts)]
@@ -184,4 +275,9 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         )
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, fn, schema)
+    rows = written(with_next(docs, fn, schema), "fingerprints").withColumn("asked", F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False)))
+    near = written(near_counts(rows), "counts")
+    few = F.broadcast if near.count() <= BROADCAST_ROWS else (lambda d: d)
+    names = [x.split()[0] for x in schema.split(", ")]
+    asked = rows.where("asked").select(*names).join(few(near), "fingerprint", "left").select(*names, F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"))
+    return asked.unionByName(rows.where("not asked").select(*names, F.lit(None).cast("bigint").alias("n_near")))
