@@ -65,7 +65,7 @@ def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> list[tuple[int, Data
 
 
 def _looked_up(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
-    """``rows`` (with ``_bits``) and their ``depth``, ``prefix``, ``shard_bytes``."""
+    """rows (row, n_bytes, bits) and their ``depth``, ``prefix``, ``shard_bytes``."""
     out = rows.withColumns({"depth": F.lit(None).cast("int"), "prefix": F.lit(None).cast("bigint"), "shard_bytes": F.lit(None).cast("bigint")})
     for high, level in levels:
         last = high == BITS
@@ -74,7 +74,7 @@ def _looked_up(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFram
         part = found.select(
             F.col("cell").alias("_cell"), F.coalesce("depth", F.lit(BITS)).alias("_depth"), F.coalesce("prefix", "cell").alias("_prefix"), F.coalesce("bucket_bytes", "bytes").alias("_bytes")
         )
-        key = F.when(F.col("depth").isNull(), F.shiftright("_bits", BITS - high))
+        key = F.when(F.col("depth").isNull(), F.shiftright("bits", BITS - high))
         out = out.join(F.broadcast(part) if small else part, key == F.col("_cell"), "left")
         out = out.withColumns({"depth": F.coalesce("depth", "_depth"), "prefix": F.coalesce("prefix", "_prefix"), "shard_bytes": F.coalesce("shard_bytes", "_bytes")}).drop("_cell", "_depth", "_prefix", "_bytes")
     return out
@@ -87,13 +87,14 @@ def _numbered(rows: DataFrame, limit: int) -> DataFrame:
     cross no half limit, so these fit.  A hot bucket is first dealt into runs of some shards each.
     """
     runs = F.ceil(F.col("shard_bytes") / (limit * RUN))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_run", F.pmod(F.xxhash64("_row"), runs))
-    rows = rows.withColumn("_single", F.col("n_bytes") > limit // 2)
-    order = Window.partitionBy("prefix", "_run", "_single").orderBy("_row")
-    part = F.when(F.col("_single"), F.concat(F.lit("s"), F.row_number().over(order))).otherwise(F.concat(F.lit("r"), F.floor((F.sum("n_bytes").over(order) - F.col("n_bytes")) / F.lit(limit // 2))))
-    named = rows.withColumn("shard", F.concat_ws("-", "shard", "_run", part))
-    sums = named.groupBy("shard").agg(F.sum("n_bytes").alias("_sum"))
-    return named.join(sums, "shard").withColumn("shard_bytes", F.col("_sum")).drop("_sum", "_row", "_run", "_single")
+    # Written once: names and sums must see the same numbers, whatever is computed again.
+    rows = written(rows.withColumn("n", F.monotonically_increasing_id()), "numbered").withColumn("run", F.pmod(F.xxhash64("n"), runs))
+    rows = rows.withColumn("single", F.col("n_bytes") > limit // 2)
+    order = Window.partitionBy("prefix", "run", "single").orderBy("n")
+    part = F.when(F.col("single"), F.concat(F.lit("s"), F.row_number().over(order))).otherwise(F.concat(F.lit("r"), F.floor((F.sum("n_bytes").over(order) - F.col("n_bytes")) / F.lit(limit // 2))))
+    named = rows.withColumn("shard", F.concat_ws("-", "shard", "run", part))
+    sums = named.groupBy("shard").agg(F.sum("n_bytes").alias("sum"))
+    return named.join(sums, "shard").withColumn("shard_bytes", F.col("sum")).drop("sum", "n", "run", "single")
 
 
 def shard(docs: DataFrame, *, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,11 +107,12 @@ def shard(docs: DataFrame, *, limit: int = SHARD_BYTES, doc_id: str = "doc_id",
     """
     made = ("n_bytes", "depth", "shard", "shard_bytes")
     kept = [c for c in docs.columns if c not in made]
-    keyed = docs.select(*kept).withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")).withColumn("_bits", key_bits(F.col(doc_id)))
-    sizes = written(keyed.groupBy(F.col("_bits").alias("bits")).agg(F.sum("n_bytes").alias("bytes")), "sizes")
+    row = F.struct(*[F.col(c) for c in kept])  # whatever the columns' names, none meets one of this module
+    keyed = docs.select(row.alias("row"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), key_bits(F.col(doc_id)).alias("bits"))
+    sizes = written(keyed.groupBy("bits").agg(F.sum("n_bytes").alias("bytes")), "sizes")
     levels = directory(sizes, limit)
     digits = F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
     out = _looked_up(keyed, levels).withColumn("shard", digits)
     if levels[-1][0] == BITS:
         out = out.where(F.col("shard_bytes") <= limit).unionByName(_numbered(out.where(F.col("shard_bytes") > limit), limit))
-    return out.select(*kept, *made)
+    return out.select("row.*", *made)

@@ -54,3 +54,12 @@ def test_odd_rows_and_clashing_columns(odd, none):
     got = sharding.shard(docs, limit=100000)
     assert got.count() == odd.count() and {r["shard"] for r in got.collect()} != {"old"}
     assert sharding.shard(none).collect() == []
+
+
+def test_clashing_columns_keep_their_values(make):
+    names = ["prefix", "bits", "_bits", "_cell", "row", "n", "run", "single", "sum", "bytes"]
+    docs = make([(i, words(i, 20)) for i in range(50)] + [(7, "x" * 90)] * 30).withColumns({c: F.concat(F.lit(c + " "), "doc_id") for c in names})
+    for limit in (sharding.SHARD_BYTES, 600):
+        got = sharding.shard(docs, limit=limit)
+        assert got.columns == [*docs.columns, "n_bytes", "depth", "shard", "shard_bytes"] and got.count() == 80
+        assert all(r[c] == f"{c} {r.doc_id}" for r in got.collect() for c in names)
