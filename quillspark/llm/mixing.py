@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import dropped, shuffle_partitions, written
+from quillspark.llm.common import dropped, fresh, shuffle_partitions, written
 
 #: Sources by code point, null last, weigh these in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -97,8 +97,8 @@ def solve(cells: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
         dropped(state)
         state = after
         if not state.where("not done").limit(1).count():
-            break
-    return state.select(*goals.columns, "full", "lam")
+            return state.select(*goals.columns, "full", "lam")
+    raise ArithmeticError(f"sources whose rates have not converged after {ITERATIONS} steps: {state.where('not done').select('source').limit(5).collect()}")
 
 
 def _units(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
@@ -166,15 +166,21 @@ def _corrected(out: DataFrame, most: int, hint) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` repeated as often as :func:`decide` says."""
-    plan = decide(docs, doc_id=doc_id, source=source, text=text, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_copies"))
-    sized = docs.withColumn("_size", words(F.col(text)))
-    met = sized.join(plan.where("_copies > 0"), F.col(doc_id).eqNullSafe(F.col("_d")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` repeated as often as :func:`decide` says.
+
+    Columns are those of ``docs``, whatever their names.  Nulls, texts without words and repeated
+    rows are as in :func:`decide`; an empty table stays empty."""
+    size, d, s, z, copies, copy = fresh(docs.columns, "size", "d", "s", "z", "copies", "copy")
+    plan = decide(docs, doc_id=doc_id, source=source, text=text, **options).select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(copies))
+    sized = docs.withColumn(size, words(F.col(text)))
+    met = sized.join(plan.where(F.col(copies) > 0), F.col(doc_id).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def account(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, source, rate, copies."""
+    """One row per document: doc_id, size, source_size, target, taken, source, rate, copies.
+
+    Nulls, repeated rows and empty tables are as in :func:`decide`; other columns are left out."""
     plan = decide(docs)
     rows = plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "source", "rate", "copies")

@@ -58,6 +58,19 @@ def test_mix_repeats_rows(docs):
     assert got == {k: n for k, n in copies.items() if n}
 
 
+def test_clashing_columns_keep_their_values(docs):
+    names = ["_size", "_d", "_s", "_z", "_copies", "_copy", "d", "s", "z", "copy", "copies", "m", "rate"]
+    mixed = mixing.mix(docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in names}))
+    assert mixed.columns == [*docs.columns, *names]
+    assert all(r[c] == f"{c}{r.doc_id}" for r in mixed.where("doc_id is not null").collect() for c in names)
+
+
+def test_rates_that_do_not_converge_raise(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ITERATIONS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing.account(docs)
+
+
 def test_odd_rows(odd, none):
     got = mixing.account(odd).collect()
     assert len(got) == odd.count()
