@@ -99,6 +99,27 @@ def events_of(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", n.alias("seq"), n.alias("message"), F.lit("message").alias("kind"), "role", "text")
 
 
+def log_of(rows: DataFrame) -> DataFrame:
+    """The log of a service that came to the same rows (conv_id, turn, role, text) by streaming.
+
+    Every message is begun with a draft.  An assistant's is regenerated, which drops a message that
+    was begun meanwhile; another's is edited.  Either event brings the first third of the text and
+    two streamed deltas the rest, so :func:`fold` has all its work to do to give back the rows.
+    """
+    plain = events_of(rows)
+    text, n = F.coalesce("text", F.lit("")), F.col("message")
+    third = F.ceil(F.length(text) / 3).cast("int")
+    part = lambda k: F.substring(text, F.lit(1) + k * third, third)
+    said = F.coalesce("role", F.lit("")) == "assistant"
+    event = lambda at, message, kind, role, t: F.struct((8 * n + at).alias("seq"), message.alias("message"), F.lit(kind).alias("kind"), role.alias("role"), t.alias("text"))
+    none = F.lit(None).cast("string")
+    events = F.array(
+        event(0, n, "message", F.col("role"), F.lit("a draft")), F.when(said, event(1, -n, "message", F.lit("user"), F.lit("meanwhile"))),
+        F.when(said, event(2, n, "regenerate", none, part(0))).otherwise(event(2, n, "edit", none, part(0))), event(3, n, "delta", none, part(1)), event(4, n, "delta", none, part(2)),
+    )
+    return plain.select("conv_id", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("conv_id", "e.*")
+
+
 def write_and_read(events: DataFrame) -> DataFrame:
     """Render the log, write it to the shared folder and parse what is read back."""
     spark = events.sparkSession
@@ -109,8 +130,13 @@ def write_and_read(events: DataFrame) -> DataFrame:
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """One row per conversation with the digest columns of its output."""
-    back = write_and_read(events_of(rows))
+    """One row per conversation with the digest columns of its output, from rows (conv_id, turn,
+    role, text) by way of a streamed log of them (:func:`log_of`).
+
+    Null texts and roles are empty; a null conversation id is a conversation; repeated rows and
+    turns are messages of their own, ordered by role, then text; other columns are left out; an
+    empty table gives no rows."""
+    back = write_and_read(log_of(rows))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("learnt").cast("bigint").alias("loss_chars"),

@@ -41,6 +41,25 @@ def test_digest_against_python(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_fold_gives_back_the_rows_of_a_streamed_log(spark):
+    rows = [(c, t, ("system", "user", "assistant")[(c + t) % 3], "é" * k + f"<{c}> {t}"[: k % 7]) for c in range(9) for t, k in enumerate(range(c + 2))] + [(3, 0, None, None), (None, 0, "assistant", "x")]
+    log = chat.log_of(spark.createDataFrame(rows, ROWS))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["delta"] == 2 * len(rows) and kinds["regenerate"] + kinds["edit"] == len(rows) and kinds["message"] > len(rows)
+    order = lambda found: sorted(((r[0] is None, r[0] or 0), *r[1:]) for r in found)
+    got = [(r.conv_id, r.place[0], r.role, r.text) for r in chat.fold(log).collect()]
+    want = [(r.conv_id, r.place[0], r.role, r.text) for r in chat.fold(chat.events_of(spark.createDataFrame(rows, ROWS))).collect()]
+    assert order((a, b // 8, c, d) for a, b, c, d in got) == order(want)
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], ROWS)
+    more = rows.withColumns({c: F.lit("x") for c in ("seq", "message", "kind", "_reset", "place", "turns")})
+    assert chat.digest(more).collect() == chat.digest(rows).collect()
+
+
 def test_empty_and_long(spark):
     assert chat.digest(spark.createDataFrame([], ROWS)).collect() == []
     long = [(1, t, "assistant" if t % 2 else "user", "word " * 2000) for t in range(300)]
