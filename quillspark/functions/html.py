@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -68,7 +69,14 @@ def _first(root: _Node, good) -> _Node | None:
 
 
 def _plain(node: _Node) -> str:
-    return "".join(c if isinstance(c, str) else _plain(c) for c in node.children)
+    stack, out = [node], []
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            stack += reversed(x.children)
+    return "".join(out)
 
 
 def _without_chrome(node: _Node) -> None:
@@ -79,34 +87,39 @@ def _without_chrome(node: _Node) -> None:
 _BLOCK = frozenset("p div section article main ul ol table tr blockquote pre body figure".split())
 
 
-def _markdown(node: _Node, out: list[str]) -> None:
-    for c in node.children:
-        if isinstance(c, str):
+_WRAPS = {"b": "**", "strong": "**", "i": "_", "em": "_"}
+
+
+def _closed(c: _Node, text: str) -> str:
+    """An element's Markdown, given that of its children."""
+    if re.fullmatch("h[1-6]", c.tag):
+        return f"\n\n{'#' * int(c.tag[1])} {text.strip()}\n\n"
+    if c.tag == "a" and c.attrs.get("href"):
+        return f"[{text}]({c.attrs['href']})"
+    if c.tag in _WRAPS:
+        return f"{_WRAPS[c.tag]}{text}{_WRAPS[c.tag]}"
+    if c.tag == "li":
+        return f"\n  * {text.strip()}"
+    if c.tag in _BLOCK:
+        return f"\n\n{text.strip()}\n\n"
+    return {"br": "  \n", "hr": "\n\n* * *\n\n"}.get(c.tag, text)
+
+
+def _markdown(node: _Node) -> str:
+    """Markdown of a node's children; a stack of open elements, however deep they are nested."""
+    open_: list[tuple[_Node, Iterator, list[str]]] = [(node, iter(node.children), [])]
+    while True:
+        x, rest, out = open_[-1]
+        c = next(rest, None)
+        if c is None:
+            open_.pop()
+            if not open_:
+                return "".join(out)
+            open_[-1][2].append(_closed(x, "".join(out)))
+        elif isinstance(c, str):
             out.append(re.sub(r"\s+", " ", c))
-            continue
-        if c.tag in ("img", "head", "script", "style"):
-            continue
-        inner: list[str] = []
-        _markdown(c, inner)
-        text = "".join(inner)
-        if re.fullmatch("h[1-6]", c.tag):
-            out.append(f"\n\n{'#' * int(c.tag[1])} {text.strip()}\n\n")
-        elif c.tag == "a" and c.attrs.get("href"):
-            out.append(f"[{text}]({c.attrs['href']})")
-        elif c.tag == "br":
-            out.append("  \n")
-        elif c.tag == "li":
-            out.append(f"\n  * {text.strip()}")
-        elif c.tag in ("b", "strong"):
-            out.append(f"**{text}**")
-        elif c.tag in ("i", "em"):
-            out.append(f"_{text}_")
-        elif c.tag == "hr":
-            out.append("\n\n* * *\n\n")
-        elif c.tag in _BLOCK:
-            out.append(f"\n\n{text.strip()}\n\n")
-        else:
-            out.append(text)
+        elif c.tag not in ("img", "head", "script", "style"):
+            open_.append((c, iter(c.children), []))
 
 
 def page(html: str | None) -> dict:
@@ -116,14 +129,12 @@ def page(html: str | None) -> dict:
     tree.close()
     title = _first(tree.root, lambda x: x.tag == "title")
     body = _first(tree.root, lambda x: x.tag == "body") or tree.root
-    full: list[str] = []
-    _markdown(body, full)
+    full = _markdown(body)
     main = _first(tree.root, lambda x: x.tag in _MAIN_TAGS or x.classes() & _MAIN_CLASSES) or body
     _without_chrome(main)
-    part: list[str] = []
-    _markdown(main, part)
+    part = _markdown(main)
     name = _plain(title).strip() if title else ""
-    return {"title": name or None, "main": "".join(part).strip(), "full": "".join(full).strip()}
+    return {"title": name or None, "main": part.strip(), "full": full.strip()}
 
 
 @F.pandas_udf(StructType([StructField(x, StringType()) for x in ("title", "main", "full")]))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
-import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -25,23 +23,72 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        x = (x ^ (x >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
 class Hashing:
-    """Signed feature hashing of words and word pairs into unit vectors."""
+    """Signed feature hashing of words and word pairs into unit vectors.
+
+    Words are runs of ASCII letters, digits and underscores and of characters beyond ASCII; all
+    words of a batch are hashed at once from the bytes of its lower-cased texts."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self.inside = np.array([b >= 128 or b == 95 or chr(b).isalnum() for b in range(256)])
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, t in enumerate(texts):
-            words = re.findall(r"\w+", t.lower())
-            for w in [*words, *map(" ".join, zip(words, words[1:]))]:
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, (h >> 1) % self.dim] += 1 - 2 * (h & 1)
+        raw = [t.lower().encode() + b" " for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        word = self.inside[data]
+        edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        row = np.searchsorted(np.cumsum([len(r) for r in raw]), start, "right") if len(start) else start
+        size = end - start
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        letters = _mixed(data[np.repeat(start, size) + place].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1))
+        with np.errstate(over="ignore"):
+            words = _mixed(np.add.reduceat(letters, np.cumsum(size) - size)) if len(size) else np.zeros(0, np.uint64)
+            pairs = _mixed(words[:-1] * np.uint64(3) + words[1:])[row[1:] == row[:-1]]
+        features, rows = np.concatenate([words, pairs]), np.concatenate([row, row[1:][row[1:] == row[:-1]]])
+        slot = rows * self.dim + ((features >> np.uint64(1)) % np.uint64(self.dim)).astype(np.int64)
+        out = np.bincount(slot, 1.0 - 2.0 * (features & np.uint64(1)).astype(float), len(texts) * self.dim).reshape(len(texts), self.dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 
 
+class Hosted:
+    """A hosted model: ``send`` posts a payload and gives the parsed answer, in whichever of the usual
+    shapes; texts go in one call and answers must be of ``dim`` numbers."""
+
+    def __init__(self, send: Callable[[dict], object], model: str, dim: int = 768, task: str = "query"):
+        self.send, self.model, self.dim, self.task = send, model, dim, task
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.array([self._numbers(x) for x in self._vectors(self.send({"model": self.model, "task": self.task, "input": texts}))], float)
+        if out.shape != (len(texts), self.dim):
+            raise ValueError(f"expected {len(texts)} vectors of {self.dim} numbers, got {out.shape}")
+        return out
+
+    def _vectors(self, answer: object) -> list:
+        """The list of vectors in an answer, or one vector as a list of one."""
+        for key in ("embeddings", "data", "embedding"):
+            if isinstance(answer, dict) and key in answer:
+                answer = answer[key]
+        if isinstance(answer, dict):
+            return [answer]
+        return answer if answer and not isinstance(answer[0], (int, float)) else [answer]
+
+    def _numbers(self, item: object) -> list[float]:
+        while isinstance(item, dict):
+            item = next((item[k] for k in ("embedding", "values", "vector") if k in item), None)
+        return list(item or ())
+
+
 def retried(call: Callable[[], object], *, attempts: int = 4, pause: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> object:
     """The call's result, after at most ``attempts`` tries with growing jittered pauses."""
     for k in range(attempts):

@@ -76,21 +76,29 @@ def extractive(texts: list[str]) -> list[str]:
     return [t.partition("## Excerpts\n")[2].partition("]\n")[2].partition("\n\n")[0] for t in texts]
 
 
-def generate(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]] = lambda: extractive, *, text: str = "prompt") -> DataFrame:
-    """``prompts`` with ``answer`` and ``error``: the generator is made once in each worker; a failed
-    or empty answer is an error, not a failed job."""
+def _answers(call: Callable[[list[str]], list[str]], prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """(answer, error) of each prompt: all at once, and one by one where that fails."""
+    try:
+        found = call(prompts)
+        if len(found) != len(prompts):
+            raise ValueError(f"{len(found)} answers to {len(prompts)} prompts")
+        return [(x, None if x and x.strip() else "empty answer") for x in found]
+    except Exception as e:
+        return [(None, f"{type(e).__name__}: {e}"[:400])] if len(prompts) == 1 else [_answers(call, [p])[0] for p in prompts]
+
+
+def generate(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]] = lambda: extractive, *, text: str = "prompt", batch: int = 32) -> DataFrame:
+    """``prompts`` with ``answer`` and ``error``: the generator is made once in each worker and takes
+    ``batch`` prompts at a time, one at a time where that fails; a failed or empty answer is an
+    error, not a failed job."""
 
     @F.pandas_udf("struct<answer:string,error:string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         call = make()
         for part in parts:
             rows = []
-            for p in part:
-                try:
-                    answer = call([p])[0]
-                    rows.append((answer, None if answer and answer.strip() else "empty answer"))
-                except Exception as e:
-                    rows.append((None, f"{type(e).__name__}: {e}"[:400]))
+            for at in range(0, len(part), batch):
+                rows += _answers(call, part.iloc[at : at + batch].tolist())
             yield pd.DataFrame(rows, columns=["answer", "error"])
 
     return prompts.withColumn("_g", run(text)).withColumns({"answer": T.finish_answer("_g.answer"), "error": F.col("_g.error")}).drop("_g")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.config import BROADCAST_BYTES, RANKING
+from quillspark.config import RANKING
 from quillspark.functions.text import terms
+from quillspark.session import stored
 
-#: Queries that one pass over the vectors answers; more are answered in blocks.
+#: Queries that one pass over the documents answers; more are answered in blocks, one at a time.
 QUERY_BLOCK = 4096
+#: Scores that are held at once, and single additions to them.
+SCORES, ADDITIONS = 1 << 21, 1 << 22
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -27,26 +33,72 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
+def _blocks(queries: DataFrame, query_id: str) -> Iterator[DataFrame]:
+    """Queries in blocks of about half of ``QUERY_BLOCK``, or all at once if they are few."""
+    total = queries.count()
+    n = 1 if total <= QUERY_BLOCK else -(-2 * total // QUERY_BLOCK)
+    for b in range(n):
+        yield queries if n == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == b)
+
+
+def _by_block(queries: DataFrame, query_id: str, search: Callable[[DataFrame], tuple[DataFrame, object] | None]) -> DataFrame | None:
+    """Results of all blocks.  With several, each is written before the next one is begun, so only
+    one block's queries are on the driver and in the workers."""
+    found: list[tuple[DataFrame, object]] = []
+    for block in _blocks(queries, query_id):
+        if found and found[-1][1] is not None:
+            last, spread = found[-1]
+            found[-1] = stored(last, "block"), None
+            spread.destroy()
+        got = search(block)
+        if got is not None:
+            found.append(got)
+    out = None
+    for df, _ in found:
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _best(scores: np.ndarray, docs: np.ndarray, k: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of each query's best ``k`` scores of at least ``least``; ties go to lesser ids."""
+    keep = scores >= least
+    if k is not None and len(scores) > k:
+        keep &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    row, query = np.nonzero(keep)
+    if k is None or not len(row):
+        return row, query
+    order = np.lexsort((docs[row], -scores[row, query], query))
+    row, query = row[order], query[order]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return row[place < k], query[place < k]
+
+
+_HITS = "query_id bigint, doc_id bigint, score double"
+
+
+def _rows(ids: np.ndarray, docs: np.ndarray, scores: np.ndarray, row: np.ndarray, query: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(docs[row]), pa.array(scores[row, query])], ["query_id", "doc_id", "score"])
+
+
 def vector_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", where: Column | None = None, min_score: float | None = None, skip_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` nearest rows by cosine in double precision.
 
-    ``where`` filters the index before it is scored (pushed to its scan).  Each Arrow batch of the
-    index meets a broadcast block of queries in one matrix product and gives its own top ``k``, so
-    at most ``k`` rows for each query and batch are shuffled.  Ties go to the lesser id."""
+    ``where`` filters the index before it is scored (pushed to its scan).  Rows of the index meet a
+    broadcast block of queries in matrix products of bounded size and give their own top ``k``, so
+    at most ``k`` rows for each query and product are shuffled.  Ties go to the lesser id."""
     index = index if where is None else index.where(where)
     side = index.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("v")).where("v is not null")
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+
+    def search(part: DataFrame):
         rows = part.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).where("v is not null").collect()  # one block
         if not rows:
-            continue
+            return None
         ids = np.array([r.q for r in rows], np.int64)
         spread = index.sparkSession.sparkContext.broadcast((ids, _unit(np.array([list(r.v) for r in rows], np.float64))))
-        scored = side.mapInArrow(_scorer(spread, k, min_score, skip_self), "query_id bigint, doc_id bigint, score double")
-        out = scored if out is None else out.union(scored)
+        return side.mapInArrow(_scorer(spread, k, min_score, skip_self), _HITS), spread
+
+    out = _by_block(queries, query_id, search)
     if out is None:
         out = side.select(F.lit(None).cast("bigint").alias("query_id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0.0).alias("score")).where(F.lit(False))
     return ranked(out, k)
@@ -55,18 +107,15 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str =
 def _scorer(spread, k: int, min_score: float | None, skip_self: bool):
     def run(batches):
         ids, q = spread.value
+        step = max(1, SCORES // len(ids))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = np.asarray(batch.column(0), np.int64)
-            scores = np.round(_unit(_matrix(batch.column(1))) @ q.T, 9)  # (rows, queries)
-            if skip_self:
-                scores[docs[:, None] == ids[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(docs[:, None], scores.shape), -scores), axis=0)[:k]
-            best = np.take_along_axis(scores, order, axis=0)
-            keep = np.isfinite(best) if min_score is None else best >= min_score
-            at, which = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(docs[order[at, which]]), pa.array(best[at, which])], ["query_id", "doc_id", "score"])
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                docs = np.asarray(part.column(0), np.int64)
+                scores = np.round(_unit(_matrix(part.column(1))) @ q.T, 9)  # (rows, queries)
+                if skip_self:
+                    scores[docs[:, None] == ids[None, :]] = -np.inf
+                yield _rows(ids, docs, scores, *_best(scores, docs, k, -2.0 if min_score is None else min_score))
 
     return run
 
@@ -80,33 +129,101 @@ def ranked(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, term, tf, length): the inverted index, one row for each term of each document.
 
-    Counted within the row, so building it needs no shuffle."""
-    t = docs.select(F.col(doc_id).alias("doc_id"), terms(text).alias("t"))
-    counted = t.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return counted.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", k1: float = RANKING.bm25_k1, b: float = RANKING.bm25_b) -> DataFrame:
-    """(query_id, doc_id, score) for every document with a term of the query.
-
-    Only terms of queries are exploded and aggregated; the query side is broadcast when it is
-    small, else joined by shuffle.  A query's repeated terms count once; rows without a text, as
-    those that have only a vector, are no documents here."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(query))).alias("term"))
-    wanted = asked.select("term").distinct()
-    sized = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
-    small = sized <= BROADCAST_BYTES
-    hint = F.broadcast if small else lambda d: d
-    t = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), terms(text).alias("t"))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
-    n, mean = stats["n"], stats["mean"] or 1.0
-    tf = t.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(hint(wanted), "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean))))
-    weighed = hint(asked.join(df, "term")) if small else asked.join(df, "term")
-    return tf.join(weighed, "term").withColumn("w", weight).groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
+    Terms are sorted and counted within their row, so building it needs no shuffle; rows that
+    repeat an id are documents of their own."""
+    t = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(terms(text)).alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    t = t.where(F.size("t") > 0).withColumn("s", starts)
+    counted = F.transform("s", lambda at, i: F.struct(F.get("t", at).alias("term"), (F.coalesce(F.get("s", i + 1), F.size("t")) - at).cast("bigint").alias("tf")))
+    return t.select("doc_id", F.size("t").alias("length"), F.explode(counted).alias("x")).select("doc_id", "x.term", "length", "x.tf")
+
+
+class _Asked:
+    """The terms of a block of queries and, for each term, the queries that have it."""
+
+    def __init__(self, rows: list[tuple[int, list[str]]]):
+        self.ids = np.array([q for q, _ in rows], np.int64)
+        self.terms = pa.array(sorted({t for _, ts in rows for t in ts}), pa.string())
+        place = {t: i for i, t in enumerate(self.terms.to_pylist())}
+        pairs = np.array(sorted((place[t], q) for q, (_, ts) in enumerate(rows) for t in ts), np.int64).reshape(-1, 2)
+        self.queries = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
+
+    def counts(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, tf) of the asked terms in lists of terms, and the lists' lengths."""
+        length = pc.list_value_length(lists).fill_null(0).to_numpy()
+        at = pc.index_in(lists.flatten(), value_set=self.terms)
+        row = np.repeat(np.arange(len(lists)), length)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        key, tf = np.unique(row[known] * max(len(self.terms), 1) + at.drop_null().to_numpy().astype(np.int64), return_counts=True)
+        return key // max(len(self.terms), 1), key % max(len(self.terms), 1), tf, length
+
+
+def _doc_counts(spread):
+    """(term, n): documents with each asked term; -1 counts documents, -2 adds up their lengths."""
+
+    def run(batches):
+        for batch in batches:
+            _, term, _, length = spread.value.counts(batch.column(1))
+            found, n = np.unique(term, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, [-1, -2])), pa.array(np.append(n, [len(length), int(length.sum())]))], ["term", "n"])
+
+    return run
+
+
+def _text_scorer(spread, weights, k: int | None, k1: float, b: float):
+    def run(batches):
+        asked, (idf, mean) = spread.value, weights.value
+        n_queries = len(asked.ids)
+        step = max(1, SCORES // n_queries)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                docs = np.asarray(part.column(0), np.int64)
+                row, term, tf, length = asked.counts(part.column(1))
+                w = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
+                scores = np.zeros(len(docs) * n_queries)
+                width = np.diff(asked.first)[term]
+                ends = np.cumsum(width)
+                cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, ADDITIONS)).tolist() + [len(ends)]
+                for x, y in zip(cuts, cuts[1:]):
+                    n = width[x:y]
+                    each = np.repeat(asked.first[term[x:y]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    scores += np.bincount(np.repeat(row[x:y] * n_queries, n) + asked.queries[each], np.repeat(w[x:y], n), len(scores))
+                scores = np.round(scores.reshape(len(docs), n_queries), 9)
+                found, query = _best(scores, docs, k, 1e-9)
+                yield _rows(asked.ids, docs, scores, found, query)
+
+    return run
+
+
+def bm25(queries: DataFrame, docs: DataFrame, *, k: int | None = None, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", k1: float = RANKING.bm25_k1, b: float = RANKING.bm25_b) -> DataFrame:
+    """(query_id, doc_id, score) of documents with a term of the query; with ``k``, at least the best
+    ``k`` of each query (:func:`ranked` takes these).
+
+    Texts are split in the JVM; a block of queries meets them as a broadcast table of its terms, of
+    which a first pass counts the documents.  Only candidates for the top leave a task, so no more
+    than ``k`` rows for each query and batch are shuffled.  A query's repeated terms count once;
+    rows without a text, as those that have only a vector, are no documents here."""
+    t = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), terms(text).alias("t"))
+    asked_terms = queries.select(F.col(query_id).alias("q"), F.array_distinct(terms(query)).alias("t")).where(F.size("t") > 0)
+    context = docs.sparkSession.sparkContext
+
+    def search(part: DataFrame):
+        rows = [(r.q, list(r.t)) for r in part.collect()]  # one block
+        if not rows:
+            return None
+        asked = _Asked(rows)
+        spread = context.broadcast(asked)
+        counted = dict(t.mapInArrow(_doc_counts(spread), "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect())  # a row for each asked term
+        n, total = counted.get(-1, 0), counted.get(-2, 0)
+        df = np.array([counted.get(i, 0) for i in range(len(asked.terms))], np.float64)
+        weights = context.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if total else 1.0))
+        return t.mapInArrow(_text_scorer(spread, weights, k, k1, b), _HITS), spread
+
+    out = _by_block(asked_terms, "q", search)
+    return t.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).where(F.lit(False)) if out is None else out
 
 
 def text_topk(queries: DataFrame, docs: DataFrame, k: int, **options) -> DataFrame:
-    return ranked(bm25(queries, docs, **options), k)
+    return ranked(bm25(queries, docs, k=k, **options), k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillspark.functions import text as T
+from quillspark.session import stored
 
 THRESHOLD = 88.0
 _QUOTE = "\"([^\"\\n]{4,200})\"|“([^”\\n]{4,200})”"
@@ -83,11 +84,17 @@ def _segments(known: DataFrame, share: float) -> DataFrame:
 
 
 def _probes(forms: DataFrame, share: float) -> DataFrame:
-    """(length, k, piece, _c): where a piece of a fitting line of each length may stand in a form."""
+    """(length, k, piece, _c): where a piece of a fitting line of each length may stand in a form.
+
+    Some piece stands unchanged with at most k edits before it and at most the rest behind it, so
+    piece k is shifted by at most k places seen from either end."""
     n = F.length("_c")
     rows = forms.withColumn("length", F.explode(F.sequence(F.ceil(n * share - 1e-9).cast("int"), F.floor(n / share + 1e-9).cast("int"))))
     edits = _edits(F.col("length"), share)
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), edits))).withColumn("shift", F.explode(F.sequence(-edits, edits)))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), edits)))
+    k, more = F.col("k"), n - F.col("length")
+    low, high = F.greatest(-k, more - (edits - k)), F.least(k, more + (edits - k))
+    rows = rows.where(low <= high).withColumn("shift", F.explode(F.sequence(low, high)))
     start = _cut(F.col("length"), F.col("k"), edits + 1)
     size = _cut(F.col("length"), F.col("k") + 1, edits + 1) - start
     rows = rows.withColumns({"at": start + F.col("shift"), "size": size}).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
@@ -157,7 +164,8 @@ def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, th
     pairs of its own that hold all of ``threshold`` or more; only such pairs are scored.  A scorer
     that isn't of this module sees the Levenshtein pairs.  Quotes without a line of ``threshold``
     or more have a null line and score 0."""
-    rows = asked.withColumn("_c", T.canon("quote"))
+    rows = stored(asked.withColumn("_c", T.canon("quote")), "asked")
+    known = stored(known, "known")
     exact = rows.join(known.withColumnRenamed("canon", "_k"), F.col("_c") == F.col("_k"), "left").drop("_k")
     done = exact.where("n is not null").withColumns({"score": F.lit(100.0), "exact": F.lit(True)})
     open_ = exact.where("n is null").drop("n", "text")

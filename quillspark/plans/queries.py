@@ -15,7 +15,7 @@ from quillspark.functions import html
 from quillspark.functions import text as T
 from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, rerank, route, search, tags, validate, verify
 from quillspark.plans import retrieval
-from quillspark.session import prepared
+from quillspark.session import prepared, stored
 from quillspark.sources import readers, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -693,11 +693,11 @@ def hashed_embedding(spark, sf_dir):
 
 @query()
 def retrieval_plan(spark, sf_dir):
-    """Contexts for all benchmark items through the whole plan."""
-    d = table(spark, sf_dir, "documents")
-    docs = d.join(_vector_index(spark, sf_dir).select("doc_id", "vector"), "doc_id", "left").withColumn("type", F.when(F.col("doc_id") % 4 == 0, "poem").otherwise("analysis"))
-    asked = _items(spark, sf_dir).join(_vector_index(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "vector"), "query_id")
-    got = retrieval.retrieve(asked, docs, 5, where=F.col("type").isin("poem", "analysis"), prefer="poem")
+    """Contexts for all benchmark items through the whole plan, with local embeddings of passages and
+    of every variant of a question."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("type", F.when(F.col("doc_id") % 4 == 0, "poem").otherwise("analysis"))
+    docs = stored(embed.with_vectors(d), "passages")
+    got = retrieval.retrieve(_items(spark, sf_dir), docs, 5, embedder=embed.Hashing, where=F.col("type").isin("poem", "analysis"), prefer="poem")
     return got.contexts.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -3,6 +3,7 @@ confidence gate, re-ranking, prompts.  Every step is a plan over all questions a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.config import top_k
 from quillspark.operators import fuse, prompt, rerank, route, search
+from quillspark.operators.embed import QUERY, Provider, with_vectors
+from quillspark.session import stored
 
 
 @dataclass
@@ -31,32 +34,53 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, *, where: Column
     return fuse.hybrid(v, t, k, always=always)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, *, where: Column | None = None, entities: dict | None = None, prefer: str | None = None, long_answer: bool = False, mode: str = "lexical") -> Result:
-    """Contexts and prompts for queries (query_id, query, vector).
+def _found(probe: DataFrame, docs: DataFrame, k: int, name: str, *, where: Column | None = None, relaxed: bool) -> DataFrame:
+    """Hits of all probes (vid, query, vector, query_id, variant), written once."""
+    asked = probe.select(F.col("vid").alias("query_id"), "query", "vector")
+    hits = hybrid_search(asked, docs, k, where=where).withColumnRenamed("query_id", "vid")
+    return stored(hits.join(probe.select("vid", "query_id", "variant"), "vid").drop("vid").withColumn("relaxed", F.lit(relaxed)), name)
 
-    All variants are searched with and without the filter in two passes; the relaxation rules
-    then keep what a search that stops early would have collected."""
+
+def _counts(asked: DataFrame, strict: DataFrame, relaxed: DataFrame | None) -> DataFrame:
+    out = asked.select("query_id", "variant")
+    for name, hits in (("hits", strict), ("hits_relaxed", relaxed)):
+        if hits is None:
+            out = out.withColumn(name, F.lit(0).cast("bigint"))
+        else:
+            out = out.join(hits.groupBy("query_id", "variant").agg(F.count("*").alias(name)), ["query_id", "variant"], "left").fillna(0, [name])
+    return out
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, *, embedder: Callable[[], Provider] | None = None, where: Column | None = None, entities: dict | None = None, prefer: str | None = None, long_answer: bool = False, mode: str = "lexical") -> Result:
+    """Contexts and prompts for queries (query_id, query[, vector]).
+
+    Every variant of a query is searched as itself: with an ``embedder`` its own text is embedded,
+    as a query; without one its vector is the question's for the question and none for others, which
+    then find by words alone.  All variants are searched with the filter at once; those of queries
+    for which that gives too little are searched again without it.  The relaxation rules then keep
+    what a search that stops early would have collected."""
     k = top_k(k)
-    asked = fuse.variants(queries.select("query_id", "query", "vector"), entities=entities)
-    wide = asked.withColumn("vid", F.col("query_id") * 1000 + F.col("variant"))
-    probe = wide.select(F.col("vid").alias("query_id"), F.col("text").alias("query"), "vector")
-    strict = hybrid_search(probe, docs, max(k, 10), where=where).withColumn("relaxed", F.lit(False))
-    parts = [strict]
+    asked = fuse.variants(queries, entities=entities).withColumnRenamed("text", "_variant").drop("query").withColumnRenamed("_variant", "query")
+    if embedder is not None:
+        asked = with_vectors(asked.drop("vector"), embedder, text="query", prefix=QUERY)
+    else:
+        asked = asked.withColumn("vector", F.when(F.col("variant") == 0, F.col("vector")))
+    probe = stored(asked.select("query_id", "variant", "query", "vector").withColumn("vid", F.monotonically_increasing_id()), "probes")
+    strict = _found(probe, docs, max(k, 10), "strict", where=where, relaxed=False)
+    relaxed = None
     if where is not None:
-        parts.append(hybrid_search(probe, docs, max(k, 12)).withColumn("relaxed", F.lit(True)))
-    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    every = every.withColumns({"variant": F.pmod("query_id", F.lit(1000)).cast("int"), "query_id": F.floor(F.col("query_id") / 1000).cast("bigint")})
-    counted = every.groupBy("query_id", "variant").agg(F.count_if(~F.col("relaxed")).alias("hits"), F.count_if(F.col("relaxed")).alias("hits_relaxed"))
-    counts = asked.select("query_id", "variant").join(counted, ["query_id", "variant"], "left").fillna(0, ["hits", "hits_relaxed"])
-    kept = fuse.relax(counts, k, filtered=where is not None).where("kept").select("query_id", "variant", "stage")
+        few = fuse.relax(_counts(probe, strict, None), k, filtered=False).where("kept").groupBy("query_id").agg(F.sum("hits").alias("n")).where(F.col("n") < k)
+        relaxed = _found(probe.join(few.select("query_id"), "query_id", "left_semi"), docs, max(k, 12), "relaxed", relaxed=True)
+    every = strict if relaxed is None else strict.unionByName(relaxed)
+    kept = fuse.relax(_counts(probe, strict, relaxed), k, filtered=where is not None).where("kept").select("query_id", "variant", "stage")
     staged = every.withColumn("relaxed_", F.col("relaxed")).join(kept.withColumn("relaxed_", F.col("stage") == 3), ["query_id", "variant", "relaxed_"]).drop("relaxed_")
     marked = fuse.annotate(staged).join(docs.drop("vector"), "doc_id")
     if prefer is not None:
         marked = fuse.type_boost(marked, kind=prefer)
-    single = fuse.dedupe(marked, "doc_id", ["stage", "variant", "rank"])
+    single = stored(fuse.dedupe(marked, "doc_id", ["stage", "variant", "rank"]), "hits")
     blocked = fuse.low_confidence(single, k).where("blocked").select("query_id")
     good = single.join(blocked, "query_id", "left_anti").join(queries.select("query_id", "query"), "query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "stage", "variant", "rank")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "stage", "variant", "rank", "doc_id")
     ordered = good.withColumn("rank", F.row_number().over(order))
     deep = rerank.rerank(ordered, max(2 * k, 12), mode).withColumn("rank", F.col("new_rank")).drop("new_rank")
     contexts = deep.where(F.col("rank") <= rerank.contexts_taken(k, long_answer))

@@ -113,3 +113,78 @@ def test_evaluation(spark):
     asked = spark.createDataFrame([(1, ["x", "y"]), (2, []), (3, ["q"])], "request_id int, required_tags array<string>")
     chunks = spark.createDataFrame([(1, ["x"], "one"), (2, ["x", "y"], "two"), (3, ["y"], "three")], "place int, tags array<string>, text string")
     assert {r.request_id: r.context for r in evaluate.pick_contexts(asked, chunks).collect()} == {1: "two\n\n---\n\none", 2: "", 3: ""}
+
+
+def test_postings_against_counter(spark):
+    import re
+    from collections import Counter
+
+    rows = [(1, "a b a C c, a"), (2, ""), (3, None), (4, "đ'x É é"), (1, "b")]
+    got = Counter((r.doc_id, r.term, r.tf, r.length) for r in search.postings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = Counter()
+    for i, t in rows:
+        words = re.findall(r"[\w']+", (t or "").lower())
+        want.update((i, w, n, len(words)) for w, n in Counter(words).items())
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [search.QUERY_BLOCK, 3])
+def test_text_search_against_loops(spark, monkeypatch, block):
+    import math
+    import random
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(search, "SCORES", 40)
+    monkeypatch.setattr(search, "ADDITIONS", 16)
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(100, None)]
+    asked = [(q, " ".join(rng.choice("abcdefghz") for _ in range(q % 5))) for q in range(9)]
+    held = [(i, t.split()) for i, t in docs if t is not None]
+    mean, want = sum(len(w) for _, w in held) / len(held), set()
+    for q, text in asked:
+        scores = {}
+        for t in set(text.split()):
+            df = sum(t in w for _, w in held)
+            for i, w in held:
+                if t in w:
+                    tf = w.count(t)
+                    scores[i] = scores.get(i, 0) + math.log(1 + (len(held) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        best = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:4]
+        want |= {(q, i, k, round(scores[i], 6)) for k, i in enumerate(best, 1)}
+    d, a = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(asked, "query_id bigint, query string")
+    assert {(r.query_id, r.doc_id, r["rank"], round(r.score, 6)) for r in search.text_topk(a, d, 4).collect()} == want
+    v = spark.createDataFrame([(i, [float(rng.randint(-2, 2)) for _ in range(3)] + [1.0]) for i in range(40)], "doc_id bigint, vector array<double>")
+    m = {r.doc_id: np.array(r.vector) / np.linalg.norm(r.vector) for r in v.collect()}
+    near = {(q, i) for q in m for i in sorted(m, key=lambda i: (-round(float(m[q] @ m[i]), 9), i))[:5]}
+    assert {(r.query_id, r.doc_id) for r in search.vector_topk(v.withColumnRenamed("doc_id", "query_id"), v, 5).collect()} == near
+
+
+def test_variants_are_searched_as_themselves(spark, monkeypatch):
+    from quillspark.plans import retrieval
+
+    probes = []
+    search_both = retrieval.hybrid_search
+    monkeypatch.setattr(retrieval, "hybrid_search", lambda asked, *a, **o: probes.extend(asked.collect()) or search_both(asked, *a, **o))
+
+    texts = ["tu hai hero", "từ hải hero", "the river runs", "another text here", "kim trọng", "a hero of none"]
+    docs = embed.with_vectors(spark.createDataFrame([(i, t, "poem" if i % 2 else "bio") for i, t in enumerate(texts)], "doc_id bigint, text string, type string"))
+    big = 2**60 + 1
+    q = spark.createDataFrame([(big, "Từ Hải"), (big + 1, "river"), (5, "")], "query_id bigint, query string")
+    got = retrieval.retrieve(q, docs, 4, embedder=embed.Hashing, where=F.col("type") == "poem")
+    hits = got.hits.collect()
+    assert {r.query_id for r in hits} == {big, big + 1}
+    assert len({(r.query_id, r.doc_id) for r in hits}) == len(hits) and any(r.relaxed for r in hits)
+    assert len(probes) > len({r.query_id for r in probes}) > 8  # one query is searched again without the filter
+    for r in probes:
+        assert np.allclose(r.vector, embed.Hashing().embed([embed.QUERY + r.query])[0], atol=1e-6)
+    assert {r.query_id for r in got.prompts.collect()} == {big, big + 1, 5}
+
+
+def test_hosted_embeddings_are_read_in_any_shape():
+    shapes = [lambda v: {"embeddings": [{"values": x} for x in v]}, lambda v: {"data": [{"embedding": x} for x in v]}, lambda v: {"embedding": {"values": v[0]}}, lambda v: [*v], lambda v: v[0]]
+    for shape in shapes:
+        sent = []
+        model = embed.Hosted(lambda p: sent.append(p) or shape([[1.0, 2.0]]), "m", dim=2)  # noqa: B023
+        assert model.embed(["x"]).tolist() == [[1.0, 2.0]] and sent[0]["input"] == ["x"]
+    with pytest.raises(ValueError):
+        embed.Hosted(lambda p: {"data": []}, "m", dim=2).embed(["x"])

@@ -49,3 +49,8 @@ def test_label_ladder(spark):
     rows = spark.createDataFrame([("s", "poem", 1, 4, None, None, 2), ("s", "bio", None, None, 0, 9, 2), ("s", "bio", None, None, None, None, 3), ("", "bio", None, None, None, None, None)], "src string, type string, line_start int, line_end int, char_start int, char_end int, chunk_index int")
     assert [r.y for r in rows.select(T.source_label("src").alias("y")).collect()] == ["s:L1-4", "s:0-9", "s#chunk3", "unknown"]
     assert F.col("x") is not None
+
+
+def test_deep_pages_are_walked():
+    deep = html.page("<title>t</title><body>" + "<div>" * 5000 + "text <b>bold</b>" + "</div>" * 5000)
+    assert deep == {"title": "t", "main": "text **bold**", "full": "text **bold**"}
