@@ -9,8 +9,9 @@ once no register can change, so a signature costs about (elements + m log m) poi
 Exact copies form classes first; one representative of each goes on.  Signatures are cut into
 bands; buckets of more than a few members are also divided by further bands.  A bucket's members
 are compared with its most central one.  Where verified links leave a bucket in several components,
-all its members of different components are compared, in salted blocks: by signatures first, then
-by exact multiset overlap.  A block gives no more links than members, so rows stay in proportion.
+members of different components are compared, in salted blocks: by signatures first, then by exact
+multiset overlap.  Members of its largest component stay in one block each and are visited by the
+others.  A block gives no more links than members, so rows stay in proportion.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
-from quillspark.llm.common import dropped, written
+from quillspark.llm.common import Scratch, written
 from quillspark.llm.components import components
 
 REGISTERS = 128
@@ -158,22 +159,32 @@ def first_pairs(members: DataFrame) -> DataFrame:
 
 
 def divided(members: DataFrame, hit: DataFrame, joined: DataFrame) -> DataFrame:
-    """(bucket, band, cid, component) of buckets that links haven't joined yet, without the central
-    members, which have met all others."""
+    """(bucket, band, cid, component, main) of buckets that links haven't joined yet, without the
+    central members, which have met all others; ``main`` marks a bucket's largest component."""
     rows = hit.where("n > 2").select("cid", "band", "bucket").join(_central(members), "bucket").where("cid <> rep").drop("rep")
     named = rows.join(joined.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    apart = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    return named.join(apart, "bucket").select("bucket", "band", "cid", "component")
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    apart = sizes.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("size", "component")).alias("m")).where("components > 1").select("bucket", F.col("m.component").alias("largest"))
+    return named.join(apart, "bucket").select("bucket", "band", "cid", "component", (F.col("component") == F.col("largest")).alias("main"))
 
 
 def _blocked(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows (bucket, …) dealt by pairs of blocks (x, y) of their bucket, those of a pair together;
-    sizes (bucket, blocks)."""
-    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other")
+    """rows (bucket, …, main) dealt to groups (bucket, x, y), those of a group together; sizes
+    (bucket, blocks, others).
+
+    Members of the main component stay once, in block x = y >= 0, and all other members visit each
+    of these blocks: the main component's members never meet each other, so a large family with
+    some outliers costs rows in proportion.  The others meet among themselves in pairs of blocks of
+    their own, x < 0."""
+    dealt = rows.join(sizes, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.greatest(F.col(n), F.lit(1).cast("bigint")))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
+    home = F.struct(own("blocks").alias("x"), own("blocks").alias("y"))
+    visits = F.transform(upto("blocks"), lambda b: F.struct(b.alias("x"), b.alias("y")))
+    among = F.transform(upto("others"), lambda b: F.struct((-1 - F.least(own("others"), b)).alias("x"), F.greatest(own("others"), b).alias("y")))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("main"), F.array(home)).otherwise(F.concat(visits, among))))
     keys = ["bucket", "x", "y"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "component", "cid")
+    return dealt.select(*rows.columns, "at.x", "at.y").repartition(*keys).sortWithinPartitions(*keys, "component", "cid")
 
 
 def _groups(batches):
@@ -199,22 +210,31 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def _near(sig: np.ndarray, component: np.ndarray, band: int):
-    """(i, js) of members of different components that are estimated near and share no earlier band.
-    Members are sorted by component."""
+def _near(sig: np.ndarray, t: pa.Table):
+    """(i, js) of a group's members of different components that are estimated near and share no
+    earlier band.  Members are sorted by component; visitors meet the main component only."""
+    band, component = t.column("band")[0].as_py(), _column(t, "component")
+    main = np.asarray(t.column("main"), bool)
+    crossed = t.column("x")[0].as_py() >= 0
     ends = np.searchsorted(component, component, "right")
-    i = 0
-    while i < len(sig) and ends[i] < len(sig):
-        to = min(ends[i], i + max(1, STEP // (REGISTERS * (len(sig) - ends[i]))))
-        first = ends[i]
-        same = sig[i:to, None, :] == sig[None, first:, :]
+    left = np.flatnonzero(~main) if crossed else np.flatnonzero(ends < len(sig))
+    rest = np.flatnonzero(main) if crossed else None
+    at = 0
+    while at < len(left):
+        right = rest if crossed else np.arange(ends[left[at]], len(sig))
+        if not len(right):
+            return
+        rows = left[at : at + max(1, STEP // (REGISTERS * len(right)))]
+        if not crossed:
+            rows = rows[ends[rows] == ends[rows[0]]]  # members of one component meet all behind it
+        same = sig[rows][:, None, :] == sig[right][None, :, :]
         a, b = np.nonzero(same.sum(axis=2, dtype=np.int32) >= ESTIMATE * REGISTERS)
         agree = same[a, b, : BANDS * ROWS].reshape(len(a), BANDS, ROWS).all(axis=2)
         good = agree[:, band] & ~agree[:, :band].any(axis=1)
         a, b = a[good], b[good]
         for k in np.unique(a).tolist():
-            yield i + k, first + b[a == k]
-        i = to
+            yield int(rows[k]), right[b[a == k]]
+        at += len(rows)
 
 
 def _signed(t: pa.Table) -> np.ndarray:
@@ -227,7 +247,7 @@ def _candidates(batches):
         if t.num_rows < 2:
             continue
         used = np.zeros(t.num_rows, bool)
-        for i, js in _near(_signed(t), _column(t, "component"), t.column("band")[0].as_py()):
+        for i, js in _near(_signed(t), t):
             used[i] = used[js] = True
         if used.any():
             keep = pa.array(used)
@@ -246,7 +266,7 @@ def _joins(t: pa.Table):
     total = np.add.reduceat(count, start)
     dense = np.zeros(len(known), np.int64)
     root = np.unique(component, return_inverse=True)[1]
-    for i, js in _near(_signed(t), component, t.column("band")[0].as_py()):
+    for i, js in _near(_signed(t), t):
         js = js[(root[js] != root[i]) & (np.minimum(total[js], total[i]) >= SIMILARITY * np.maximum(total[js], total[i]) - 1e-6)]
         if not len(js):
             continue
@@ -272,11 +292,14 @@ def _rest(batches):
 def rest_links(apart: DataFrame, classes: DataFrame, bags: DataFrame) -> DataFrame:
     """(cid, rep): links that join the components of all buckets as far as any pair in them does."""
     sig = classes.select("cid", "sig")
-    blocks = F.ceil(F.count("*") / BLOCK).cast("bigint")
-    dealt = _blocked(apart.join(sig, "cid"), apart.groupBy("bucket").agg(blocks.alias("blocks")))
+    per = lambda what, most, of: F.ceil(F.sum(F.when(of, what).otherwise(0)) / most).cast("bigint")
+    main, one = F.col("main"), F.lit(1)
+    dealt = _blocked(apart.join(sig, "cid"), apart.groupBy("bucket").agg(per(one, BLOCK, main).alias("blocks"), per(one, BLOCK, ~main).alias("others")))
     near = written(dealt.mapInArrow(_candidates, "bucket bigint, cid bigint").distinct(), "near")
-    sizes = near.join(bags.select("cid", "size"), "cid").groupBy("bucket").agg(F.greatest(blocks, F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("bigint")).alias("blocks"))
-    full = apart.join(near, ["bucket", "cid"]).join(sig, "cid").join(bags.select("cid", "hashes", "counts"), "cid")
+    found = apart.join(near, ["bucket", "cid"])
+    widths = [F.greatest(per(one, BLOCK, of), per(F.col("size"), BLOCK_SHINGLES, of)).alias(name) for name, of in (("blocks", main), ("others", ~main))]
+    sizes = found.join(bags.select("cid", "size"), "cid").groupBy("bucket").agg(*widths)
+    full = found.join(sig, "cid").join(bags.select("cid", "hashes", "counts"), "cid")
     return written(_blocked(full, sizes).mapInArrow(_rest, "cid bigint, rep bigint"), "rest")
 
 
@@ -345,13 +368,15 @@ def joined_classes(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id",
 
 def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, text) with their class keys, and (class_key, copy_of, class_id, component)."""
-    signed = written(rows.mapInArrow(_sign("text"), "doc_id bigint, class_key binary, sig binary"), "signatures")
-    classes = signed.groupBy("class_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    joined = joined_classes(rows, classes).withColumnRenamed("node", "cid")
-    named = classes.select("cid", "class_key", "doc").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    heads = named.groupBy("component").agg(F.min("doc").alias("class_id"))
-    return signed, written(named.join(heads, "component").select("class_key", F.col("doc").alias("copy_of"), "class_id", "component"), "named")
+    with Scratch(rows.sparkSession) as scratch:
+        signed = scratch.keep(written(rows.mapInArrow(_sign("text"), "doc_id bigint, class_key binary, sig binary"), "signatures"))
+        classes = signed.groupBy("class_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+        classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        joined = joined_classes(rows, classes).withColumnRenamed("node", "cid")
+        named = classes.select("cid", "class_key", "doc").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        heads = named.groupBy("component").agg(F.min("doc").alias("class_id"))
+        named = scratch.keep(written(named.join(heads, "component").select("class_key", F.col("doc").alias("copy_of"), "class_id", "component"), "named"))
+    return signed, named
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
