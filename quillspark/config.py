@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,30 @@ class Generation:
     tokens_long: int = 1400
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a deployment sets; each field is read from ``spark.quillspark.<field>``, else from the
+    environment's ``QUILLSPARK_<FIELD>``, else its default stands."""
+
+    top_k: int = 10
+    rerank: str = "lexical"
+    long_answer: bool = False
+    show_sources: bool = True
+    cache_capacity: int = 256
+    cache_ttl: int = 7200
+
+    @classmethod
+    def read(cls, spark=None, env: Mapping[str, str] = os.environ) -> Settings:
+        found = {}
+        for field in fields(cls):
+            value = spark.conf.get(f"spark.quillspark.{field.name}", None) if spark is not None else None
+            value = env.get(f"QUILLSPARK_{field.name.upper()}") if value is None else value
+            if value is not None:
+                kind = type(field.default)
+                found[field.name] = value.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(value.strip())
+        return cls(**found)
+
+
 def top_k(value: object, default: int = 10) -> int:
     """A usable k: ``default`` for what isn't a number, 1 for what isn't positive."""
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Phrases by which an answer refuses.
@@ -57,6 +57,25 @@ def pick_contexts(requests: DataFrame, chunks: DataFrame, *, blocks: int = 2, mo
     return requests.select("request_id").join(texts.select("request_id", cut.alias("context")), "request_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
+#: Our own templates of training records: instruction, required tags, seed of the output.
+TEMPLATES = [
+    ("Explain how the heroine's fate and talent are set against each other.", ["char:thuy_kieu", "theme:tai_menh"], ""),
+    ("Describe how the two sisters are portrayed and what the difference foretells.", ["char:thuy_van", "char:thuy_kieu"], ""),
+    ("Show how landscape carries feeling in the passage.", ["device:ta_canh_ngu_tinh"], ""),
+    ("Name the allusions in the passage and what each adds.", ["device:dien_co"], ""),
+    ("Discuss the conventional images of the passage.", ["device:uoc_le"], ""),
+    ("Read the scene in which love is handed on to the sister.", ["section:trao_duyen"], ""),
+    ("Characterise the hero by his words and deeds.", ["char:tu_hai", "section:chi_khi_anh_hung"], ""),
+    ("Discuss reward and revenge in the judgement scene.", ["section:bao_an_bao_oan"], ""),
+    ("Say what the poem's compassion rests on.", ["theme:nhan_dao", "theme:so_phan"], ""),
+]
+
+
+def template_table(spark: SparkSession) -> DataFrame:
+    """(request_id, instruction, required_tags, output_seed) of the templates."""
+    return spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "request_id bigint, instruction string, required_tags array<string>, output_seed string")
+
+
 def sft_records(templates: DataFrame, contexts: DataFrame, system: str) -> DataFrame:
     """templates (request_id, instruction, required_tags, output_seed) joined with their contexts."""
     return templates.join(contexts, "request_id").select(F.lit(system).alias("system"), "instruction", "context", F.trim(F.coalesce("output_seed", F.lit(""))).alias("output"), F.col("required_tags").alias("tags"))

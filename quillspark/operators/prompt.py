@@ -29,9 +29,10 @@ TASKS = {
 }
 
 
-def excerpts_allowed(task: str, n: int = 0) -> int:
-    """How many excerpts a prompt takes; ``n`` counts citations, pairs or points."""
-    return {"review": max(n, 12), "claims": 8, "counter": 3 * n, "outline": 2 * n}.get(task, 12)
+def excerpts_allowed(task: str, n: int | None = None) -> int:
+    """How many excerpts a prompt takes; ``n`` counts citations, pairs or points, of
+    which two pairs and three points are usual."""
+    return {"review": max(n or 0, 12), "claims": 8, "counter": 3 * (2 if n is None else n), "outline": 2 * (3 if n is None else n)}.get(task, 12)
 
 
 def history(turns: DataFrame, n: int, *, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -71,6 +72,26 @@ def rag_prompts(questions: DataFrame, contexts: DataFrame, *, long_answer: bool
     return got.select("query_id", prompt(task, F.col(query), F.col("excerpts"), F.col("history")).alias("prompt"))
 
 
+def task_prompts(questions: DataFrame, task: str, contexts: DataFrame | None = None, *, n: int | None = None, query: str = "query", histories: DataFrame | None = None) -> DataFrame:
+    """(query_id, prompt) of any task for a batch: small talk, the generic depths, disambiguation and
+    comparison without excerpts; review, claims, counter-arguments, quotation check and outline with
+    as many as :func:`excerpts_allowed` gives."""
+    got = questions
+    got = got.join(excerpts(contexts, excerpts_allowed(task, n)), "query_id", "left") if contexts is not None else got.withColumn("excerpts", F.lit(""))
+    got = got.join(histories, "query_id", "left") if histories is not None else got.withColumn("history", F.lit(""))
+    return got.select("query_id", prompt(task, F.col(query), F.col("excerpts"), F.col("history")).alias("prompt"))
+
+
+def with_sources(answers: DataFrame, sources: DataFrame, *, visible: bool = True, text: str = "answer") -> DataFrame:
+    """Answers with their sources' labels (query_id, label, first_rank) listed below, if they are to
+    be seen; an answer without sources stays."""
+    if not visible:
+        return answers
+    listed = sources.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_rank", "label"))), lambda x: F.concat(F.lit("- "), x.label)), "\n").alias("_listed"))
+    joined = answers.join(listed, "query_id", "left")
+    return joined.withColumn(text, F.when(F.col("_listed").isNotNull(), F.concat(F.col(text), F.lit("\n\nSources\n"), F.col("_listed"))).otherwise(F.col(text))).drop("_listed")
+
+
 def extractive(texts: list[str]) -> list[str]:
     """The local default generator: the first excerpt's body."""
     return [t.partition("## Excerpts\n")[2].partition("]\n")[2].partition("\n\n")[0] for t in texts]

@@ -98,3 +98,8 @@ def profiles(messages: DataFrame, *, session: str = "session_id", order: str = "
     """(session_id, name): the last name each session's messages give."""
     named = messages.withColumn("name", introduced_name(text)).where("name is not null")
     return named.groupBy(session).agg(F.max_by("name", order).alias("name"))
+
+
+def rendered_profile(name: Column | str) -> Column:
+    """A profile's line for prompts; null without a name."""
+    return F.concat(F.lit("Name: "), T.col(name))

@@ -62,3 +62,8 @@ def report(chunks: DataFrame) -> DataFrame:
 def shown_errors(chunks: DataFrame, limit: int = 40) -> DataFrame:
     """The first errors by id, for a report."""
     return checked(chunks).where("verdict <> 'ok'").orderBy("id", "reason").limit(limit).select("id", "verdict", "reason")
+
+
+def exit_code(chunks: DataFrame) -> int:
+    """1 where any header breaks a rule, else 0."""
+    return int(checked(chunks).where("verdict <> 'ok'").limit(1).count() > 0)

@@ -707,3 +707,6 @@ def generated_answers(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     hits = search.text_topk(_items(spark, sf_dir), docs, 5).join(_labelled(docs).select("doc_id", "label", "text"), "doc_id")
     return prompt.generate(prompt.rag_prompts(_items(spark, sf_dir), hits)).select("query_id", "answer", "error")
+
+
+from quillspark.plans import answer_queries, ingest_queries  # noqa: E402, F401  (they register here)

@@ -4,9 +4,3 @@ from __future__ import annotations
 
 #: The header of a chunk file.
 META_DDL = "source string, source_id string, type string, title string, chunk_index int, line_start int, line_end int, char_start int, char_end int, id string, tags array<string>"
-#: An indexed chunk.
-CHUNK_DDL = "id string, text string, meta struct<source:string,source_id:string,type:string,title:string,chunk_index:int,line_start:int,line_end:int,char_start:int,char_end:int,id:string,tags:array<string>>, vector array<float>"
-#: A ranked hit.
-HIT_DDL = "query_id bigint, doc_id bigint, text string, score double, source string, rank int"
-#: A cache lookup.
-EVENT_DDL = "session_id string, ts timestamp, key string, value string"

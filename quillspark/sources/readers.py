@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.config import CHUNKING
 from quillspark.functions import text as T
 from quillspark.functions.html import extract
+from quillspark.operators import chunk
 from quillspark.schemas import META_DDL
 
 META = "###META###"
@@ -69,6 +70,19 @@ def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame
     return raw.select(where.alias("path"), kind.alias("type"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("value").alias("text"))
 
 
+def corpus(files: DataFrame, include: tuple[str, ...] = TYPE_BY_FOLDER, *, least: int = CHUNKING.min_paragraph_words) -> DataFrame:
+    """files (path, type, stem, text) of the included types to (id, type, source, idx, text, place).
+
+    One document for each paragraph, with the id ``type::stem::idx``; ``place`` orders a type's
+    ``.txt`` files before its ``.md`` files, then by path.  A stem that is in both gives the ids of
+    both, as its files are documents of their own."""
+    chosen = of_type(files, *include).withColumn("place", F.struct(F.endswith("path", F.lit(".md")).cast("int").alias("kind"), "path"))
+    keyed = chosen.withColumn("_key", F.struct("type", "stem", "place"))
+    rows = chunk.paragraphs(keyed, "_key", least=least)
+    ident = F.concat_ws("::", "_key.type", "_key.stem", F.col("idx").cast("string"))
+    return rows.select(ident.alias("id"), "_key.type", F.col("_key.stem").alias("source"), "idx", "text", "_key.place")
+
+
 def parse_chunks(raw: DataFrame, *, min_words: int = CHUNKING.min_chunk_words) -> DataFrame:
     """raw (stem, text) of chunk files to (id, text, meta, parsed).
 
@@ -106,10 +120,48 @@ def sections(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("title", T.strip_ends(F.substring_index("p", "\n", 1))).withColumn("body", T.strip_ends(body)).drop("p")
 
 
-def pdf_text(files: DataFrame, tiers: list[tuple[str, Callable[[bytes], str | None]]]) -> DataFrame:
+def _piped(*command: str) -> Callable[[bytes], str]:
+    """Text that a command-line tool gives for a file on its standard input."""
+
+    def run(content: bytes) -> str:
+        import subprocess
+
+        return subprocess.run(command, input=content, capture_output=True, check=True, timeout=600).stdout.decode("utf-8", "ignore")
+
+    return run
+
+
+def _pdfium(content: bytes) -> str:
+    import pypdfium2
+
+    return "\n".join(page.get_textpage().get_text_range() for page in pypdfium2.PdfDocument(content))
+
+
+def _recognised(content: bytes) -> str:
+    """A text layer put on by a recogniser, read back by the first tier."""
+    import subprocess
+
+    layered = subprocess.run(("ocrmypdf", "--force-ocr", "-", "-"), input=content, capture_output=True, check=True, timeout=3600).stdout
+    return _piped("pdftotext", "-layout", "-", "-")(layered)
+
+
+def _page_images(content: bytes) -> str:
+    import pypdfium2
+    import pytesseract
+
+    return "\n".join(pytesseract.image_to_string(page.render(scale=3).to_pil()) for page in pypdfium2.PdfDocument(content))
+
+
+#: Tools that give a PDF's text, the quickest first; one that isn't installed fails and is passed over.
+PDF_TIERS = [("pdftotext", _piped("pdftotext", "-layout", "-", "-")), ("pdfium", _pdfium), ("ocrmypdf", _recognised), ("page_images", _page_images)]
+
+
+def pdf_text(files: DataFrame, tiers: list[tuple[str, Callable[[bytes], str | None]]] | None = None) -> DataFrame:
     """files (path, content) with (text, tier): the first tier whose text passes the quality gate;
     the last tier's text is taken if it isn't empty.  Tiers that fail or are not installed give null."""
 
+    tiers = PDF_TIERS if tiers is None else tiers
+
     def gate(t: str | None) -> bool:
         return bool(t) and len(t.strip()) >= 40 and t.count("�") <= 0.01 * len(t)
 

@@ -50,6 +50,11 @@ def markdown(pages: DataFrame) -> DataFrame:
     return pages.select("name", F.concat(F.lit("<!-- source: "), F.col("url"), F.lit(" -->\n\n"), F.col("markdown")).alias("md"), T.strip_links("markdown").alias("txt"))
 
 
+def text(rows: DataFrame, path: str, column: str = "text") -> None:
+    """Normalised texts, each closed by a line end."""
+    rows.select(T.normalise_prose(column, line_ends=True).alias("value")).write.mode("overwrite").text(path)
+
+
 def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
