@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import dropped, fresh, shuffle_partitions, written
+from quillspark.llm.common import Scratch, dropped, fresh, shuffle_partitions, written
 
 #: Sources by code point, null last, weigh these in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -23,8 +23,9 @@ FLIPS, NEAR = 8, 0.0005
 #: Units of one source and size that one task ranks.
 CELL = 1 << 16
 
-#: Sources up to which their table, some hundred bytes a row, is broadcast.
-BROADCAST_SOURCES = 50_000
+#: Sources, and cells and single documents of a plan, up to which their tables, some hundred bytes a
+#: row, are broadcast.
+BROADCAST_SOURCES, BROADCAST_CELLS = 50_000, 500_000
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -107,13 +108,19 @@ def _units(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     return written(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "units")
 
 
-def decide(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, m, source_size, target, rate, copies) for each unit.
+def _order(doc_id, source) -> Column:
+    return F.xxhash64(F.lit("mix"), doc_id, source)
 
-    A unit is the rows equal in id, source and size; each of its ``m`` rows is taken ``copies``
-    times (0 to ``most``).  Null texts have size 0; a null source is a source; documents of size
-    0 count nothing and are taken once.  Copies follow hashes of the id, so reruns agree.
-    """
+
+def _subs(n) -> Column:
+    """Parts that a cell of ``n`` units is ranked in."""
+    return F.ceil(n / F.lit(CELL))
+
+
+def _plan(docs: DataFrame, doc_id: str, source: str, text: str, weights: tuple[float, ...], share: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(units, cells, changes): every unit with its copies before corrections; the parts of cells
+    (source, size, m, n, rate, sub, last), where ``last`` (order, doc_id) is the last unit with a
+    copy more; and the few corrected units (source, doc_id, size, m, by)."""
     units = _units(docs, doc_id, source, text)
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("rows"))
     goals = targets(totals.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s").join(totals.select("source", "rows"), F.col("s").eqNullSafe(F.col("source"))).drop("s")
@@ -129,8 +136,8 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", t
     # fractions, largest units first, so a source's error is at most half its largest unit.
     here = rated.withColumnsRenamed({"source": "s", "size": "z", "m": "k"})
     same = units.source.eqNullSafe(F.col("s")) & (units["size"] == F.col("z")) & (units.m == F.col("k"))
-    dealt = units.join(here, same).drop("s", "z", "k").withColumn("order", F.xxhash64(F.lit("mix"), "doc_id", "source"))
-    dealt = dealt.withColumn("sub", F.pmod("order", F.ceil(F.col("n") / CELL)))
+    dealt = units.join(here, same).drop("s", "z", "k").withColumn("order", _order("doc_id", "source"))
+    dealt = dealt.withColumn("sub", F.pmod("order", _subs(F.col("n"))))
     subs = dealt.groupBy("source", "size", "m", "sub").agg(F.count("*").alias("c"), F.first("rate").alias("rate"))
     along = Window.partitionBy("source").orderBy(F.desc(F.col("size") * F.col("m")), F.desc("size"), "sub")
     part = F.col("c") * (F.col("rate") - F.floor("rate"))
@@ -139,41 +146,90 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", t
     quota = subs.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("m").alias("k"), F.col("sub").alias("b"), (F.floor(until + 0.5) - F.floor(before + 0.5)).alias("more"))
     met = dealt.join(quota, dealt.source.eqNullSafe(F.col("s")) & (dealt["size"] == F.col("z")) & (dealt.m == F.col("k")) & (dealt["sub"] == F.col("b")))
     rank = F.row_number().over(Window.partitionBy("source", "size", "m", "sub").orderBy("order", "doc_id"))
-    out = met.withColumn("copies", F.least(F.floor("rate") + F.when(rank <= F.col("more"), 1).otherwise(0), F.lit(most)).cast("int"))
-    out = written(out.select("doc_id", "source", "size", "m", "source_size", "target", "rate", "copies", "order"), "copies")
-    return _corrected(out, most, _hint(goals)).drop("order")
+    out = met.withColumn("plus", rank <= F.col("more")).withColumn("copies", F.least(F.floor("rate") + F.col("plus").cast("int"), F.lit(most)).cast("int"))
+    out = written(out.select("doc_id", "source", "size", "m", "n", "source_size", "target", "rate", "sub", "copies", "order", "plus"), "copies")
+    last = F.max(F.when(F.col("plus"), F.struct("order", "doc_id"))).alias("last")
+    parts = out.groupBy("source", "size", "m", "sub").agg(F.first("n").alias("n"), F.first("rate").alias("rate"), last)
+    return out, parts, _changes(out, most, _hint(goals))
+
+
+def decide(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(doc_id, source, size, m, source_size, target, rate, copies) for each unit.
+
+    A unit is the rows equal in id, source and size; each of its ``m`` rows is taken ``copies``
+    times (0 to ``most``).  Null texts have size 0; a null source is a source; documents of size
+    0 count nothing and are taken once.  Copies follow hashes of the id, so reruns agree.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        out, _, changes = _plan(docs, doc_id, source, text, weights, share, most)
+        return _corrected(scratch.keep(out), scratch.keep(changes)).select("doc_id", "source", "size", "m", "source_size", "target", "rate", "copies")
+
+
+def _small(table: DataFrame, most: int):
+    return F.broadcast if table.count() <= most else (lambda d: d)
+
+
+def _corrected(out: DataFrame, changes: DataFrame) -> DataFrame:
+    c = changes.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), F.col("m").alias("k"), "by")
+    met = out.join(_small(c, BROADCAST_CELLS)(c), out.source.eqNullSafe(F.col("s")) & out.doc_id.eqNullSafe(F.col("d")) & (out["size"] == F.col("z")) & (out.m == F.col("k")), "left")
+    return met.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("s", "d", "z", "k", "by")
 
 
-def _corrected(out: DataFrame, most: int, hint) -> DataFrame:
-    """Change one unit of each source by one copy, the one that brings its words nearest to the
-    target, until all are near or the rounds are over."""
+def _changes(out: DataFrame, most: int, hint) -> DataFrame:
+    """(source, doc_id, size, m, by): units changed by one copy, one of each source in each round, the
+    one that brings its words nearest to the target, until all are near or the rounds are over."""
+    took = written(_few(out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("took"), F.first("target").alias("goal"))), "took")
+    none = out.select("source", "doc_id", "size", "m", F.lit(0).alias("by")).limit(0)
+    changes = written(none, "changes")
     for _ in range(FLIPS):
-        took = out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("took"), F.first("target").alias("goal"))
-        gaps = _few(took).withColumn("gap", F.col("goal") - F.col("took")).where(F.abs("gap") > NEAR * F.col("goal")).select(F.col("source").alias("s"), "gap")
-        met = out.join(hint(gaps), out.source.eqNullSafe(F.col("s")))
+        moved = changes.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("by") * F.col("size") * F.col("m")).alias("moved"))
+        gap = F.col("goal") - F.col("took") - F.coalesce("moved", F.lit(0))
+        gaps = took.join(hint(moved), took.source.eqNullSafe(F.col("s")), "left").withColumn("gap", gap).where(F.abs("gap") > NEAR * F.col("goal")).select(F.col("source").alias("s"), "gap")
+        met = out.join(hint(gaps), out.source.eqNullSafe(F.col("s"))).drop("s")
         able = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
         left = F.abs(F.abs("gap") - F.col("size") * F.col("m"))
-        best = met.where(able & (left < F.abs("gap"))).groupBy("source").agg(F.min(F.struct(left.alias("left"), "order", "doc_id", "size", "m", F.signum("gap").cast("int").alias("by"))).alias("b"))
-        best = _few(best).select(F.col("source").alias("s"), F.col("b.doc_id").alias("d"), F.col("b.size").alias("z"), F.col("b.m").alias("k"), "b.by")
-        changed = written(out.join(hint(best), out.source.eqNullSafe(F.col("s")) & out.doc_id.eqNullSafe(F.col("d")) & (out["size"] == F.col("z")) & (out.m == F.col("k")), "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).withColumn("moved", F.col("by").isNotNull()).drop("s", "d", "z", "k", "by"), "copies")
-        dropped(out)
-        some = changed.where("moved").limit(1).count()
-        out = changed.drop("moved")
-        out._quill_path = changed._quill_path
-        if not some:
+        met = met.where(able & (left < F.abs("gap")))
+        done = changes.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), F.col("m").alias("k"))
+        met = met.join(hint(done), met.source.eqNullSafe(F.col("s")) & met.doc_id.eqNullSafe(F.col("d")) & (met["size"] == F.col("z")) & (met.m == F.col("k")), "left_anti")
+        best = met.groupBy("source").agg(F.min(F.struct(left.alias("left"), "order", "doc_id", "size", "m", F.signum("gap").cast("int").alias("by"))).alias("b"))
+        more = written(_few(best.select("source", "b.doc_id", "b.size", "b.m", "b.by")), "changes")
+        if not more.limit(1).count():
             break
-    return out
+        changes = written(_few(changes.unionByName(more)), "changes")
+    return changes
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself: each row of ``docs`` repeated as often as :func:`decide` says.
 
-    Columns are those of ``docs``, whatever their names.  Nulls, texts without words and repeated
-    rows are as in :func:`decide`; an empty table stays empty."""
-    size, d, s, z, copies, copy = fresh(docs.columns, "size", "d", "s", "z", "copies", "copy")
-    plan = decide(docs, doc_id=doc_id, source=source, text=text, **options).select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(copies))
-    sized = docs.withColumn(size, words(F.col(text)))
-    met = sized.join(plan.where(F.col(copies) > 0), F.col(doc_id).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)))
+    A row's copies follow from its cell and its hash, so texts stay where they are: cells of
+    single rows, and the few documents that are corrected or repeated, are broadcast.  Beyond the
+    bound of either table rows meet their copies by shuffle.  Columns are those of ``docs``,
+    whatever their names.  Nulls, texts without words and repeated rows are as in :func:`decide`;
+    an empty table stays empty."""
+    with Scratch(docs.sparkSession) as scratch:
+        units, parts, changes = _plan(docs, doc_id, source, text, weights, share, most)
+        cells = parts.where("m = 1").groupBy("source", "size").agg(F.first("n").alias("n"), F.first("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("sub", "last"))).alias("lasts"))
+        cells = scratch.keep(written(cells, "mix_cells"))
+        every = _corrected(units, changes)
+        touched = changes.select(F.col("source").alias("s"), F.col("doc_id").alias("d")).distinct()
+        single = every.where("m > 1").unionByName(every.join(_small(touched, BROADCAST_CELLS)(touched), every.source.eqNullSafe(F.col("s")) & every.doc_id.eqNullSafe(F.col("d")), "left_semi").where("m = 1"))
+        single = scratch.keep(written(single.select("doc_id", "source", "size", "copies"), "mix_single"))
+        small = max(cells.count(), single.count()) <= BROADCAST_CELLS
+        if not small:
+            single = scratch.keep(written(every.select("doc_id", "source", "size", "copies"), "mix_units"))
+    size, order, d, s, z, copies, cs, cz, n, rate, lasts, copy = fresh(docs.columns, "size", "order", "d", "s", "z", "copies", "cs", "cz", "n", "rate", "lasts", "copy")
+    hint = F.broadcast if small else (lambda t: t)
+    own = single.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(copies))
+    met = docs.withColumn(size, words(F.col(text))).join(hint(own), F.col(doc_id).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)), "left" if small else "inner")
+    times = F.col(copies)
+    if small:
+        named = cells.select(F.col("source").alias(cs), F.col("size").alias(cz), F.col("n").alias(n), F.col("rate").alias(rate), F.col("lasts").alias(lasts))
+        met = met.join(F.broadcast(named), F.col(source).eqNullSafe(F.col(cs)) & (F.col(size) == F.col(cz)), "left").withColumn(order, _order(F.col(doc_id), F.col(source)))
+        last = F.filter(lasts, lambda x: x["sub"] == F.pmod(F.col(order), _subs(F.col(n))))[0]["last"]
+        plus = F.struct(F.col(order).alias("order"), F.col(doc_id).alias("doc_id")) <= last
+        times = F.coalesce(times, F.least(F.floor(rate) + F.coalesce(plus, F.lit(False)).cast("int"), F.lit(most)).cast("int"))
+    met = met.withColumn(copies, times).where(F.col(copies) > 0)
     return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 

@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyspark.sql.functions as F
 import pytest
@@ -50,6 +50,16 @@ def test_rates_meet_targets_before_rounding(docs):
     assert all(abs(x.r - x.t) < 1e-6 * x.t for x in plan)
 
 
+@pytest.mark.parametrize("bound", [mixing.BROADCAST_CELLS, 0])
+def test_mix_repeats_rows_with_and_without_broadcasts(docs, make, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", bound)
+    monkeypatch.setattr(mixing, "CELL", 16)
+    more = docs.unionByName(make([(i, words(i, 9), "a") for i in range(5000, 5200)])).unionByName(make([(77, "twice the same", "b")] * 3 + [(None, "no id", "c")] * 2))
+    copies = {(r.doc_id, r.source, r["size"]): r.copies * r.m for r in mixing.decide(more).collect()}
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixing.mix(more).collect())
+    assert got == {k: n for k, n in copies.items() if n}
+
+
 def test_mix_repeats_rows(docs):
     copies = {r.doc_id: r.copies for r in mixing.account(docs).collect()}
     mixed = mixing.mix(docs.withColumns({"size": F.lit("s"), "copies": F.lit("c"), "target": F.lit("t")}))
