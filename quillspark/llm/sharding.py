@@ -3,7 +3,9 @@
 A row's key hash is a string of bits.  The directory is indexed by hash prefixes: a bucket whose
 bytes exceed the limit splits on one more bit, all others stay, until every shard fits.  Buckets
 come from a histogram of prefixes some bits finer than the expected depth; only prefixes that are
-too large even there are counted again with more bits.
+too large even there are counted again with more bits.  Rows look their bucket up by a prefix about
+as long as the buckets are many, so the directory that is broadcast has a row for each bucket or two,
+and texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import Scratch, written
 
 #: Bytes of text that a shard holds at most.
 SHARD_BYTES = 64 << 20
 #: Hash bits in all, and how many finer than the expected depth a histogram is.
-BITS, FINER = 60, 6
-#: Directory rows up to which a broadcast is asked for: 48 bytes each.
-BROADCAST_ROWS = 200_000
+BITS, FINER = 60, 4
+#: Buckets up to which the directory is broadcast, some 100 bytes each: 100 TB in shards of 64 MiB.
+BROADCAST_BUCKETS = 3_000_000
 #: Shards' worth of bytes that one task numbers in a bucket that bits can't split.
 RUN = 8
 
@@ -44,40 +46,51 @@ def _level(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return cells.join(best, "cell", "left").select("cell", "bytes", "b.depth", "b.prefix", "b.bucket_bytes")
 
 
-def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> list[tuple[int, DataFrame]]:
-    """Directory levels for ``rows`` (bits, bytes): (bits of a cell, cells as of :func:`_level`).
+def _buckets(level: DataFrame) -> DataFrame:
+    return level.where("depth is not null").select("depth", "prefix", "bucket_bytes").distinct()
 
-    A cell without a bucket is looked up in the next level by a longer prefix.  In the last level,
-    if that has all bits, it is a bucket of one hash that bits cannot split.
-    """
+
+def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """(depth, prefix, bucket_bytes) of all buckets of ``rows`` (bits, bytes).
+
+    Every prefix of fewer bits than the first histogram's is tried on that histogram's coarser
+    sums.  A bucket of all bits may exceed the limit: one hash that bits cannot split."""
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    low, high = 0, 0 if total <= limit else min(BITS, math.ceil(math.log2(total / limit)) + FINER)
-    levels = []
+    depth = 0 if total <= limit else math.ceil(math.log2(total / limit))
+    low, high = max(0, depth - FINER), min(BITS, depth + FINER) if depth else 0
+    found = None
     while True:
-        cells = rows.groupBy(F.shiftright("bits", BITS - high).alias("cell")).agg(F.sum("bytes").alias("bytes"))
+        cells = written(rows.groupBy(F.shiftright("bits", BITS - high).alias("cell")).agg(F.sum("bytes").alias("bytes")), "cells")
         level = written(_level(cells, low, high, limit), "directory")
-        levels.append((high, level))
+        if found is None and low:  # the first histogram: a prefix that fits at its least depth may be part of a shallower one
+            top = level.groupBy(F.shiftright("cell", high - low).alias("cell")).agg(F.sum("bytes").alias("bytes"))
+            shallow = written(_buckets(_level(top, 0, low, limit)), "directory")
+            found = shallow.unionByName(_buckets(level.where(F.col("depth") > low)))
+        else:
+            found = _buckets(level) if found is None else found.unionByName(_buckets(level))
         over = level.where("depth is null")
-        if high == BITS or not over.limit(1).count():
-            return levels
+        if not over.limit(1).count():
+            return found
+        if high == BITS:
+            return found.unionByName(over.select(F.lit(BITS).alias("depth"), F.col("cell").alias("prefix"), F.col("bytes").alias("bucket_bytes")))
         rows = rows.join(over.select("cell"), F.shiftright("bits", BITS - high) == F.col("cell"), "left_semi")
         low, high = high + 1, min(BITS, high + 2 * FINER)
 
 
-def _looked_up(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+def _looked_up(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """rows (row, n_bytes, bits) and their ``depth``, ``prefix``, ``shard_bytes``."""
-    out = rows.withColumns({"depth": F.lit(None).cast("int"), "prefix": F.lit(None).cast("bigint"), "shard_bytes": F.lit(None).cast("bigint")})
-    for high, level in levels:
-        last = high == BITS
-        found = level if last else level.where("depth is not null")
-        small = found.count() <= BROADCAST_ROWS
-        part = found.select(
-            F.col("cell").alias("_cell"), F.coalesce("depth", F.lit(BITS)).alias("_depth"), F.coalesce("prefix", "cell").alias("_prefix"), F.coalesce("bucket_bytes", "bytes").alias("_bytes")
-        )
-        key = F.when(F.col("depth").isNull(), F.shiftright("bits", BITS - high))
-        out = out.join(F.broadcast(part) if small else part, key == F.col("_cell"), "left")
-        out = out.withColumns({"depth": F.coalesce("depth", "_depth"), "prefix": F.coalesce("prefix", "_prefix"), "shard_bytes": F.coalesce("shard_bytes", "_bytes")}).drop("_cell", "_depth", "_prefix", "_bytes")
-    return out
+    n = buckets.count()
+    bits = max(0, math.ceil(math.log2(max(n, 1))) - 1)
+    # A bucket shallower than the keys is under several of them, as many as there are buckets in all.
+    away = F.lit(bits) - F.col("depth")
+    left = lambda x: F.call_function("shiftleft", x, F.greatest(away, F.lit(0)).cast("int"))
+    keys = F.when(away > 0, F.sequence(left(F.col("prefix")), left(F.col("prefix") + 1) - 1)).otherwise(F.array(_right(F.col("prefix"), F.greatest(-away, F.lit(0)))))
+    # Hashes are uniform, so a key has few buckets, and a path of 60 at most where one hash is hot.
+    table = buckets.select(F.explode(keys).alias("key"), F.struct("depth", "prefix", "bucket_bytes").alias("b")).groupBy("key").agg(F.collect_list("b").alias("under"))
+    hint = F.broadcast if n <= BROADCAST_BUCKETS else (lambda d: d)
+    met = rows.join(hint(table), F.shiftright("bits", BITS - bits) == F.col("key"), "left")
+    own = F.element_at(F.filter("under", lambda b: _right(F.col("bits"), F.lit(BITS) - b["depth"]) == b["prefix"]), 1)
+    return met.withColumn("b", own).select(*rows.columns, "b.depth", "b.prefix", F.col("b.bucket_bytes").alias("shard_bytes"))
 
 
 def _numbered(rows: DataFrame, limit: int) -> DataFrame:
@@ -109,10 +122,11 @@ def shard(docs: DataFrame, *, limit: int = SHARD_BYTES, doc_id: str = "doc_id",
     kept = [c for c in docs.columns if c not in made]
     row = F.struct(*[F.col(c) for c in kept])  # whatever the columns' names, none meets one of this module
     keyed = docs.select(row.alias("row"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), key_bits(F.col(doc_id)).alias("bits"))
-    sizes = written(keyed.groupBy("bits").agg(F.sum("n_bytes").alias("bytes")), "sizes")
-    levels = directory(sizes, limit)
+    with Scratch(docs.sparkSession) as scratch:
+        sizes = written(keyed.groupBy("bits").agg(F.sum("n_bytes").alias("bytes")), "sizes")
+        buckets = scratch.keep(written(directory(sizes, limit), "buckets"))
     digits = F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
-    out = _looked_up(keyed, levels).withColumn("shard", digits)
-    if levels[-1][0] == BITS:
+    out = _looked_up(keyed, buckets).withColumn("shard", digits)
+    if buckets.where(F.col("bucket_bytes") > limit).limit(1).count():
         out = out.where(F.col("shard_bytes") <= limit).unionByName(_numbered(out.where(F.col("shard_bytes") > limit), limit))
     return out.select("row.*", *made)

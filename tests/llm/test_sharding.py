@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pyspark.sql.functions as F
+import pytest
 
 from quillspark.llm import sharding
 
@@ -39,6 +40,21 @@ def test_buckets_split_only_where_too_large(make):
     assert max(per.values()) <= 3000 and all(per[r["shard"]] == r.shard_bytes for r in got)
 
 
+@pytest.mark.parametrize("limit", [200, 900, 20_000, 10**6])
+def test_any_limit_against_brute_force(make, limit, monkeypatch):
+    """Buckets far deeper and far shallower than expected, looked up with and without broadcasts."""
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", 5 if limit < 1000 else 10**6)
+    docs = make([(i, words(i, 3)) for i in range(150)] + [(1000 + i, words(i, 400)) for i in range(3)])
+    got = sharding.shard(docs, limit=limit).withColumn("bits", sharding.key_bits(F.col("doc_id"))).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.bits] += r.n_bytes
+    want = brute(sizes, limit)
+    for r in got:
+        depth, prefix = want[r.bits]
+        assert r.depth == depth and r["shard"].startswith(format(prefix, f"0{depth}b") if depth else "*")
+
+
 def test_one_key_over_the_limit_is_divided(make):
     docs = make([(7, "x" * 100) for _ in range(300)] + [(i, "y" * 50) for i in range(20)] + [(8, "z" * 5000)])
     got = sharding.shard(docs, limit=1000).collect()
