@@ -21,12 +21,13 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
 from collections import OrderedDict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,18 +39,53 @@ END_ID = 0
 WINDOW = 16
 #: A chunk ends where the rolling hash has so many zero bits, within these lengths in ids.
 MASK_BITS, LEAST, MOST = 9, 256, 2048
-#: Pieces of text whose ids a worker remembers, twice, and chunks it remembers having sent.
-REMEMBERED, SENT = 800_000, 100_000
+#: Pieces of text whose ids a worker remembers, and chunks it remembers having sent.
+REMEMBERED, SENT = 2_000_000, 100_000
+#: Bytes of text that are cut and looked up at once.
+STEP_BYTES = 512 << 10
 _U = np.uint64
 
 # Latin letters up to U+024F, an apostrophe among them included: with the space before it such a
 # word is cut off by the byte-level pattern on both sides, whatever stands around it, but for other
-# letters and for an apostrophe that begins a pre-token.
+# letters and for an apostrophe that begins a pre-token.  Of other white space the last one before a
+# word is a pre-token of its own.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-# White space but the space: its last one before a word is a pre-token of its own.
-_WHITE = "\\t-\\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPLIT = re.compile(f"( ?[{_LETTERS}]+(?:'[{_LETTERS}]+)*|[{_WHITE}](?=[{_LETTERS}]))")
 _ODD = re.compile(f"[^\\W\\d_{_LETTERS}]|[^\\x00-\\x7f\\w\\s](?=[{_LETTERS}])|(?<![{_LETTERS}])'(?=[{_LETTERS}])")
+#: A byte that UTF-8 never has: it parts texts that are cut together.
+_BREAK = 0xFF
+_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_LAST_WHITE = np.isin(np.arange(256), [0x80, 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x81, 0x8B)])
+
+
+def _cut(data: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of texts that :data:`_ODD` doesn't find; ``data`` begins with three breaks
+    and has one behind each text.
+
+    Pieces are words with the space before them, the last other white space before a word, breaks,
+    and whatever stands between these."""
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    sign = (data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))  # times, division
+    inside = _ASCII_LETTER[data]
+    inside[lead[~sign]] = inside[lead[~sign] + 1] = True
+    marks = np.flatnonzero(data == 0x27)
+    inside[marks[inside[marks - 1] & inside[np.minimum(marks + 1, len(data) - 1)]]] = True
+    edge = np.diff(inside.astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    starts = np.zeros(len(data) + 1, bool)
+    starts[end] = True
+    before = data[begin - 1]
+    spaced = before == 0x20
+    starts[begin - spaced] = True
+    starts[begin[(before >= 9) & (before <= 13)] - 1] = True
+    wide = begin[_LAST_WHITE[before]]
+    one, two, three = data[wide - 1], data[wide - 2], data[wide - 3]
+    starts[wide[(two == 0xC2) & ((one == 0x85) | (one == 0xA0))] - 2] = True
+    general = (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    rare = ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | ((three == 0xE2) & (two == 0x81) & (one == 0x9F)) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+    starts[wide[general | rare] - 3] = True
+    breaks = np.flatnonzero(data == _BREAK)
+    starts[breaks] = starts[breaks + 1] = True
+    return np.flatnonzero(starts[: len(data)])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,56 +95,150 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(256 + b - sum(x < b for x in own)) for b in range(256)}
 
 
-class Encoder(dict):
-    """Encodes whole texts word by word; a word seen before costs a look-up.
+class Encoder:
+    """Encodes whole texts piece by piece; a piece seen before costs a look-up.
 
     As in a plain call of the tokenizer, the string of an added token in a text, such as
-    ``<|endoftext|>``, is that token's id; a text that holds one is encoded as it stands.  Maps pieces to their ids as bytes; one that is a single pre-token goes straight to the
-    tokenizer's model.  The newest pieces and the generation before them are kept.
+    ``<|endoftext|>``, is that token's id; a text that holds one is encoded as it stands.  Pieces are
+    cut and hashed for many texts at once and looked up in an open hash table, by one 64-bit hash
+    and checked by another; only new ones go to the tokenizer, single pre-tokens straight to its model.
+    Beyond ``remembered`` pieces all are forgotten.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.kind = np.dtype(self.code)
-        self.before: dict[str, bytes] = {}
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.remembered = remembered
+        self._clear(1 << 12)
+
+    def _clear(self, slots: int) -> None:
+        """An empty table; of each slot the piece's hash (0 if it is free), its other hash, and where
+        its ids are among all pieces' ids and how many."""
+        self.mask, self.held = _U(slots - 1), 0
+        self.key, self.other = np.zeros(slots, _U), np.zeros(slots, _U)
+        self.at, self.n = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.ids, self.n_ids = np.zeros(1 << 12, self.kind), 0
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Each hash's slot, or the free one where its search ends."""
+        slot = (key & self.mask).astype(np.int64)
+        going = np.flatnonzero((self.key[slot] != key) & (self.key[slot] != 0))
+        while len(going):
+            slot[going] = (slot[going] + 1) & int(self.mask)
+            held = self.key[slot[going]]
+            going = going[(held != key[going]) & (held != 0)]
+        return slot
+
+    def _put(self, key: np.ndarray, other: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Adds distinct hashes that aren't there."""
+        left = np.arange(len(key))
+        while len(left):
+            slot = self._find(key[left])
+            own, first = np.unique(slot, return_index=True)  # of those that end at one slot the first gets it
+            done = left[first]
+            self.key[own], self.other[own], self.at[own], self.n[own] = key[done], other[done], at[done], n[done]
+            left = np.delete(left, first)
+        self.held += len(key)
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _piece(self, piece: str) -> list[int]:
+        word = piece[1:] if piece[0] == " " else piece
+        if not word.isalpha():
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        if not word.isascii():  # one pre-token, as the following
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        elif word is not piece:
+            piece = "\u0120" + word
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _learn(self, key: np.ndarray, other: np.ndarray, pieces: list[bytes]) -> None:
+        """Adds pieces of new hashes."""
+        lists = [[] if p[0] == _BREAK else self._piece(p.decode()) for p in pieces]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(n.sum())
+        while self.n_ids + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(lists), self.kind, total)
+        first = self.n_ids + np.cumsum(n) - n
+        self.n_ids += total
+        if 2 * (self.held + len(key)) > len(self.key):  # at most half of the slots are taken
+            full = np.flatnonzero(self.key)
+            old = self.key[full], self.other[full], self.at[full], self.n[full]
+            slots = len(self.key)
+            while 2 * (self.held + len(key)) > slots:
+                slots *= 2
+            ids, n_ids = self.ids, self.n_ids
+            self._clear(slots)
+            self.ids, self.n_ids = ids, n_ids
+            self._put(*old)
+        self._put(key, other, first, n)
+
+    def _by_piece(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts without odd characters; None for one with a piece whose hash is another's."""
+        if self.held > self.remembered:
+            self._clear(1 << 12)
+        mark = bytes([_BREAK])
+        data = np.frombuffer(3 * mark + b"".join(t.encode() + mark for t in texts), np.uint8)
+        start = _cut(data)
+        size = np.diff(np.append(start, len(data)))
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
+        with np.errstate(over="ignore"):
+            part = tv._BYTE[data] * tv.powers(int(size.max()) + 1)[place]
+            key = np.maximum(tv.mix(np.add.reduceat(part, start) + size.astype(_U)), _U(1))
+            other = np.add.reduceat(part ^ (part >> _U(29)), start)
+        slot = self._find(key)
+        new = np.flatnonzero(self.key[slot] == 0)
+        if len(new):
+            known, first = np.unique(key[new], return_index=True)
+            where = new[first]
+            self._learn(known, other[where], [data[a : a + n].tobytes() for a, n in zip(start[where].tolist(), size[where].tolist())])
+            slot = self._find(key)
+        n = self.n[slot].astype(np.int64)
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[slot] - (ends - n), n) + np.arange(int(ends[-1]))]
+        close = ends[np.flatnonzero(data[start] == _BREAK)[2:]]  # ids up to each break behind a text
+        out: list[np.ndarray | None] = [ids[a:b] for a, b in zip(close[:-1].tolist(), close[1:].tolist())]
+        strange = np.flatnonzero(self.other[slot] != other)
+        if len(strange):
+            row = np.cumsum(data == _BREAK)[start[strange]] - 3
+            for i in np.unique(row).tolist():
+                out[i] = None
+        return out
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.before.get(piece)
-        if found is None:
-            if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():  # one pre-token
-                if piece.isascii():
-                    piece_letters = "\u0120" + piece[1:] if piece[0] == " " else piece
-                else:
-                    piece_letters = piece.encode().decode("latin-1").translate(self.letters)
-                ids = [t.id for t in self.model.tokenize(piece_letters)]
-            else:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            found = array(self.code, ids).tobytes()
-        self[piece] = found
-        return found
+    def _odd(self, texts: list[str]) -> list[bool]:
+        """Which texts are encoded as they stand.  Only those with a byte beyond ASCII that isn't of a
+        Latin letter, or an apostrophe before a letter but not behind one, need a closer look."""
+        mark = bytes([_BREAK])
+        data = np.frombuffer(b"".join(t.encode() + mark for t in texts) + mark, np.uint8)
+        lead = (data >= 0xC3) & (data <= 0xC8)
+        plain = (data < 0x80) | lead
+        plain[1:] |= lead[:-1]
+        letter = _ASCII_LETTER[data] | ((data >= 0x80) & (data != _BREAK))
+        marks = np.flatnonzero(data == 0x27)
+        plain[marks[letter[marks + 1] & ~letter[marks - 1]]] = False
+        marks = np.flatnonzero((data == 0xC3) & np.append((data[1:] == 0x97) | (data[1:] == 0xB7), False))
+        plain[marks] = False
+        breaks = data == _BREAK
+        plain |= breaks
+        looked = np.zeros(len(texts) + 1, bool)
+        looked[np.searchsorted(np.flatnonzero(breaks), np.flatnonzero(~plain))] = True
+        return [bool(near and _ODD.search(t)) or any(x in t for x in self.added) for t, near in zip(texts, looked.tolist())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them; a text
         with characters that the cutting isn't sure of is encoded as it stands."""
-        out = []
-        for t in texts:
-            if (not t.isascii() or "'" in t) and _ODD.search(t) or any(x in t for x in self.added):
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind))
-            else:
-                out.append(np.frombuffer(b"".join(map(self.__getitem__, _SPLIT.split(t))), self.kind))
-        if len(self) > self.remembered:
-            self.before = dict(self)
-            self.clear()
-            self[""] = b""
-        return out
+        odd = self._odd(texts)
+        sure = [t for t, x in zip(texts, odd) if not x]
+        found = iter(self._by_piece(sure) if sure else ())
+        out = [None if x else next(found) for x in odd]
+        return [self._plain(t) if x is None else x for t, x in zip(texts, out)]
 
 
 def marks_of(ids: np.ndarray) -> np.ndarray:
@@ -178,7 +308,7 @@ def _encode(tokenizer: str):
         encoder, press, sent = _encoder(tokenizer), zstandard.ZstdCompressor(level=1), OrderedDict()
         for batch in batches:
             _, offsets = tv.buffers(batch.column(2))
-            for lo, hi in tv.cuts(offsets):
+            for lo, hi in tv.cuts(offsets, STEP_BYTES):
                 texts = batch.column(2).slice(lo, hi - lo).to_pylist()
                 uids, docs = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
                 rows, at = [], 0
@@ -210,6 +340,13 @@ def _encode(tokenizer: str):
 _CHUNK = "uid bigint, doc_id bigint, seq int, n bigint, after bigint, hash binary, data binary"
 
 
+def _hash_lists(chunks: pa.Array) -> list[list[bytes]]:
+    """The chunk hashes of each recipe."""
+    flat = chunks.flatten().field("hash").to_pylist()
+    ends = np.cumsum(pc.list_value_length(chunks).to_numpy()).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _number(batches):
     """Running token counts within a part, and each recipe's Merkle root."""
     total = 0
@@ -217,7 +354,7 @@ def _number(batches):
         n = np.array(batch.column(2).to_pylist(), np.int64)
         start = total + np.cumsum(n) - n
         total += int(n.sum())
-        roots = [merkle([c["hash"] for c in chunks]) for chunks in batch.column(3).to_pylist()]
+        roots = [merkle(hashes) for hashes in _hash_lists(batch.column(3))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(start), batch.column(2), pa.array(roots, pa.binary()), batch.column(3)], ["part", "doc_id", "start_in_part", "n_tokens", "root", "chunks"])
 
 
@@ -333,7 +470,7 @@ def _placed(batches):
 
 def _roots(batches):
     for batch in batches:
-        good = [merkle([c["hash"] for c in chunks]) == root for root, chunks in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        good = [merkle(hashes) == root for root, hashes in zip(batch.column(4).to_pylist(), _hash_lists(batch.column(5)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(good, pa.bool_()), batch.column(5)], ["part", "doc_id", "start_in_part", "n_tokens", "whole", "chunks"])
 
 

@@ -30,6 +30,27 @@ def test_pieces_give_the_ids_of_whole_texts(whole):
     assert [x.tolist() for x in encoder.encode(texts)] == [whole(t) for t in texts]
 
 
+def test_pieces_around_apostrophes_and_any_characters(whole):
+    import unicodedata
+
+    encoder, rng = ts.Encoder(PATH, remembered=300), random.Random(6)
+    near = [*"ab' ", "é", "×", "“", "ß", "'s", " '", "ª", "µ", "\xad", "…", "\x85", "\u3000", "\u2028", "ɏ"]
+    every = [chr(c) for c in range(0x3000) if unicodedata.category(chr(c)) != "Cs"]
+    texts = ["".join(rng.choices(near, k=rng.randint(0, 9))) for _ in range(4000)]
+    texts += ["".join(rng.choices(every, k=2) + rng.choices(near, k=3) + rng.choices(every, k=1) + rng.choices(near, k=2)) for _ in range(8000)]
+    for at in range(0, len(texts), 900):  # the encoder forgets in between
+        part = texts[at : at + 900]
+        assert [x.tolist() for x in encoder.encode(part)] == [whole(t) for t in part]
+
+
+def test_pieces_of_one_hash_are_told_apart(whole, monkeypatch):
+    """A piece whose hash is another's is seen by its other hash; its text is encoded whole."""
+    encoder = ts.Encoder(PATH)
+    monkeypatch.setattr(ts.tv, "mix", lambda x: x & np.uint64(0xFF))
+    texts = [words(i, 30) for i in range(60)]
+    assert [x.tolist() for x in encoder.encode(texts)] == [whole(t) for t in texts]
+
+
 def test_round_trip(make, whole, spark):
     shared = words(1, 3000)
     rows = [(2 * i, words(i, 5 * i)) for i in range(60)] + [(501, shared), (503, shared), (505, words(9, 700) + " " + shared + " end"), (-3, None), (601, ""), (7, "twice"), (7, "twice")]
