@@ -97,14 +97,19 @@ def split(data: np.ndarray, offsets: np.ndarray, first: int = 0) -> Words:
     start = np.flatnonzero(begin)
     length = np.flatnonzero(finish) + 1 - start
     ptr = np.searchsorted(start, offsets)
-    hashes = np.zeros(0, U64)
-    if len(start):
-        at = np.flatnonzero(inside)
-        cut = np.cumsum(length) - length
-        pos = np.arange(len(at), dtype=np.int64) - np.repeat(cut, length)
+    hashes = np.zeros(len(start), U64)
+    ends = np.cumsum(length)
+    a = 0
+    while a < len(start):  # words of some bytes at a time: eight bytes and more are held for each of these
+        done = ends[a] - length[a]
+        b = max(a + 1, int(np.searchsorted(ends, done + 2 * PIECE_BYTES, "right")))
+        n = length[a:b]
+        cut = ends[a:b] - n - done
+        pos = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(cut, n)
         with np.errstate(over="ignore"):
-            vals = _BYTE[low[at]] * powers(int(length.max()))[pos]
-            hashes = mix(np.add.reduceat(vals, cut) + length.astype(U64))
+            vals = _BYTE[low[np.repeat(start[a:b], n) + pos]] * powers(int(n.max()))[pos]
+            hashes[a:b] = mix(np.add.reduceat(vals, cut) + n.astype(U64))
+        a = b
     return Words(first, low, offsets, start, length, hashes, ptr)
 
 
