@@ -46,6 +46,23 @@ def modelled(make: Callable[[], Callable[[list[str], list[str]], list[float]]])
     return run
 
 
+class Hosted:
+    """A hosted re-ranker as a model: ``send`` posts a question with its documents and gives the parsed
+    answer, whose results name a document by ``index`` and score it; unnamed documents score 0."""
+
+    def __init__(self, send: Callable[[dict], dict], model: str):
+        self.send, self.model = send, model
+
+    def __call__(self, queries: list[str], texts: list[str]) -> list[float]:
+        scores = [0.0] * len(texts)
+        for query in dict.fromkeys(queries):  # a batch has few questions, each with its documents
+            own = [i for i, q in enumerate(queries) if q == query]
+            answer = self.send({"model": self.model, "query": query, "documents": [texts[i] for i in own], "top_n": len(own)})
+            for r in answer.get("results", answer.get("data", [])):
+                scores[own[int(r["index"])]] = float(r.get("relevance_score", r.get("score", 0.0)))
+        return scores
+
+
 #: Modes; ``cross_encoder``, ``cohere``, ``jina`` and ``bge`` are there once a provider is registered.
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"none": by_score, "off": by_score, "disabled": by_score, "lexical": lexical}
 ALIASES = {"ce": "cross_encoder"}

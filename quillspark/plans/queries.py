@@ -162,7 +162,24 @@ def prose_chunks(spark, sf_dir):
     return chunk.prose_chunks(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("block").cast("bigint").alias("block"), F.col("n_words").cast("bigint").alias("n_words"))
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, text, string_split(regexp_replace({_ends('text')}, '([.?!…:;]){_WS}+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE {_ends("coalesce(text, '')")} <> ''),
+    s AS (SELECT doc_id, i, x[i] AS sentence, {_words('x[i]')} AS n, sum({_words('x[i]')}) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d)),
+    pack(doc_id, i, block, words) AS (
+        SELECT doc_id, i, 0, CASE WHEN total > 220 AND n > 220 THEN 0 ELSE n END FROM s WHERE i = 1
+        UNION ALL
+        SELECT s.doc_id, s.i, pack.block + CASE WHEN total <= 220 THEN 0 WHEN pack.words + n > 220 AND pack.words > 0 THEN 1 WHEN pack.words = 0 AND pack.i >= 1 THEN 1 ELSE 0 END,
+               CASE WHEN total <= 220 THEN pack.words + n WHEN pack.words + n <= 220 THEN pack.words + n WHEN pack.words > 0 THEN n ELSE 0 END
+        FROM pack JOIN s ON s.doc_id = pack.doc_id AND s.i = pack.i + 1),
+    b AS (SELECT doc_id, block, CASE WHEN any_value(total) <= 220 THEN any_value({_ends('text')}) ELSE string_agg(sentence, ' ' ORDER BY i) END AS whole, CASE WHEN any_value(total) <= 220 THEN any_value({_ends('text')}) ELSE arg_min(sentence, i) END AS first, any_value(text) AS text
+          FROM pack JOIN s USING (doc_id, i) JOIN d USING (doc_id) GROUP BY doc_id, block),
+    span(doc_id, block, a, cursor) AS (
+        SELECT doc_id, block, strpos(text, first) - 1, CASE WHEN strpos(text, first) > 0 THEN strpos(text, first) - 1 + length(whole) ELSE 0 END FROM b WHERE block = 0
+        UNION ALL
+        SELECT b.doc_id, b.block, CASE WHEN strpos(substr(text, cursor + 1), first) > 0 THEN cursor + strpos(substr(text, cursor + 1), first) - 1 ELSE -1 END,
+               CASE WHEN strpos(substr(text, cursor + 1), first) > 0 THEN cursor + strpos(substr(text, cursor + 1), first) - 1 + length(whole) ELSE cursor END
+        FROM span JOIN b ON b.doc_id = span.doc_id AND b.block = span.block + 1)
+    SELECT doc_id, block::INTEGER AS block, a::INTEGER AS char_start, CASE WHEN a < 0 THEN -1 ELSE a + length(whole) END::INTEGER AS char_end, printf('%d_%04d_', doc_id, block) || substr(sha1(whole), 1, 6) AS id FROM span JOIN b USING (doc_id, block)""")
 def prose_spans(spark, sf_dir):
     """Every block with its span and its chunk id."""
     rows = chunk.prose_chunks(table(spark, sf_dir, "documents"), "doc_id").withColumn("source_id", F.col("doc_id").cast("string"))
@@ -701,7 +718,9 @@ def retrieval_plan(spark, sf_dir):
     return got.contexts.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(f"""WITH {_BM25}, x AS (SELECT query_id, split_part(arg_min({_ends('text')}, rank), chr(10) || chr(10), 1) AS raw FROM br JOIN documents USING (doc_id) WHERE rank <= 5 AND {_ends('text')} <> '' GROUP BY query_id)
+    SELECT item_id AS query_id, {_ends("regexp_replace(array_to_string(list_filter(string_split(coalesce(raw, ''), chr(10)), lambda l: NOT regexp_matches(l, '(?i)^' || '\\s*(source|sources|nguồn)\\s*:')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} AS answer,
+        CASE WHEN {_ends("coalesce(raw, '')")} = '' THEN 'empty answer' END AS error FROM benchmark LEFT JOIN x ON query_id = item_id""")
 def generated_answers(spark, sf_dir):
     """Prompts of all benchmark items answered by the local generator."""
     docs = table(spark, sf_dir, "documents")

@@ -162,3 +162,26 @@ def test_sinks(spark, tmp_path):
     sinks.append_absent(old, path, "k")
     sinks.append_absent(spark.createDataFrame([(2, "z", "z"), (4, "e", "e")], "k int, v string, w string"), path, "k")
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 4]
+
+
+def test_answers_of_all_paths(spark):
+    from quillspark.operators import embed
+    from quillspark.plans import answers
+
+    schema = "query_id bigint, question string, long_answer boolean"
+    asked = ["Chào", "2 + 2 = ?", "câu số 3 là gì", "trích 2 câu đầu", "so sánh câu 1 với câu 2", "câu số 9999", "so sánh câu 1 với câu 9999", "Ai viết", "Ai là tác giả", "who saw the river", "Trích nguyên văn lời nói"]
+    q = spark.createDataFrame([(i, t, i == 8) for i, t in enumerate(asked)], schema)
+    facts = spark.createDataFrame([(1, ["ai viết"], "By hand.", ["s"])], "place int, patterns array<string>, answer string, sources array<string>")
+    cache = spark.createDataFrame([("ai là tác giả|la=1|intent=domain", "Cached.")], "key string, answer string")
+    lines = spark.createDataFrame([(i, f"line {i}") for i in range(1, 121)], "n int, text string")
+    docs = embed.with_vectors(spark.createDataFrame([(1, "the river runs by"), (2, 'he said "nothing of it" and "none at all"')], "doc_id bigint, text string"))
+    got = {r.query_id: (r.path, r.answer) for r in answers.answer_all(q, facts, cache, lines, docs, make=lambda: lambda texts: [f"<{t}>" for t in texts]).collect()}
+    assert len(got) == len(asked)
+    assert got[2] == ("poem", "   3: line 3") and got[3] == ("poem", "   1: line 1\n   2: line 2")
+    assert got[4][0] == "poem" and "   1: line 1\n   2: line 2" in got[4][1] and "Compare" in got[4][1]
+    assert "which of these" in got[5][1] and "which of these" in got[6][1]
+    assert got[7] == ("faq", "By hand.") and got[8] == ("cache", "Cached.")
+    assert got[0][0] == "chitchat" and got[1][0] == "generic" and got[9][0] == "domain" and "the river runs by" in got[9][1]
+    assert got[10][1].endswith("please check them.") and not got[9][1].endswith("please check them.")
+    few = lines.where("n < 50")
+    assert {r.query_id: r.answer for r in answers.answer_all(q, facts, cache, few, docs).collect()}[2] == answers.NOT_READY
