@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
-from quillspark.llm.common import Scratch, written
+from quillspark.llm.common import Scratch, heavy_keys, joined_on, written
 from quillspark.llm.components import components
 
 REGISTERS = 128
@@ -367,15 +367,15 @@ def joined_classes(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id",
 
 
 def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (doc_id, text) with their class keys, and (class_key, copy_of, class_id, component)."""
+    """rows (doc_id, text) with their class keys, and (class_key, copy_of, class_id, component, rows)."""
     with Scratch(rows.sparkSession) as scratch:
         signed = scratch.keep(written(rows.mapInArrow(_sign("text"), "doc_id bigint, class_key binary, sig binary"), "signatures"))
-        classes = signed.groupBy("class_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+        classes = signed.groupBy("class_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
         classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         joined = joined_classes(rows, classes).withColumnRenamed("node", "cid")
-        named = classes.select("cid", "class_key", "doc").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        named = classes.select("cid", "class_key", "doc", "rows").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         heads = named.groupBy("component").agg(F.min("doc").alias("class_id"))
-        named = scratch.keep(written(named.join(heads, "component").select("class_key", F.col("doc").alias("copy_of"), "class_id", "component"), "named"))
+        named = scratch.keep(written(named.join(heads, "component").select("class_key", F.col("doc").alias("copy_of"), "class_id", "component", "rows"), "named"))
     return signed, named
 
 
@@ -390,7 +390,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed, named = _named(rows)
-    return signed.select("doc_id", "class_key").join(named, "class_key").select("doc_id", "class_id", "copy_of")
+    return joined_on(signed.select("doc_id", "class_key"), named, "class_key", heavy_keys(named, "class_key", "rows")).select("doc_id", "class_id", "copy_of")
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -89,6 +89,28 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Rows of one key from which a join meets the key's other side by broadcast, and such keys at most.
+HEAVY, HEAVY_KEYS = 100_000, 500_000
+
+
+def joined_on(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Equi-join of many rows with a table that has a key once.
+
+    ``heavy`` (key) names the keys of more than ``HEAVY`` rows, None if there are none: their rows
+    stay where they are and meet a broadcast part of the table, so no task holds all rows of a key."""
+    if heavy is None:
+        return left.join(right, key, how)
+    few = F.broadcast(heavy)
+    hot = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return hot.unionByName(left.join(few, key, "left_anti").join(right, key, how))
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame | None:
+    """(key) of counts (key, n) beyond ``HEAVY``; None if there are none or more than are broadcast."""
+    found = counts.where(F.col(n) > HEAVY).select(key)
+    return found if 0 < found.limit(HEAVY_KEYS + 1).count() <= HEAVY_KEYS else None
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -209,8 +209,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     an empty table stays empty."""
     with Scratch(docs.sparkSession) as scratch:
         units, parts, changes = _plan(docs, doc_id, source, text, weights, share, most)
-        cells = parts.where("m = 1").groupBy("source", "size").agg(F.first("n").alias("n"), F.first("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("sub", "last"))).alias("lasts"))
-        cells = scratch.keep(written(cells, "mix_cells"))
+        cells = parts.where("m = 1").groupBy("source", "size").agg(F.first("n").alias("n"), F.first("rate").alias("rate"), F.map_from_entries(F.collect_list(F.struct("sub", "last"))).alias("by_sub"))
+        lasts = F.transform(F.sequence(F.lit(0).cast("bigint"), _subs(F.col("n")) - 1), lambda i: F.element_at("by_sub", i))
+        cells = scratch.keep(written(cells.select("source", "size", "n", "rate", lasts.alias("lasts")), "mix_cells"))
         every = _corrected(units, changes)
         touched = changes.select(F.col("source").alias("s"), F.col("doc_id").alias("d")).distinct()
         single = every.where("m > 1").unionByName(every.join(_small(touched, BROADCAST_CELLS)(touched), every.source.eqNullSafe(F.col("s")) & every.doc_id.eqNullSafe(F.col("d")), "left_semi").where("m = 1"))
@@ -226,7 +227,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     if small:
         named = cells.select(F.col("source").alias(cs), F.col("size").alias(cz), F.col("n").alias(n), F.col("rate").alias(rate), F.col("lasts").alias(lasts))
         met = met.join(F.broadcast(named), F.col(source).eqNullSafe(F.col(cs)) & (F.col(size) == F.col(cz)), "left").withColumn(order, _order(F.col(doc_id), F.col(source)))
-        last = F.filter(lasts, lambda x: x["sub"] == F.pmod(F.col(order), _subs(F.col(n))))[0]["last"]
+        last = F.get(lasts, F.pmod(F.col(order), _subs(F.col(n))).cast("int"))
         plus = F.struct(F.col(order).alias("order"), F.col(doc_id).alias("doc_id")) <= last
         times = F.coalesce(times, F.least(F.floor(rate) + F.coalesce(plus, F.lit(False)).cast("int"), F.lit(most)).cast("int"))
     met = met.withColumn(copies, times).where(F.col(copies) > 0)

@@ -12,8 +12,7 @@ Layout under the store's path:
   manifest/  Parquet (part, start, n_docs, n_tokens, root, store_root): first id number, counts and Merkle
              root of each part, and in every row the root over all parts
 
-The join of chunk uses with stored chunks is by hash; where a chunk is in a large share of all
-documents it relies on adaptive execution to split the use side, whose rows are some 60 bytes.
+Uses of a chunk that many documents share stay where they are and meet its check by broadcast.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
-from quillspark.llm.common import scratch_path, shuffle_partitions
+from quillspark.llm.common import heavy_keys, scratch_path, shuffle_partitions, written
 
 END_ID = 0
 WINDOW = 16
@@ -492,8 +491,18 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """
     recipes = _recipes(spark, path)
     uses = recipes.select("start", "doc_id", "whole", F.explode("chunks").alias("c")).select("start", "doc_id", "whole", "c.hash", "c.n", "c.after")
-    stored = _chunks(spark, path).mapInArrow(_check, "hash binary, sound boolean, stored bigint, crc bigint")
-    met = uses.join(stored, "hash", "left").select(
+    checked = "hash binary, sound boolean, stored bigint, crc bigint"
+    heavy = heavy_keys(uses.groupBy("hash").agg(F.count("*").alias("n")), "hash")
+    chunks = _chunks(spark, path)
+    if heavy is None:
+        both = uses.join(chunks.mapInArrow(_check, checked), "hash", "left")
+    else:
+        heavy = written(heavy, "heavy")
+        few = F.broadcast(heavy)
+        hot = chunks.join(few, "hash", "left_semi").mapInArrow(_check, checked)
+        rest = chunks.join(few, "hash", "left_anti").mapInArrow(_check, checked)
+        both = uses.join(few, "hash", "left_semi").join(F.broadcast(hot), "hash", "left").unionByName(uses.join(few, "hash", "left_anti").join(rest, "hash", "left"))
+    met = both.select(
         "start", "doc_id", F.coalesce(F.col("whole") & F.col("sound") & (F.col("stored") == F.col("n")), F.lit(False)).alias("sound"), F.coalesce("stored", F.lit(0)).alias("n"),
         F.coalesce("crc", F.lit(0)).alias("crc"), "after",
     )

@@ -74,6 +74,15 @@ def test_classes_against_brute_force(make):
     assert got == brute(rows)
 
 
+def test_heavy_classes_are_named_the_same(make, monkeypatch):
+    from quillspark.llm import common
+
+    rows = [(i, "the same words " * (5 + i % 2)) for i in range(60)] + [(100 + i, words(i, 40)) for i in range(20)]
+    monkeypatch.setattr(common, "HEAVY", 7)
+    got = {r.doc_id: (r.class_id, r.copy_of) for r in bmh.near_duplicates(make(rows)).collect()}
+    assert {i: c for i, (c, _) in got.items()} == brute(rows) and len(got) == 80 and got[58][1] == 0
+
+
 def test_large_family_of_near_copies(make):
     """Members of one family that are too far apart to be linked are joined by others."""
     base = words(5, 400)

@@ -70,6 +70,17 @@ def test_round_trip(make, whole, spark):
     assert uses > len(stored) + 3  # shared passages are stored once
 
 
+def test_heavy_chunks_are_read_the_same(make, spark, monkeypatch):
+    from quillspark.llm import common
+
+    shared = words(1, 2000)
+    path = scratch_path(spark, "heavy")
+    ts.write(make([(i, shared if i % 3 else words(i, 300)) for i in range(60)]), path, PATH)
+    plain = sorted(ts.read_digests(spark, path).collect())
+    monkeypatch.setattr(common, "HEAVY", 5)
+    assert sorted(ts.read_digests(spark, path).collect()) == plain and all(r.verified for r in plain)
+
+
 def test_damage_is_seen(make, spark):
     path = scratch_path(spark, "damaged")
     ts.write(make([(1, words(1, 900)), (2, words(2, 50))]), path, PATH)
