@@ -26,6 +26,10 @@ TASKS = {
     "counter": "Give arguments and counter-arguments on the question, each with an excerpt.",
     "quote_check": "Check every quotation in this text against the excerpts.",
     "outline": "Outline an answer with one excerpt or two under each point.",
+    "argument": "Argue the question like a scholar: points with reasons, each quoting an excerpt exactly; then a conclusion.",
+    "summary": "Sum up the excerpts on the question in their own order, without judgement.",
+    "biography": "Tell the life asked about from the excerpts, with dates where they give them.",
+    "device": "Explain the device asked about: what it is, where the excerpts show it, what it does there.",
 }
 
 
@@ -74,8 +78,8 @@ def rag_prompts(questions: DataFrame, contexts: DataFrame, *, long_answer: bool
 
 def task_prompts(questions: DataFrame, task: str, contexts: DataFrame | None = None, *, n: int | None = None, query: str = "query", histories: DataFrame | None = None) -> DataFrame:
     """(query_id, prompt) of any task for a batch: small talk, the generic depths, disambiguation and
-    comparison without excerpts; review, claims, counter-arguments, quotation check and outline with
-    as many as :func:`excerpts_allowed` gives."""
+    comparison without excerpts; review, claims, counter-arguments, quotation check, outline,
+    argument, summary, biography and device with as many as :func:`excerpts_allowed` gives."""
     got = questions
     got = got.join(excerpts(contexts, excerpts_allowed(task, n)), "query_id", "left") if contexts is not None else got.withColumn("excerpts", F.lit(""))
     got = got.join(histories, "query_id", "left") if histories is not None else got.withColumn("history", F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,12 +35,11 @@ def modelled(make: Callable[[], Callable[[list[str], list[str]], list[float]]])
 
     def run(hits: DataFrame, k: int, query: str = "query", text: str = "text") -> DataFrame:
         @F.pandas_udf("double")
-        def score(parts):
+        def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             model = make()
             for q, t in parts:
                 yield pd.Series(model(q.fillna("").tolist(), t.fillna("").tolist()), dtype="float64")
 
-        score.func.__annotations__ = {}
         return _top(hits.withColumn("re_score", score(query, text)), "re_score", k)
 
     return run

@@ -28,7 +28,7 @@ def hybrid_boosted(spark, sf_dir):
     """Both sides always fused, then one type's scores raised."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     docs = table(spark, sf_dir, "documents").join(vectors, "doc_id", "full")
-    asked = _items(spark, sf_dir).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
+    asked = _items(spark, sf_dir).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
     hits = retrieval.hybrid_search(asked, docs, 10, always=True).withColumn("type", F.when(F.col("doc_id") % 4 == 0, "poem").otherwise("bio"))
     return fuse.type_boost(hits, rerank=True).select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -186,7 +186,7 @@ def warned_answers(spark, sf_dir):
 # ---- prompts and answers --------------------------------------------------------------------
 
 _WITHOUT = ("chitchat", "generic_short", "generic_medium", "generic_deep", "disambiguation", "compare")
-_WITH = ("review", "claims", "counter", "quote_check", "outline")
+_WITH = ("review", "claims", "counter", "quote_check", "outline", "argument", "summary", "biography", "device")
 
 
 def _task_sql(task: str) -> str:

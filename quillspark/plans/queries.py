@@ -309,15 +309,16 @@ def postings(spark, sf_dir):
 
 
 def _hybrid_sides(spark, sf_dir, k: int) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items with the vector of the same number, over documents with theirs."""
+    """Benchmark items with the vector of the same number, over documents with theirs; an item
+    without one finds by words alone."""
     e = table(spark, sf_dir, "embeddings")
-    asked = _items(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    asked = _items(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
     v = search.vector_topk(asked, _vector_index(spark, sf_dir), k)
     return v, search.text_topk(asked, table(spark, sf_dir, "documents"), k)
 
 
 _SIDES = f"""{_BM25}, hv AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id AS query_id, e.vec_id AS doc_id, {_COS} AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e)),
-    ht AS (SELECT br.* FROM br JOIN embeddings ON vec_id = query_id),
+    ht AS (SELECT * FROM br),
     every AS (SELECT *, 0 AS list_no FROM hv WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, score, rank, 1 FROM ht WHERE rank <= 10),
     fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, min(list_no) AS list_no, arg_min(rank, list_no) AS first_rank, arg_min(score, list_no) AS score FROM every GROUP BY ALL),
     fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, list_no, first_rank) AS rank FROM fused)"""
@@ -339,7 +340,7 @@ def rrf_truncated(spark, sf_dir):
 @query(f"WITH {_SIDES} SELECT query_id, doc_id, round(rrf, 9) AS score, rank FROM fr WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "full")
-    asked = _items(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    asked = _items(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
     out = retrieval.hybrid_search(asked, docs, 10)
     return out.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 

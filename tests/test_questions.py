@@ -175,7 +175,7 @@ def test_answers_of_all_paths(spark):
     cache = spark.createDataFrame([("ai là tác giả|la=1|intent=domain", "Cached.")], "key string, answer string")
     lines = spark.createDataFrame([(i, f"line {i}") for i in range(1, 121)], "n int, text string")
     docs = embed.with_vectors(spark.createDataFrame([(1, "the river runs by"), (2, 'he said "nothing of it" and "none at all"')], "doc_id bigint, text string"))
-    got = {r.query_id: (r.path, r.answer) for r in answers.answer_all(q, facts, cache, lines, docs, make=lambda: lambda texts: [f"<{t}>" for t in texts]).collect()}
+    got = {r.query_id: (r.path, r.answer) for r in answers.answer_all(q, facts, cache, lines, docs, make=lambda: lambda texts: [f'<{t}> "no such line" "nor this one"' for t in texts]).collect()}
     assert len(got) == len(asked)
     assert got[2] == ("poem", "   3: line 3") and got[3] == ("poem", "   1: line 1\n   2: line 2")
     assert got[4][0] == "poem" and "   1: line 1\n   2: line 2" in got[4][1] and "Compare" in got[4][1]
