@@ -78,6 +78,12 @@ def top_k(value: object, default: int = 10) -> int:
     return max(1, k)
 
 
+def generation_options(long_answer: bool) -> dict:
+    """What a generator is asked for: sampling and the token budget of short or long answers."""
+    g = GENERATION
+    return {"temperature": g.temperature_long if long_answer else g.temperature_short, "top_p": g.top_p, "top_k": g.top_k, "max_tokens": max(1, g.tokens_long if long_answer else g.tokens_short)}
+
+
 CHUNKING, RANKING, GENERATION = Chunking(), Ranking(), Generation()
 #: Bytes of a small side up to which a broadcast is asked for.
 BROADCAST_BYTES = 64 << 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -112,14 +113,14 @@ def _answers(call: Callable[[list[str]], list[str]], prompts: list[str]) -> list
         return [(None, f"{type(e).__name__}: {e}"[:400])] if len(prompts) == 1 else [_answers(call, [p])[0] for p in prompts]
 
 
-def generate(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]] = lambda: extractive, *, text: str = "prompt", batch: int = 32) -> DataFrame:
+def generate(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]] = lambda: extractive, *, text: str = "prompt", batch: int = 32, options: dict | None = None) -> DataFrame:
     """``prompts`` with ``answer`` and ``error``: the generator is made once in each worker and takes
-    ``batch`` prompts at a time, one at a time where that fails; a failed or empty answer is an
-    error, not a failed job."""
+    ``batch`` prompts at a time, one at a time where that fails, and ``options`` as keywords if there
+    are any; a failed or empty answer is an error, not a failed job."""
 
     @F.pandas_udf("struct<answer:string,error:string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        call = make()
+        call = partial(make(), **options) if options else make()
         for part in parts:
             rows = []
             for at in range(0, len(part), batch):

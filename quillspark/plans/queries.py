@@ -517,14 +517,6 @@ def quote_verify_lev(spark, sf_dir):
     return out.select("item_id", F.col("place").cast("bigint").alias("place"), F.round("score", 6).alias("score"), F.col("n"), "exact")
 
 
-@query("""WITH b AS (SELECT item_id, count(*) AS checked, count(*) FILTER (hit) AS accepted FROM (SELECT item_id, quote, bool_or(d.c IS NOT NULL) AS hit FROM (SELECT item_id, quote, place, """ + _canon("quote") + """ AS c FROM (""" + _sentence_sql("benchmark", "item_id") + """)) q LEFT JOIN (SELECT DISTINCT """ + _canon("quote") + """ AS c FROM (""" + _sentence_sql("documents", "doc_id") + """)) d ON q.c = d.c AND q.c <> '' GROUP BY item_id, quote, place) GROUP BY item_id)
-    SELECT item_id, checked, accepted, 0::BIGINT AS non_exact, round(accepted / greatest(1, checked), 3) AS coverage FROM b""")
-def quote_coverage(spark, sf_dir):
-    """Coverage by exact matches only: fuzzy ones are left out by a threshold of 100."""
-    known = verify.choices(_sentences(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("quote", "text"), "doc_id")
-    return verify.verified(verify.best_matches(_sentences(table(spark, sf_dir, "benchmark"), "item_id"), known, threshold=100.0), "item_id", 100.0)
-
-
 @query(f"""SELECT item_id, checked, accepted, non_exact, round(accepted / greatest(1, checked), 3) AS coverage FROM (SELECT item_id, count(*) AS checked, count(*) FILTER (score >= 88) AS accepted, count(*) FILTER (score >= 88 AND NOT exact) AS non_exact FROM ({oracle_sql()['quote_verify_lev']}) GROUP BY item_id)""")
 def quote_coverage_lev(spark, sf_dir):
     """Coverage at the operator's threshold, with fuzzy matches."""

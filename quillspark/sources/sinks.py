@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.embed import retried
 
 
 def absent(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
@@ -35,6 +38,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*[F.coalesce(*pick(c)).alias(c) for c in columns])
 
 
+def retried_write(rows: DataFrame, write: Callable[[DataFrame], None], *, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> None:
+    """``write(rows)``, tried again with growing pauses; for stores that refuse a bulk write at times."""
+    retried(lambda: write(rows), attempts=attempts, sleep=sleep)
+
+
 def chunk_table(chunks: DataFrame, path: str) -> None:
     """Chunks as Parquet partitioned by type, so a type filter prunes files."""
     chunks.write.mode("overwrite").partitionBy("type").parquet(path)

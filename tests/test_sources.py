@@ -1,5 +1,6 @@
 """Readers, sinks and settings that need files, tools or an environment."""
 
+import json
 import subprocess
 
 import pytest
@@ -68,3 +69,38 @@ def test_exit_codes(spark):
     assert validate.exit_code(spark.createDataFrame([good], schema)) == 0
     assert validate.exit_code(spark.createDataFrame([good, ("", *good[1:])], schema)) == 1
     assert validate.exit_code(spark.createDataFrame([], schema)) == 0
+
+
+def test_jobs(spark, tmp_path, capsys):
+    from quillspark import jobs
+
+    chunks = tmp_path / "chunks" / "bio"
+    chunks.mkdir(parents=True)
+    (chunks / "a.txt").write_text('###META### {"id": "a_0001_x", "source": "s", "source_id": "i", "type": "bio", "tags": [], "char_start": 0, "char_end": 4}\nsome text\n')
+    assert jobs.main(["validate", str(tmp_path / "chunks")]) == 0
+    (chunks / "b.txt").write_text("###META### {broken\nsome text\n")
+    assert jobs.main(["validate", str(tmp_path / "chunks")]) == 1
+    shown = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (shown["files"], shown["ok"], shown["prose_err"]) == (2, 1, 1) and shown["errors"][0]["reason"] == "header cannot be parsed"
+    (tmp_path / "p.html").write_text("<title>T</title><body><article>" + "a long enough article " * 9 + "</article></body>")
+    for _ in range(2):  # what is there isn't written again
+        assert jobs.main(["pages", "--html", str(tmp_path / "p.html"), "--out", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_generation_options_and_retried_writes(spark):
+    from quillspark.config import generation_options
+    from quillspark.operators import prompt
+
+    rows = spark.createDataFrame([("a",)], "prompt string")
+    got = prompt.generate(rows, lambda: lambda texts, **o: [f"{t} {o['max_tokens']} {o['temperature']}" for t in texts], options=generation_options(True)).collect()[0]
+    assert got.answer == "a 1400 0.6" and generation_options(False)["max_tokens"] == 600
+    tries = []
+
+    def write(df):
+        tries.append(df.count())
+        if len(tries) < 3:
+            raise OSError("busy")
+
+    sinks.retried_write(rows, write, sleep=lambda s: None)
+    assert tries == [1, 1, 1]
