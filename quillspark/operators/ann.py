@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.search import _HITS, SCORES, _best, _by_block, _matrix, _rows, _unit, ranked
+from quillspark.operators.search import _HITS, SCORES, _by_block, _matrix, _Top, _unit, ranked
 from quillspark.session import stored
 
 #: Vectors that centres are fitted on, chosen by hash; every row is indexed.
@@ -90,13 +90,14 @@ def topk(queries: DataFrame, index: Index, k: int, *, candidates: int, query_id:
 def _scorer(spread, k: int):
     def run(batches):
         ids, q, probed = spread.value
-        step = max(1, SCORES // len(ids))
+        step, top = max(1, SCORES // len(ids)), _Top(ids, k, -2.0)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 docs, lists = np.asarray(part.column(0), np.int64), np.asarray(part.column(2), np.int64)
                 scores = np.round(_unit(_matrix(part.column(1))) @ q.T, 9)
                 scores[~probed.T[lists]] = -np.inf
-                yield _rows(ids, docs, scores, *_best(scores, docs, k, -2.0))
+                top.add(docs, scores)
+        yield from top.rows()
 
     return run

@@ -77,16 +77,36 @@ def _best(scores: np.ndarray, docs: np.ndarray, k: int | None, least: float) ->
 _HITS = "query_id bigint, doc_id bigint, score double"
 
 
-def _rows(ids: np.ndarray, docs: np.ndarray, scores: np.ndarray, row: np.ndarray, query: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(docs[row]), pa.array(scores[row, query])], ["query_id", "doc_id", "score"])
+class _Top:
+    """Each query's best ``k`` rows of a task, gathered over its products; all rows without ``k``."""
+
+    def __init__(self, ids: np.ndarray, k: int | None, least: float):
+        self.ids, self.k, self.least = ids, k, least
+        self.query, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, docs: np.ndarray, scores: np.ndarray) -> None:
+        row, query = _best(scores, docs, self.k, self.least)
+        self.query, self.doc, self.score = np.append(self.query, query), np.append(self.doc, docs[row]), np.append(self.score, scores[row, query])
+        if self.k is None:
+            return
+        order = np.lexsort((self.doc, -self.score, self.query))
+        first = np.searchsorted(self.query[order], self.query[order])
+        order = order[np.arange(len(order)) - first < self.k]
+        self.query, self.doc, self.score = self.query[order], self.doc[order], self.score[order]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """What is held, which is then let go."""
+        if len(self.query):
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.doc), pa.array(self.score)], ["query_id", "doc_id", "score"])
+        self.query, self.doc, self.score = self.query[:0], self.doc[:0], self.score[:0]
 
 
 def vector_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", where: Column | None = None, min_score: float | None = None, skip_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` nearest rows by cosine in double precision.
 
     ``where`` filters the index before it is scored (pushed to its scan).  Rows of the index meet a
-    broadcast block of queries in matrix products of bounded size and give their own top ``k``, so
-    at most ``k`` rows for each query and product are shuffled.  Ties go to the lesser id."""
+    broadcast block of queries in matrix products of bounded size; a task keeps its best, so at most
+    ``k`` rows for each query and task are shuffled.  Ties go to the lesser id."""
     index = index if where is None else index.where(where)
     side = index.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("v")).where("v is not null")
 
@@ -107,7 +127,7 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str =
 def _scorer(spread, k: int, min_score: float | None, skip_self: bool):
     def run(batches):
         ids, q = spread.value
-        step = max(1, SCORES // len(ids))
+        step, top = max(1, SCORES // len(ids)), _Top(ids, k, -2.0 if min_score is None else min_score)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
@@ -115,7 +135,8 @@ def _scorer(spread, k: int, min_score: float | None, skip_self: bool):
                 scores = np.round(_unit(_matrix(part.column(1))) @ q.T, 9)  # (rows, queries)
                 if skip_self:
                     scores[docs[:, None] == ids[None, :]] = -np.inf
-                yield _rows(ids, docs, scores, *_best(scores, docs, k, -2.0 if min_score is None else min_score))
+                top.add(docs, scores)
+        yield from top.rows()
 
     return run
 
@@ -175,7 +196,7 @@ def _text_scorer(spread, weights, k: int | None, k1: float, b: float):
     def run(batches):
         asked, (idf, mean) = spread.value, weights.value
         n_queries = len(asked.ids)
-        step = max(1, SCORES // n_queries)
+        step, top = max(1, SCORES // n_queries), _Top(asked.ids, k, 1e-9)
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
@@ -191,8 +212,10 @@ def _text_scorer(spread, weights, k: int | None, k1: float, b: float):
                     each = np.repeat(asked.first[term[x:y]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                     scores += np.bincount(np.repeat(row[x:y] * n_queries, n) + asked.queries[each], np.repeat(w[x:y], n), len(scores))
                 scores = np.round(scores.reshape(len(docs), n_queries), 9)
-                found, query = _best(scores, docs, k, 1e-9)
-                yield _rows(asked.ids, docs, scores, found, query)
+                top.add(docs, scores)
+                if k is None:
+                    yield from top.rows()
+        yield from top.rows()
 
     return run
 
@@ -203,7 +226,7 @@ def bm25(queries: DataFrame, docs: DataFrame, *, k: int | None = None, query_id:
 
     Texts are split in the JVM; a block of queries meets them as a broadcast table of its terms, of
     which a first pass counts the documents.  Only candidates for the top leave a task, so no more
-    than ``k`` rows for each query and batch are shuffled.  A query's repeated terms count once;
+    than ``k`` rows for each query and task are shuffled.  A query's repeated terms count once;
     rows without a text, as those that have only a vector, are no documents here."""
     t = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), terms(text).alias("t"))
     asked_terms = queries.select(F.col(query_id).alias("q"), F.array_distinct(terms(query)).alias("t")).where(F.size("t") > 0)
