@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec as tv
-from quillspark.llm.common import shuffle_partitions, written
+from quillspark.llm.common import Scratch, shuffle_partitions, written
 
 BITS = 128
 SHINGLE = 5
@@ -275,8 +275,9 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         )
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows = written(with_next(docs, fn, schema), "fingerprints").withColumn("asked", F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False)))
-    near = written(near_counts(rows), "counts")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(written(with_next(docs, fn, schema), "fingerprints")).withColumn("asked", F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False)))
+        near = scratch.keep(written(near_counts(rows), "counts"))
     few = F.broadcast if near.count() <= BROADCAST_ROWS else (lambda d: d)
     names = [x.split()[0] for x in schema.split(", ")]
     asked = rows.where("asked").select(*names).join(few(near), "fingerprint", "left").select(*names, F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"))

@@ -492,7 +492,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     recipes = _recipes(spark, path)
     uses = recipes.select("start", "doc_id", "whole", F.explode("chunks").alias("c")).select("start", "doc_id", "whole", "c.hash", "c.n", "c.after")
     checked = "hash binary, sound boolean, stored bigint, crc bigint"
-    heavy = heavy_keys(uses.groupBy("hash").agg(F.count("*").alias("n")), "hash")
+    counts = spark.read.schema(_RECIPE).parquet(f"{path}/recipes").select(F.explode("chunks.hash").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+    heavy = heavy_keys(counts, "hash")
     chunks = _chunks(spark, path)
     if heavy is None:
         both = uses.join(chunks.mapInArrow(_check, checked), "hash", "left")
