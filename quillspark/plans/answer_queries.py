@@ -10,7 +10,8 @@ from quillspark.functions import text as T
 from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, route, search, verify
 from quillspark.plans import answers, retrieval
 from quillspark.plans.queries import _BM25, _LABEL, _LINE_SQL, _SIDES, _ends, _items, _labelled, _line_table, _ranges, _sentences, _squeezed, _vector_index, query, table
-from quillspark.session import stored
+from quillspark.session import scratch_path, stored
+from quillspark.streaming.cache import stream_hits
 
 _NL = "chr(10)"
 
@@ -242,6 +243,21 @@ def answer_all_paths(spark, sf_dir):
     return answers.answer_all(q, facts, cache, _line_table(spark, sf_dir), docs)
 
 
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    r(user_id, n, until, hit) AS (SELECT user_id, n, t + 7200000000, false FROM e WHERE n = 1
+        UNION ALL SELECT e.user_id, e.n, CASE WHEN e.t < r.until THEN r.until ELSE e.t + 7200000000 END, e.t < r.until FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, count(*) AS looked_up, count(*) FILTER (hit) AS hits FROM r GROUP BY user_id""")
+def cache_hits(spark, sf_dir):
+    """Look-ups of an answer cache with expiry, folded over a stream of events."""
+    path, out, at = (scratch_path(spark, x) for x in ("log", "hits", "progress"))
+    table(spark, sf_dir, "events").where("user_id is not null and ts is not null").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")).write.parquet(path)
+    log = spark.readStream.schema("key bigint, ts timestamp").parquet(path)
+    stream_hits(log).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("key bigint, ts timestamp, hit boolean").parquet(out)
+    return found.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("looked_up"), F.count_if("hit").alias("hits"))
+
+
 # ---- training records -----------------------------------------------------------------------
 
 
