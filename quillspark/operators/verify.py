@@ -178,6 +178,25 @@ def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, th
     return done.unionByName(rest).drop("_c")
 
 
+#: Lines of a work that every unmatched quotation is compared with.
+MOST_LINES = 20_000
+
+
+def with_nearest(checks: DataFrame, known: DataFrame) -> DataFrame:
+    """Checks where a quotation without a match gets its nearest line (canon, n, text) and that line's
+    likeness, however low; an empty quotation stays without one.
+
+    For the lines of one work, of which there are at most ``MOST_LINES``: they are one broadcast row,
+    and each unmatched quotation is compared with all of them."""
+    if known.count() > MOST_LINES:
+        raise ValueError(f"more than {MOST_LINES} lines are not compared with every quotation")
+    lines = known.agg(F.collect_list(F.struct("canon", "n", "text")).alias("_lines"))  # one row of bounded size
+    best = F.array_max(F.transform("_lines", lambda x: F.struct(levenshtein_score(F.col("_c"), x["canon"]).alias("score"), (-x["n"]).alias("m"), x["text"].alias("text"))))
+    open_ = checks.where("n is null").withColumn("_c", T.canon("quote")).crossJoin(F.broadcast(lines)).withColumn("_b", F.when(F.col("_c") != "", best))
+    filled = open_.withColumns({"score": F.coalesce("_b.score", F.lit(0.0)), "n": (-F.col("_b.m")), "text": F.col("_b.text")})
+    return checks.where("n is not null").unionByName(filled.select(*checks.columns))
+
+
 def verified(checks: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key, checked, accepted, non_exact, coverage) of checks (key, score, exact)."""
     good = F.col("score") >= threshold

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, route, search, verify
 from quillspark.plans import answers, retrieval
-from quillspark.plans.queries import _BM25, _LABEL, _LINE_SQL, _SIDES, _ends, _items, _labelled, _line_table, _ranges, _sentences, _squeezed, _vector_index, query, table
+from quillspark.plans.queries import _BM25, _LABEL, _LINE_SQL, _SIDES, _canon, _ends, _items, _labelled, _line_table, _ranges, _sentences, _squeezed, _vector_index, query, table
 from quillspark.session import scratch_path, stored
 from quillspark.streaming.cache import stream_hits
 
@@ -178,6 +178,18 @@ def quote_verify_sequence(spark, sf_dir):
     return _quoted(spark, sf_dir, verify.sequence_score)
 
 
+@query(f"""WITH {_LINE_SQL}, k AS (SELECT {_canon('text')} AS c, min(n) AS n FROM lines GROUP BY c HAVING c <> ''), q AS (SELECT n AS place, {_canon("regexp_replace(text, '[aeiou]', '', 'g')")} AS c FROM lines),
+    s AS (SELECT q.place, k.n, 100.0 * (1 - levenshtein(q.c, k.c) / greatest(length(q.c), length(k.c))::DOUBLE) AS score FROM q, k WHERE q.c <> '')
+    SELECT place, coalesce(round(score, 6), 0) AS score, n FROM q LEFT JOIN (SELECT place, max(score) AS score, arg_max(n, (round(score, 9), -n)) AS n FROM s GROUP BY place) USING (place)""")
+def quote_nearest_line(spark, sf_dir):
+    """Lines without their vowels: the nearest line and its likeness, below the threshold too."""
+    known = stored(_line_table(spark, sf_dir), "lines")
+    asked = known.select(F.col("n").cast("bigint").alias("place"), F.regexp_replace("text", "[aeiou]", "").alias("quote"))
+    choices = verify.choices(known)
+    out = verify.with_nearest(verify.best_matches(asked, choices), choices)
+    return out.select("place", F.round("score", 6).alias("score"), F.col("n").cast("bigint").alias("n"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 4 >= 2 THEN text || chr(10) || chr(10) || 'Some quotations could not be matched with the source; please check them.' ELSE text END AS text FROM conversations")
 def warned_answers(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumns({"bad": F.col("turn") % 4, "poem_only": F.col("role") == "user"})
