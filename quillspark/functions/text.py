@@ -63,6 +63,13 @@ def strip_accents(text: Column | str) -> Column:
     return rx(F.translate(col(text), *_folds()), r"\p{Mn}", "")
 
 
+@lru_cache
+def _ascii_folds() -> tuple[str, str]:
+    """Of :func:`_folds` the lower-case letters and digits with an ASCII base, and the barred d."""
+    pairs = [(c, b) for c, b in zip(*_folds()) if b.isascii() and b.isalnum() and not b.isupper()]
+    return "".join(p[0] for p in pairs) + "đ", "".join(p[1] for p in pairs) + "d"
+
+
 def plain(text: str) -> str:
     """:func:`strip_accents` of a constant."""
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
@@ -79,8 +86,11 @@ def squeeze(text: Column | str) -> Column:
 
 
 def canon(text: Column | str) -> Column:
-    """Lower-cased ASCII letters and digits between single spaces, without diacritics."""
-    return F.trim(rx(rx(strip_diacritics(F.lower(squeeze(text))), r"[^0-9a-z\s]", " "), r"\s+", " "))
+    """Lower-cased ASCII letters and digits between single spaces, without diacritics.
+
+    Whatever has no ASCII base becomes a space, so a short table of folds does."""
+    low = F.lower(F.coalesce(col(text), F.lit("")))
+    return F.trim(rx(rx(F.translate(low, *_ascii_folds()), r"\p{Mn}+", ""), r"[^0-9a-z]+", " "))
 
 
 def question_key(text: Column | str) -> Column:
@@ -103,8 +113,7 @@ def terms(text: Column | str) -> Column:
 
 
 def word_count(text: Column | str) -> Column:
-    clean = squeeze(text)
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))
+    return let(squeeze(text), lambda clean: F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " "))))
 
 
 def strip_trailing_blanks(text: Column) -> Column:

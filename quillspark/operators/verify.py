@@ -33,7 +33,9 @@ def quotes(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def choices(lines: DataFrame, n: str = "n", text: str = "text") -> DataFrame:
     """(canon, n, text): each canonical form once, where it comes first; empty forms are left out."""
-    c = lines.select(T.canon(text).alias("canon"), F.col(n).alias("n"), F.col(text).alias("text")).where("canon <> ''")
+    # Exploded, so that the form is not computed again for a filter that is pushed below it.
+    form = F.explode(F.filter(F.array(T.canon(text)), lambda x: x != "")).alias("canon")
+    c = lines.select(form, F.col(n).alias("n"), F.col(text).alias("text"))
     return c.groupBy("canon").agg(F.min(F.struct("n", "text")).alias("m")).select("canon", "m.n", "m.text")
 
 
@@ -47,8 +49,22 @@ def sequence_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() * 100 for x, y in zip(a, b)])
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by a bit for each character of ``a``."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    rest = whole
+    for c in b:
+        met = rest & at.get(c, 0)
+        rest = (rest + met | rest - met) & whole
+    return len(a) - rest.bit_count()
+
+
 def _token_set(a: str, b: str) -> float:
-    """The best likeness among the shared words and each side's shared-plus-own words."""
+    """The best likeness, by common subsequences, among the shared words and each side's
+    shared-plus-own words."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
@@ -56,7 +72,7 @@ def _token_set(a: str, b: str) -> float:
     one, two = (" ".join(filter(None, [both, " ".join(sorted(s - (x & y)))])) for s in (x, y))
     if both and (one == both or two == both):
         return 100.0
-    like = lambda p, q: 200.0 * sum(m.size for m in difflib.SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks()) / max(1, len(p) + len(q))
+    like = lambda p, q: 200.0 * _common(p, q) / max(1, len(p) + len(q))
     return max([like(one, two), *([like(both, one), like(both, two)] if both else [])])
 
 
@@ -171,7 +187,8 @@ def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, th
     open_ = exact.where("n is null").drop("n", "text")
     share = threshold / 100
     forms = open_.select("_c").where("_c <> ''").distinct()
-    pairs = _pairs(score)(forms, known, share)
+    # Pairs are few bytes and much work: adaptive execution would leave them to a task or two.
+    pairs = _pairs(score)(forms, known, share).repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scored = pairs.withColumn("score", score(F.col("_c"), F.col("canon"))).where(F.col("score") >= threshold).join(known, "canon")
     best = scored.groupBy("_c").agg(F.max(F.struct("score", (-F.col("n")).alias("m"), "text")).alias("b")).select("_c", "b.score", (-F.col("b.m")).alias("n"), "b.text")
     rest = open_.join(best, "_c", "left").withColumn("exact", F.lit(False)).withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -46,6 +46,25 @@ def best(quote, known, score):
     return (found[0], -found[1]) if found[0] >= 88 else (0.0, None)
 
 
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_common_subsequences_and_token_sets():
+    rng = random.Random(1)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abcde ", k=rng.randint(0, 40))) for _ in range(2))
+        assert verify._common(a, b) == subsequence(a, b)
+    assert verify._token_set("b a", "a b c") == 100.0 and verify._token_set("a", "b") == 0.0
+    assert abs(verify._token_set("new york mets", "new york meats") - 200 * 13 / 27) < 1e-9
+
+
 LINES = {sentence(RNG.randint(1, 9)): n for n in range(150)}
 ASKED = [altered(RNG.choice(list(LINES))) for _ in range(150)] + ["x", "unknown words"]
 
