@@ -39,7 +39,7 @@ WINDOW = 16
 #: A chunk ends where the rolling hash has so many zero bits, within these lengths in ids.
 MASK_BITS, LEAST, MOST = 9, 256, 2048
 #: Pieces of text whose ids a worker remembers, and chunks it remembers having sent.
-REMEMBERED, SENT = 2_000_000, 100_000
+REMEMBERED, SENT = 500_000, 50_000
 #: Bytes of text that are cut and looked up at once.
 STEP_BYTES = 512 << 10
 _U = np.uint64
