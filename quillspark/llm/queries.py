@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bagminhash, chat, decontam, licenses, mixing, quality, sharding, simhash, token_store, toxicity
+from quillspark.llm import bagminhash, centroids, chat, collisions, decontam, licenses, mixing, quality, sharding, simhash, token_store, toxicity
 from quillspark.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,11 +65,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_extendible_sharding, op2_simhash, op3_quality_fm, op4_token_store, op5_entropy_mix, op6_chat_format, op7_bagminhash, op8_decontaminate, op9_toxicity, op10_license_scan, shards_of_256k,
+            op1_extendible_sharding, op2_simhash, op3_quality_fm, op4_token_store, op5_entropy_mix, op6_chat_format, op7_bagminhash, op8_decontaminate, op9_toxicity, op10_license_scan,
+            op11_weighted_lloyd, op13_collision_search, shards_of_256k,
         )
     }
 
@@ -93,6 +102,24 @@ def _sharding_sql(limit: int) -> str:
             SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '*' ELSE lpad(bin(prefix), depth, '0') END AS shard, shard_bytes FROM fit WHERE nth = 1"""
 
 
+def _lloyd_sql() -> str:
+    nearest = lambda a, q, c: f"{a} AS MATERIALIZED (SELECT r, any_value(v) AS v, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM (SELECT r, q.v, c, list_sum(list_transform(list_zip(q.v, {c}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM {q} q, {c}) GROUP BY r)"
+    steps = []
+    for k in range(centroids.ROUNDS):
+        steps.append(nearest(f"a{k}", "q", f"c{k}"))
+        steps.append(f"""m{k} AS MATERIALIZED (SELECT c, list((s - (s % n + n) % n) // n ORDER BY j) AS v FROM (SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{k}) GROUP BY ALL) GROUP BY c),
+            c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c))""")
+    last = centroids.ROUNDS
+    return f"""
+            WITH q AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                       WHERE len(embedding) = {centroids.WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.WIDTH}),
+            c0 AS MATERIALIZED (SELECT c::INTEGER AS c, v FROM (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), v) - 1 AS c, v FROM q) WHERE c < {centroids.CLUSTERS}),
+            {', '.join(steps)}, {nearest('a', 'q', f'c{last}')},
+            total AS (SELECT c, sum(d) AS i FROM a GROUP BY c)
+            SELECT q.vec_id, a.c AS cluster, a.d AS distance, total.i::BIGINT AS cluster_inertia, (SELECT sum(i) FROM total)::BIGINT AS inertia, sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256
+            FROM a JOIN q USING (r) JOIN c{last} USING (c) JOIN total USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_extendible_sharding": _sharding_sql(sharding.SHARD_BYTES),
@@ -106,6 +133,7 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '')) AS loss_sha256,
                    sum({len(chat.OPEN) + len(chat.CLOSE) + len(chat.END)} + length({_escaped('role')}) + length({_escaped('text')}))::BIGINT AS formatted_chars
             FROM t GROUP BY conv_id""",
+        "op11_weighted_lloyd": _lloyd_sql(),
         "op7_bagminhash": f"""
             WITH RECURSIVE w AS (SELECT doc_id, text, {_WORDS} AS words FROM documents),
             s AS (SELECT doc_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w WHERE len(words) > 0),
