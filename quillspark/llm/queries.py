@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bagminhash, centroids, chat, collisions, decontam, licenses, mixing, quality, sharding, simhash, token_store, toxicity
+from quillspark.llm import bagminhash, centroids, chat, collisions, decontam, licenses, mixing, phrases, quality, sharding, simhash, token_store, toxicity
 from quillspark.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op11_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.search(read_table(spark, sf_dir, "embeddings"))
 
@@ -78,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_extendible_sharding, op2_simhash, op3_quality_fm, op4_token_store, op5_entropy_mix, op6_chat_format, op7_bagminhash, op8_decontaminate, op9_toxicity, op10_license_scan,
-            op11_weighted_lloyd, op13_collision_search, shards_of_256k,
+            op11_weighted_lloyd, op12_pivot_phrases, op13_collision_search, shards_of_256k,
         )
     }
 
@@ -134,6 +138,22 @@ def oracle_sql() -> dict[str, str]:
                    sum({len(chat.OPEN) + len(chat.CLOSE) + len(chat.END)} + length({_escaped('role')}) + length({_escaped('text')}))::BIGINT AS formatted_chars
             FROM t GROUP BY conv_id""",
         "op11_weighted_lloyd": _lloyd_sql(),
+        "op12_pivot_phrases": rf"""
+            WITH piece AS (SELECT lang, row_number() OVER () AS p, piece FROM (SELECT coalesce(lang, 'und') AS lang,
+                               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+            w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM piece),
+            total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+            gram AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS k) WHERE len(words) >= k)),
+            f AS MATERIALIZED (SELECT lang, phrase, any_value(k) AS k, count(*)::BIGINT AS f FROM gram GROUP BY lang, phrase HAVING count(*) >= {phrases.LEAST}),
+            cand AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+            cut AS (SELECT lang, phrase, a, c, array_to_string(words[:c], ' ') AS one, array_to_string(words[c + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, len(words))) AS c FROM cand)),
+            score AS (SELECT cut.lang, cut.phrase, a, c, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = one JOIN f y ON y.lang = cut.lang AND y.phrase = two),
+            low AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+            inner_of AS (SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, max(a) AS most
+                         FROM (SELECT lang, a, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM cand, (SELECT unnest(range(2, {phrases.LONGEST})) AS k) WHERE len(words) > k) GROUP BY ALL),
+            kept AS (SELECT low.* FROM low LEFT JOIN inner_of USING (lang, phrase) WHERE most IS NULL OR 100 * most < {phrases.SHARE} * a),
+            best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+            SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM best JOIN total USING (lang) WHERE rank <= {phrases.TOP}""",
         "op7_bagminhash": f"""
             WITH RECURSIVE w AS (SELECT doc_id, text, {_WORDS} AS words FROM documents),
             s AS (SELECT doc_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w WHERE len(words) > 0),
