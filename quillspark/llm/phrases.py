@@ -4,8 +4,8 @@ Words are ordered from the most to the least frequent of their language.  The pi
 its rarest word, where that first stands.  Each occurrence of a word sends one fragment to the word's
 partition: the words around it as far as they are no rarer than it, three to a side at most, so that
 every n-gram reaches exactly one partition and common words have short fragments.  Equal fragments are
-added up before they are sent; a partition cuts its fragments into the n-grams that hold the pivot
-there and counts them.
+added up before they are sent; a partition reads its fragments pivot by pivot, cuts them into the
+n-grams that hold the pivot there, counts them and lets the infrequent ones go.
 
 The table of ranks is broadcast, and only decides where an n-gram is counted: fragments are text, so
 counts are exact whatever the table holds.  Words that cannot be frequent end fragments.  Where more
@@ -34,8 +34,8 @@ LEAST, LONGEST, TOP, SHARE = 30, 4, 2000, 80
 TABLE_WORDS, TABLE_BYTES = 1_000_000, 32 << 20
 #: Occurrences of a pivot from which its fragments are divided among partitions.
 SPLIT = 1 << 20
-#: Fragments that a task holds to add up equal ones.
-HELD = 400_000
+#: Fragments that a task holds to add up equal ones, that it cuts at once, bytes of text read at once.
+HELD, MINED, PIECE = 150_000, 30_000, 1 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 0: of a word, 1: between words, 2: between pieces
 _KIND[[32, 9]] = 1
@@ -68,16 +68,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     inside = kind == 0
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets - offsets[0]] = True
-    begin = inside.copy()
+    begin, finish = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1] | edge[1:-1]
+    finish[:-1] &= ~inside[1:] | edge[1:-1]
     start = np.flatnonzero(begin)
-    piece = np.cumsum((kind == 2) | edge[:-1])[start]
-    return Words(raw[inside], np.append(np.cumsum(inside)[start] - 1, inside.sum()), piece)
+    length = np.flatnonzero(finish) + 1 - start
+    piece = np.searchsorted(np.flatnonzero((kind == 2) | edge[:-1]), start, "right")
+    return Words(raw[inside], np.append(0, np.cumsum(length)), piece)
 
 
 def _texts(column: pa.Array):
     data, offsets = tv.buffers(column)
-    for lo, hi in tv.cuts(offsets):
+    for lo, hi in tv.cuts(offsets, PIECE):
         w = words(data, offsets[lo : hi + 1])
         if len(w):
             yield w
@@ -172,76 +174,144 @@ def _extent(rank: np.ndarray, piece: np.ndarray, longest: int) -> tuple[np.ndarr
     return left, right
 
 
-def _fragments(w: Words, rank: np.ndarray, counts: np.ndarray, longest: int) -> pa.Table:
-    """(pivot, salt, at, fragment): one for each word that has no rarer neighbour on some side."""
+def _fragments(w: Words, rank: np.ndarray, counts: np.ndarray, longest: int):
+    """Tables (home, at, fragment): one row for each word that has no rarer neighbour on some side.
+
+    ``home`` tells the pivot's partition: its rank, with the number of a part where the pivot is
+    divided, and then negative."""
     left, right = _extent(rank, w.piece, longest)
-    at = np.flatnonzero((rank < _BLANK) & (left + right > 0))
-    first, last = at - left[at], at + right[at]
-    length = np.diff(w.offsets)
-    # Words with one blank behind each; a fragment is a stretch of these bytes.
-    spaced = np.full(len(w.data) + len(w), 32, np.uint8)
-    spaced[np.arange(len(w.data)) + np.repeat(np.arange(len(w)), length)] = w.data
-    begin = w.offsets[:-1] + np.arange(len(w))
-    size = begin[last] + length[last] - begin[first]
+    every = np.flatnonzero((rank < _BLANK) & (left + right > 0))
+    for lo in range(0, len(every), MINED):
+        at = every[lo : lo + MINED]
+        first, last = at - left[at], at + right[at]
+        a, b = int(first.min()), int(last.max()) + 1
+        offsets = w.offsets[a : b + 1] - w.offsets[a]
+        length = np.diff(offsets)
+        # Words with one blank behind each; a fragment is a stretch of these bytes.
+        spaced = np.full(int(offsets[-1]) + b - a, 32, np.uint8)
+        spaced[np.arange(int(offsets[-1])) + np.repeat(np.arange(b - a), length)] = w.data[w.offsets[a] : w.offsets[b]]
+        begin = offsets[:-1] + np.arange(b - a)
+        text = _stretches(spaced, begin[first - a], begin[last - a] + length[last - a])
+        pivot = rank[at]
+        parts = np.ones(len(at), np.int64)
+        known = pivot < len(counts)
+        parts[known] = -(-counts[pivot[known]] // SPLIT)
+        mixed = (rank[first] * 31 + rank[last] * 17 + left[at] * 7 + right[at]) % 1_000_003  # equal fragments, equal parts
+        home = np.where(parts > 1, -1 - (pivot * 1_000_003 + mixed % parts), pivot)
+        yield pa.table([pa.array(home), pa.array(left[at].astype(np.int32)), text], names=["home", "at", "fragment"])
+
+
+def _stretches(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """data[begin:end] of each pair, as texts."""
+    size = end - begin
     ends = np.cumsum(size)
-    data = spaced[np.arange(int(size.sum())) + np.repeat(begin[first] - (ends - size), size)]
-    text = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(data)])
-    pivot = rank[at]
-    parts = np.ones(len(at), np.int64)
-    known = pivot < len(counts)
-    parts[known] = -(-counts[pivot[known]] // SPLIT)
-    mixed = (rank[first] * 31 + rank[last] * 17 + size * 7) % 1_000_003  # equal fragments, equal parts
-    return pa.table([pa.array(pivot), pa.array((mixed % parts).astype(np.int32)), pa.array(parts > 1), pa.array(left[at].astype(np.int32)), text], names=["pivot", "salt", "hot", "at", "fragment"])
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(data[at])])
+
+
+def _added(tables: list[pa.Table], names: list[str]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"])
 
 
 def _fragmenter(spread, longest: int):
     """Fragments with the number of their occurrences, equal ones of a task added up while few are held."""
-    names = ["pivot", "salt", "hot", "at", "fragment"]
-
-    def added(tables: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(tables).group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"])
+    names = ["home", "at", "fragment"]
 
     def rows(lang: str, t: pa.Table):
         t = t.append_column("lang", pa.array([lang] * len(t), pa.string())).select(["lang", *names, "n"])
-        yield from t.set_column(5, "fragment", t.column("fragment").cast(pa.string())).to_batches(max_chunksize=20_000)
+        yield from t.set_column(3, "fragment", t.column("fragment").cast(pa.string())).to_batches(max_chunksize=20_000)
 
     def run(batches):
         table, held = spread.value, {}
         for batch in batches:
             for lang, texts in _by_language(batch):
                 for w in _texts(texts):
-                    t = _fragments(w, table.of(lang, w.array()), table.counts, longest)
-                    t = added([t.append_column("n", pa.array(np.ones(len(t), np.int64)))])
-                    held.setdefault(lang, []).append(t)
-                    if sum(len(x) for x in held[lang]) > HELD:
-                        t = added(held.pop(lang))
-                        if len(t) > HELD // 2:
-                            yield from rows(lang, t)
-                        else:
-                            held[lang] = [t]
+                    for t in _fragments(w, table.of(lang, w.array()), table.counts, longest):
+                        held.setdefault(lang, []).append(t.append_column("n", pa.array(np.ones(len(t), np.int64))))
+                        if sum(len(x) for tables in held.values() for x in tables) > HELD:
+                            held = {x: [_added(tables, names)] for x, tables in held.items()}
+                            for x in [x for x in held if len(held[x][0]) > HELD // 8]:
+                                yield from rows(x, held.pop(x)[0])
         for lang, tables in held.items():
-            yield from rows(lang, added(tables))
+            yield from rows(lang, _added(tables, names))
 
     return run
 
 
-def _mined(longest: int) -> Column:
-    """The phrases of two words and more in a fragment that hold its pivot."""
-    w = F.col("w")
-    return F.array_compact(F.array(*[F.when((F.col("at") >= d) & (F.col("at") - d + k <= F.size(w)), F.array_join(F.slice(w, F.col("at") - d + 1, k), " ")) for k in range(2, longest + 1) for d in range(k)]))
+def _cut(t: pa.Table, longest: int) -> pa.Table:
+    """(lang, phrase, n) of the phrases of two words and more that hold their fragment's pivot."""
+    text = t.column("fragment").combine_chunks().cast(pa.large_string())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if text.buffers()[2] is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    blank = np.flatnonzero(data == 32)
+    begin = np.sort(np.append(offsets[:-1], blank + 1))
+    end = np.sort(np.append(offsets[1:], blank))
+    base = np.searchsorted(begin, offsets[:-1])
+    size = np.diff(np.append(base, len(begin)))
+    at = np.asarray(t.column("at"), np.int64)
+    row, first, count = [], [], []
+    for k in range(2, longest + 1):
+        for d in range(k):
+            ok = np.flatnonzero((at >= d) & (at - d + k <= size))
+            row.append(ok)
+            first.append((base + at - d)[ok])
+            count.append(np.full(len(ok), k))
+    row, first, count = np.concatenate(row), np.concatenate(first), np.concatenate(count)
+    phrase = _stretches(data, begin[first], end[first + count - 1])
+    lang = t.column("lang").combine_chunks().dictionary_encode()
+    code = pa.array(np.asarray(lang.indices)[row])
+    out = _added([pa.table([code, phrase, pa.array(np.asarray(t.column("n"))[row])], names=["code", "phrase", "n"])], ["code", "phrase"])
+    return pa.table([lang.dictionary.take(out.column("code").combine_chunks()), out.column("phrase").cast(pa.string()), out.column("n")], names=["lang", "phrase", "n"])
+
+
+def _miner(least: int, longest: int):
+    """Counts (lang, phrase, n) of fragments sorted by home: those of ``least`` or more where a home's
+    fragments are all there, every count where they are read in several goes or are a divided pivot's."""
+
+    def run(batches):
+        left, going = None, None  # fragments of the home that was read last; the home of which some are counted
+
+        def counted(t: pa.Table):
+            nonlocal going
+            home = np.asarray(t.column("home"))
+            part = (home < 0) | (home == going if going is not None else np.zeros(len(home), bool))
+            for rows, every in ((np.flatnonzero(~part), False), (np.flatnonzero(part), True)):
+                if len(rows):
+                    out = _cut(t.take(pa.array(rows)), longest)
+                    yield from (out if every else out.filter(pc.greater_equal(out.column("n"), least))).to_batches()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, MINED):
+                t = pa.Table.from_batches([batch.slice(lo, MINED)])
+                left = t if left is None else pa.concat_tables([left, t])
+                if len(left) < MINED:
+                    continue
+                home = np.asarray(left.column("home"))
+                whole = int(np.searchsorted(home, home[-1]))
+                if whole:
+                    yield from counted(left.slice(0, whole))
+                    left = left.slice(whole)
+                if len(left) >= MINED:
+                    going = int(home[-1])
+                    yield from counted(left)
+                    left = None
+        if left is not None and len(left):
+            yield from counted(left)
+
+    return run
 
 
 def frequent(texts: DataFrame, table: Ranks, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, f) of phrases of 2 to ``longest`` words with ``least`` occurrences or more.
 
     A pivot's partition counts its phrases and lets those go that stay below ``least``.  Fragments of
-    a pivot of more than ``SPLIT`` occurrences are divided among partitions, each of which passes on
-    all its counts."""
+    a pivot of more than ``SPLIT`` occurrences are divided among partitions; these, and a task that
+    can't hold a pivot's fragments at once, pass on all their counts, which are added up by phrase."""
     spread = texts.sparkSession.sparkContext.broadcast(table)
-    fragments = texts.mapInArrow(_fragmenter(spread, longest), "lang string, pivot bigint, salt int, hot boolean, at int, fragment string, n bigint")
-    dealt = fragments.repartition("lang", "pivot", "salt").select("lang", "pivot", "salt", "hot", "n", "at", F.split("fragment", " ", -1).alias("w"))
-    here = dealt.select("lang", "pivot", "salt", "hot", "n", F.explode(_mined(longest)).alias("phrase")).groupBy("lang", "pivot", "salt", "hot", "phrase").agg(F.sum("n").alias("n"))
-    return here.where(F.col("hot") | (F.col("n") >= least)).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    fragments = texts.mapInArrow(_fragmenter(spread, longest), "lang string, home bigint, at int, fragment string, n bigint")
+    mined = fragments.repartition("home").sortWithinPartitions("home").mapInArrow(_miner(least, longest), "lang string, phrase string, n bigint")
+    return mined.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
 def _key(lang: str | Column, phrase: str | Column) -> Column:

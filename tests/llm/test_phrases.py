@@ -72,6 +72,8 @@ def test_table_that_holds_some_words(spark, monkeypatch, size):
 
 def test_small_holds_and_heavy_parts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 10)
+    monkeypatch.setattr(phrases, "MINED", 7)
+    monkeypatch.setattr(phrases, "PIECE", 500)
     monkeypatch.setattr("quillspark.llm.common.HEAVY", 3)
     assert ran(spark, ROWS) == brute(ROWS)
 
@@ -96,13 +98,13 @@ def test_each_phrase_is_counted_in_one_partition(spark):
     texts = spark.createDataFrame(ROWS, "lang string, text string").selectExpr("coalesce(lang, 'und') lang", "text")
     table = phrases.ranks(phrases.word_counts(texts))
     spread = spark.sparkContext.broadcast(table)
-    kinds = "lang string, pivot bigint, salt int, hot boolean, at int, fragment string, n bigint"
+    kinds = "lang string, home bigint, at int, fragment string, n bigint"
     owners = {}
     place = {(lang, w): int(p) for lang, known in table.words.items() for w, p in zip(known.to_pylist(), table.places[lang])}
     for r in texts.mapInArrow(phrases._fragmenter(spread, 4), kinds).collect():
         w = r.fragment.split(" ")
-        assert place[r.lang, w[r["at"]]] == r.pivot == max(place[r.lang, x] for x in w) and len(w) <= 7
+        assert place[r.lang, w[r["at"]]] == r.home == max(place[r.lang, x] for x in w) and len(w) <= 7
         for k in range(2, 5):
             for i in range(max(0, r["at"] - k + 1), min(r["at"], len(w) - k) + 1):
-                owners.setdefault((r.lang, *w[i : i + k]), set()).add(r.pivot)
+                owners.setdefault((r.lang, *w[i : i + k]), set()).add(r.home)
     assert owners and all(len(x) == 1 for x in owners.values())
