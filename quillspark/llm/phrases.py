@@ -32,10 +32,22 @@ from quillspark.llm.common import Scratch, heavy_keys, joined_on, written
 LEAST, LONGEST, TOP, SHARE = 30, 4, 2000, 80
 #: Words and bytes of the broadcast table of ranks.
 TABLE_WORDS, TABLE_BYTES = 1_000_000, 32 << 20
-#: Occurrences of a pivot from which its fragments are divided among partitions.
-SPLIT = 1 << 20
-#: Fragments that a task holds to add up equal ones, that it cuts at once, bytes of text read at once.
-HELD, MINED, PIECE = 150_000, 30_000, 1 << 20
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What a task holds: occurrences of a pivot from which its fragments are divided among partitions,
+    fragments held to add up equal ones, fragments cut at once, phrases of one pivot, bytes of text."""
+
+    split: int = 1 << 18
+    held: int = 150_000
+    cut: int = 30_000
+    counted: int = 500_000
+    text: int = 1 << 20
+
+
+#: Added to the pivot's place in a fragment of which only phrases that begin before it are counted.
+_BEFORE = 16
 
 _KIND = np.zeros(256, np.uint8)  # 0: of a word, 1: between words, 2: between pieces
 _KIND[[32, 9]] = 1
@@ -77,9 +89,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(raw[inside], np.append(0, np.cumsum(length)), piece)
 
 
-def _texts(column: pa.Array):
+def _texts(column: pa.Array, limit: int):
     data, offsets = tv.buffers(column)
-    for lo, hi in tv.cuts(offsets, PIECE):
+    for lo, hi in tv.cuts(offsets, limit):
         w = words(data, offsets[lo : hi + 1])
         if len(w):
             yield w
@@ -95,7 +107,7 @@ def _word_counter(batches):
     """(lang, word, f) of each few megabytes of text."""
     for batch in batches:
         for lang, texts in _by_language(batch):
-            for w in _texts(texts):
+            for w in _texts(texts, Bounds.text):
                 found = pc.value_counts(w.array())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found.field(0).cast(pa.string()), found.field(1)], ["lang", "word", "f"])
 
@@ -174,15 +186,16 @@ def _extent(rank: np.ndarray, piece: np.ndarray, longest: int) -> tuple[np.ndarr
     return left, right
 
 
-def _fragments(w: Words, rank: np.ndarray, counts: np.ndarray, longest: int):
+def _fragments(w: Words, rank: np.ndarray, counts: np.ndarray, longest: int, bounds: Bounds):
     """Tables (home, at, fragment): one row for each word that has no rarer neighbour on some side.
 
-    ``home`` tells the pivot's partition: its rank, with the number of a part where the pivot is
-    divided, and then negative."""
+    ``home`` tells the pivot's partition, its rank.  A divided pivot has parts, by the word before it
+    for phrases that begin before it, by the word behind it for those that begin with it; so its
+    fragments go to two parts, and still every phrase to one.  Homes of parts are negative."""
     left, right = _extent(rank, w.piece, longest)
     every = np.flatnonzero((rank < _BLANK) & (left + right > 0))
-    for lo in range(0, len(every), MINED):
-        at = every[lo : lo + MINED]
+    for lo in range(0, len(every), bounds.cut):
+        at = every[lo : lo + bounds.cut]
         first, last = at - left[at], at + right[at]
         a, b = int(first.min()), int(last.max()) + 1
         offsets = w.offsets[a : b + 1] - w.offsets[a]
@@ -191,14 +204,19 @@ def _fragments(w: Words, rank: np.ndarray, counts: np.ndarray, longest: int):
         spaced = np.full(int(offsets[-1]) + b - a, 32, np.uint8)
         spaced[np.arange(int(offsets[-1])) + np.repeat(np.arange(b - a), length)] = w.data[w.offsets[a] : w.offsets[b]]
         begin = offsets[:-1] + np.arange(b - a)
-        text = _stretches(spaced, begin[first - a], begin[last - a] + length[last - a])
-        pivot = rank[at]
+        pivot, place = rank[at], left[at].astype(np.int32)
         parts = np.ones(len(at), np.int64)
         known = pivot < len(counts)
-        parts[known] = -(-counts[pivot[known]] // SPLIT)
-        mixed = (rank[first] * 31 + rank[last] * 17 + left[at] * 7 + right[at]) % 1_000_003  # equal fragments, equal parts
-        home = np.where(parts > 1, -1 - (pivot * 1_000_003 + mixed % parts), pivot)
-        yield pa.table([pa.array(home), pa.array(left[at].astype(np.int32)), text], names=["home", "at", "fragment"])
+        parts[known] = -(-counts[pivot[known]] // bounds.split)
+        whole = np.flatnonzero(parts == 1)
+        some = np.flatnonzero(parts > 1)
+        one, two = some[left[at[some]] > 0], some[right[at[some]] > 0]
+        part = lambda of, by, side: -1 - ((pivot[of] * 1_000_003 + rank[by] * 7919 % 1_000_003 % parts[of]) * 2 + side)
+        home = np.concatenate([pivot[whole], part(one, at[one] - 1, 0), part(two, at[two] + 1, 1)])
+        begins = np.concatenate([first[whole], first[one], at[two]]) - a
+        ends = np.concatenate([last[whole], last[one], last[two]]) - a
+        place = np.concatenate([place[whole], place[one] + _BEFORE, np.zeros(len(two), np.int32)])
+        yield pa.table([pa.array(home), pa.array(place), _stretches(spaced, begin[begins], begin[ends] + length[ends])], names=["home", "at", "fragment"])
 
 
 def _stretches(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -213,7 +231,7 @@ def _added(tables: list[pa.Table], names: list[str]) -> pa.Table:
     return pa.concat_tables(tables).group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"])
 
 
-def _fragmenter(spread, longest: int):
+def _fragmenter(spread, longest: int, bounds: Bounds):
     """Fragments with the number of their occurrences, equal ones of a task added up while few are held."""
     names = ["home", "at", "fragment"]
 
@@ -225,12 +243,12 @@ def _fragmenter(spread, longest: int):
         table, held = spread.value, {}
         for batch in batches:
             for lang, texts in _by_language(batch):
-                for w in _texts(texts):
-                    for t in _fragments(w, table.of(lang, w.array()), table.counts, longest):
+                for w in _texts(texts, bounds.text):
+                    for t in _fragments(w, table.of(lang, w.array()), table.counts, longest, bounds):
                         held.setdefault(lang, []).append(t.append_column("n", pa.array(np.ones(len(t), np.int64))))
-                        if sum(len(x) for tables in held.values() for x in tables) > HELD:
+                        if sum(len(x) for tables in held.values() for x in tables) > bounds.held:
                             held = {x: [_added(tables, names)] for x, tables in held.items()}
-                            for x in [x for x in held if len(held[x][0]) > HELD // 8]:
+                            for x in [x for x in held if len(held[x][0]) > bounds.held // 8]:
                                 yield from rows(x, held.pop(x)[0])
         for lang, tables in held.items():
             yield from rows(lang, _added(tables, names))
@@ -250,10 +268,12 @@ def _cut(t: pa.Table, longest: int) -> pa.Table:
     base = np.searchsorted(begin, offsets[:-1])
     size = np.diff(np.append(base, len(begin)))
     at = np.asarray(t.column("at"), np.int64)
+    least = np.where(at >= _BEFORE, 1, 0)
+    at = at % _BEFORE
     row, first, count = [], [], []
     for k in range(2, longest + 1):
         for d in range(k):
-            ok = np.flatnonzero((at >= d) & (at - d + k <= size))
+            ok = np.flatnonzero((at >= d) & (d >= least) & (at - d + k <= size))
             row.append(ok)
             first.append((base + at - d)[ok])
             count.append(np.full(len(ok), k))
@@ -265,52 +285,66 @@ def _cut(t: pa.Table, longest: int) -> pa.Table:
     return pa.table([lang.dictionary.take(out.column("code").combine_chunks()), out.column("phrase").cast(pa.string()), out.column("n")], names=["lang", "phrase", "n"])
 
 
-def _miner(least: int, longest: int):
-    """Counts (lang, phrase, n) of fragments sorted by home: those of ``least`` or more where a home's
-    fragments are all there, every count where they are read in several goes or are a divided pivot's."""
+def _miner(least: int, longest: int, bounds: Bounds):
+    """Counts (lang, phrase, n) of fragments sorted by home: those of ``least`` or more.
+
+    A few homes, or a stretch of one, are cut at once.  Where one home has more phrases than a task
+    holds, all their counts are passed on, to be added up by phrase."""
+    names = ["lang", "phrase"]
+
+    def often(t: pa.Table):
+        yield from t.filter(pc.greater_equal(t.column("n"), least)).to_batches()
 
     def run(batches):
-        left, going = None, None  # fragments of the home that was read last; the home of which some are counted
+        going, counts, passed = None, [], False  # the home whose fragments are cut in several goes
 
-        def counted(t: pa.Table):
-            nonlocal going
+        def cut(t: pa.Table):
+            nonlocal going, counts, passed
             home = np.asarray(t.column("home"))
-            part = (home < 0) | (home == going if going is not None else np.zeros(len(home), bool))
-            for rows, every in ((np.flatnonzero(~part), False), (np.flatnonzero(part), True)):
-                if len(rows):
-                    out = _cut(t.take(pa.array(rows)), longest)
-                    yield from (out if every else out.filter(pc.greater_equal(out.column("n"), least))).to_batches()
+            if going is not None and home[0] != going:
+                yield from done()
+            begin = int(np.searchsorted(home, going, "right")) if going is not None else 0
+            end = int(np.searchsorted(home, home[-1]))
+            if going is None or end >= begin:
+                if begin:
+                    counts.append(_cut(t.slice(0, begin), longest))
+                    yield from done()
+                if end > begin:
+                    yield from often(_added([_cut(t.slice(begin, end - begin), longest)], names))
+                going, begin = int(home[-1]), end
+                counts.append(_cut(t.slice(begin), longest))
+            else:
+                counts.append(_cut(t, longest))
+            if sum(len(x) for x in counts) > bounds.counted:
+                counts = [_added(counts, names)]
+                if len(counts[0]) > bounds.counted // 2:
+                    passed = True
+                    yield from counts[0].to_batches()
+                    counts = []
+
+        def done():
+            nonlocal going, counts, passed
+            if counts:
+                total = _added(counts, names)
+                yield from total.to_batches() if passed else often(total)
+            going, counts, passed = None, [], False
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, MINED):
-                t = pa.Table.from_batches([batch.slice(lo, MINED)])
-                left = t if left is None else pa.concat_tables([left, t])
-                if len(left) < MINED:
-                    continue
-                home = np.asarray(left.column("home"))
-                whole = int(np.searchsorted(home, home[-1]))
-                if whole:
-                    yield from counted(left.slice(0, whole))
-                    left = left.slice(whole)
-                if len(left) >= MINED:
-                    going = int(home[-1])
-                    yield from counted(left)
-                    left = None
-        if left is not None and len(left):
-            yield from counted(left)
+            for lo in range(0, batch.num_rows, bounds.cut):
+                yield from cut(pa.Table.from_batches([batch.slice(lo, bounds.cut)]))
+        yield from done()
 
     return run
 
 
-def frequent(texts: DataFrame, table: Ranks, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+def frequent(texts: DataFrame, table: Ranks, least: int = LEAST, longest: int = LONGEST, bounds: Bounds = Bounds()) -> DataFrame:
     """(lang, phrase, f) of phrases of 2 to ``longest`` words with ``least`` occurrences or more.
 
-    A pivot's partition counts its phrases and lets those go that stay below ``least``.  Fragments of
-    a pivot of more than ``SPLIT`` occurrences are divided among partitions; these, and a task that
-    can't hold a pivot's fragments at once, pass on all their counts, which are added up by phrase."""
+    A pivot's partition counts its phrases and lets those go that stay below ``least``; pivots of more
+    than ``bounds.split`` occurrences are divided among partitions by their neighbours."""
     spread = texts.sparkSession.sparkContext.broadcast(table)
-    fragments = texts.mapInArrow(_fragmenter(spread, longest), "lang string, home bigint, at int, fragment string, n bigint")
-    mined = fragments.repartition("home").sortWithinPartitions("home").mapInArrow(_miner(least, longest), "lang string, phrase string, n bigint")
+    fragments = texts.mapInArrow(_fragmenter(spread, longest, bounds), "lang string, home bigint, at int, fragment string, n bigint")
+    mined = fragments.repartition("home").sortWithinPartitions("home").mapInArrow(_miner(least, longest, bounds), "lang string, phrase string, n bigint")
     return mined.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
@@ -345,7 +379,7 @@ def displaced(phrases: DataFrame, share: int = SHARE) -> DataFrame:
     return longer.select("lang", "f", F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("most"))
 
 
-def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE) -> DataFrame:
+def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE, bounds: Bounds = Bounds()) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases.
 
     Texts are split at ``.,;:!?`` and line ends into pieces, these at blanks and tabs into words; only
@@ -356,7 +390,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     with Scratch(docs.sparkSession) as scratch:
         counts = written(word_counts(texts), "words")
         total = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-        often = written(frequent(texts, ranks(counts, least), least, longest), "phrases")
+        often = written(frequent(texts, ranks(counts, least), least, longest, bounds), "phrases")
         unigrams = counts.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), "f")
         scores = scored(often, unigrams)
         left = scores.join(displaced(often), ["lang", "phrase"], "left").where(F.coalesce(F.lit(100).cast("decimal(38,0)") * F.col("most") < F.lit(share) * F.col("a"), F.lit(True)))

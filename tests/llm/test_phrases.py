@@ -59,9 +59,21 @@ def test_top_and_least(spark):
     assert ran(spark, ROWS, least=8, top=5) == brute(ROWS, least=8, top=5)
 
 
-def test_divided_pivots(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "SPLIT", 50)
-    assert ran(spark, ROWS) == brute(ROWS)
+def test_divided_pivots(spark):
+    assert ran(spark, ROWS, bounds=phrases.Bounds(split=50)) == brute(ROWS)
+
+
+def test_counts_pass_only_where_a_pivot_is_too_large(spark):
+    """Divided or not, a partition passes on frequent phrases alone."""
+    texts = spark.createDataFrame(ROWS, "lang string, text string").selectExpr("coalesce(lang, 'und') lang", "text")
+    for split in (1 << 18, 50):
+        bounds = phrases.Bounds(split=split, cut=50)
+        spread = spark.sparkContext.broadcast(phrases.ranks(phrases.word_counts(texts)))
+        kinds = "lang string, home bigint, at int, fragment string, n bigint"
+        dealt = texts.mapInArrow(phrases._fragmenter(spread, 4, bounds), kinds).repartition("home").sortWithinPartitions("home")
+        assert (dealt.where("home < 0").count() > 0) == (split == 50)
+        out = dealt.mapInArrow(phrases._miner(30, 4, bounds), "lang string, phrase string, n bigint").collect()
+        assert out and all(r.n >= 30 for r in out) and len({(r.lang, r.phrase) for r in out}) == len(out)
 
 
 @pytest.mark.parametrize("size", [0, 1, 12])
@@ -71,11 +83,9 @@ def test_table_that_holds_some_words(spark, monkeypatch, size):
 
 
 def test_small_holds_and_heavy_parts(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "HELD", 10)
-    monkeypatch.setattr(phrases, "MINED", 7)
-    monkeypatch.setattr(phrases, "PIECE", 500)
     monkeypatch.setattr("quillspark.llm.common.HEAVY", 3)
-    assert ran(spark, ROWS) == brute(ROWS)
+    assert ran(spark, ROWS, bounds=phrases.Bounds(held=10, cut=7, counted=40, text=500)) == brute(ROWS)
+    assert ran(spark, ROWS, bounds=phrases.Bounds(split=60, cut=20, counted=10)) == brute(ROWS)
 
 
 def test_repetitions_overlap(spark):
@@ -101,7 +111,7 @@ def test_each_phrase_is_counted_in_one_partition(spark):
     kinds = "lang string, home bigint, at int, fragment string, n bigint"
     owners = {}
     place = {(lang, w): int(p) for lang, known in table.words.items() for w, p in zip(known.to_pylist(), table.places[lang])}
-    for r in texts.mapInArrow(phrases._fragmenter(spread, 4), kinds).collect():
+    for r in texts.mapInArrow(phrases._fragmenter(spread, 4, phrases.Bounds()), kinds).collect():
         w = r.fragment.split(" ")
         assert place[r.lang, w[r["at"]]] == r.home == max(place[r.lang, x] for x in w) and len(w) <= 7
         for k in range(2, 5):
