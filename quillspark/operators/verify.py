@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -131,46 +133,155 @@ def _within(a: Column, b: Column, share: float) -> Column:
     return F.call_function("levenshtein", a, b, most) >= 0
 
 
-_COUNTED = "aeiounthrslcdmgbpky"
-
-
-def _counts(text: str, side: str) -> dict[str, Column]:
-    n = F.length(text)
-    return {f"_{side}_{x}": n - F.length(F.translate(text, x, "")) for x in _COUNTED}
-
-
-def _by_length(forms: DataFrame, known: DataFrame, form: str, line: str, share: float) -> DataFrame:
-    """forms and known lines whose lengths and letter counts allow matching characters of ``share``
-    of both: what doesn't match is inserted or deleted, and that changes one letter's count."""
-    n, least = F.length(form), share / (2 - share)
-    rows = forms.withColumns(_counts(form, "f")).withColumn("_length", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))))
-    lines = known.withColumns(_counts(line, "l")).withColumn("_length", F.length(line))
-    apart = sum((F.abs(F.col(f"_f_{x}") - F.col(f"_l_{x}")) for x in _COUNTED), F.lit(0))
-    met = rows.join(lines, "_length").where(apart <= (1 - share) * (F.length(form) + F.length(line)) + 1e-6)
-    return met.select(*forms.columns, *known.columns)
+#: Grams in which two sides of a candidate pair must agree beyond the one that a prefix guarantees.
+MORE = 5
+#: Characters of canonical forms; a gram is three of them, or two.
+_CHARS = " 0123456789abcdefghijklmnopqrstuvwxyz"
+_PLACE = np.zeros(128, np.int64)
+_PLACE[[ord(c) for c in _CHARS]] = np.arange(len(_CHARS))
+_RUN = 1 << 20
+
+
+def _least_grams(n, m, share: float, size: int, words=0):
+    """Grams that a form of n and a line of m characters share at least, if matching characters are
+    ``share`` of both: what doesn't match is deleted, which ends ``size`` grams each, or inserted,
+    which ends one less.  With a number of words, grams across blanks don't count."""
+    apart = (1 - share) * (n + m)
+    whole = n + size - 1 if isinstance(words, int) else n + (2 - size) * words + (size - 2)
+    return whole - (2 * size - 1) / 2 * apart - (n - m) / 2
+
+
+def _gram_rows(share: float, size: int, by_word: bool, order=None):
+    """A function of Arrow batches (id, text): its grams (key, df 1) to be counted, or with ``order``
+    (places of grams, rarest first) its rarest grams (id, n, words, key, at), as many as a partner must
+    meet at least ``1 + MORE`` of, or all.
+
+    Every occurrence of a gram in a text has a key of its own."""
+
+    def run(batches):
+        for batch in batches:
+            ids, keys, n_, k_, at_ = [], [], [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k = text.count(" ") + 1 if by_word else 0
+                padded = np.frombuffer((f" {text} " if by_word else " " * (size - 1) + text + " " * (size - 1)).encode(), np.uint8)
+                if len(padded) < size:
+                    continue
+                c = _PLACE[padded]
+                gram = c[: len(c) - size + 1].copy()
+                for j in range(1, size):
+                    gram = gram * len(_CHARS) + c[j : len(c) - size + 1 + j]
+                place = np.arange(len(gram))
+                if by_word and size == 3:
+                    inner = c[1:-1] != 0  # a blank in the middle parts two words
+                    gram, place = gram[inner], place[inner]
+                n = len(text)
+                if order is None:
+                    keys.append(gram)
+                    continue
+                least = _least_grams(n, n * share / (2 - share), share, size, np.int64(k) if by_word else 0)
+                run_of = np.lexsort((place, gram))
+                g = gram[run_of]
+                start = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
+                nth = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
+                rare = np.lexsort((nth, g, order[g]))[: max(0, len(g) - int(max(1, np.floor(least + 1e-9))) + 1) + MORE]
+                ids.append(np.full(len(rare), i))
+                keys.append(g[rare] * _RUN + nth[rare])
+                n_.append(np.full(len(rare), n))
+                k_.append(np.full(len(rare), k))
+                once = np.repeat(np.diff(np.append(start, len(g))) == 1, np.diff(np.append(start, len(g))))
+                at_.append(np.where(once, place[run_of], -1)[rare])
+            if order is None:
+                found, count = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count)], ["gram", "df"])
+            elif ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((ids, np.int64), (n_, np.int32), (k_, np.int32), (keys, np.int64), (at_, np.int32))], ["id", "n", "words", "key", "at"])
+
+    return run
+
+
+def _short_words(words: Column, n: Column, share: float) -> Column:
+    """Whether a text's words are so short that its grams of three guarantee nothing."""
+    return _least_grams(n, n * (share / (2 - share)), share, 3, words) < 1
+
+
+def _gram_pairs(forms: DataFrame, lines: DataFrame, share: float, by_word: bool, size: int = 3) -> DataFrame:
+    """(f, l): ids of forms and lines (id, text) whose rarest grams agree as they must if matching
+    characters are ``share`` of both.
+
+    Grams are ordered by the number of lines' grams like them: there are at most 37 to the power of
+    ``size``, so their order is broadcast.  Rare grams come first, so a text sends a part of its grams,
+    and each meets few lines; lengths, the number of grams that agree and, for texts in one order, the
+    places of a gram bound what is left."""
+    counted = lines.mapInArrow(_gram_rows(share, size, by_word), "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df"))
+    df = np.zeros(len(_CHARS) ** size, np.int64)
+    for r in counted.collect():  # 50,653 grams at most
+        df[r["gram"]] = r["df"]
+    order = np.argsort(np.argsort(df, kind="stable"), kind="stable")
+    shape = "id bigint, n int, words int, key bigint, at int"
+    a = forms.mapInArrow(_gram_rows(share, size, by_word, order), shape)
+    b = lines.mapInArrow(_gram_rows(share, size, by_word, order), shape).select(F.col("id").alias("l"), F.col("n").alias("m"), F.col("words").alias("v"), "key", F.col("at").alias("to"))
+    n, m = F.col("n"), F.col("m")
+    fits = (2 * F.least(n, m) >= share * (n + m) - 1e-6)
+    if not by_word:
+        # A gram that both have once has hardly moved.
+        fits &= (F.col("at") < 0) | (F.col("to") < 0) | (F.abs(F.col("at") - F.col("to")) <= (1 - share) * (n + m) + 1e-6)
+    met = a.join(b, "key").where(fits).groupBy(F.col("id").alias("f"), "l").agg(F.count("*").alias("agree"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("words").alias("w"), F.first("v").alias("v"))
+    least = F.greatest(_least_grams(n, m, share, size, F.col("w")), _least_grams(m, n, share, size, F.col("v"))) if by_word else _least_grams(n, m, share, size)
+    return met.where(F.col("agree") >= F.greatest(F.lit(1), F.least(F.lit(1 + MORE), F.floor(least + 1e-6)))).select("f", "l")
+
+
+def _texts_of(pairs: DataFrame, forms: DataFrame, lines: DataFrame) -> DataFrame:
+    return pairs.join(forms.select(F.col("id").alias("f"), "_c"), "f").join(lines.select(F.col("id").alias("l"), "canon"), "l").select("_c", "canon")
 
 
 def _sequence_pairs(forms: DataFrame, known: DataFrame, share: float) -> DataFrame:
-    """Pairs of sequence-matcher ratio ``share`` or more, and others."""
-    return _by_length(forms, known.select("canon"), "_c", "canon", share).where(_within(F.col("_c"), F.col("canon"), share)).select("_c", "canon")
+    """Pairs of sequence-matcher ratio ``share`` or more, and others: grams of three that agree in
+    number and place."""
+    a, b = forms.select(F.xxhash64("_c").alias("id"), "_c"), known.select(F.xxhash64("canon").alias("id"), "canon")
+    met = _gram_pairs(a.select("id", "_c"), b.select("id", "canon"), share, False)
+    return _texts_of(met, a, b).where(_within(F.col("_c"), F.col("canon"), share)).distinct()
 
 
-def _token_pairs(forms: DataFrame, known: DataFrame, share: float) -> DataFrame:
-    """Pairs of token-set likeness ``share`` or more, and others: those whose shared words are
-    nearly all of one side, found by words, and those whose sorted words are alike as a whole."""
-    a = forms.withColumn("_a", F.array_distinct(F.split("_c", " "))).withColumn("_u", F.array_join("_a", " "))
-    b = known.select("canon").withColumn("_b", F.array_distinct(F.split("canon", " "))).withColumn("_v", F.array_join("_b", " "))
-    met = a.select("_c", F.length("_u").alias("_m"), F.explode("_a").alias("word")).join(b.select("canon", F.length("_v").alias("_n"), F.explode("_b").alias("word")), "word")
-    shared = met.groupBy("_c", "canon").agg((F.sum(F.length("word")) + F.count("*") - 1).alias("both"), F.least(F.min("_m"), F.min("_n")).alias("shorter"))
-    part = shared.where(2 * F.col("both") >= (share - 1e-9) * (F.col("both") + F.col("shorter"))).select("_c", "canon")
-    both = F.array_sort(F.array_intersect("_a", "_b"))
-    side = lambda own, other: F.array_join(F.concat(both, F.array_sort(F.array_except(own, other))), " ")
-    whole = _by_length(a, b, "_u", "_v", share).select("_c", "canon", side("_a", "_b").alias("one"), side("_b", "_a").alias("two"))
-    return part.union(whole.where(_within(F.col("one"), F.col("two"), share)).select("_c", "canon")).distinct()
+def _rare_words(rows: DataFrame, df: DataFrame, share: float) -> DataFrame:
+    """(id, word): each text's rarest words, so many that the others are too little to be all that it
+    shares with a text that holds nearly all of it."""
+    each = rows.select("id", F.explode("w").alias("word")).join(df, "word", "left")
+    sorted_ = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("s"))  # the words of one text
+    weight = lambda s: F.aggregate(s, F.lit(0), lambda t, x: t + F.length(x["word"]) + 1)
+    most = (weight(F.col("s")) - 1) * (share / (2 - share)) + 1 - 1e-6
+    # A word is kept while it and all commoner ones could be all that is shared.
+    step = F.aggregate("s", F.struct(weight(F.col("s")).cast("double").alias("left"), F.array().cast("array<string>").alias("kept")), lambda t, x: F.struct((t["left"] - F.length(x["word"]) - 1).alias("left"), F.when(t["left"] >= F.col("most"), F.concat(t["kept"], F.array(x["word"]))).otherwise(t["kept"]).alias("kept")))
+    return sorted_.withColumn("most", most).select("id", F.explode(step["kept"]).alias("word"))
 
 
-def _pairs(score):
-    return {sequence_score: _sequence_pairs, token_set_score: _token_pairs}.get(score, _piece_pairs)
+def _token_pairs(forms: DataFrame, known: DataFrame, share: float) -> DataFrame:
+    """Pairs of token-set likeness ``share`` or more, and others: those whose shared words are nearly
+    all of one side, met by that side's rarest words, and those whose words are alike as a whole, met
+    by grams within words."""
+    a = stored(forms.select(F.xxhash64("_c").alias("id"), "_c", F.array_distinct(F.split("_c", " ")).alias("w")), "forms")
+    b = stored(known.select(F.xxhash64("canon").alias("id"), "canon", F.array_distinct(F.split("canon", " ")).alias("w")), "lines")
+    df = stored(b.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "df")
+    every = lambda rows, to: rows.select(F.col("id").alias(to), F.explode("w").alias("word"))
+    one = _rare_words(a, df, share).withColumnRenamed("id", "f").join(every(b, "l"), "word").select("f", "l")
+    two = _rare_words(b, df, share).withColumnRenamed("id", "l").join(every(a, "f"), "word").select("f", "l")
+    length = lambda w: F.aggregate(w, F.lit(-1), lambda t, x: t + F.length(x) + 1)
+    both = F.array_intersect("x", "y")
+    met = one.union(two).distinct().join(a.select(F.col("id").alias("f"), "_c", F.col("w").alias("x")), "f").join(b.select(F.col("id").alias("l"), "canon", F.col("w").alias("y")), "l")
+    part = met.withColumn("both", length(both)).where(2 * F.col("both") >= (share - 1e-9) * (F.col("both") + F.least(length("x"), length("y")))).select("_c", "canon")
+    text = lambda rows: rows.select("id", F.array_join("w", " ").alias("text"))
+    short = lambda rows: rows.where(_short_words(F.size("w"), length("w"), share))
+    alike = _gram_pairs(text(a), text(b), share, True).union(_gram_pairs(text(short(a)), text(short(b)), share, True, 2)).distinct()
+    shared = F.array_sort(F.array_intersect("x", "y"))
+    side = lambda own, other: F.array_join(F.concat(shared, F.array_sort(F.array_except(own, other))), " ")
+    whole = alike.join(a.select(F.col("id").alias("f"), "_c", F.col("w").alias("x")), "f").join(b.select(F.col("id").alias("l"), "canon", F.col("w").alias("y")), "l")
+    whole = whole.where(_within(side("x", "y"), side("y", "x"), share)).select("_c", "canon")
+    return part.union(whole).distinct()
+
+
+def candidates(forms: DataFrame, known: DataFrame, score=levenshtein_score, threshold: float = THRESHOLD) -> DataFrame:
+    """(_c, canon): pairs of forms (_c) and lines (canon) that are scored, all of ``threshold`` or more
+    among them."""
+    return {sequence_score: _sequence_pairs, token_set_score: _token_pairs}.get(score, _piece_pairs)(forms, known, threshold / 100)
 
 
 def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, threshold: float = THRESHOLD) -> DataFrame:
@@ -185,10 +296,9 @@ def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, th
     exact = rows.join(known.withColumnRenamed("canon", "_k"), F.col("_c") == F.col("_k"), "left").drop("_k")
     done = exact.where("n is not null").withColumns({"score": F.lit(100.0), "exact": F.lit(True)})
     open_ = exact.where("n is null").drop("n", "text")
-    share = threshold / 100
     forms = open_.select("_c").where("_c <> ''").distinct()
     # Pairs are few bytes and much work: adaptive execution would leave them to a task or two.
-    pairs = _pairs(score)(forms, known, share).repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = candidates(forms, known, score, threshold).repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scored = pairs.withColumn("score", score(F.col("_c"), F.col("canon"))).where(F.col("score") >= threshold).join(known, "canon")
     best = scored.groupBy("_c").agg(F.max(F.struct("score", (-F.col("n")).alias("m"), "text")).alias("b")).select("_c", "b.score", (-F.col("b.m")).alias("n"), "b.text")
     rest = open_.join(best, "_c", "left").withColumn("exact", F.lit(False)).withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, route, search, verify
+from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, route, textindex, verify
 from quillspark.plans import answers, retrieval
-from quillspark.plans.queries import _BM25, _LABEL, _LINE_SQL, _SIDES, _canon, _ends, _items, _labelled, _line_table, _ranges, _sentences, _squeezed, _vector_index, query, table
+from quillspark.plans.queries import _BM25, _LABEL, _LINE_SQL, _SIDES, _canon, _ends, _items, _labelled, _line_table, _ranges, _sentences, _squeezed, _text_index, _vector_index, query, table
 from quillspark.session import scratch_path, stored
 from quillspark.streaming.cache import stream_hits
 
@@ -17,7 +17,7 @@ _NL = "chr(10)"
 
 
 def _hits(spark, sf_dir, k: int) -> DataFrame:
-    return search.text_topk(_items(spark, sf_dir), table(spark, sf_dir, "documents"), k)
+    return textindex.topk(_items(spark, sf_dir), _text_index(spark, sf_dir), k)
 
 
 # ---- search and fusion ----------------------------------------------------------------------
@@ -30,7 +30,7 @@ def hybrid_boosted(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     docs = table(spark, sf_dir, "documents").join(vectors, "doc_id", "full")
     asked = _items(spark, sf_dir).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
-    hits = retrieval.hybrid_search(asked, docs, 10, always=True).withColumn("type", F.when(F.col("doc_id") % 4 == 0, "poem").otherwise("bio"))
+    hits = retrieval.hybrid_search(asked, docs, 10, always=True, index=_text_index(spark, sf_dir)).withColumn("type", F.when(F.col("doc_id") % 4 == 0, "poem").otherwise("bio"))
     return fuse.type_boost(hits, rerank=True).select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -160,12 +160,13 @@ def motif_labels(spark, sf_dir):
 
 
 def _quoted(spark, sf_dir, score) -> DataFrame:
-    """Lines quoted in other word order, in part or with a letter changed, against all lines."""
-    known = stored(_line_table(spark, sf_dir), "lines")
-    words = F.split(T.squeeze("text"), " ")
-    said = F.when(F.col("n") % 3 == 0, F.array_join(F.reverse(words), " ")).when(F.col("n") % 3 == 1, F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.ceil(F.size(words) * 0.6).cast("int"))), " ")).otherwise(F.translate("text", "e", "a"))
-    out = verify.best_matches(known.select(F.col("n").cast("bigint").alias("place"), said.alias("quote")), verify.choices(known), score)
-    return out.select("place", F.round("score", 6).alias("score"), F.col("n").cast("bigint").alias("n"), "exact")
+    """Benchmark sentences quoted in other word order, in part or with a letter changed, against every
+    sentence of the documents."""
+    known = verify.choices(_sentences(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("quote", "text"), "doc_id")
+    words, kind = F.split(T.squeeze("quote"), " "), (F.col("item_id") + F.col("place")) % 3
+    said = F.when(kind == 0, F.array_join(F.reverse(words), " ")).when(kind == 1, F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.ceil(F.size(words) * 0.6).cast("int"))), " ")).otherwise(F.translate("quote", "x", "y"))
+    asked = _sentences(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.col("place").cast("bigint").alias("place"), said.alias("quote"))
+    return verify.best_matches(asked, known, score).select("item_id", "place", F.round("score", 6).alias("score"), F.col("n").cast("bigint").alias("n"), "exact")
 
 
 @query()
@@ -252,7 +253,7 @@ def answer_all_paths(spark, sf_dir):
     facts = spark.createDataFrame([(1, ["ai viết"], "An answer by hand.", ["faq"])], "place int, patterns array<string>, answer string, sources array<string>")
     cache = spark.createDataFrame([("ai là tác giả|la=1|intent=domain", "A cached answer.")], "key string, answer string")
     docs = stored(embed.with_vectors(table(spark, sf_dir, "documents").select("doc_id", "text")), "passages")
-    return answers.answer_all(q, facts, cache, _line_table(spark, sf_dir), docs)
+    return answers.answer_all(q, facts, cache, _line_table(spark, sf_dir), docs, index=_text_index(spark, sf_dir))
 
 
 @query("""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import lines as L
-from quillspark.operators import prompt, route, verify
+from quillspark.operators import prompt, route, textindex, verify
 from quillspark.operators.embed import Hashing, Provider
 from quillspark.plans import retrieval
 from quillspark.session import stored
@@ -34,7 +34,7 @@ def _verses(asked: DataFrame, lines: DataFrame, make) -> DataFrame:
 
 def answer_all(
     questions: DataFrame, facts: DataFrame, cache: DataFrame, lines: DataFrame, docs: DataFrame, *, make: Callable[[], Callable[[list[str]], list[str]]] = lambda: prompt.extractive,
-    embedder: Callable[[], Provider] = Hashing, k: int = 5,
+    embedder: Callable[[], Provider] = Hashing, k: int = 5, index: textindex.TextIndex | None = None,
 ) -> DataFrame:
     """questions (query_id, question, long_answer) to (query_id, path, answer, error), one row each.
 
@@ -49,12 +49,8 @@ def answer_all(
     generic = prompt.generate(prompt.task_prompts(asked("generic"), "generic_short"), make).select("query_id", "answer", "error")
     verses = _verses(routed.where("path = 'poem'").select("query_id", "question"), lines, make)
     domain = asked("domain", "facts")
-    parts = []
-    for long_answer in (False, True):
-        side = domain.where(F.coalesce("long_answer", F.lit(False)) == long_answer).select("query_id", "query")
-        found = retrieval.retrieve(side, docs, k, embedder=embedder, long_answer=long_answer)
-        parts.append(prompt.generate(found.prompts, make).select("query_id", "answer", "error"))
-    said = stored(parts[0].unionByName(parts[1]), "said").join(domain.select("query_id", "question"), "query_id")
+    found = retrieval.retrieve(domain.select("query_id", "query", "long_answer"), docs, k, embedder=embedder, long_answer="long_answer", index=index)
+    said = stored(prompt.generate(found.prompts, make).select("query_id", "answer", "error"), "said").join(domain.select("query_id", "question"), "query_id")
     known = verify.choices(lines)
     checks = verify.verified(verify.best_matches(verify.quotes(said, "query_id", "answer"), known), "query_id")
     judged = said.join(checks.select("query_id", (F.col("checked") - F.col("accepted") + F.col("non_exact")).alias("bad")), "query_id", "left").withColumns({"bad": F.coalesce("bad", F.lit(0)), "verse": route.has_any("question", route.POEM_ONLY)})

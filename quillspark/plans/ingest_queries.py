@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import html
 from quillspark.functions import text as T
-from quillspark.operators import ann, chunk, tags, validate
+from quillspark.operators import ann, chunk, search, tags, validate
 from quillspark.plans.queries import _HEADERS, _LINE_SQL, _LINES, _WS, _ends, _headers, _line_table, _ranges, _rounded, _squeezed, _vector_index, _vector_queries, _words, query, table
-from quillspark.session import scratch_path
+from quillspark.session import scratch_path, stored
 from quillspark.sources import readers, sinks
 
 _NL = "chr(10)"
@@ -245,7 +245,12 @@ def validation_errors(spark, sf_dir):
 
 @query()
 def ann_topk(spark, sf_dir):
-    """Nearest vectors from an inverted file: half of the rows are candidates."""
-    docs = _vector_index(spark, sf_dir)
-    index = ann.build(docs)
-    return _rounded(ann.topk(_vector_queries(spark, sf_dir), index, 10, candidates=int(index.sizes.sum()) // 2))
+    """Nearest vectors from the stored index, beside each query's recall against all rows and the share
+    of rows whose originals were scored at most."""
+    docs, asked = _vector_index(spark, sf_dir), _vector_queries(spark, sf_dir)
+    index = ann.build(docs, scratch_path(spark, "vectorindex"))
+    found = stored(ann.topk(asked, index, 10), "found")
+    exact = search.vector_topk(asked, docs, 10).select("query_id", "doc_id")
+    recall = exact.join(found.select("query_id", "doc_id").withColumn("_hit", F.lit(1)), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
+    share = F.lit(min(1.0, max(10, min(int(index.rows * ann.SCORED), ann.TIMES * 10)) / max(index.rows, 1)))
+    return _rounded(found).join(recall, "query_id").withColumn("scored_share", F.round(share, 6))

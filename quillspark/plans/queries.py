@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import html
 from quillspark.functions import text as T
-from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, rerank, route, search, tags, validate, verify
+from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, rerank, route, search, tags, textindex, validate, verify
 from quillspark.plans import retrieval
-from quillspark.session import prepared, stored
+from quillspark.session import prepared, scratch_path, stored
 from quillspark.sources import readers, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,8 +295,26 @@ def _items(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_indexes: dict[tuple[str, str], textindex.TextIndex] = {}
+
+
+def _text_index(spark, sf_dir) -> textindex.TextIndex:
+    """The documents' index, built once for a session's application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = textindex.build(table(spark, sf_dir, "documents"), scratch_path(spark, "textindex"))
+    return textindex.TextIndex.open(spark, _indexes[key].path)
+
+
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM br WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
+    """Over the stored index."""
+    return _rounded(textindex.topk(_items(spark, sf_dir), _text_index(spark, sf_dir), 10))
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM br WHERE rank <= 10")
+def bm25_scan(spark, sf_dir):
+    """Without an index, as filtered searches run."""
     return _rounded(search.text_topk(_items(spark, sf_dir), table(spark, sf_dir, "documents"), 10))
 
 
@@ -314,7 +332,7 @@ def _hybrid_sides(spark, sf_dir, k: int) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     asked = _items(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
     v = search.vector_topk(asked, _vector_index(spark, sf_dir), k)
-    return v, search.text_topk(asked, table(spark, sf_dir, "documents"), k)
+    return v, textindex.topk(asked, _text_index(spark, sf_dir), k)
 
 
 _SIDES = f"""{_BM25}, hv AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id AS query_id, e.vec_id AS doc_id, {_COS} AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e)),
@@ -341,7 +359,7 @@ def rrf_truncated(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "full")
     asked = _items(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
-    out = retrieval.hybrid_search(asked, docs, 10)
+    out = retrieval.hybrid_search(asked, docs, 10, index=_text_index(spark, sf_dir))
     return out.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -407,7 +425,7 @@ _LEXICAL = f"""b AS (SELECT br.query_id, br.doc_id, br.score, br.rank, {_tokens(
 @query(f"WITH {_BM25}, {_LEXICAL}, rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY re_score DESC, rank, doc_id) AS new_rank FROM re) SELECT query_id, doc_id, round(re_score, 6) AS re_score, new_rank FROM rr WHERE new_rank <= 5")
 def lexical_rerank(spark, sf_dir):
     items = _items(spark, sf_dir)
-    hits = search.text_topk(items, table(spark, sf_dir, "documents"), rerank.depth(10**9, 5)).join(items, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    hits = textindex.topk(items, _text_index(spark, sf_dir), rerank.depth(10**9, 5)).join(items, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     out = rerank.rerank(hits, 5, "lexical")
     return out.select("query_id", "doc_id", F.round("re_score", 6).alias("re_score"), F.col("new_rank").cast("bigint").alias("new_rank"))
 
@@ -438,7 +456,7 @@ def cite_tags(spark, sf_dir):
 @query(f"WITH {_BM25} SELECT query_id, {_LABEL} AS label, min(rank) AS first_rank FROM br JOIN documents USING (doc_id) WHERE rank <= 10 GROUP BY ALL")
 def sources_labels(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    hits = search.text_topk(_items(spark, sf_dir), docs, 10).join(_labelled(docs).select("doc_id", "label"), "doc_id")
+    hits = textindex.topk(_items(spark, sf_dir), _text_index(spark, sf_dir), 10).join(_labelled(docs).select("doc_id", "label"), "doc_id")
     return fuse.sources(hits).select("query_id", "label", F.col("first_rank").cast("bigint").alias("first_rank"))
 
 
@@ -602,7 +620,7 @@ def history_window(spark, sf_dir):
     SELECT item_id AS query_id, md5('{prompt.TASKS['rag_short']}' || CASE WHEN text <> '' THEN chr(10) || chr(10) || '## Question' || chr(10) || text ELSE '' END || CASE WHEN e IS NOT NULL THEN chr(10) || chr(10) || '## Excerpts' || chr(10) || e ELSE '' END) AS prompt_md5 FROM benchmark LEFT JOIN x ON query_id = item_id""")
 def prompt_assemble(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    hits = search.text_topk(_items(spark, sf_dir), docs, 5).join(_labelled(docs).select("doc_id", "label", "text"), "doc_id")
+    hits = textindex.topk(_items(spark, sf_dir), _text_index(spark, sf_dir), 5).join(_labelled(docs).select("doc_id", "label", "text"), "doc_id")
     return prompt.rag_prompts(_items(spark, sf_dir), hits).select("query_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
@@ -707,7 +725,7 @@ def retrieval_plan(spark, sf_dir):
     of every variant of a question."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("type", F.when(F.col("doc_id") % 4 == 0, "poem").otherwise("analysis"))
     docs = stored(embed.with_vectors(d), "passages")
-    got = retrieval.retrieve(_items(spark, sf_dir), docs, 5, embedder=embed.Hashing, where=F.col("type").isin("poem", "analysis"), prefer="poem")
+    got = retrieval.retrieve(_items(spark, sf_dir), docs, 5, embedder=embed.Hashing, where=F.col("type").isin("poem", "analysis"), prefer="poem", index=_text_index(spark, sf_dir))
     return got.contexts.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -717,7 +735,7 @@ def retrieval_plan(spark, sf_dir):
 def generated_answers(spark, sf_dir):
     """Prompts of all benchmark items answered by the local generator."""
     docs = table(spark, sf_dir, "documents")
-    hits = search.text_topk(_items(spark, sf_dir), docs, 5).join(_labelled(docs).select("doc_id", "label", "text"), "doc_id")
+    hits = textindex.topk(_items(spark, sf_dir), _text_index(spark, sf_dir), 5).join(_labelled(docs).select("doc_id", "label", "text"), "doc_id")
     return prompt.generate(prompt.rag_prompts(_items(spark, sf_dir), hits)).select("query_id", "answer", "error")
 
 

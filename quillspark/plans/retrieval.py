@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import top_k
-from quillspark.operators import fuse, prompt, rerank, route, search
+from quillspark.operators import fuse, prompt, rerank, route, search, textindex
 from quillspark.operators.embed import QUERY, Provider, with_vectors
 from quillspark.session import stored
 
@@ -22,22 +23,23 @@ class Result:
     prompts: DataFrame
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, *, where: Column | None = None, always: bool = False) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, *, where: Column | None = None, always: bool = False, index: textindex.TextIndex | None = None) -> DataFrame:
     """queries (query_id, query, vector) over docs (doc_id, text, vector, …): blank queries find
-    nothing; both sides look max(k, 6) deep."""
+    nothing; both sides look max(k, 6) deep.  Words are looked up in the ``index`` of the same texts, if
+    one is given; with a filter all texts that pass it are read, since it changes what words weigh."""
     k = top_k(k)
     asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
     pool = docs if where is None else docs.where(where)
     deep = max(k, 6)
     v = search.vector_topk(asked, pool, deep)
-    t = search.text_topk(asked, pool, deep)
+    t = search.text_topk(asked, pool, deep) if index is None or where is not None else textindex.topk(asked, index, deep)
     return fuse.hybrid(v, t, k, always=always)
 
 
-def _found(probe: DataFrame, docs: DataFrame, k: int, name: str, *, where: Column | None = None, relaxed: bool) -> DataFrame:
+def _found(probe: DataFrame, docs: DataFrame, k: int, name: str, *, where: Column | None = None, relaxed: bool, index: textindex.TextIndex | None = None) -> DataFrame:
     """Hits of all probes (vid, query, vector, query_id, variant), written once."""
     asked = probe.select(F.col("vid").alias("query_id"), "query", "vector")
-    hits = hybrid_search(asked, docs, k, where=where).withColumnRenamed("query_id", "vid")
+    hits = hybrid_search(asked, docs, k, where=where, index=index).withColumnRenamed("query_id", "vid")
     return stored(hits.join(probe.select("vid", "query_id", "variant"), "vid").drop("vid").withColumn("relaxed", F.lit(relaxed)), name)
 
 
@@ -51,12 +53,14 @@ def _counts(asked: DataFrame, strict: DataFrame, relaxed: DataFrame | None) -> D
     return out
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, *, embedder: Callable[[], Provider] | None = None, where: Column | None = None, entities: dict | None = None, prefer: str | None = None, long_answer: bool = False, mode: str = "lexical") -> Result:
+def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, *, embedder: Callable[[], Provider] | None = None, where: Column | None = None, entities: dict | None = None, prefer: str | None = None, long_answer: bool | str = False, mode: str = "lexical", index: textindex.TextIndex | None = None) -> Result:
     """Contexts and prompts for queries (query_id, query[, vector]).
 
     Every variant of a query is searched as itself: with an ``embedder`` its own text is embedded,
     as a query; without one its vector is the question's for the question and none for others, which
-    then find by words alone.  All variants are searched with the filter at once; those of queries
+    then find by words alone.  ``long_answer`` holds for all questions or names a boolean column of
+    theirs; either way everything is searched once.  An ``index`` of the documents' texts serves the
+    searches without a filter.  All variants are searched with the filter at once; those of queries
     for which that gives too little are searched again without it.  The relaxation rules then keep
     what a search that stops early would have collected."""
     k = top_k(k)
@@ -66,11 +70,11 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, *, embedder: Calla
     else:
         asked = asked.withColumn("vector", F.when(F.col("variant") == 0, F.col("vector")))
     probe = stored(asked.select("query_id", "variant", "query", "vector").withColumn("vid", F.monotonically_increasing_id()), "probes")
-    strict = _found(probe, docs, max(k, 10), "strict", where=where, relaxed=False)
+    strict = _found(probe, docs, max(k, 10), "strict", where=where, relaxed=False, index=index)
     relaxed = None
     if where is not None:
         few = fuse.relax(_counts(probe, strict, None), k, filtered=False).where("kept").groupBy("query_id").agg(F.sum("hits").alias("n")).where(F.col("n") < k)
-        relaxed = _found(probe.join(few.select("query_id"), "query_id", "left_semi"), docs, max(k, 12), "relaxed", relaxed=True)
+        relaxed = _found(probe.join(few.select("query_id"), "query_id", "left_semi"), docs, max(k, 12), "relaxed", relaxed=True, index=index)
     every = strict if relaxed is None else strict.unionByName(relaxed)
     kept = fuse.relax(_counts(probe, strict, relaxed), k, filtered=where is not None).where("kept").select("query_id", "variant", "stage")
     staged = every.withColumn("relaxed_", F.col("relaxed")).join(kept.withColumn("relaxed_", F.col("stage") == 3), ["query_id", "variant", "relaxed_"]).drop("relaxed_")
@@ -83,9 +87,18 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, *, embedder: Calla
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "stage", "variant", "rank", "doc_id")
     ordered = good.withColumn("rank", F.row_number().over(order))
     deep = rerank.rerank(ordered, max(2 * k, 12), mode).withColumn("rank", F.col("new_rank")).drop("new_rank")
-    contexts = deep.where(F.col("rank") <= rerank.contexts_taken(k, long_answer))
-    labelled = contexts.withColumn("label", F.col("doc_id").cast("string"))
-    return Result(single, contexts, prompt.rag_prompts(queries, labelled, long_answer=long_answer))
+    if isinstance(long_answer, bool):
+        wants = queries.withColumn("_long", F.lit(long_answer))
+    else:
+        wants = queries.withColumn("_long", F.coalesce(F.col(long_answer), F.lit(False)))
+        deep = stored(deep, "deep")  # read for short and for long answers
+    contexts, prompts = [], []
+    for long in (False, True) if isinstance(long_answer, str) else (long_answer,):
+        side = wants.where(F.col("_long") == long).drop("_long")
+        taken = deep.where(F.col("rank") <= rerank.contexts_taken(k, long)).join(side.select("query_id"), "query_id", "left_semi")
+        contexts.append(taken)
+        prompts.append(prompt.rag_prompts(side, taken.withColumn("label", F.col("doc_id").cast("string")), long_answer=long))
+    return Result(single, reduce(DataFrame.unionByName, contexts), reduce(DataFrame.unionByName, prompts))
 
 
 def dispatch(questions: DataFrame, facts: DataFrame, cache: DataFrame) -> DataFrame:

@@ -117,3 +117,59 @@ def test_all_quotable_sentences_are_corrected(spark, small):
                 out.append(f'"{said[n]}"' if n is not None and score < 100 else f'"{q}"')
         want[i] = " ".join(out)
     assert {r.item_id: r.text for r in Q.queries()["quote_correct"](spark, path).collect()} == want
+
+
+def said_otherwise(i, place, text):
+    """The alteration of the registered queries."""
+    w = text.split()
+    return [" ".join(reversed(w)), " ".join(w[: max(1, -(-len(w) * 6 // 10))]), text.replace("x", "y")][(i + place) % 3]
+
+
+@pytest.mark.parametrize("name,plain", [("quote_verify_tokens", verify._token_set), ("quote_verify_sequence", lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() * 100)])
+def test_quotations_of_documents(spark, small, name, plain):
+    path, said, items = small
+    known = {s[:-1]: i for i, s in enumerate(said)}
+    want = {}
+    for i, x in enumerate(items):
+        for place, s in enumerate(x):
+            score, n = best(" ".join(said_otherwise(i, place, s).replace(".", " ").split()), known, plain)
+            want[i, place] = (round(score, 6), n, score == 100.0 and " ".join(said_otherwise(i, place, s).replace(".", " ").split()) in known)
+    got = {(r.item_id, r.place): (r.score, r.n, r.exact) for r in Q.queries()[name](spark, path).collect()}
+    assert got == want and len({w[1] for w in want.values()}) > 5
+
+
+def edited(rng, text, least=0.0):
+    """A text some single letters of which are left out, added or changed."""
+    c = list(text)
+    for _ in range(rng.randint(0, max(1, len(c) // 9))):
+        at = rng.randrange(len(c) + 1)
+        kind = rng.randint(0, 2)
+        c[at : at + (kind != 1)] = [] if kind == 0 else [rng.choice("abcdefgx ")]
+    return " ".join("".join(c).split())
+
+
+@pytest.mark.parametrize("column,plain", [(verify.sequence_score, lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() * 100), (verify.token_set_score, verify._token_set)])
+@pytest.mark.parametrize("letters", [1, 2, 9])
+def test_candidates_lose_no_pair(spark, column, plain, letters):
+    """Around the threshold, for long and very short words and texts, and for texts of one gram."""
+    rng = random.Random(letters)
+    vocab = ["".join(rng.choice("abcdefgx") for _ in range(rng.randint(1, letters))) for _ in range(40)]
+    lines = list({" ".join(rng.choices(vocab, k=rng.randint(1, 14))) for _ in range(120)} | {"a", "ab", "abcd", "a" * 60, "a b " * 20 + "c", "aaaa aaaa"})
+    forms = list({edited(rng, rng.choice(lines)) for _ in range(250)} | {"abcde", "a" * 55, "b a " * 20 + "c"} - {""})
+    known = spark.createDataFrame([(x,) for x in lines], "canon string")
+    got = {(r["_c"], r.canon) for r in verify.candidates(spark.createDataFrame([(x,) for x in forms], "_c string"), known, column).collect()}
+    want = {(f, x) for f in forms for x in lines if f != x and plain(f, x) >= 88}
+    assert want and want <= got
+
+
+@pytest.mark.parametrize("column", [verify.sequence_score, verify.token_set_score])
+def test_candidates_grow_with_the_lines(spark, column):
+    """Twice the lines and forms, about twice the candidates: common words and grams join nobody."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    lines = list({" ".join(rng.choices(vocab, k=12) + ["the", "of", "and"]) for _ in range(1600)})
+    counts = []
+    for n in (400, 1600):
+        forms = spark.createDataFrame([(edited(rng, x),) for x in lines[:n:2]], "_c string").distinct()
+        counts.append(verify.candidates(forms, spark.createDataFrame([(x,) for x in lines[:n]], "canon string"), column).count())
+    assert counts[0] >= 100 and counts[1] <= 6 * counts[0]

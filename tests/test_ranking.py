@@ -190,25 +190,6 @@ def test_hosted_embeddings_are_read_in_any_shape():
         embed.Hosted(lambda p: {"data": []}, "m", dim=2).embed(["x"])
 
 
-def test_inverted_file_against_brute_force(spark, sf):
-    from quillspark.operators import ann
-
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rng = np.random.default_rng(1)
-    more = [(100_000 + i, v.tolist()) for i, v in enumerate((rng.normal(size=(900, 64)) + 2 * rng.normal(size=(12, 64))[np.arange(900) % 12]).astype(np.float32))]
-    docs = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")).unionByName(spark.createDataFrame(more + [(1, None)], "doc_id bigint, vector array<float>"))
-    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    index = ann.build(docs, lists=24)
-    n = int(index.sizes.sum())
-    assert n == docs.where("vector is not null").count() == index.rows.count()
-    want = {(r.query_id, r.doc_id) for r in search.vector_topk(asked, docs, 10).collect()}
-    got = {(r.query_id, r.doc_id) for r in ann.topk(asked, index, 10, candidates=n // 2).collect()}
-    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
-    assert {(r.query_id, r.doc_id) for r in ann.topk(asked, index, 10, candidates=n).collect()} == want
-    none = ann.build(docs.where("vector is null"))
-    assert ann.topk(asked, none, 10, candidates=5).collect() == []
-
-
 def test_hosted_rerankers(spark, monkeypatch):
     monkeypatch.setattr(rerank, "STRATEGIES", dict(rerank.STRATEGIES))
     hits = spark.createDataFrame([(1, d, 0.5, d, "why", t) for d, t in enumerate(["aa", "a", "aaa"], 1)] + [(2, 9, 0.1, 1, "who", "aaaa")], "query_id bigint, doc_id bigint, score double, rank int, query string, text string")
