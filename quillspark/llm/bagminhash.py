@@ -38,7 +38,8 @@ FURTHER_BANDS = 4
 BLOCK, BLOCK_SHINGLES = 1024, 3_000_000
 #: Registers that one step of comparing signatures holds.
 STEP = 1 << 25
-#: Four standard deviations below the threshold: pairs estimated lower aren't verified.
+#: Four standard deviations below the threshold: pairs estimated lower aren't verified by default; an
+#: estimate of 0 verifies every pair that shares a band.
 ESTIMATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 
 _U = np.uint64
@@ -210,7 +211,7 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def _near(sig: np.ndarray, t: pa.Table):
+def _near(sig: np.ndarray, t: pa.Table, estimate: float):
     """(i, js) of a group's members of different components that are estimated near and share no
     earlier band.  Members are sorted by component; visitors meet the main component only."""
     band, component = t.column("band")[0].as_py(), _column(t, "component")
@@ -228,7 +229,7 @@ def _near(sig: np.ndarray, t: pa.Table):
         if not crossed:
             rows = rows[ends[rows] == ends[rows[0]]]  # members of one component meet all behind it
         same = sig[rows][:, None, :] == sig[right][None, :, :]
-        a, b = np.nonzero(same.sum(axis=2, dtype=np.int32) >= ESTIMATE * REGISTERS)
+        a, b = np.nonzero(same.sum(axis=2, dtype=np.int32) >= estimate * REGISTERS)
         agree = same[a, b, : BANDS * ROWS].reshape(len(a), BANDS, ROWS).all(axis=2)
         good = agree[:, band] & ~agree[:, :band].any(axis=1)
         a, b = a[good], b[good]
@@ -241,21 +242,25 @@ def _signed(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _candidates(batches):
+def _candidates(estimate: float):
     """(bucket, cid) of members with a near one in their block that they haven't met."""
-    for t in _groups(batches):
-        if t.num_rows < 2:
-            continue
-        used = np.zeros(t.num_rows, bool)
-        for i, js in _near(_signed(t), t):
-            used[i] = used[js] = True
-        if used.any():
-            keep = pa.array(used)
-            for batch in t.select(["bucket", "cid"]).filter(keep).combine_chunks().to_batches():
-                yield batch
+
+    def run(batches):
+        for t in _groups(batches):
+            if t.num_rows < 2:
+                continue
+            used = np.zeros(t.num_rows, bool)
+            for i, js in _near(_signed(t), t, estimate):
+                used[i] = used[js] = True
+            if used.any():
+                keep = pa.array(used)
+                for batch in t.select(["bucket", "cid"]).filter(keep).combine_chunks().to_batches():
+                    yield batch
+
+    return run
 
 
-def _joins(t: pa.Table):
+def _joins(t: pa.Table, estimate: float):
     """(cid, rep) of links in a block that join what neither earlier links nor others here join."""
     component, cid = _column(t, "component"), _column(t, "cid")
     hashes = [np.frombuffer(x, _U) for x in t.column("hashes").to_pylist()]
@@ -266,7 +271,7 @@ def _joins(t: pa.Table):
     total = np.add.reduceat(count, start)
     dense = np.zeros(len(known), np.int64)
     root = np.unique(component, return_inverse=True)[1]
-    for i, js in _near(_signed(t), t):
+    for i, js in _near(_signed(t), t, estimate):
         js = js[(root[js] != root[i]) & (np.minimum(total[js], total[i]) >= SIMILARITY * np.maximum(total[js], total[i]) - 1e-6)]
         if not len(js):
             continue
@@ -282,32 +287,38 @@ def _joins(t: pa.Table):
                 yield int(cid[i]), int(cid[j])
 
 
-def _rest(batches):
-    for t in _groups(batches):
-        found = list(_joins(t)) if t.num_rows > 1 else []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["cid", "rep"])
+def _rest(estimate: float):
+    def run(batches):
+        for t in _groups(batches):
+            found = list(_joins(t, estimate)) if t.num_rows > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["cid", "rep"])
+
+    return run
 
 
-def rest_links(apart: DataFrame, classes: DataFrame, bags: DataFrame) -> DataFrame:
+def rest_links(apart: DataFrame, classes: DataFrame, bags: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     """(cid, rep): links that join the components of all buckets as far as any pair in them does."""
     sig = classes.select("cid", "sig")
     per = lambda what, most, of: F.ceil(F.sum(F.when(of, what).otherwise(0)) / most).cast("bigint")
     main, one = F.col("main"), F.lit(1)
     dealt = _blocked(apart.join(sig, "cid"), apart.groupBy("bucket").agg(per(one, BLOCK, main).alias("blocks"), per(one, BLOCK, ~main).alias("others")))
-    near = written(dealt.mapInArrow(_candidates, "bucket bigint, cid bigint").distinct(), "near")
+    near = written(dealt.mapInArrow(_candidates(estimate), "bucket bigint, cid bigint").distinct(), "near")
     found = apart.join(near, ["bucket", "cid"])
     widths = [F.greatest(per(one, BLOCK, of), per(F.col("size"), BLOCK_SHINGLES, of)).alias(name) for name, of in (("blocks", main), ("others", ~main))]
     sizes = found.join(bags.select("cid", "size"), "cid").groupBy("bucket").agg(*widths)
     full = found.join(sig, "cid").join(bags.select("cid", "hashes", "counts"), "cid")
-    return written(_blocked(full, sizes).mapInArrow(_rest, "cid bigint, rep bigint"), "rest")
+    return written(_blocked(full, sizes).mapInArrow(_rest(estimate), "cid bigint, rep bigint"), "rest")
 
 
-def _estimate(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
-        keep = (a == b).mean(axis=1) >= ESTIMATE
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["cid", "rep"])
+def _estimated(estimate: float):
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
+            keep = (a == b).mean(axis=1) >= estimate
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["cid", "rep"])
+
+    return run
 
 
 def _bags(batches):
@@ -342,44 +353,71 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["cid", "rep"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, bags: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, bags: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     sig = classes.select("cid", "sig")
     near = (
         pairs.join(sig.withColumnRenamed("sig", "sig_a"), "cid").join(sig.select(F.col("cid").alias("rep"), F.col("sig").alias("sig_b")), "rep")
-        .select("cid", "rep", "sig_a", "sig_b").mapInArrow(_estimate, "cid bigint, rep bigint")
+        .select("cid", "rep", "sig_a", "sig_b").mapInArrow(_estimated(estimate), "cid bigint, rep bigint")
     )
     joined = near.join(bags.drop("size"), "cid").withColumnsRenamed({"hashes": "ha", "counts": "ca"}).join(bags.drop("size").withColumnRenamed("cid", "rep"), "rep")
     return written(joined.select("cid", "rep", "ha", "ca", "hashes", "counts").mapInArrow(_verify, "cid bigint, rep bigint"), "links")
 
 
-def joined_classes(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _keyed_bags(batches):
+    """(class_key, hashes, counts, size) of texts, each key of a few megabytes of text once."""
+    for batch in batches:
+        for w in tv.pieces(batch.column(0)):
+            bag = tv.shingles(w, SHINGLE)
+            keys = class_keys(w, bag)
+            first = {k: i for i, k in reversed(list(enumerate(keys)))}
+            cut = [(k, bag.hash[bag.ptr[i] : bag.ptr[i + 1]].tobytes(), bag.count[bag.ptr[i] : bag.ptr[i + 1]].astype(np.uint32).tobytes(), int(bag.ptr[i + 1] - bag.ptr[i])) for k, i in first.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cut), (pa.binary(), pa.binary(), pa.binary(), pa.int64()))], ["class_key", "hashes", "counts", "size"])
+
+
+def class_bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, hashes, counts, size) of the wanted classes (cid, class_key, want).
+
+    A class whose id names no other class takes its text by an equi-join on the id.  Where classes
+    have no id or share one, the texts of such ids are keyed again and meet their class by its key,
+    each key of a task once: no text meets another class."""
+    shared = wanted.groupBy("want").agg(F.count("*").alias("n")).where("n > 1 or want is null").select("want")
+    one = wanted.join(shared, "want", "left_anti").where("want is not null")
+    bags = docs.join(one, F.col("doc") == F.col("want")).select("cid", "class_key", "words").mapInArrow(_bags, "cid bigint, hashes binary, counts binary, size bigint").dropDuplicates(["cid"])
+    if not shared.limit(1).count():
+        return bags
+    some = docs.where("doc is null").unionByName(docs.join(shared.where("want is not null"), F.col("doc") == F.col("want"), "left_semi"))
+    keyed = some.select("words").mapInArrow(_keyed_bags, "class_key binary, hashes binary, counts binary, size bigint").dropDuplicates(["class_key"])
+    more = wanted.join(one.select("cid"), "cid", "left_anti")
+    return bags.unionByName(keyed.join(more.select("cid", "class_key"), "class_key").select("cid", "hashes", "counts", "size"))
+
+
+def joined_classes(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text", estimate: float = ESTIMATE) -> DataFrame:
     """(node, component) of the classes of copies that verified links join."""
     members, hit = buckets(classes)
     wanted = members.select("cid").distinct().join(classes.select("cid", "class_key", "doc"), "cid").withColumnRenamed("doc", "want")
-    bags = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("words")).join(wanted, F.col("doc").eqNullSafe(F.col("want"))).select("cid", "class_key", "words").mapInArrow(_bags, "cid bigint, hashes binary, counts binary, size bigint")
-    bags = written(bags.dropDuplicates(["cid"]), "shingles")
-    links = _verified(first_pairs(members), classes, bags)
+    bags = written(class_bags(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("words")), wanted), "shingles")
+    links = _verified(first_pairs(members), classes, bags, estimate)
     found = written(components(links, "cid", "rep"), "joined")
-    more = rest_links(written(divided(members, hit, found), "divided"), classes, bags)
+    more = rest_links(written(divided(members, hit, found), "divided"), classes, bags, estimate)
     if not more.limit(1).count():
         return found
     return components(found.select(F.col("node").alias("cid"), F.col("component").alias("rep")).union(more), "cid", "rep")
 
 
-def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _named(rows: DataFrame, estimate: float) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, text) with their class keys, and (class_key, copy_of, class_id, component, rows)."""
     with Scratch(rows.sparkSession) as scratch:
         signed = scratch.keep(written(rows.mapInArrow(_sign("text"), "doc_id bigint, class_key binary, sig binary"), "signatures"))
         classes = signed.groupBy("class_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
         classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        joined = joined_classes(rows, classes).withColumnRenamed("node", "cid")
+        joined = joined_classes(rows, classes, estimate=estimate).withColumnRenamed("node", "cid")
         named = classes.select("cid", "class_key", "doc", "rows").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         heads = named.groupBy("component").agg(F.min("doc").alias("class_id"))
         named = scratch.keep(written(named.join(heads, "component").select("class_key", F.col("doc").alias("copy_of"), "class_id", "component", "rows"), "named"))
     return signed, named
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", estimate: float = ESTIMATE) -> DataFrame:
     """(doc_id, class_id, copy_of) for each row of ``docs``.
 
     ``copy_of`` is the least id of the texts with equal shingle multisets, ``class_id`` the least
@@ -387,20 +425,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     bigint.  A null text counts as empty; texts without words are copies only of texts of the same
     bytes (letter case aside) and have no links; a text of fewer than five words is one shingle.
     Repeated rows keep their rows.  A null id names a class only if the class has no other id.
+    ``estimate`` is the likeness by signatures from which pairs are verified, 0 for all candidates.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed, named = _named(rows)
+    signed, named = _named(rows, estimate)
     return joined_on(signed.select("doc_id", "class_key"), named, "class_key", heavy_keys(named, "class_key", "rows")).select("doc_id", "class_id", "copy_of")
 
 
-def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", estimate: float = ESTIMATE) -> DataFrame:
     """One row of each class stays, one with the class's least id; columns are those of ``docs``.
 
     Where ids are unique that is an equi-join on the id.  Where rows repeat an id, with equal or
     different texts, one of each class's rows with the least id stays.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed, named = _named(rows)
+    signed, named = _named(rows, estimate)
     repeated = signed.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
         kept = named.select(F.col("class_id").alias("_kept"))
@@ -408,7 +447,8 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     schema = keyed.select("row", "doc_id", F.lit(b"").alias("class_key")).schema
     keyed = keyed.mapInArrow(_key_rows, schema)
-    return keyed.join(named, "class_key").where("doc_id <=> class_id").dropDuplicates(["component"]).select("row.*")
+    met = joined_on(keyed, named.drop("rows"), "class_key", heavy_keys(named, "class_key", "rows"))
+    return met.where("doc_id <=> class_id").dropDuplicates(["component"]).select("row.*")
 
 
 def _key_rows(batches):

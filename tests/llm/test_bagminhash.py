@@ -166,3 +166,22 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 103)} == {100} and 200 not in got
     assert {got[300 + k] for k in range(60)} == {300}
+
+
+def test_null_and_repeated_ids_meet_their_own_class_only(make, spark):
+    """Near copies without ids and under one id: each class's text is found once, by its key."""
+    texts = [t for i in range(400) for t in (words(i, 60), edited(words(i, 60), 1, i))]
+    rows = [(None, t) for t in texts[:400]] + [(7, t) for t in texts[400:]]
+    docs = make(rows)
+    assert bmh.deduplicate(docs).count() == 400
+    plain = docs.selectExpr("doc_id doc", "text words")
+    classes = docs.select("doc_id", "text").mapInArrow(bmh._sign("text"), "doc_id bigint, class_key binary, sig binary").groupBy("class_key").agg(F.min("doc_id").alias("want")).withColumn("cid", F.monotonically_increasing_id()).cache()
+    bags = bmh.class_bags(plain, classes)
+    assert classes.count() == 800 and bags.count() == 800 and bags.select("cid").distinct().count() == 800
+    assert "NestedLoop" not in bags._jdf.queryExecution().toString() and "Cartesian" not in bags._jdf.queryExecution().toString()
+
+
+def test_every_candidate_can_be_verified(make):
+    rows = [(i, edited(words(3, 80), 1 + i % 9, i)) for i in range(120)]
+    got = {r.doc_id: r.class_id for r in bmh.near_duplicates(make(rows), estimate=0.0).collect()}
+    assert got == brute(rows)
