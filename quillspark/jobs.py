@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import validate
 from quillspark.session import prepared
-from quillspark.sources import readers, sinks
+from quillspark.sources import keyed, readers, sinks
 
 
 def _pages(spark: SparkSession, args: argparse.Namespace) -> int:
     """Pages of a URL list, or local ones, as Markdown and text; those that failed set the exit code."""
     local = None if args.urls else readers.html_files(spark, args.html).withColumn("error", F.lit(None).cast("string"))
     pages = readers.articles(local if args.urls is None else readers.fetched(readers.url_list(spark, args.urls))).cache()
-    sinks.append_absent(sinks.markdown(pages.where("error is null")), args.out, "name")
+    keyed.append_absent(sinks.markdown(pages.where("error is null")), args.out, "name")
     failed = pages.where("error is not null").count()
     pages.unpersist()
     return int(failed > 0)
@@ -27,7 +27,7 @@ def _pages(spark: SparkSession, args: argparse.Namespace) -> int:
 def _pdfs(spark: SparkSession, args: argparse.Namespace) -> int:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(args.pdfs)
     texts = readers.pdf_text(files).where("text <> ''")
-    sinks.append_absent(texts, args.out, "path")
+    keyed.append_absent(texts, args.out, "path")
     return 0
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import CHUNKING
 from quillspark.functions import text as T
+from quillspark.operators.intervals import join_ranges
 
 
 def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -172,7 +173,7 @@ def numbered_lines(raw: DataFrame, order: str = "pos", text: str = "line") -> Da
 def motifs_of(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     """lines (n, …) with ``motifs``: those of the ranges (a, b, motif) around n, in order of the ranges.
 
-    Ranges are unfolded to line numbers and equi-joined, so nothing is compared with everything."""
-    unfolded = ranges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.trim("motif").alias("motif")).where("motif <> ''").select(F.explode(F.sequence("a", "b")).alias("n"), "a", "b", "motif")
-    per = unfolded.groupBy("n").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("a", "b", "motif"))), lambda x: x.motif)).alias("motifs"))
+    Lines meet ranges by bins as wide as the range, see :func:`quillspark.operators.intervals.join_ranges`."""
+    real = ranges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.trim("motif").alias("motif")).where("motif <> ''")
+    per = join_ranges(lines.select("n").distinct(), real).groupBy("n").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("a", "b", "motif"))), lambda x: x.motif)).alias("motifs"))
     return lines.join(per, "n", "left").withColumn("motifs", F.coalesce("motifs", F.array().cast("array<string>")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.patterns import first_found
 
 # The grammar of verse requests, in order of precedence.
 _OPENING = r"(?U)(?:trích\s*)?(\d+)\s*câu\s*đầu\b"
@@ -23,8 +24,6 @@ _QUESTION_ENDS = ("không?", "ko?")
 _ARITHMETIC = r"(?U)^\s*\d+\s*[+\-*x]\s*\d+\s*=\s*\??\s*$"
 POEM_ONLY = ("trích", "câu thơ", "nguyên văn", "dẫn", "lục bát", "nhịp", "vần", "điệp", "đối", "Lầu Ngưng Bích", "Đoạn trường")
 CLOSE_READING = ("trữ tình ngoại đề", "điểm nhìn", "ẩn dụ", "nhịp điệu", "mapping", "bản đồ ý niệm", "close reading")
-#: Patterns of facts that a batch of questions is compared with.
-MOST_PATTERNS = 10_000
 # How people introduce themselves.
 _NAME = r"(?iuU)(?:tên\s*(?:của\s*tôi|mình)?\s*là|tôi\s*là|mình\s*là|tớ\s*là|em\s*là|anh\s*là|chị\s*là)\s+([A-Za-zÀ-ỹĐđ'’\-\s]{2,40})"
 
@@ -80,15 +79,12 @@ def faq_match(questions: DataFrame, facts: DataFrame, *, query_id: str = "query_
     """(query_id, place, answer, sources) of the first fact, by ``place``, any of whose patterns the
     question contains.
 
-    facts (place, patterns, answer, sources) are few, written by hand, and broadcast: a pattern
-    may stand anywhere in a question, so every question is compared with every pattern.  More than
-    ``MOST_PATTERNS`` are an error."""
-    patterns = facts.select("place", F.explode("patterns").alias("p"), "answer", "sources").withColumn("p", T.question_key("p"))
-    if patterns.count() > MOST_PATTERNS:
-        raise ValueError(f"facts have more than {MOST_PATTERNS} patterns")
-    q = questions.select(F.col(query_id).alias("query_id"), T.question_key(question).alias("q"))
-    met = q.join(F.broadcast(patterns), F.contains("q", F.col("p")))
-    return met.groupBy("query_id").agg(F.min(F.struct("place", "answer", "sources")).alias("f")).select("query_id", "f.*")
+    facts (place, patterns, answer, sources) of any number: an automaton of the patterns reads each
+    question once.  A null or empty question contains only the empty pattern."""
+    patterns = facts.select("place", F.explode("patterns").alias("p")).where("p is not null").select("place", T.question_key("p").alias("p"))
+    q = questions.select(F.col(query_id).alias("id"), F.coalesce(T.question_key(question), F.lit("")).alias("text"))
+    first = facts.groupBy("place").agg(F.min(F.struct("answer", "sources")).alias("f"))
+    return first_found(q, patterns).join(first, "place").select(F.col("id").alias("query_id"), "place", "f.*")
 
 
 def introduced_name(message: Column | str) -> Column:

@@ -16,7 +16,7 @@ from quillspark.functions import text as T
 from quillspark.operators import chunk, embed, evaluate, fuse, lines, prompt, rerank, route, search, tags, textindex, validate, verify
 from quillspark.plans import retrieval
 from quillspark.session import prepared, scratch_path, stored
-from quillspark.sources import readers, sinks
+from quillspark.sources import keyed, readers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -645,8 +645,12 @@ def md_links_strip(spark, sf_dir):
 
 @query("SELECT page_id, substr(sha1(url), 1, 8) AS name FROM pages WHERE page_id % 3 <> 0 AND substr(sha1(url), 1, 8) NOT IN (SELECT substr(sha1(url), 1, 8) FROM pages WHERE page_id % 3 = 0)")
 def write_if_absent(spark, sf_dir):
+    """Pages appended to a folder that holds a third of them: what was written by the second append."""
     p = table(spark, sf_dir, "pages").select("page_id", T.url_hash("url").alias("name"))
-    return sinks.absent(p.where("page_id % 3 <> 0"), p.where("page_id % 3 = 0"), "name")
+    path = scratch_path(spark, "pages")
+    keyed.append_absent(p.where("page_id % 3 = 0"), path, "name")
+    keyed.append_absent(p.where("page_id % 3 <> 0"), path, "name")
+    return spark.read.parquet(path).where("page_id % 3 <> 0")
 
 
 @query("""SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, o.source, n.toxic FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 2 = 0) o
@@ -654,7 +658,10 @@ def write_if_absent(spark, sf_dir):
 def upsert_merge(spark, sf_dir):
     old = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "lang", "source")
     new = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").alias("lang"), "toxic")
-    return sinks.upsert(old, new, "doc_id")
+    store = keyed.KeyedStore(spark, scratch_path(spark, "store"), "doc_id", buckets=8)
+    store.merge(old)
+    store.merge(new)
+    return store.read()
 
 
 # ---- evaluation and training records --------------------------------------------------------

@@ -18,13 +18,6 @@ def absent(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
 
 
-def append_absent(new: DataFrame, path: str, key: str) -> None:
-    spark = new.sparkSession
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-    (absent(new, spark.read.parquet(path), key) if there else new.dropDuplicates([key])).write.mode("append").parquet(path)
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Rows of both; where a key is in both, the new row's columns that aren't null win.
 

@@ -4,7 +4,7 @@ import pytest
 
 from quillspark.operators import lines, prompt, route, verify
 from quillspark.plans import retrieval
-from quillspark.sources import readers, sinks
+from quillspark.sources import keyed, readers, sinks
 from quillspark.streaming.cache import TtlCache, stream_hits
 
 
@@ -159,8 +159,8 @@ def test_sinks(spark, tmp_path):
     got = {r.k: (r.v, r.w, r.t) for r in sinks.upsert(old, new, "k", "t").collect()}
     assert got == {1: ("a", "x", None), 2: ("c", None, 2), 3: ("d", None, 1)}
     path = str(tmp_path / "t")
-    sinks.append_absent(old, path, "k")
-    sinks.append_absent(spark.createDataFrame([(2, "z", "z"), (4, "e", "e")], "k int, v string, w string"), path, "k")
+    keyed.append_absent(old, path, "k")
+    keyed.append_absent(spark.createDataFrame([(2, "z", "z"), (4, "e", "e")], "k int, v string, w string"), path, "k")
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 4]
 
 
