@@ -4,9 +4,10 @@ Many voters look at a text: fixed lexicons, and word and word-prefix patterns mi
 training documents, each with a low and a high count.  A voter says toxic or clean, or abstains.
 A generative label model over texts with and without labels estimates by expectation maximisation
 how often each voter speaks on toxic and on clean texts, and from the voters' conditional
-correlations how much each repeats what others say.  A text's posterior comes from its voters
-alone.  Posteriors train a linear classifier, which scores all texts.  Labels serve to mine
-patterns, to calibrate the voters' rates and to calibrate the classifier's scores.
+correlations how much each repeats what others say.  The posterior of a text without a label comes
+from its voters; that of a labelled text is its label, which no silence of voters outweighs.
+Posteriors train a linear classifier, which scores all texts.  Labels serve to mine patterns, to
+calibrate the voters' rates and the classifier's scores, and as labelled texts' posteriors.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ TRAIN_ROWS, OTHER_ROWS = 6000, 4000
 PATTERNS = 384
 #: What a document without a label weighs in the voters' rates.
 OTHER_WEIGHT = 0.25
-#: Log-likelihood that a mined pattern gains at least: among 100,000 candidates chance rarely does.
-LEAST_GAIN = 12
+#: Log-likelihood that a mined pattern gains at least beyond the logarithm of the number of candidates:
+#: by chance hardly one of them does, however many texts are labelled.
+LEAST_GAIN = 2.0
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 #: Counts from which a pattern's voters say toxic.
@@ -73,7 +75,7 @@ def mine(sample: DataFrame, limit: int = PATTERNS) -> list[int]:
     """Hashes of the words and word prefixes that best tell toxic training texts from clean ones.
 
     Counted over the whole sample on the executors; ranked by the binomial log-likelihood gain of
-    knowing that the pattern is there (or there often).
+    knowing that the pattern is there (or there often).  Candidates stand in three toxic texts.
     """
     n1, n0 = (sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first())
     if not n1 or not n0:
@@ -86,7 +88,8 @@ def mine(sample: DataFrame, limit: int = PATTERNS) -> list[int]:
         base = F.lit(n1 / (n1 + n0))
         return F.when(rate > 2 * base, x * F.log(rate / base) + z * F.log((1 - rate) / (1 - base))).otherwise(0.0)
 
-    best = counts.where("toxic >= 3").withColumn("gain", F.greatest(gain("toxic", "clean"), gain("toxic_high", "clean_high"))).where(F.col("gain") > LEAST_GAIN)
+    held = written(counts.where("toxic >= 3").select("hash", F.greatest(gain("toxic", "clean"), gain("toxic_high", "clean_high")).alias("gain")), "candidates")
+    best = held.where(F.col("gain") > LEAST_GAIN + float(np.log(max(1, held.count()))))
     return [r["hash"] for r in best.orderBy(F.desc("gain"), "hash").limit(limit).select("hash").collect()]
 
 
@@ -225,9 +228,11 @@ def fit_linear(x: np.ndarray, target: np.ndarray, *, rounds: int = 400, rate: fl
 
 
 def fit(who: Voters, counts: np.ndarray, known: np.ndarray) -> Classifier:
-    """The classifier trained on the label model's posteriors and calibrated on known classes."""
-    post = label_model(votes(counts), known)
-    x, given = _inputs(counts), ~np.isnan(known)
+    """The classifier trained on known classes and, of other rows, on the label model's posteriors;
+    calibrated on known classes."""
+    given = ~np.isnan(known)
+    post = np.where(given, known, label_model(votes(counts), known))
+    x = _inputs(counts)
     bias, weights = fit_linear(x, post)
     slope, shift = calibrated(bias + x[given] @ weights.astype(float), known[given])
     return Classifier(who, slope * bias + shift, (slope * weights).astype(np.float32))

@@ -137,3 +137,41 @@ def test_odd_rows(odd, none, spark, module, column):
     assert module.assess(none, no_labels).collect() == []
     one_class = spark.createDataFrame([(i, 1, 1) for i in range(8)], "doc_id bigint, quality int, toxic int")
     assert module.assess(odd, one_class).count() == odd.count()
+
+
+def _area(scores, y):
+    order = np.argsort(np.argsort(scores))
+    n = y.sum()
+    return (order[y == 1].sum() - n * (n - 1) / 2) / (n * (len(y) - n))
+
+
+def test_few_labels_and_many_other_texts():
+    """With 30 labels, and half of the voters saying nothing of use, the label model's posteriors of 3,000
+    other texts find what labels alone don't."""
+    gains = []
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        y = (rng.random(6030) < 0.15).astype(int)
+        y[:4] = 1
+        telling = np.where(y[:, None] == 1, rng.uniform(0.15, 0.4, 30), rng.uniform(0.01, 0.05, 30))
+        others = np.repeat(rng.uniform(0.05, 0.3, 30)[None, :], len(y), axis=0)  # as often on toxic as on clean texts
+        counts = rng.poisson(np.concatenate([telling, others], axis=1)).astype(np.int32)
+        known = np.full(3030, np.nan)
+        known[:30] = y[:30]
+        who = toxicity.voters([])
+        score = lambda c: c.bias + toxicity._inputs(counts[3030:]) @ c.weights  # noqa: E731, B023
+        both = _area(score(toxicity.fit(who, counts[:3030], known)), y[3030:])
+        alone = _area(score(toxicity.fit(who, counts[:30], known[:30])), y[3030:])
+        gains.append(both - alone)
+    assert np.mean(gains) > 0.03 and min(gains) > 0
+
+
+def test_a_labelled_text_without_votes_keeps_its_label():
+    """Silence of all voters is no evidence against a label."""
+    counts = np.zeros((200, 7), np.int32)
+    y = np.zeros(200)
+    y[:40] = 1
+    counts[:10, 0] = 1
+    loud, silent = (toxicity.fit(toxicity.voters([]), counts, k) for k in (y, np.where(np.arange(200) < 10, 1.0, 0.0)))
+    at = toxicity._inputs(np.zeros((1, 7), np.int32))
+    assert loud.bias + at @ loud.weights > silent.bias + at @ silent.weights + 1
