@@ -33,6 +33,8 @@ OTHER_WEIGHT = 0.25
 LEAST_GAIN = 2.0
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
+#: Bytes of text that are scored at once: short texts are many rows of as many inputs as there are voters.
+SCORED_BYTES = 256 << 10
 #: Counts from which a pattern's voters say toxic.
 LOW, HIGH = 1, 3
 
@@ -198,7 +200,12 @@ def calibrated(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, f
 
 def _inputs(counts: np.ndarray) -> np.ndarray:
     """Of each column whether it is there, whether often, and its capped count."""
-    return np.concatenate([counts >= LOW, counts >= HIGH, np.minimum(counts, 2 * HIGH) / (2 * HIGH)], axis=1).astype(np.float32)
+    n = counts.shape[1]
+    out = np.empty((len(counts), 3 * n), np.float32)
+    out[:, :n], out[:, n : 2 * n] = counts >= LOW, counts >= HIGH
+    np.minimum(counts, 2 * HIGH, out=out[:, 2 * n :], casting="unsafe")
+    out[:, 2 * n :] /= 2 * HIGH
+    return out
 
 
 @dataclass
@@ -252,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_ROWS, others
 
         def collect(batches):
             for batch in batches:
-                for w in tv.pieces(batch.column(1)):
+                for w in tv.pieces(batch.column(1), SCORED_BYTES):
                     counts = np.minimum(spread.value.counts(w), 255).astype(np.uint8)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.rows), batch.column(2).slice(w.first, w.rows), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "label", "counts"])
 
@@ -274,7 +281,7 @@ def score(docs: DataFrame, classifier: Classifier, *, text: str = "text", name:
 
     def run(batches):
         for batch in batches:
-            found = [spread.value.scores(w) for w in tv.pieces(batch.column(names.index(text)))]
+            found = [spread.value.scores(w) for w in tv.pieces(batch.column(names.index(text)), SCORED_BYTES)]
             got = pa.array((np.concatenate(found) if found else np.zeros(0)).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), got], [*names, name])
 
