@@ -29,11 +29,12 @@ def refusal_rate(rows: DataFrame, answer: str = "answer", phrases: tuple[str, ..
     return rows.agg(F.round(F.avg(refused.cast("int")), 3).alias("refusal_rate"))
 
 
-def hit_at(rankings: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+def hit_at(rankings: DataFrame, gold: DataFrame, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
     """rankings (query_id, doc_id, rank) and gold (query_id, doc_id): the share of gold's queries
-    with a gold document among the first ``k``.  A semi-join: nothing is gathered per query."""
+    with a gold document among the first ``k``; where ``gold`` holds ranked documents only, ``queries``
+    (query_id) are those that count.  A semi-join: nothing is gathered per query."""
     found = rankings.where(F.col("rank") <= k).join(gold, ["query_id", "doc_id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1))
-    return gold.select("query_id").distinct().join(found, "query_id", "left").agg(F.lit(k).alias("k"), F.count("*").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_rate"))
+    return (gold if queries is None else queries).select("query_id").distinct().join(found, "query_id", "left").agg(F.lit(k).alias("k"), F.count("*").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_rate"))
 
 
 def snippets(rankings: DataFrame, docs: DataFrame, n: int = 320, text: str = "text") -> DataFrame:

@@ -184,10 +184,10 @@ def norm_poem(spark, sf_dir):
     return _with_crlf(spark, sf_dir).select("doc_id", T.normalise_poem("text").alias("normal"))
 
 
-@query(f"""SELECT doc_id, coalesce(nullif(substr(lower(regexp_replace({_ends("regexp_replace(strip_accents(substr(coalesce(text, ''), 1, 150)), '[^a-zA-Z0-9\\-_.\\s]', '', 'g')")}, '\\s+', '-', 'g')), 1, 120), ''), 'source') AS slug FROM documents""")
+@query(f"""SELECT doc_id, coalesce(nullif(substr(lower(regexp_replace({_ends("regexp_replace(strip_accents(coalesce(text, '')), '[^a-zA-Z0-9\\-_.\\s]', '', 'g')")}, '\\s+', '-', 'g')), 1, 120), ''), 'source') AS slug FROM documents""")
 def slug_names(spark, sf_dir):
-    """File names from the heads of texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring(F.coalesce("text", F.lit("")), 1, 150)).alias("slug"))
+    """File names from texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.coalesce("text", F.lit(""))).alias("slug"))
 
 
 _SANE = f"regexp_replace(array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(replace(nfc_normalize(coalesce(text, '')), chr(160), ' '), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: {_ends('x')}), lambda x: NOT regexp_full_match(x, '\\p{{Nd}}+')), lambda x: " + _ends(f"regexp_replace(regexp_replace(regexp_replace(x, '^\\p{{Nd}}+[.\\-:)]*{_WS}*', ''), '\\p{{Nd}}+', '', 'g'), '{_WS}{{2,}}', ' ', 'g')") + "), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')"

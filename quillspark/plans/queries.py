@@ -687,8 +687,9 @@ def refusal_rate(spark, sf_dir):
 def hit_at_k(spark, sf_dir):
     asked, index = _vector_queries(spark, sf_dir), _vector_index(spark, sf_dir)
     top = search.vector_topk(asked, index, 10)
-    gold = asked.select("query_id", "label").join(index.select("doc_id", "label"), "label").where("doc_id <> query_id").select("query_id", "doc_id")
-    return evaluate.hit_at(top, gold, 5)
+    top = stored(top, "top")
+    found = top.select("query_id", "doc_id").where("doc_id <> query_id").join(index.select("doc_id", "label"), "doc_id").join(asked.select("query_id", F.col("label").alias("_own")), "query_id")
+    return evaluate.hit_at(top, found.where("label = _own").select("query_id", "doc_id"), 5, asked)
 
 
 _PICK_TAGS = "list_distinct(list_filter([lang, source, CASE WHEN n_chars % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL))"
