@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +44,67 @@ def snippets(rankings: DataFrame, docs: DataFrame, n: int = 320, text: str = "te
     return rankings.join(docs, "doc_id").withColumn("snippet", F.substring(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "), 1, n))
 
 
+#: Requested tags that meet all chunks at once, and pairs of a chunk and a request that are held.
+ASKED_TAGS, PAIRS = 100_000, 1 << 20
+
+
+def _picker(spread, blocks: int):
+    """Each request's best chunks of a task, (request, place, score)."""
+
+    def run(batches):
+        asked = spread.value  # tag: numbers of the requests that want it
+        most = max(max(map(len, asked.values())), 1)
+        request, place, score = (np.zeros(0, np.int64) for _ in range(3))
+        for batch in batches:
+            places, lists = np.asarray(batch.column(0), np.int64), batch.column(1).to_pylist()
+            step = max(1, PAIRS // (most * max(1, max((len(x) for x in lists if x), default=1))))
+            for lo in range(0, len(lists), step):
+                found = [(i, asked[t]) for i in range(lo, min(lo + step, len(lists))) for t in set(lists[i] or ()) if t in asked]
+                if not found:
+                    continue
+                row = np.repeat([i for i, _ in found], [len(x) for _, x in found])
+                pair, n = np.unique(np.stack([np.concatenate([x for _, x in found]), row]), axis=1, return_counts=True)
+                request, place, score = np.append(request, pair[0]), np.append(place, places[pair[1]]), np.append(score, n)
+                order = np.lexsort((place, -score, request))
+                first = np.searchsorted(request[order], request[order])
+                order = order[np.arange(len(order)) - first < blocks]
+                request, place, score = request[order], place[order], score[order]
+        if len(request):
+            yield pa.RecordBatch.from_arrays([pa.array(request), pa.array(place), pa.array(score)], ["request", "place", "score"])
+
+    return run
+
+
 def pick_contexts(requests: DataFrame, chunks: DataFrame, *, blocks: int = 2, most: int = 900) -> DataFrame:
-    """(request_id, context): texts of the ``blocks`` chunks that share most required tags.
-
-    requests (request_id, required_tags), chunks (place, tags, text).  An equi-join on single
-    tags counts the overlaps; the texts come in once the winners are known.  No overlap or no
-    required tags give an empty context; a longer one than ``most`` is cut and marked."""
-    asked = requests.select("request_id", F.explode(F.array_distinct("required_tags")).alias("tag"))
-    tagged = chunks.select("place", F.explode(F.array_distinct("tags")).alias("tag"))
-    scores = asked.join(tagged, "tag").groupBy("request_id", "place").agg(F.count("*").alias("score"))
-    best = scores.withColumn("nth", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "place"))).where(F.col("nth") <= blocks)
-    texts = best.join(chunks.select("place", "text"), "place").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("t"))
+    """(request_id, context): texts of the ``blocks`` chunks that share most required tags, ties going
+    to the lesser place.
+
+    requests (request_id, required_tags) with ids of their own, chunks (place, tags, text) with numbers
+    of their own.  Requests are broadcast in blocks of bounded tags; a task keeps each request's best
+    chunks, so ``blocks`` rows for a request and task are shuffled, and the texts come in once the
+    winners are known.  No overlap or no required tags give an empty context; a longer one than
+    ``most`` is cut and marked."""
+    spark = requests.sparkSession
+    asked = requests.select("request_id", F.explode(F.array_distinct("required_tags")).alias("tag")).where("tag is not null")
+    many = max(1, -(-2 * asked.count() // ASKED_TAGS))
+    tagged, best = chunks.select(F.col("place").cast("bigint").alias("place"), "tags"), None
+    numbered = "request_id " + requests.schema["request_id"].dataType.simpleString() + ", request bigint"
+    for block in range(many):
+        part = asked if many == 1 else asked.where(F.pmod(F.xxhash64("request_id"), F.lit(many)) == block)
+        rows = part.collect()  # one block
+        if not rows:
+            continue
+        ids = list(dict.fromkeys(r["request_id"] for r in rows))
+        number, wanted = {x: i for i, x in enumerate(ids)}, {}
+        for r in rows:
+            wanted.setdefault(r["tag"], set()).add(number[r["request_id"]])
+        spread = spark.sparkContext.broadcast({t: np.array(sorted(x), np.int64) for t, x in wanted.items()})
+        found = tagged.mapInArrow(_picker(spread, blocks), "request bigint, place bigint, score bigint").join(F.broadcast(spark.createDataFrame(list(number.items()), numbered)), "request").drop("request")
+        best = found if best is None else best.unionByName(found)
+    if best is None:
+        return requests.select("request_id", F.lit("").alias("context"))
+    best = best.withColumn("nth", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "place"))).where(F.col("nth") <= blocks)
+    texts = best.join(chunks.select(F.col("place").cast("bigint").alias("place"), "text"), "place").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("t"))
     joined = F.array_join(F.transform("t", lambda x: x.text), "\n\n---\n\n")
     cut = F.when(F.length(joined) > most, F.concat(F.substring(joined, 1, most), F.lit("…"))).otherwise(joined)
     return requests.select("request_id").join(texts.select("request_id", cut.alias("context")), "request_id", "left").withColumn("context", F.coalesce("context", F.lit("")))

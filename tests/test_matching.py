@@ -74,3 +74,20 @@ def test_wide_ranges_cost_few_rows(spark):
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert out.count() == 1000 and intervals.join_ranges(points, wide.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("tags", [100_000, 20])
+def test_contexts_against_a_loop(spark, monkeypatch, tags):
+    from quillspark.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "ASKED_TAGS", tags)
+    rng = random.Random(3)
+    pick = lambda n: rng.sample([f"t{i}" for i in range(12)], rng.randint(0, n))
+    chunks = [(i, pick(6), f"text {i}") for i in range(300)] + [(900, None, "none"), (901, ["t1", "t1", None], "twice")]
+    asked = [(i, pick(5)) for i in range(25)] + [(90, None), (91, [None, "nowhere"])]
+    want = {}
+    for i, req in asked:
+        near = sorted((-len(set(req or ()) & set(t or ()) - {None}), place, text) for place, t, text in chunks)
+        want[i] = "\n\n---\n\n".join(text for score, _, text in near[:2] if score < 0)
+    got = evaluate.pick_contexts(spark.createDataFrame(asked, "request_id int, required_tags array<string>"), spark.createDataFrame(chunks, "place bigint, tags array<string>, text string").repartition(5))
+    assert {r.request_id: r.context for r in got.collect()} == want
