@@ -18,8 +18,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Words the mix takes, as a share of all words, and the most that a document or source is repeated.
 SHARE, MOST = 1.5, 2
 TOLERANCE, ITERATIONS = 1e-9, 80
-#: Rounds of single-document corrections, and the share of its target at which a source is left.
-FLIPS, NEAR = 8, 0.0005
+#: Share of its target at which a source's words are left as they are, and units of a source that one
+#: round of corrections changes at most.
+NEAR, AT_ONCE = 0.0005, 1000
 #: Units of one source and size that one task ranks.
 CELL = 1 << 16
 
@@ -176,27 +177,38 @@ def _corrected(out: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _changes(out: DataFrame, most: int, hint) -> DataFrame:
-    """(source, doc_id, size, m, by): units changed by one copy, one of each source in each round, the
-    one that brings its words nearest to the target, until all are near or the rounds are over."""
+    """(source, doc_id, size, m, by): units changed by one copy until every source is near its target
+    or no change of a unit brings it nearer.
+
+    A round finds each source's unit that leaves the least gap.  If that leaves more than half of the
+    gap, all units are small against it, and as many units of that size are changed as fit, ``AT_ONCE``
+    at most; so a gap is halved by each round, or a size is used up, and rounds are few."""
     took = written(_few(out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("took"), F.first("target").alias("goal"))), "took")
     none = out.select("source", "doc_id", "size", "m", F.lit(0).alias("by")).limit(0)
     changes = written(none, "changes")
-    for _ in range(FLIPS):
-        moved = changes.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("by") * F.col("size") * F.col("m")).alias("moved"))
+    words_of = F.col("size") * F.col("m")
+    while True:
+        moved = changes.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("by") * words_of).alias("moved"))
         gap = F.col("goal") - F.col("took") - F.coalesce("moved", F.lit(0))
         gaps = took.join(hint(moved), took.source.eqNullSafe(F.col("s")), "left").withColumn("gap", gap).where(F.abs("gap") > NEAR * F.col("goal")).select(F.col("source").alias("s"), "gap")
         met = out.join(hint(gaps), out.source.eqNullSafe(F.col("s"))).drop("s")
         able = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
-        left = F.abs(F.abs("gap") - F.col("size") * F.col("m"))
+        left = F.abs(F.abs("gap") - words_of)
         met = met.where(able & (left < F.abs("gap")))
         done = changes.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), F.col("m").alias("k"))
         met = met.join(hint(done), met.source.eqNullSafe(F.col("s")) & met.doc_id.eqNullSafe(F.col("d")) & (met["size"] == F.col("z")) & (met.m == F.col("k")), "left_anti")
-        best = met.groupBy("source").agg(F.min(F.struct(left.alias("left"), "order", "doc_id", "size", "m", F.signum("gap").cast("int").alias("by"))).alias("b"))
-        more = written(_few(best.select("source", "b.doc_id", "b.size", "b.m", "b.by")), "changes")
-        if not more.limit(1).count():
-            break
-        changes = written(_few(changes.unionByName(more)), "changes")
-    return changes
+        best = met.groupBy("source").agg(F.min(F.struct(left.alias("left"), "order", "doc_id", "size", "m", F.signum("gap").cast("int").alias("by"))).alias("b"), F.first(F.abs("gap")).alias("gap"))
+        more = written(_few(best.select("source", "b.doc_id", "b.size", "b.m", "b.by", F.floor(F.col("gap") / F.col("b.size") / F.col("b.m")).alias("fit"))), "changes")
+        found = more.agg(F.count("*"), F.coalesce(F.max("fit"), F.lit(0))).first()
+        if not found[0]:
+            return changes
+        picked = more.where("fit <= 1").select(changes.columns)
+        if found[1] > 1:
+            cell = more.where("fit > 1").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("m").alias("k"), "by", "fit")
+            alike = met.join(hint(cell), met.source.eqNullSafe(F.col("s")) & (met["size"] == F.col("z")) & (met.m == F.col("k")))
+            n = F.row_number().over(Window.partitionBy("source").orderBy("order", "doc_id"))
+            picked = picked.unionByName(alike.withColumn("n", n).where(F.col("n") <= AT_ONCE).where("n <= fit").select(changes.columns))
+        changes = written(_few(changes.unionByName(picked)), "changes")
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:

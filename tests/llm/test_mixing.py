@@ -91,3 +91,22 @@ def test_odd_rows(odd, none):
 def test_words_are_runs_without_ascii_space(make):
     got = mixing.account(make([(1, "a b  c\x1cd\te\x0bf\x85g")])).collect()[0]
     assert got["size"] == 4
+
+
+def test_many_small_documents_close_a_large_gap(make, monkeypatch):
+    """One document of most words leaves a gap that only hundreds of small ones close; corrections go
+    on until none helps, whatever a round may change at most."""
+    rows = [(i, "w", "a") for i in range(900)] + [(1000 + i, words(i, 7), "a") for i in range(90)] + [(5000, words(1, 4000), "a"), (5001, words(2, 900), "a")]
+    rows += [(6000 + i, words(i, 40), "b") for i in range(60)]
+    taken = []
+    for at_once in (1000, 50):
+        monkeypatch.setattr(mixing, "AT_ONCE", at_once)
+        got = mixing.account(make(rows)).collect()
+        assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in got)
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            gap = mine[0].target - sum(r.taken for r in mine)
+            helps = [r for r in mine if r["size"] and (r.taken < 2 * r["size"] if gap > 0 else r.taken > 0) and abs(abs(gap) - r["size"]) < abs(gap)]
+            assert abs(gap) <= mixing.NEAR * mine[0].target or not helps
+        taken.append(sum(r.taken for r in got if r.source == "a"))
+    assert abs(taken[0] - taken[1]) <= 1
