@@ -255,7 +255,8 @@ EVERY = 20
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, their likenesses, and for ids divisible by
+    """Fingerprints of every text and of its edited text, the likenesses of a text's fingerprint to its
+    edited text's (``near_edited``) and to the next document's (``near_next``), and for ids divisible by
     ``EVERY`` in ``n_near`` how many other distinct fingerprints of the table stand within the
     radius; null for others.
 
@@ -269,7 +270,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                pa.array(_hex(own), pa.string()), pa.array(_hex(new), pa.string()), pa.array(likeness(own, new)), pa.array(likeness(following, new)),
+                pa.array(_hex(own), pa.string()), pa.array(_hex(new), pa.string()), pa.array(likeness(own, new)), pa.array(likeness(own, following)),
             ],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )

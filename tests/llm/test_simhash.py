@@ -24,7 +24,8 @@ def test_edits_against_brute_force(make):
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
         a, b, c = (x.tobytes() for x in simhash.fingerprints(pa.array([t, new, nxt])))
         assert (got[i].fingerprint, got[i].edited_fingerprint) == (a.hex(), b.hex())
-        assert got[i].near_next == 1 - (int.from_bytes(b) ^ int.from_bytes(c)).bit_count() / 128
+        apart = lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+        assert (got[i].near_edited, got[i].near_next) == (1 - apart(a, b) / 128, 1 - apart(a, c) / 128)
 
 
 def plain_fingerprint(text):
