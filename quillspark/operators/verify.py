@@ -33,12 +33,20 @@ def quotes(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
     return out.select(key, "place", F.expr("substring(_q, 2, length(_q) - 2)").alias("quote"), "start", "end")
 
 
-def choices(lines: DataFrame, n: str = "n", text: str = "text") -> DataFrame:
-    """(canon, n, text): each canonical form once, where it comes first; empty forms are left out."""
+def canonical(lines: DataFrame, n: str = "n", text: str = "text") -> DataFrame:
+    """(canon, n, text) of all lines; empty forms are left out."""
     # Exploded, so that the form is not computed again for a filter that is pushed below it.
     form = F.explode(F.filter(F.array(T.canon(text)), lambda x: x != "")).alias("canon")
-    c = lines.select(form, F.col(n).alias("n"), F.col(text).alias("text"))
-    return c.groupBy("canon").agg(F.min(F.struct("n", "text")).alias("m")).select("canon", "m.n", "m.text")
+    return lines.select(form, F.col(n).alias("n"), F.col(text).alias("text"))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("canon").agg(F.min(F.struct("n", "text")).alias("m")).select("canon", "m.n", "m.text")
+
+
+def choices(lines: DataFrame, n: str = "n", text: str = "text") -> DataFrame:
+    """(canon, n, text): each canonical form once, where it comes first; empty forms are left out."""
+    return _first(canonical(lines, n, text))
 
 
 def levenshtein_score(a: Column, b: Column) -> Column:
@@ -93,16 +101,17 @@ def _cut(length: Column, k: Column, parts: Column) -> Column:
 
 
 def _segments(known: DataFrame, share: float) -> DataFrame:
-    """(length, k, piece, canon): each line in one piece more than edits are allowed."""
+    """(key, l): each line's id by hashes of (length, k, piece), in one piece more than edits are allowed."""
     n = F.length("canon")
     rows = known.select("canon", n.alias("length"), F.posexplode(F.sequence(F.lit(0), _edits(n, share))).alias("p", "k"))
     parts = _edits(F.col("length"), share) + 1
     start = _cut(F.col("length"), F.col("k"), parts)
-    return rows.select("length", "k", F.substring("canon", start + 1, _cut(F.col("length"), F.col("k") + 1, parts) - start).alias("piece"), "canon")
+    piece = F.substring("canon", start + 1, _cut(F.col("length"), F.col("k") + 1, parts) - start)
+    return rows.select(F.xxhash64("length", "k", piece).alias("key"), F.xxhash64("canon").alias("l"))
 
 
 def _probes(forms: DataFrame, share: float) -> DataFrame:
-    """(length, k, piece, _c): where a piece of a fitting line of each length may stand in a form.
+    """(key, f): each form's id by where a piece of a fitting line of each length may stand in it.
 
     Some piece stands unchanged with at most k edits before it and at most the rest behind it, so
     piece k is shifted by at most k places seen from either end."""
@@ -116,14 +125,17 @@ def _probes(forms: DataFrame, share: float) -> DataFrame:
     start = _cut(F.col("length"), F.col("k"), edits + 1)
     size = _cut(F.col("length"), F.col("k") + 1, edits + 1) - start
     rows = rows.withColumns({"at": start + F.col("shift"), "size": size}).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
-    return rows.select("length", "k", F.substring("_c", F.col("at") + 1, F.col("size")).alias("piece"), "_c")
+    piece = F.substring("_c", F.col("at") + 1, F.col("size"))
+    return rows.select(F.xxhash64("length", "k", piece).alias("key"), F.xxhash64("_c").alias("f"))
 
 
 def _piece_pairs(forms: DataFrame, known: DataFrame, share: float) -> DataFrame:
     """Pairs of Levenshtein likeness ``share`` or more, and others.  A known line is cut into one
     piece more than the edits allowed, so one piece stands unchanged, and hardly moved, in any form
-    that is like it: forms and lines are equi-joined on length, piece number and piece."""
-    return _probes(forms, share).join(_segments(known, share), ["length", "k", "piece"]).select("_c", "canon").distinct()
+    that is like it: forms and lines are equi-joined on length, piece number and piece.  Ids and
+    hashes are joined, texts are fetched for what meets."""
+    met = _probes(forms, share).join(_segments(known, share), "key").select("f", "l").distinct()
+    return _texts_of(met, forms.select(F.xxhash64("_c").alias("id"), "_c"), known.select(F.xxhash64("canon").alias("id"), "canon"))
 
 
 def _within(a: Column, b: Column, share: float) -> Column:
@@ -284,15 +296,205 @@ def candidates(forms: DataFrame, known: DataFrame, score=levenshtein_score, thre
     return {sequence_score: _sequence_pairs, token_set_score: _token_pairs}.get(score, _piece_pairs)(forms, known, threshold / 100)
 
 
-def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, threshold: float = THRESHOLD) -> DataFrame:
-    """asked (…, quote) with score, n, text and exact of the best known line (canon, n, text).
+#: Forms, and characters of them, that are broadcast; more meet the lines in joins.
+FEW, FEW_CHARS = 20_000, 4_000_000
+#: Pairs of a line and a form whose bounds are held at once; bins of hashed pairs of characters.
+_CELLS, _BINS = 1 << 19, 256
+
+
+def _distance(a: str, b: str) -> int:
+    """Levenshtein distance, by a bit for each character of ``a`` (not empty)."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, far = whole, 0, len(a)
+    for c in b:
+        eq = at.get(c, 0)
+        x = eq | down
+        eq |= ((eq & up) + up) ^ up
+        more, less = down | ~(eq | up) & whole, up & eq
+        far += bool(more & top) - bool(less & top)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(x | more)) & whole, more & x & whole
+    return far
+
+
+def _levenshtein(a: str, b: str) -> float:
+    return 100.0 * (1 - _distance(a, b) / max(len(a), len(b)))
+
+
+def _sequence(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio() * 100
+
+
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, hashed pairs of characters, length) of texts, as counts; pairs are those of a text
+    between two blanks, so the order of words doesn't matter to them."""
+    n = np.array([len(t) for t in texts], np.int64)
+    if not texts:
+        return np.zeros((0, len(_CHARS)), np.int16), np.zeros((0, _BINS), np.int16), n
+    c = _PLACE[np.frombuffer((" " + " ".join(texts) + " ").encode(), np.uint8)]
+    row = np.append(np.repeat(np.arange(len(texts)), n + 1), len(texts) - 1)  # each text with the blank before it
+    kind = np.int16 if n.max() < 1 << 14 else np.int32
+    one = np.bincount(row * len(_CHARS) + c, minlength=len(texts) * len(_CHARS)).reshape(len(texts), -1)
+    one[:, 0] -= 1 + (np.arange(len(texts)) == len(texts) - 1)
+    pair = (c[:-1] * len(_CHARS) + c[1:]) % _BINS
+    two = np.bincount(row[:-1] * _BINS + pair, minlength=len(texts) * _BINS).reshape(len(texts), -1)
+    return one.astype(kind), two.astype(kind), n
+
+
+class _Forms:
+    """Forms that are broadcast, shortest first, and the bounds and scores of lines against them.
+
+    What doesn't match between a form of n and a line of m characters is at most (1 - share) (n + m)
+    characters, so their counts of characters, and of pairs of characters, agree in a least number."""
+
+    def __init__(self, forms: list[str], score: str, threshold: float):
+        self.texts = sorted(forms, key=lambda f: (len(f), f))
+        self.place = {f: i for i, f in enumerate(self.texts)}
+        self.kind, self.threshold, self.share = score, threshold, threshold / 100
+        self.score = {"levenshtein": _levenshtein, "sequence": _sequence, "token_set": _token_set}[score]
+        self.words = None
+        if score == "token_set":
+            sets = [list(dict.fromkeys(f.split())) for f in self.texts]
+            self.bag_texts = [" ".join(x) for x in sets]
+            by_length = sorted(range(len(sets)), key=lambda i: len(self.bag_texts[i]))
+            self.texts, sets, self.bag_texts = ([x[i] for i in by_length] for x in (self.texts, sets, self.bag_texts))
+            self.place = {f: i for i, f in enumerate(self.texts)}
+            self.words = {w: i for i, w in enumerate(sorted({w for x in sets for w in x}))}
+            pairs = np.array(sorted((self.words[w], i) for i, x in enumerate(sets) for w in x), np.int64).reshape(-1, 2)
+            self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
+            self.holds, self.size = pairs[:, 1], np.array([len(w) + 1 for w in sorted(self.words)], np.int64)
+        else:
+            self.bag_texts = self.texts
+        self.one, self.two, self.n = _bags(self.bag_texts)
+
+    def _alike(self, one, two, m):
+        """(line, form): pairs of lines of about one length that may be alike as a whole."""
+        low, high = (self.share, 1 / self.share) if self.kind == "levenshtein" else (self.share / (2 - self.share), (2 - self.share) / self.share)
+        a, b = np.searchsorted(self.n, m.min() * low - 1e-6), np.searchsorted(self.n, m.max() * high + 1e-6, "right")
+        if a >= b:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n, both = self.n[a:b], np.zeros((len(m), b - a), np.promote_types(one.dtype, self.one.dtype))
+        for c in range(one.shape[1]):
+            x, y = one[:, c], self.one[a:b, c]
+            if x.any() and y.any():
+                both += np.minimum(x[:, None], y[None])
+        longest, total = np.maximum(m[:, None], n), m[:, None] + n
+        need = self.share * longest if self.kind == "levenshtein" else self.share * total / 2
+        line, form = np.nonzero(both >= need - 1e-6)
+        form += a
+        n, m = self.n[form], m[line]
+        if self.kind == "levenshtein":  # an edit ends two pairs of the longer side
+            least = np.maximum(n, m) + 1 - 2 * np.floor((1 - self.share) * np.maximum(n, m) + 1e-6)
+        else:  # a deletion ends two and makes one; an insertion likewise
+            least = (n + m) / 2 + 1 - 1.5 * (1 - self.share) * (n + m)
+        keep = np.zeros(len(line), bool)
+        for at in range(0, len(line), 4096):
+            s = slice(at, at + 4096)
+            keep[s] = np.minimum(two[line[s]], self.two[form[s]]).sum(axis=1) >= least[s] - 1e-6
+        return line[keep], form[keep]
+
+    def _parts(self, sets, m, best):
+        """(line, form, score): lines and forms whose shared words are nearly all of one side."""
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        word = np.array([i for x in sets for i in x], np.int64)
+        count = self.first[word + 1] - self.first[word]
+        at = np.repeat(self.first[word] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        cells = np.repeat(row, count) * len(self.n) + self.holds[at]
+        both = np.bincount(cells, np.repeat(self.size[word], count), len(sets) * len(self.n)).reshape(len(sets), -1) - 1
+        less = np.minimum(m[:, None], self.n)
+        line, form = np.nonzero(both * (2 - self.share) >= self.share * less - 1e-6)
+        b = both[line, form]
+        score = 200.0 * b / (b + less[line, form])
+        good = (score >= self.threshold) & (score >= best[form])
+        return line[good], form[good], score[good]
+
+    def best(self, texts: list[str], order: np.ndarray):
+        """(form, line, score) of the best of these lines for each form: the highest score, the least
+        ``order``, all that tie; equal texts come before all others."""
+        found, best = [], np.zeros(len(self.texts))
+        equal = [(self.place[t], i, np.inf) for i, t in enumerate(texts) if t in self.place]
+        bag = texts if self.words is None else [" ".join(dict.fromkeys(t.split())) for t in texts]
+        size = np.array([len(t) for t in bag], np.int64)
+        by_length = np.argsort(size, kind="stable")
+        step = max(1, _CELLS // max(1, len(self.texts)))
+        for at in range(0, len(texts), step):
+            rows = by_length[at : at + step]
+            if self.words is not None:
+                sets = [[j for w in bag[i].split() if (j := self.words.get(w)) is not None] for i in rows]
+                line, form, score = self._parts(sets, size[rows], best)
+                np.maximum.at(best, form, score)
+                found.append((form, rows[line], score))
+            one, two, m = _bags([bag[i] for i in rows])
+            pairs = []
+            for i, j in zip(*(x.tolist() for x in self._alike(one, two, m))):
+                a, b = self.texts[j], texts[rows[i]]
+                # Words that are all of one side were scored; matching blocks are a common subsequence,
+                # whose length costs far less.
+                if best[j] == 100.0 and self.words is not None or self.kind == "sequence" and 2 * _common(a, b) < self.share * (len(a) + len(b)) - 1e-6:
+                    continue
+                if (score := self.score(a, b)) >= self.threshold:
+                    pairs.append((j, rows[i], score))
+            for f, _, s in pairs:
+                best[f] = max(best[f], s)
+            if pairs:
+                found.append(tuple(np.array(x) for x in zip(*pairs)))
+        if equal:
+            found.append(tuple(np.array(x) for x in zip(*equal)))
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        form, line, score = (np.concatenate([x[i] for x in found]) for i in range(3))
+        by = np.lexsort((order[line], -score, form))
+        form, line, score = form[by], line[by], score[by]
+        start = np.append(True, form[1:] != form[:-1]) if len(form) else np.zeros(0, bool)
+        top = np.maximum.accumulate(np.where(start, np.arange(len(form)), 0))
+        ties = (score == score[top]) & (order[line] == order[line[top]])
+        return form[ties], line[ties], score[ties]
+
+
+def _scanned(forms: list[str], known: DataFrame, score: str, threshold: float) -> DataFrame:
+    """(_c, exact, score, n, text) of the best line for each of a bounded number of forms.
+
+    The forms are broadcast and each batch of lines sends on its best ones alone, so that lines need no
+    shuffle, however many they are."""
+    spread = known.sparkSession.sparkContext.broadcast(_Forms(forms, score, threshold))
+
+    def run(batches):
+        f = spread.value
+        for batch in batches:
+            canon, order = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            form, line, score = f.best(canon, order) if canon else ([], [], np.zeros(0))
+            line = pa.array(line, pa.int64())
+            exact = np.isinf(score)
+            yield pa.RecordBatch.from_arrays([pa.array([f.texts[i] for i in form], pa.string()), pa.array(exact), pa.array(np.where(exact, 100.0, score)), *(batch.column(i).take(line) for i in (1, 2, 0))], ["_c", "exact", "score", "n", "text", "canon"])
+
+    rows = known.select("canon", F.col("n").cast("bigint").alias("n"), F.col("text").cast("string").alias("text"))
+    found = rows.mapInArrow(run, "_c string, exact boolean, score double, n bigint, text string, canon string")
+    first = found.groupBy("_c", "exact", "score", "n", "canon").agg(F.min("text").alias("text"))  # of equal lines
+    best = first.groupBy("_c").agg(F.max(F.struct("exact", "score", (-F.col("n")).alias("m"), "text")).alias("b"))
+    return best.select("_c", "b.exact", "b.score", (-F.col("b.m")).cast(known.schema["n"].dataType).alias("n"), "b.text")
+
 
-    Equal canonical forms are found by an equi-join.  For what is left, each scorer has candidate
-    pairs of its own that hold all of ``threshold`` or more; only such pairs are scored.  A scorer
-    that isn't of this module sees the Levenshtein pairs.  Quotes without a line of ``threshold``
-    or more have a null line and score 0."""
+def best_matches(asked: DataFrame, known: DataFrame, score=levenshtein_score, threshold: float = THRESHOLD) -> DataFrame:
+    """asked (…, quote) with score, n, text and exact of the best known line (canon, n, text); lines
+    may repeat a canonical form, the first counts.
+
+    Up to ``FEW`` different forms are broadcast, and one scan of the lines finds the best of each.  More
+    meet the lines in joins: equal canonical forms by an equi-join; for what is left, each scorer has
+    candidate pairs of its own that hold all of ``threshold`` or more, and only such pairs are scored.
+    A scorer that isn't of this module sees the Levenshtein pairs.  Quotes without a line of
+    ``threshold`` or more have a null line and score 0."""
     rows = stored(asked.withColumn("_c", T.canon("quote")), "asked")
-    known = stored(known, "known")
+    forms = rows.select("_c").where("_c <> ''").distinct()
+    name = {levenshtein_score: "levenshtein", sequence_score: "sequence", token_set_score: "token_set"}.get(score)
+    few, chars = forms.agg(F.count("*"), F.coalesce(F.sum(F.length("_c")), F.lit(0))).first()
+    if name is not None and few <= FEW and chars <= FEW_CHARS:
+        best = stored(_scanned(forms.toArrow().column("_c").to_pylist(), known, name, threshold), "best")  # of bounded size
+        found = rows.join(best, "_c", "left").withColumns({"exact": F.coalesce("exact", F.lit(False)), "score": F.coalesce("score", F.lit(0.0))})
+        return found.select(*asked.columns, "n", "text", "score", "exact")
+    known = stored(_first(known), "known")
     exact = rows.join(known.withColumnRenamed("canon", "_k"), F.col("_c") == F.col("_k"), "left").drop("_k")
     done = exact.where("n is not null").withColumns({"score": F.lit(100.0), "exact": F.lit(True)})
     open_ = exact.where("n is null").drop("n", "text")
@@ -368,11 +570,16 @@ def apply_fixes(answers: DataFrame, fixes: DataFrame, key: str, text: str = "tex
     return answers.join(gathered, key, "left").withColumn(text, run(text, "_fixes")).drop("_fixes")
 
 
-def verify_and_correct(answers: DataFrame, known: DataFrame, key: str, text: str = "text", score=levenshtein_score) -> tuple[DataFrame, DataFrame]:
-    """Corrected answers, and their verification after the correction."""
+def correct(answers: DataFrame, known: DataFrame, key: str, text: str = "text", score=levenshtein_score) -> DataFrame:
+    """Answers whose quotations are replaced by the lines that they are nearly like."""
     checks = best_matches(quotes(answers, key, text), known, score)
     fixes = checks.where((F.col("score") >= THRESHOLD) & ~F.col("exact")).select(key, "place", F.col("quote").alias("old"), F.col("text").alias("new"))
-    fixed = apply_fixes(answers, fixes, key, text)
+    return apply_fixes(answers, fixes, key, text)
+
+
+def verify_and_correct(answers: DataFrame, known: DataFrame, key: str, text: str = "text", score=levenshtein_score) -> tuple[DataFrame, DataFrame]:
+    """Corrected answers, and their verification after the correction."""
+    fixed = correct(answers, known, key, text, score)
     return fixed, verified(best_matches(quotes(fixed, key, text), known, score), key)
 
 

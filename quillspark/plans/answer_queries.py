@@ -162,7 +162,7 @@ def motif_labels(spark, sf_dir):
 def _quoted(spark, sf_dir, score) -> DataFrame:
     """Benchmark sentences quoted in other word order, in part or with a letter changed, against every
     sentence of the documents."""
-    known = verify.choices(_sentences(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("quote", "text"), "doc_id")
+    known = verify.canonical(_sentences(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("quote", "text"), "doc_id")
     words, kind = F.split(T.squeeze("quote"), " "), (F.col("item_id") + F.col("place")) % 3
     said = F.when(kind == 0, F.array_join(F.reverse(words), " ")).when(kind == 1, F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.ceil(F.size(words) * 0.6).cast("int"))), " ")).otherwise(F.translate("quote", "x", "y"))
     asked = _sentences(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.col("place").cast("bigint").alias("place"), said.alias("quote"))

@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 
 from quillspark.operators import verify
@@ -173,3 +174,40 @@ def test_candidates_grow_with_the_lines(spark, column):
         forms = spark.createDataFrame([(edited(rng, x),) for x in lines[:n:2]], "_c string").distinct()
         counts.append(verify.candidates(forms, spark.createDataFrame([(x,) for x in lines[:n]], "canon string"), column).count())
     assert counts[0] >= 100 and counts[1] <= 6 * counts[0]
+
+
+@pytest.mark.parametrize("kind,plain", [("levenshtein", lev), ("sequence", lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() * 100), ("token_set", verify._token_set)])
+@pytest.mark.parametrize("letters", [1, 2, 9])
+def test_scan_finds_the_best_lines(monkeypatch, kind, plain, letters):
+    """All that tie for each form, lines in any order and in blocks of any size."""
+    rng = random.Random(letters)
+    vocab = ["".join(rng.choice("abcdefgx") for _ in range(rng.randint(1, letters))) for _ in range(40)]
+    lines = list({" ".join(rng.choices(vocab, k=rng.randint(1, 14))) for _ in range(120)} | {"a", "ab", "abcd", "a" * 60, "a b " * 20 + "c"})
+    forms = list({edited(rng, rng.choice(lines)) for _ in range(150)} | {"abcde", "a" * 55} - {""})
+    n = [rng.randint(0, 40) for _ in lines]
+    want = {}
+    for f in forms:
+        s = [(float("inf") if f == x else plain(f, x), -n[i], i) for i, x in enumerate(lines)]
+        top = max(x[:2] for x in s)
+        if top[0] >= 88:
+            want[f] = {x[2] for x in s if x[:2] == top}
+    for cells in (1000, 1 << 19):
+        monkeypatch.setattr(verify, "_CELLS", cells)
+        index, got = verify._Forms(forms, kind, 88.0), {}
+        for f, line, _ in zip(*index.best(lines, np.array(n))):
+            got.setdefault(index.texts[f], set()).add(int(line))
+        assert want and got == want
+
+
+@pytest.mark.parametrize("column", [verify.levenshtein_score, verify.sequence_score, verify.token_set_score])
+def test_few_and_many_forms_find_the_same(spark, monkeypatch, column):
+    """Broadcast forms and joins agree, and a scan keeps nothing of the lines but what it found."""
+    lines = spark.createDataFrame([(n, t.upper()) for t, n in LINES.items()] + [(n + 500, t) for t, n in LINES.items()], "n bigint, text string")
+    asked = spark.createDataFrame(list(enumerate(ASKED)) + [(999, None)], "i bigint, quote string")
+    kept = []
+    monkeypatch.setattr(verify, "stored", lambda df, name, stored=verify.stored: kept.append(name) or stored(df, name))
+    few = verify.best_matches(asked, verify.canonical(lines), column).select("i", "n", "text", "score", "exact").collect()
+    assert kept == ["asked", "best"]
+    monkeypatch.setattr(verify, "FEW", 0)
+    many = verify.best_matches(asked, verify.canonical(lines), column).select("i", "n", "text", "score", "exact").collect()
+    assert sorted(few) == sorted(many) and len(few) == len(ASKED) + 1
