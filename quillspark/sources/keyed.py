@@ -153,15 +153,16 @@ def _noted(spark: SparkSession, path: str, key: str, files: set[str]) -> None:
     notes.write.mode("append").parquet(f"{path}/_keys")
 
 
-def append_absent(new: DataFrame, path: str, key: str, *, read: list | None = None) -> None:
-    """Appends rows whose key the files under ``path`` haven't; of rows that repeat a key, one; rows
-    without a key are left out.
+def append_absent(new: DataFrame, path: str, key: str, *, read: list | None = None, repeats: bool = False) -> None:
+    """Appends rows whose key the files under ``path`` haven't; of rows that repeat a key, one, or all
+    with ``repeats``; rows without a key are left out.
 
     A filter never misses a key, and a file without one is read, so no key is taken for absent that is
     there.  ``read`` gets the names of the files whose keys were read.  More than ``KEYS`` new keys are
     compared with the keys of all files."""
     spark, path = prepared(new.sparkSession), path.rstrip("/")
-    rows = stored(new.where(F.col(key).isNotNull()).dropDuplicates([key]), "new")
+    rows = new.where(F.col(key).isNotNull())
+    rows = stored(rows if repeats else rows.dropDuplicates([key]), "new")
     there = _files(spark, path)
     noted = {r["file"] for r in spark.read.parquet(f"{path}/_keys").select("file").collect()} if _exists(spark, f"{path}/_keys") else set()
     maybe = set(there)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.plans import queries
 from quillspark.sources import keyed
 
 SCHEMA = "k bigint, v string, t int"
@@ -110,3 +111,11 @@ def test_empty_appends(spark, tmp_path, keys):
     keyed.append_absent(spark.createDataFrame([(k,) for k in keys], "k bigint"), path, "k")
     keyed.append_absent(spark.createDataFrame([(1,)], "k bigint"), path, "k")
     assert [r.k for r in spark.read.parquet(path).collect()] == [1]
+
+
+def test_pages_of_one_address_are_all_appended(spark, tmp_path):
+    """Rows of one batch that repeat a key aren't there yet for each other."""
+    pages = [(0, "http://a/x"), (1, "http://a/x"), (2, "http://a/y"), (4, "http://a/y"), (5, "http://a/z"), (6, "http://a/w"), (9, "http://a/w"), (10, None)]
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.queries()["write_if_absent"](spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in got) == [2, 4, 5]
