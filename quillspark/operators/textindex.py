@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import RANKING
@@ -152,14 +152,11 @@ def build(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "te
     blocks.withColumn("bucket", bucket("term", buckets)).write.partitionBy("bucket").parquet(f"{path}/blocks")
     level = F.floor(part(F.col("tf"), F.col("length"), mean, k1, b) * (LEVELS / (k1 + 1))).cast("int")
     steps = words.groupBy("bucket", "term", level.alias("level")).agg(F.count("*").alias("n"))
-    # At most LEVELS pairs a term.
-    gathered = steps.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sort_array(F.collect_list(F.struct("level", "n")), asc=False).alias("x"))
-    sums = F.transform("x", lambda e, i: F.struct(e["level"].alias("level"), F.aggregate(F.slice("x", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y["n"]).alias("n")))
-
-    def reach(k: int) -> Column:
-        return F.get(F.filter("x", lambda e: e["n"] >= k), F.lit(0))["level"].alias(f"top{k}")
-
-    gathered.withColumn("x", sums).select("bucket", "term", "df", *[reach(k) for k in RANKS]).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    down = Window.partitionBy("bucket", "term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = steps.repartition("bucket", "term").withColumn("sum", F.sum("n").over(down))  # at most LEVELS rows a term
+    reach = [F.max(F.when(F.col("sum") >= k, F.col("level"))).alias(f"top{k}") for k in RANKS]
+    # Dealt by folder, without a sample: one would count all postings again.
+    reached.groupBy("bucket", "term").agg(F.sum("n").alias("df"), *reach).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     spark.createDataFrame([(n, float(mean), float(k1), float(b), buckets, slices)], "documents bigint, mean double, k1 double, b double, buckets int, slices int").coalesce(1).write.parquet(f"{path}/meta")
     return TextIndex.open(spark, path)
 

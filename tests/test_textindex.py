@@ -121,3 +121,22 @@ def test_odd_tables(spark, tmp_path):
     assert textindex.topk(q, empty, 10).count() == 0
     with pytest.raises(ValueError, match="repeat"):
         textindex.build(some.union(some), str(tmp_path / "twice"))
+
+
+def test_terms_are_written_without_a_sample(spark, tmp_path, monkeypatch):
+    """Ranges sample what they deal; only the blocks are dealt so, whose rows are read from files.  The
+    steps of a term's parts are those of a plain count."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    ranges = []
+    monkeypatch.setattr(Frame, "repartitionByRange", lambda self, *a, real=Frame.repartitionByRange: ranges.append(a) or real(self, *a))
+    docs = spark.createDataFrame([(i, " ".join(["common"] * (i % 9 + 1) + [f"w{i % 4}"] * (i % 3))) for i in range(60)], "doc_id bigint, text string")
+    index = textindex.build(docs, str(tmp_path / "i"))
+    assert len(ranges) == 1
+    parts = {}
+    for r in textindex.prepared(spark).createDataFrame([(i, t, n, i % 9 + 1 + i % 3) for i in range(60) for t, n in (("common", i % 9 + 1), (f"w{i % 4}", i % 3)) if n], "i int, term string, tf int, length int").withColumn("p", textindex.part(F.col("tf"), F.col("length"), index.mean, index.k1, index.b)).collect():
+        parts.setdefault(r.term, []).append(int(r.p * (textindex.LEVELS / (index.k1 + 1)) // 1))
+    for r in index.terms.collect():
+        held = sorted(parts.pop(r.term), reverse=True)
+        assert r.df == len(held) and [r[f"top{k}"] for k in textindex.RANKS] == [held[k - 1] if k <= len(held) else None for k in textindex.RANKS]
+    assert not parts
