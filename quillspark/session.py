@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A union that keeps its children's partitioning zips their partitions, which fails when adaptive
 #: execution has coalesced one child and not the other.
-REQUIRED = {"spark.sql.unionOutputPartitioning": "false"}
+#: Batches that Python gets are bounded by bytes; by rows alone they grow with the texts, and with the
+#: partitions up to 10,000 whole texts.
+REQUIRED = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -54,3 +54,17 @@ def test_label_ladder(spark):
 def test_deep_pages_are_walked():
     deep = html.page("<title>t</title><body>" + "<div>" * 5000 + "text <b>bold</b>" + "</div>" * 5000)
     assert deep == {"title": "t", "main": "text **bold**", "full": "text **bold**"}
+
+
+def test_python_gets_batches_of_bounded_bytes(spark):
+    """Whole texts go to Python a few megabytes at a time, however many a partition has."""
+    import pyarrow as pa
+    from quillspark.session import prepared
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = prepared(spark).range(3000, numPartitions=1).selectExpr("id", "repeat('word ', 2000) AS text")
+    found = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) > 30_000_000 and max(found) < 6_000_000
