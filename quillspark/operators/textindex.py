@@ -33,9 +33,9 @@ from quillspark.functions.text import terms
 from quillspark.operators.search import _HITS, ranked
 from quillspark.session import prepared, stored
 
-#: Postings of a block, documents of a slice at most and slices at least, documents for each folder
-#: of terms, folders at least and at most.
-BLOCK, SLICE_DOCS, SLICES, FOLDER_DOCS, FOLDERS = 128, 32_768, 8, 20_000, (8, 1024)
+#: Postings of a block, documents and words of a slice on average at most and slices at least, documents
+#: for each folder of terms, folders at least and at most.  A search holds a slice's asked postings in a task.
+BLOCK, SLICE_DOCS, SLICE_WORDS, SLICES, FOLDER_DOCS, FOLDERS = 128, 8192, 1 << 22, 8, 20_000, (8, 1024)
 #: Steps of a term's largest parts that ``terms`` keeps, and their resolution.
 RANKS, LEVELS = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000), 256
 #: Queries, and words of all these, that are searched at once.
@@ -143,7 +143,7 @@ def build(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "te
     if n != distinct:
         raise ValueError(f"{n - distinct} rows repeat an id")
     mean = total / n if total else 1.0
-    slices = max(SLICES, -(-n // slice_docs))
+    slices = max(SLICES, -(-n // slice_docs), -(-(total or 0) // SLICE_WORDS))
     buckets = buckets or min(max(FOLDERS[0], n // FOLDER_DOCS), FOLDERS[1])
     words = postings.where("term <> ''").withColumns({"bucket": bucket("term", buckets), "slice": F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int")})
     order = ["bucket", "term", "slice", "doc_id"]
@@ -171,13 +171,15 @@ class _Plan:
 
 
 class _Slice:
-    """One slice's blocks of the asked terms; their postings are decoded when first looked at."""
+    """One slice's blocks of the asked terms; their postings stay where they came, in any order, and
+    are decoded when first looked at."""
 
     def __init__(self, table: pa.Table, mean: float, k1: float, b: float):
-        table = table.sort_by([("tid", "ascending"), ("first", "ascending")])
-        self.columns = {c: table.column(c).combine_chunks() for c in ("docs", "tfs", "lengths")}
-        self.first, self.last, self.top = (np.asarray(table.column(c)) for c in ("first", "last", "top"))
-        tid = np.asarray(table.column("tid"))
+        self.columns = {c: table.column(c) for c in ("docs", "tfs", "lengths")}
+        tid, first = np.asarray(table.column("tid")), np.asarray(table.column("first"))
+        self.row = np.lexsort((first, tid))
+        self.first, self.last, self.top = (np.asarray(table.column(c))[self.row] for c in ("first", "last", "top"))
+        tid = tid[self.row]
         at = np.flatnonzero(np.append(True, tid[1:] != tid[:-1])) if len(tid) else np.zeros(0, int)
         self.of = {int(tid[i]): np.arange(i, j) for i, j in zip(at, np.append(at[1:], len(tid)))}
         self.mean, self.k1, self.b = mean, k1, b
@@ -188,7 +190,7 @@ class _Slice:
         found = []
         for i in at.tolist():
             if i not in self.seen:
-                docs, tf, length = (np.frombuffer(self.columns[c][i].as_buffer(), t) for c, t in (("docs", np.int64), ("tfs", np.int32), ("lengths", np.int32)))
+                docs, tf, length = (np.frombuffer(self.columns[c][int(self.row[i])].as_buffer(), t) for c, t in (("docs", np.int64), ("tfs", np.int32), ("lengths", np.int32)))
                 self.seen[i] = docs, tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean))
             found.append(self.seen[i])
         if not found:

@@ -140,3 +140,34 @@ def test_terms_are_written_without_a_sample(spark, tmp_path, monkeypatch):
         held = sorted(parts.pop(r.term), reverse=True)
         assert r.df == len(held) and [r[f"top{k}"] for k in textindex.RANKS] == [held[k - 1] if k <= len(held) else None for k in textindex.RANKS]
     assert not parts
+
+
+def test_slices_are_bounded_by_words(spark, tmp_path, monkeypatch):
+    """Long texts make more slices; results stay the scan's."""
+    monkeypatch.setattr(textindex, "SLICE_WORDS", 400, raising=False)
+    some = spark.createDataFrame([(i, " ".join(["all"] * 40 + [f"w{i % 7}"] * (i % 5))) for i in range(200)], DOCS)
+    index = textindex.build(some, str(tmp_path / "words"))
+    words = some.select(F.sum(F.size(F.split("text", " ")))).first()[0]
+    held = index.blocks.groupBy("slice").agg(F.sum("n").alias("n")).collect()
+    assert len(held) > 2 * textindex.SLICES and index.blocks.agg(F.max("slice")).first()[0] < -(-words // 400)
+    q = spark.createDataFrame([(1, "all w3"), (2, "w5 w6")], ASKED)
+    assert rows(textindex.topk(q, index, 5)) == rows(search.text_topk(q, some, 5))
+
+
+def test_a_slice_is_not_copied():
+    """Postings that a task has got stay where they are, whatever order their blocks come in."""
+    import numpy as np
+    import pyarrow as pa
+
+    def blocks(tids):
+        n = [textindex.BLOCK] * len(tids)
+        docs = [np.arange(128, dtype=np.int64) + 128 * i for i in range(len(tids))]
+        cut = lambda kind: pa.array([np.full(128, 3, kind).tobytes() for _ in n])
+        return pa.table([pa.array(tids, pa.int32()), pa.array([d[0] for d in docs]), pa.array([d[-1] for d in docs]), pa.array(np.linspace(1, 2, len(n))), pa.array([d.tobytes() for d in docs]), cut(np.int32), cut(np.int32)], names=["tid", "first", "last", "top", "docs", "tfs", "lengths"])
+
+    table = pa.concat_tables([blocks([3, 1] * 500), blocks([2, 0] * 500)])
+    before = pa.total_allocated_bytes()
+    held = textindex._Slice(table, 3.0, 1.2, 0.75)
+    assert pa.total_allocated_bytes() - before < table.nbytes / 10
+    docs, _ = held.decoded(held.of[1])
+    assert len(docs) == 500 * 128 and (np.diff(docs) > 0).all()
