@@ -33,6 +33,8 @@ GROUP, WORDS, SAMPLE = 4, 256, 16_384
 WITHIN, NEAR, PROBES_FROM = 0.98, 10, 256
 #: Rows whose originals are scored for each query: this share of all, and so many times k at most.
 SCORED, TIMES = 0.05, 100
+#: Tasks for each core that scan cells, pairs of an original and a query that are scored at once.
+DEALT, PAIRS = 2, 1 << 15
 
 
 def _means(rows: DataFrame, centres: np.ndarray, rounds: int) -> np.ndarray:
@@ -222,38 +224,58 @@ def topk(queries: DataFrame, index: Index, k: int, *, query_id: str = "query_id"
         if place < len(index.sample):
             s = np.concatenate([q[a : a + 256] @ index.sample.T for a in range(0, len(q), 256)])
             floor = np.partition(s, len(index.sample) - place, axis=1)[:, len(index.sample) - place]
-        spread = index.cells.sparkSession.sparkContext.broadcast((ids, q, probed, floor, index.centres, index.books))
+        context = index.cells.sparkSession.sparkContext
+        spread = context.broadcast((ids, q, probed, floor, index.centres, index.books))
         wanted = np.flatnonzero(probed.any(axis=0)).tolist()
         cells = index.cells if len(wanted) == len(index.centres) else index.cells.where(F.col("list").isin(wanted))
-        return cells.mapInArrow(_scanner(spread, deep), _HITS), spread
+        # Cells are few bytes and much work: read as they lie they would go to a task or two.
+        found = cells.repartition(DEALT * context.defaultParallelism).mapInArrow(_scanner(spread, deep), _HITS)
+        # Each original is fetched once for all queries of the block that want it.
+        asked = ranked(found, deep).groupBy("doc_id").agg(F.collect_set("query_id").alias("asked"))
+        return asked.join(index.vectors, "doc_id").select("doc_id", "vector", "asked").mapInArrow(_rescorer(spread, k), _HITS), spread
 
     found = _by_block(queries, query_id, search)
     if found is None:
         found = index.vectors.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    chosen = ranked(found, deep).select("query_id", "doc_id").distinct()
-    asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).where("q is not null")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = chosen.join(index.vectors, "doc_id").join(asked, "query_id")
-    size = F.sqrt(dot("q", "q") * dot("vector", "vector"))
-    return ranked(pairs.select("query_id", "doc_id", F.round(F.when(size == 0, 0.0).otherwise(dot("q", "vector") / size), 9).alias("score")), k)
+    return ranked(found, k)
 
 
 def _scanner(spread, deep: int):
     def run(batches):
         ids, q, probed, floor, centres, books = spread.value
-        step, top = max(1, SCORES // len(ids)), _Top(ids, deep, -2.0)
+        step, top = max(1, SCORES // len(ids)), _Top(ids, deep, np.maximum(floor, -2.0))
         for batch in batches:
             for row in batch.to_pylist():
-                mine = probed[:, row["list"]]
-                if not mine.any():
+                mine = np.flatnonzero(probed[:, row["list"]])
+                if not len(mine):
                     continue
                 docs, codes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["codes"], np.uint8).reshape(row["n"], -1)
                 for a in range(0, row["n"], step):
                     v = _rebuilt(np.full(len(codes[a : a + step]), row["list"]), codes[a : a + step], centres, books)
-                    scores = np.full((len(v), len(ids)), -np.inf)
-                    scores[:, mine] = v @ q[mine].T
-                    scores[scores < floor[None, :]] = -np.inf
-                    top.add(docs[a : a + step], scores)
+                    scores = v @ q[mine].T
+                    at, asked = np.nonzero(scores >= top.least[mine])
+                    top.put(mine[asked], docs[a : a + step][at], scores[at, asked])
+        yield from top.rows()
+
+    return run
+
+
+def _rescorer(spread, k: int):
+    """Cosines of originals (doc_id, vector, asked) with the queries that ask for them."""
+
+    def run(batches):
+        ids, q = spread.value[:2]
+        order, top = np.argsort(ids, kind="stable"), _Top(ids, k, -2.0)
+        known = ids[order]
+        for batch in batches:
+            docs, v, asked = np.asarray(batch.column(0), np.int64), _unit(_matrix(batch.column(1))), batch.column(2)
+            row, query = np.repeat(np.arange(len(docs)), asked.value_lengths().to_numpy()), np.asarray(asked.flatten(), np.int64)
+            first = np.searchsorted(known, query)
+            many = np.searchsorted(known, query, "right") - first  # an id may stand for several vectors
+            row, at = np.repeat(row, many), np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            for a in range(0, len(row), PAIRS):
+                r, p = row[a : a + PAIRS], order[at[a : a + PAIRS]]
+                top.put(p, docs[r], np.round(np.einsum("ij,ij->i", v[r], q[p]), 9))
         yield from top.rows()
 
     return run

@@ -16,15 +16,18 @@ from quillspark.session import stored
 
 #: Queries that one pass over the documents answers; more are answered in blocks, one at a time.
 QUERY_BLOCK = 4096
-#: Scores that are held at once, and single additions to them.
-SCORES, ADDITIONS = 1 << 21, 1 << 22
+#: Scores that are held at once, and single additions to them; rows that a task gathers beyond its best
+#: before it thins them out.
+SCORES, ADDITIONS, GATHERED = 1 << 21, 1 << 22, 1 << 19
+#: How far rounding may move a score.
+_ROUNDED = 2e-9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    width = {len(x) for x in column.to_pylist() if x is not None} if len(column) else set()
+    width = set(pc.list_value_length(column).drop_null().unique().to_pylist())
     if len(width) > 1:
         raise ValueError(f"vectors of different lengths: {sorted(width)}")
-    flat = np.asarray(column.flatten(), np.float64) if column.null_count == 0 else np.array([x for r in column.to_pylist() if r is not None for x in r], float)
+    flat = np.asarray(column.flatten(), np.float64)  # without null rows
     return flat.reshape(-1, width.pop() if width else 1)
 
 
@@ -59,46 +62,65 @@ def _by_block(queries: DataFrame, query_id: str, search: Callable[[DataFrame], t
     return out
 
 
-def _best(scores: np.ndarray, docs: np.ndarray, k: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, query) of each query's best ``k`` scores of at least ``least``; ties go to lesser ids."""
-    keep = scores >= least
-    if k is not None and len(scores) > k:
-        keep &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-    row, query = np.nonzero(keep)
-    if k is None or not len(row):
-        return row, query
-    order = np.lexsort((docs[row], -scores[row, query], query))
-    row, query = row[order], query[order]
-    first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
-    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
-    return row[place < k], query[place < k]
+def _best(scores: np.ndarray, k: int | None, least: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of scores of at least each query's ``least``, and where these are many, of no more
+    than its best ``k`` and their ties; all but for ``slack``."""
+    keep = scores >= least - slack
+    if k is not None and len(scores) > k and np.count_nonzero(keep) > k * scores.shape[1]:
+        keep &= scores >= np.partition(np.where(keep, scores, -np.inf), len(scores) - k, axis=0)[len(scores) - k] - slack
+    return np.nonzero(keep)
 
 
 _HITS = "query_id bigint, doc_id bigint, score double"
 
 
 class _Top:
-    """Each query's best ``k`` rows of a task, gathered over its products; all rows without ``k``."""
-
-    def __init__(self, ids: np.ndarray, k: int | None, least: float):
-        self.ids, self.k, self.least = ids, k, least
-        self.query, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-
-    def add(self, docs: np.ndarray, scores: np.ndarray) -> None:
-        row, query = _best(scores, docs, self.k, self.least)
-        self.query, self.doc, self.score = np.append(self.query, query), np.append(self.doc, docs[row]), np.append(self.score, scores[row, query])
-        if self.k is None:
-            return
-        order = np.lexsort((self.doc, -self.score, self.query))
-        first = np.searchsorted(self.query[order], self.query[order])
-        order = order[np.arange(len(order)) - first < self.k]
-        self.query, self.doc, self.score = self.query[order], self.doc[order], self.score[order]
+    """Each query's best ``k`` rows of a task, gathered over its products; all rows without ``k``.
+
+    Rows are thinned out when there are many, which raises what a row must reach to be gathered; ties
+    go to lesser ids."""
+
+    def __init__(self, ids: np.ndarray, k: int | None, least: float | np.ndarray):
+        self.ids, self.k, self.least = ids, k, np.full(len(ids), least)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.most = 0, 0 if k is None else k * len(ids) + min(k * len(ids), GATHERED)
+
+    def add(self, docs: np.ndarray, scores: np.ndarray, digits: int | None = None) -> None:
+        """A (row, query) table of scores, which are rounded to ``digits`` where they matter."""
+        row, query = _best(scores, self.k, self.least, 0.0 if digits is None else _ROUNDED)
+        score = scores[row, query]
+        if digits is not None:
+            score = np.round(score, digits)
+            keep = score >= self.least[query]
+            row, query, score = row[keep], query[keep], score[keep]
+        self.put(query, docs[row], score)
+
+    def put(self, query: np.ndarray, docs: np.ndarray, score: np.ndarray) -> None:
+        """Single rows; ``query`` has places in ``ids``."""
+        if len(query):
+            self.parts.append((query, docs, score))
+            self.held += len(query)
+        if self.k is not None and self.held > self.most:
+            self._thin()
+
+    def _thin(self) -> None:
+        query, docs, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((docs, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        if self.k is not None:
+            last = order[place == self.k - 1]
+            self.least[query[place == self.k - 1]] = score[last]
+            order, query = order[place < self.k], query[place < self.k]
+        self.parts, self.held = [(query, docs[order], score[order])], len(order)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """What is held, which is then let go."""
-        if len(self.query):
-            yield pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.doc), pa.array(self.score)], ["query_id", "doc_id", "score"])
-        self.query, self.doc, self.score = self.query[:0], self.doc[:0], self.score[:0]
+        if self.parts:
+            self._thin()
+            query, docs, score = self.parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[query]), pa.array(docs), pa.array(score)], ["query_id", "doc_id", "score"])
+        self.parts, self.held = [], 0
 
 
 def vector_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector", where: Column | None = None, min_score: float | None = None, skip_self: bool = False) -> DataFrame:
@@ -132,10 +154,10 @@ def _scorer(spread, k: int, min_score: float | None, skip_self: bool):
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 docs = np.asarray(part.column(0), np.int64)
-                scores = np.round(_unit(_matrix(part.column(1))) @ q.T, 9)  # (rows, queries)
+                scores = _unit(_matrix(part.column(1))) @ q.T  # (rows, queries)
                 if skip_self:
                     scores[docs[:, None] == ids[None, :]] = -np.inf
-                top.add(docs, scores)
+                top.add(docs, scores, 9)
         yield from top.rows()
 
     return run

@@ -73,3 +73,63 @@ def test_odd_tables(spark, tmp_path):
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in got) == [(7, 1, 1), (7, 1, 3), (7, 3, 4), (7, 4, 2)]
     none = ann.build(docs.where("vector is null"), str(tmp_path / "none"))
     assert ann.topk(asked, none, 10).collect() == []
+
+
+def test_cells_are_scanned_by_all_cores(spark, tmp_path, monkeypatch):
+    """However few bytes they are."""
+    from pyspark import TaskContext
+
+    def scanner(spread, deep):
+        def run(batches):
+            import pyarrow as pa
+
+            if any(b.num_rows for b in batches):
+                yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([TaskContext.get().partitionId()]), pa.array([1.0])], ["query_id", "doc_id", "score"])
+
+        return run
+
+    monkeypatch.setattr(ann, "CELL", 50)
+    docs = table(spark, vectors("plain", 2000, 16))
+    index = ann.build(docs, str(tmp_path / "i"))
+    monkeypatch.setattr(ann, "_scanner", scanner)
+    asked = docs.where("doc_id = 1").withColumnRenamed("doc_id", "query_id")
+    assert ann.topk(asked, index, 100).count() >= spark.sparkContext.defaultParallelism
+
+
+def test_originals_are_fetched_once_for_all_queries(spark, tmp_path, monkeypatch):
+    """Also for an id that stands for two queries; scores are the scan's."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(spread, k, real=ann._rescorer):
+        def run(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            yield from real(spread, k)(each())
+
+        return run
+
+    monkeypatch.setattr(ann, "_rescorer", counted)
+    docs = table(spark, vectors("plain", 600, 16))
+    asked = docs.where("doc_id < 40").withColumn("query_id", F.expr("doc_id % 39")).drop("doc_id")
+    index = ann.build(docs, str(tmp_path / "i"))
+    got = sorted((r.query_id, r.doc_id, r.score) for r in ann.topk(asked, index, 30, probes=len(index.centres), scored=600).collect() if r.query_id)
+    assert seen.value == 600
+    assert got == sorted((r.query_id, r.doc_id, r.score) for r in search.vector_topk(asked.where("query_id > 0"), docs, 30).collect())
+
+
+@pytest.mark.parametrize("gathered", [0, 1 << 19])
+def test_best_rows_of_a_task(monkeypatch, gathered):
+    """Thinned out early or late, with ties that only rounding makes, with a bound for each query."""
+    monkeypatch.setattr(search, "GATHERED", gathered, raising=False)
+    rng = np.random.default_rng(3)
+    scores, docs = np.round(rng.random((500, 4)), 2) + rng.uniform(-4e-10, 4e-10, (500, 4)), rng.permutation(500)
+    scores[7, :] = np.nan
+    top = search._Top(np.array([5, 6, 7, 8]), 20, np.array([-2.0, -2.0, 0.99, 2.0]))
+    for a in range(0, 500, 60):
+        top.add(docs[a : a + 60], scores[a : a + 60], 9)
+    got = [r for b in top.rows() for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
+    every = [[(-s, d) for s, d in zip(np.round(scores[:, j], 9), docs) if s >= (0.99 if j == 2 else 2.0 if j == 3 else -2)] for j in range(4)]
+    assert got == [(5 + j, d, -s) for j in range(4) for s, d in sorted(every[j])[:20]]
